@@ -9,8 +9,6 @@ less than one unit in the last place and are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from barloom.operators.panel import Panel, block_rows_for
 
 
@@ -22,20 +20,26 @@ def _decay(panel: Panel, span: int) -> float:
     return q
 
 
-def ema_sums(panel: Panel, x: Column, span: int, name: str) -> dict[str, Column]:
+def ema_sums(panel: Panel, x: str, span: int, name: str) -> dict[str, str]:
     """The two window sums an average needs; add them before ``ema_value``."""
     q = _decay(panel, span)
-    weighted = F.when(F.col("idx") == 0, x).otherwise(x * F.lit(1.0 - q)) * F.pow(
-        F.lit(q), -(F.col("idx") % F.lit(panel.block)).cast("double")
+    weighted = (
+        f"(CASE WHEN idx = 0 THEN {x} ELSE {x} * {1.0 - q!r}D END)"
+        f" * pow({q!r}D, -(idx % {panel.block}))"
     )
     return {
-        f"_{name}_cur": F.sum(weighted).over(panel.in_block()),
-        f"_{name}_prev": F.sum(weighted).over(panel.previous_block()),
+        f"_{name}_cur": f"sum({weighted}) OVER {panel.in_block_sql()}",
+        f"_{name}_prev": f"sum({weighted}) OVER {panel.previous_block_sql()}",
     }
 
 
-def ema_value(panel: Panel, span: int, name: str) -> Column:
+def ema_value(panel: Panel, span: int, name: str) -> str:
     q = _decay(panel, span)
-    here = F.pow(F.lit(q), (F.col("idx") % F.lit(panel.block)).cast("double"))
-    carried = F.coalesce(F.col(f"_{name}_prev"), F.lit(0.0)) * F.lit(q**panel.block)
-    return here * (F.col(f"_{name}_cur") + carried)
+    carried = f"coalesce(_{name}_prev, 0D) * {q**panel.block!r}D"
+    return f"pow({q!r}D, idx % {panel.block}) * (_{name}_cur + {carried})"
+
+
+def add_ema(panel: Panel, x: str, span: int, name: str) -> Panel:
+    """Exponential moving average of one column."""
+    panel = panel.add_sql(ema_sums(panel, x, span, name))
+    return panel.add_sql({name: ema_value(panel, span, name)})

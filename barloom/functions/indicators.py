@@ -1,17 +1,18 @@
 """Technical indicators as staged window expressions.
 
 A stage adds all its columns over one window specification, so Catalyst keeps
-one exchange and one sort and drops every column nobody asks for.
+one exchange and one sort.  Only the columns asked for, and what they are
+computed from, enter the plan.
 Frames are partial at the start of a series: a 20-bar mean of 3 bars is the
 mean of those 3.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
 
 from barloom.functions.ema import ema_sums, ema_value
-from barloom.functions.maths import TINY, change, flag, ratio
+from barloom.functions.maths import TINY
 from barloom.operators.panel import BLOCK_ROWS, Panel
 
 # The model's feature columns, in the order models expect them.
@@ -101,95 +102,102 @@ def uses_average(columns) -> bool:
     return bool(set(columns) & (_ONE_AVERAGE | _AVERAGE_OF_AVERAGE))
 
 
-def add_indicators(panel: Panel, rsi_period: int = RSI_PERIOD) -> Panel:
-    """All indicator columns; NULL where the history is too short."""
-    c, v = F.col("Close"), F.col("Volume")
-    o, h, l = F.col("Open"), F.col("High"), F.col("Low")
-    row = panel.row()
-
-    stage = {f"_c{k}": F.lag("Close", k).over(row) for k in (1, 2, 3, 5, 10)}
-    stage |= {"_h1": F.lag("High", 1).over(row), "_l1": F.lag("Low", 1).over(row)}
-    stage |= {f"sma_{n}": F.avg(c).over(panel.last(n)) for n in (5, 10, 20)}
-    stage |= {
-        "rolling_std_10": F.stddev_samp(c).over(panel.last(10)),
-        "_std20": F.stddev_samp(c).over(panel.last(20)),
-        "volume_sma_10": F.avg(v).over(panel.last(10)),
-        "_volume_sma_20": F.avg(v).over(panel.last(20)),
-        "_oldest10": F.first(c).over(panel.last(10)),
+def _stages(panel: Panel, rsi_period: int) -> list[dict[str, str]]:
+    """Column name -> SQL text, one dictionary per level of windows."""
+    row, last = panel.row_sql(), panel.last_sql
+    tiny = f"{TINY!r}D"
+
+    windows_1 = {f"_c{k}": f"lag(Close, {k}) OVER {row}" for k in (1, 2, 3, 5, 10)}
+    windows_1 |= {"_h1": f"lag(High, 1) OVER {row}", "_l1": f"lag(Low, 1) OVER {row}"}
+    windows_1 |= {f"sma_{n}": f"avg(Close) OVER {last(n)}" for n in (5, 10, 20)}
+    windows_1 |= {
+        "rolling_std_10": f"stddev_samp(Close) OVER {last(10)}",
+        "_std20": f"stddev_samp(Close) OVER {last(20)}",
+        "volume_sma_10": f"avg(Volume) OVER {last(10)}",
+        "_volume_sma_20": f"avg(Volume) OVER {last(20)}",
+        "_oldest10": f"first(Close) OVER {last(10)}",
     }
     for span in (5, 10, 12, 20, 26):
-        stage |= ema_sums(panel, c, span, f"e{span}")
-    panel = panel.add(stage)
-
-    panel = panel.add({f"ema_{n}": ema_value(panel, n, f"e{n}") for n in (5, 10, 12, 20, 26)})
-    step = c - F.col("_c1")
-    up, down = h - F.col("_h1"), F.col("_l1") - l
-    panel = panel.add(
-        {
-            "pct_change_1": change(c, F.col("_c1")),
-            "pct_change_2": change(c, F.col("_c2")),
-            "pct_change_3": change(c, F.col("_c3")),
-            "momentum_5": change(c, F.col("_c5")),
-            "momentum_10": change(c, F.col("_c10")),
-            "roc_5": ratio(c - F.col("_c5"), F.col("_c5")) * F.lit(100.0),
-            "roc_10": ratio(c - F.col("_c10"), F.col("_c10")) * F.lit(100.0),
-            "_gain": F.when(step > 0, step).otherwise(0.0),
-            "_loss": F.when(step < 0, -step).otherwise(0.0),
-            "hl_range": ratio(h - l, c),
-            "price_position": ratio(c - l, h - l + F.lit(TINY)),
-            "_true_range": F.greatest(h - l, F.abs(h - F.col("_c1")), F.abs(l - F.col("_c1"))),
-            "_plus_move": F.when((up > down) & (up > 0), up).otherwise(0.0),
-            "_minus_move": F.when((down > up) & (down > 0), down).otherwise(0.0),
-            "macd": F.col("ema_12") - F.col("ema_26"),
-            "bb_middle": F.col("sma_20"),
-            "bb_upper": F.col("sma_20") + F.lit(2.0) * F.col("_std20"),
-            "bb_lower": F.col("sma_20") - F.lit(2.0) * F.col("_std20"),
-            "higher_high": flag(h > F.col("_h1")),
-            "lower_low": flag(l < F.col("_l1")),
-            "gap_up": flag(o > F.col("_c1")),
-            "gap_down": flag(o < F.col("_c1")),
-            "trend_strength": F.signum(c - F.col("_oldest10")),
-            "volume_zscore": ratio(v - F.col("volume_sma_10"), F.col("volume_sma_10")),
-            "volume_ratio": ratio(v, F.col("_volume_sma_20")),
-            **{f"close_to_sma{n}": ratio(c, F.col(f"sma_{n}")) - F.lit(1.0) for n in (5, 10, 20)},
-            **{f"close_to_ema{n}": ratio(c, F.col(f"ema_{n}")) - F.lit(1.0) for n in (5, 10, 20)},
-        }
-    )
-
-    r = F.col("pct_change_1")
-    panel = panel.add(
-        {
-            "_gain_avg": F.avg("_gain").over(panel.last(rsi_period)),
-            "_loss_avg": F.avg("_loss").over(panel.last(rsi_period)),
-            "hl_range_5": F.avg("hl_range").over(panel.last(5)),
-            "volume_price_trend": F.sum(v * r).over(panel.last(5)),
-            "atr_14": F.avg("_true_range").over(panel.last(ATR_PERIOD)),
-            "_adx_atr": F.avg("_true_range").over(panel.last(ADX_PERIOD)),
-            "_plus_avg": F.avg("_plus_move").over(panel.last(ADX_PERIOD)),
-            "_minus_avg": F.avg("_minus_move").over(panel.last(ADX_PERIOD)),
-            **{f"volatility_{n}": F.stddev_samp(r).over(panel.last(n)) for n in (5, 10, 20)},
-            **ema_sums(panel, F.col("macd"), 9, "signal"),
-        }
-    )
-    band = F.col("bb_upper") - F.col("bb_lower")
-    plus = F.lit(100.0) * ratio(F.col("_plus_avg"), F.col("_adx_atr"))
-    minus = F.lit(100.0) * ratio(F.col("_minus_avg"), F.col("_adx_atr"))
-    strength = ratio(F.col("_gain_avg"), F.col("_loss_avg") + F.lit(TINY))
-    panel = panel.add(
-        {
-            "rsi": F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength),
-            "bb_width": ratio(band, F.col("bb_middle")),
-            "bb_position": ratio(c - F.col("bb_lower"), band + F.lit(TINY)),
-            "macd_signal": ema_value(panel, 9, "signal"),
-            "_dx": F.lit(100.0) * ratio(F.abs(plus - minus), plus + minus + F.lit(TINY)),
-        }
-    )
-    return panel.add(
-        {
-            "macd_histogram": F.col("macd") - F.col("macd_signal"),
-            "adx": F.avg("_dx").over(panel.last(ADX_PERIOD)),
-        }
-    )
+        windows_1 |= ema_sums(panel, "Close", span, f"e{span}")
+
+    averages = {f"ema_{n}": ema_value(panel, n, f"e{n}") for n in (5, 10, 12, 20, 26)}
+
+    up, down = "(High - _h1)", "(_l1 - Low)"
+    values_1 = {
+        "pct_change_1": "try_divide(Close, _c1) - 1D",
+        "pct_change_2": "try_divide(Close, _c2) - 1D",
+        "pct_change_3": "try_divide(Close, _c3) - 1D",
+        "momentum_5": "try_divide(Close, _c5) - 1D",
+        "momentum_10": "try_divide(Close, _c10) - 1D",
+        "roc_5": "try_divide(Close - _c5, _c5) * 100D",
+        "roc_10": "try_divide(Close - _c10, _c10) * 100D",
+        # The first bar has no step; it counts as neither gain nor loss.
+        "_gain": "CASE WHEN Close > _c1 THEN Close - _c1 ELSE 0D END",
+        "_loss": "CASE WHEN Close < _c1 THEN _c1 - Close ELSE 0D END",
+        "hl_range": "try_divide(High - Low, Close)",
+        "price_position": f"try_divide(Close - Low, High - Low + {tiny})",
+        "_true_range": "greatest(High - Low, abs(High - _c1), abs(Low - _c1))",
+        "_plus_move": f"CASE WHEN {up} > {down} AND {up} > 0D THEN {up} ELSE 0D END",
+        "_minus_move": f"CASE WHEN {down} > {up} AND {down} > 0D THEN {down} ELSE 0D END",
+        "macd": "ema_12 - ema_26",
+        "bb_middle": "sma_20",
+        "bb_upper": "sma_20 + 2D * _std20",
+        "bb_lower": "sma_20 - 2D * _std20",
+        "higher_high": "coalesce(CAST(High > _h1 AS INT), 0)",
+        "lower_low": "coalesce(CAST(Low < _l1 AS INT), 0)",
+        "gap_up": "coalesce(CAST(Open > _c1 AS INT), 0)",
+        "gap_down": "coalesce(CAST(Open < _c1 AS INT), 0)",
+        "trend_strength": "signum(Close - _oldest10)",
+        "volume_zscore": "try_divide(Volume - volume_sma_10, volume_sma_10)",
+        "volume_ratio": "try_divide(Volume, _volume_sma_20)",
+    }
+    for n in (5, 10, 20):
+        values_1[f"close_to_sma{n}"] = f"try_divide(Close, sma_{n}) - 1D"
+        values_1[f"close_to_ema{n}"] = f"try_divide(Close, ema_{n}) - 1D"
+
+    windows_2 = {
+        "_gain_avg": f"avg(_gain) OVER {last(rsi_period)}",
+        "_loss_avg": f"avg(_loss) OVER {last(rsi_period)}",
+        "hl_range_5": f"avg(hl_range) OVER {last(5)}",
+        "volume_price_trend": f"sum(Volume * pct_change_1) OVER {last(5)}",
+        "atr_14": f"avg(_true_range) OVER {last(ATR_PERIOD)}",
+        "_adx_range": f"avg(_true_range) OVER {last(ADX_PERIOD)}",
+        "_plus_avg": f"avg(_plus_move) OVER {last(ADX_PERIOD)}",
+        "_minus_avg": f"avg(_minus_move) OVER {last(ADX_PERIOD)}",
+        **{f"volatility_{n}": f"stddev_samp(pct_change_1) OVER {last(n)}" for n in (5, 10, 20)},
+        **ema_sums(panel, "macd", 9, "signal"),
+    }
+    plus, minus = (f"100D * try_divide({m}, _adx_range)" for m in ("_plus_avg", "_minus_avg"))
+    values_2 = {
+        "rsi": f"100D - 100D / (1D + _gain_avg / (_loss_avg + {tiny}))",
+        "bb_width": "try_divide(bb_upper - bb_lower, bb_middle)",
+        "bb_position": f"try_divide(Close - bb_lower, bb_upper - bb_lower + {tiny})",
+        "macd_signal": ema_value(panel, 9, "signal"),
+        "_dx": f"100D * try_divide(abs({plus} - {minus}), {plus} + {minus} + {tiny})",
+    }
+    windows_3 = {"adx": f"avg(_dx) OVER {last(ADX_PERIOD)}"}
+    values_3 = {"macd_histogram": "macd - macd_signal"}
+    return [windows_1, averages, values_1, windows_2, values_2, windows_3, values_3]
+
+
+def needed(stages: list[dict[str, str]], columns) -> set[str]:
+    """The columns and everything they are computed from."""
+    wanted = set(columns)
+    for stage in reversed(stages):
+        for name in [n for n in stage if n in wanted]:
+            wanted |= set(re.findall(r"\w+", stage[name]))
+    return wanted
+
+
+def add_indicators(panel: Panel, columns=tuple(FEATURE_COLS), rsi_period: int = RSI_PERIOD) -> Panel:
+    """Add the indicator columns; NULL where the history is too short."""
+    stages = _stages(panel, rsi_period)
+    wanted = needed(stages, columns)
+    for stage in stages:
+        chosen = {n: text for n, text in stage.items() if n in wanted}
+        if chosen:
+            panel = panel.add_sql(chosen)
+    return panel
 
 
 def add_target(panel: Panel, threshold: float = TARGET_THRESHOLD) -> Panel:
@@ -197,8 +205,7 @@ def add_target(panel: Panel, threshold: float = TARGET_THRESHOLD) -> Panel:
 
     The last bar of a series has no next close; its label is 0.
     """
-    panel = panel.add({"next_close": F.lead("Close", 1).over(panel.row())})
-    panel = panel.add(
-        {"next_pct_change": ratio(F.col("next_close") - F.col("Close"), F.col("Close"))}
-    )
-    return panel.add({"target": flag(F.col("next_pct_change") > F.lit(float(threshold)))})
+    panel = panel.add_sql({"next_close": f"lead(Close, 1) OVER {panel.row_sql()}"})
+    panel = panel.add_sql({"next_pct_change": "try_divide(next_close - Close, Close)"})
+    up = f"coalesce(CAST(next_pct_change > {float(threshold)!r}D AS INT), 0)"
+    return panel.add_sql({"target": up})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+NUDGE = 1e-7
 TINY = 1e-10  # keeps the oscillator denominators away from zero
 
 
@@ -33,13 +34,17 @@ def missing_to_null(value: Column) -> Column:
 def rounded(df, digits: int = 6, **special: int):
     """Round every floating column; ``special`` sets digits by column name.
 
-    Adding zero turns a negative zero into a positive one.
+    Adding zero turns a negative zero into a positive one.  A mean of short
+    decimals may end exactly halfway between two results; the special columns
+    are nudged off that point, so that noise in the last bits does not show.
     """
     out = []
     for field in df.schema.fields:
-        if field.dataType.typeName() in ("double", "float"):
-            places = special.get(field.name, digits)
-            out.append((F.round(F.col(field.name), places) + F.lit(0.0)).alias(field.name))
+        name = f"`{field.name}`"
+        if field.dataType.typeName() not in ("double", "float"):
+            out.append(name)
+        elif field.name in special:
+            out.append(f"round({name} + {NUDGE!r}D, {special[field.name]}) + 0D AS {name}")
         else:
-            out.append(F.col(field.name))
-    return df.select(*out)
+            out.append(f"round({name}, {digits}) + 0D AS {name}")
+    return df.selectExpr(*out)

@@ -112,8 +112,8 @@ def walk_forward_model(
     bars: DataFrame, model: PipelineModel, by=("ticker",), train=252, test=63, step=21, **options
 ) -> DataFrame:
     """A given model on every walk-forward test window; it is not refitted."""
-    panel = window_features(bars, by, train=train, test=test, step=step)
     columns = model_columns(model)
+    panel = window_features(bars, columns, by, train=train, test=test, step=step)
     scored = score(fill_features(panel.df, columns), model)
     panel = panel.with_df(
         scored.withColumns({"position": F.col("prediction"), "price": F.col("Close")})

@@ -35,8 +35,12 @@ def add_absent(df: DataFrame, columns) -> DataFrame:
 
 def fill_features(df: DataFrame, columns) -> DataFrame:
     """Cast feature columns to double and put 0 where a value is missing."""
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    wanted = set(columns)
+    return df.selectExpr(
+        *[
+            f"coalesce(CAST(`{c}` AS DOUBLE), 0D) AS `{c}`" if c in wanted else f"`{c}`"
+            for c in df.columns
+        ]
     )
 
 
@@ -69,7 +73,7 @@ def feature_panel(
         before += BLOCK_ROWS if uses_average(columns) else spare
     indexed = indexed_history(bars, by, order, min_rows)
     panel = chunk_panel(indexed, by, before=before, after=1, chunk_rows=chunk_rows)
-    return add_target(add_indicators(panel, rsi_period), threshold)
+    return add_target(add_indicators(panel, columns, rsi_period), threshold)
 
 
 def compute_features(
@@ -114,7 +118,8 @@ def latest_features(
     if uses_average(columns):
         before += BLOCK_ROWS  # the last bar sits anywhere in its block
     indexed = indexed_history(bars, by, order, min_rows)
-    panel = add_target(add_indicators(tail_panel(indexed, by, rows, before), rsi_period))
+    panel = tail_panel(indexed, by, rows, before)
+    panel = add_target(add_indicators(panel, columns, rsi_period))
     return _select(panel.result(), columns, by, order, fill=True)
 
 

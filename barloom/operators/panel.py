@@ -133,15 +133,24 @@ class Panel:
     def so_far(self) -> WindowSpec:
         return self.row().rowsBetween(Window.unboundedPreceding, 0)
 
-    def in_block(self) -> WindowSpec:
-        return (
-            Window.partitionBy(*self.keys, "blk")
-            .orderBy("idx")
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
+    # The same windows as SQL text, for plans with many columns: parsing one
+    # string is far cheaper than building its tree call by call.
 
-    def previous_block(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy("blk").rangeBetween(-1, -1)
+    def _over(self, frame: str = "", order: str = "blk, idx", extra: str = "") -> str:
+        keys = ", ".join(f"`{k}`" for k in self.keys) + extra
+        return f"(PARTITION BY {keys} ORDER BY {order} {frame})"
+
+    def row_sql(self) -> str:
+        return self._over()
+
+    def last_sql(self, n: int) -> str:
+        return self._over(f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+
+    def in_block_sql(self) -> str:
+        return self._over("ROWS UNBOUNDED PRECEDING", "idx", ", blk")
+
+    def previous_block_sql(self) -> str:
+        return self._over("RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING", "blk")
 
     def with_df(self, df: DataFrame) -> "Panel":
         return replace(self, df=df)
@@ -149,6 +158,10 @@ class Panel:
     def add(self, columns: dict[str, Column]) -> "Panel":
         return self.with_df(self.df.withColumns(columns))
 
+    def add_sql(self, columns: dict[str, str]) -> "Panel":
+        texts = [f"{text} AS `{name}`" for name, text in columns.items()]
+        return self.with_df(self.df.selectExpr("*", *texts))
+
     def split_by(self, name: str) -> "Panel":
         """Treat every value of one more column as a series of its own."""
         return replace(self, by=(*self.by, name))
@@ -162,8 +175,11 @@ class Panel:
 
 
 def _ordered(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    # One exchange and one sort serve every window of the panel.
-    return df.repartition(*keys).sortWithinPartitions(*keys, "blk", "idx")
+    # One exchange and one sort serve every window of the panel.  The number of
+    # partitions is given: the windows cost far more time than their input has
+    # bytes, and adaptive execution would merge small partitions by bytes.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, "blk", "idx")
 
 
 def chunk_panel(

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.indicators import RSI_PERIOD, TARGET_THRESHOLD, add_indicators, add_target
+from barloom.functions.indicators import (
+    FEATURE_COLS,
+    RSI_PERIOD,
+    TARGET_THRESHOLD,
+    add_indicators,
+    add_target,
+)
 from barloom.operators.backtest import (
     INITIAL_CAPITAL,
     TRANSACTION_COST,
@@ -16,7 +22,7 @@ from barloom.operators.cleaning import clean_bars
 from barloom.operators.features import MIN_ROWS
 from barloom.operators.metrics import class_metrics
 from barloom.operators.panel import group_panel, index_bars
-from barloom.operators.signals import rule_position
+from barloom.operators.signals import RULES, rule_position
 
 # Default window lengths in rows.
 TRAIN_WINDOW = 252
@@ -83,6 +89,7 @@ def window_bounds(
 
 def window_features(
     bars: DataFrame,
+    columns=tuple(FEATURE_COLS),
     by=("ticker",),
     order: str = "date",
     train: int = TRAIN_WINDOW,
@@ -107,7 +114,7 @@ def window_features(
         }
     )
     panel = group_panel(rows.filter(F.col("n_bars") >= MIN_ROWS), keys)
-    return add_target(add_indicators(panel, rsi_period), threshold)
+    return add_target(add_indicators(panel, columns, rsi_period), threshold)
 
 
 def walk_forward_rule(
@@ -122,7 +129,7 @@ def walk_forward_rule(
     capital: float = INITIAL_CAPITAL,
 ) -> DataFrame:
     """Performance and classification metrics of a rule per test window."""
-    panel = window_features(bars, by, order, train, test, step)
+    panel = window_features(bars, RULES[rule][0], by, order, train, test, step)
     panel = panel.add({"position": rule_position(rule), "price": F.col("Close")})
     return evaluate_windows(panel, cost, capital)
 

@@ -8,6 +8,7 @@ the ROC area.  It is meant for small data, as a check.
 from __future__ import annotations
 
 from barloom.functions.indicators import FEATURE_COLS
+from barloom.functions.maths import NUDGE
 from barloom.plans.queries import FEATURE_GROUPS, PRICE_SCALE, SCALED
 
 # ------------------------------------------------------------------ bars
@@ -51,7 +52,8 @@ def rs(columns, digits: int = 6, special: dict | None = None) -> str:
     return ", ".join(r(c, special.get(c, digits)) for c in columns)
 
 
-BARS_OUT = "ticker, date, " + rs(BAR_COLS)
+EXACT = 9
+BARS_OUT = "ticker, date, " + rs(BAR_COLS, EXACT)
 
 
 def sql(ctes: list[str], final: str) -> str:
@@ -169,9 +171,13 @@ FULL = features(True)
 
 
 def filled(columns) -> str:
-    return ", ".join(
-        r(c, PRICE_SCALE.get(c, 6), f'coalesce(CAST("{c}" AS DOUBLE), 0)') for c in columns
-    )
+    parts = []
+    for c in columns:
+        value = f'coalesce(CAST("{c}" AS DOUBLE), 0)'
+        if c in PRICE_SCALE:
+            value += f" + {NUDGE!r}::DOUBLE"
+        parts.append(r(c, PRICE_SCALE.get(c, 6), value))
+    return ", ".join(parts)
 
 
 SQL: dict[str, str] = {
@@ -199,7 +205,7 @@ SQL["normalize_bars"] = sql(
     ],
     f"""SELECT o_orderpriority AS ticker,
     CAST(utc - CASE WHEN {SUMMER} THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS DATE) AS date,
-    {", ".join(r(c, 6, "o_totalprice") for c in BAR_COLS[:4])},
+    {", ".join(r(c, 9, "o_totalprice") for c in BAR_COLS[:4])},
     {r("Volume", 6, "CAST(o_orderkey AS DOUBLE)")} FROM t""",
 )
 
@@ -212,7 +218,7 @@ SQL["clean_bars"] = sql(
     [DAILY, DIRTY],
     f'SELECT {BARS_OUT} FROM dirty WHERE "Close" IS NOT NULL AND "Volume" IS NOT NULL',
 )
-SQL["dedupe_bars"] = f"""SELECT ticker, date, {rs(["Close", "Volume"])} FROM (
+SQL["dedupe_bars"] = f"""SELECT ticker, date, {rs(["Close", "Volume"], 9)} FROM (
   SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
     l_extendedprice AS "Close", l_quantity AS "Volume",
     row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)
@@ -248,7 +254,7 @@ SQL["validate_bars"] = sql(
 LISTED = "('BRAND#11'), ('BRAND#23'), ('BRAND#4'), ('BRAND#99')"
 SQL["watchlist_bars"] = sql(
     [DAILY],
-    f"SELECT upper(ticker) AS ticker, date, {rs(BAR_COLS)} FROM bars "
+    f"SELECT upper(ticker) AS ticker, date, {rs(BAR_COLS, EXACT)} FROM bars "
     f"WHERE upper(ticker) IN (SELECT * FROM (VALUES {LISTED}))",
 )
 SQL["ingest_status"] = sql(
@@ -261,9 +267,9 @@ SQL["ingest_status"] = sql(
 )
 SQL["ticker_overview"] = sql(
     [DAILY],
-    f"""SELECT ticker, n_rows, {r("latest_close")}, {r("change", 6, "latest_close - previous")},
-    {r("change_pct", 6, "CASE WHEN previous > 0 THEN (latest_close - previous) / previous * 100 ELSE 0 END")},
-    first_date, last_date, {r("avg_volume")} FROM (
+    f"""SELECT ticker, n_rows, {r("latest_close", EXACT)}, {r("change", EXACT, "latest_close - previous")},
+    {r("change_pct", EXACT, "CASE WHEN previous > 0 THEN (latest_close - previous) / previous * 100 ELSE 0 END")},
+    first_date, last_date, {r("avg_volume", EXACT)} FROM (
     SELECT ticker, count(*) AS n_rows, arg_max("Close", date) AS latest_close,
       coalesce(list("Close" ORDER BY date DESC)[2], arg_max("Close", date)) AS previous,
       min(date) AS first_date, max(date) AS last_date, avg("Volume") AS avg_volume
@@ -278,7 +284,7 @@ for _name, _columns in FEATURE_GROUPS.items():
     )
 SQL["label"] = sql(
     [DAILY, indexed(), *PLAIN],
-    f'SELECT ticker, date, {rs(["next_close", "next_pct_change"])}, target FROM f',
+    f'SELECT ticker, date, {rs(["next_close", "next_pct_change"], EXACT)}, target FROM f',
 )
 SQL["features_all"] = sql(
     [DAILY, indexed(), *FULL], f"SELECT ticker, date, {filled(FEATURE_COLS)}, target FROM f"

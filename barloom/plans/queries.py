@@ -36,6 +36,8 @@ QUERIES: dict[str, Query] = {}
 TREES = 10
 WATCHLIST = ["Brand#11", "# a comment", "", " brand#23", "Brand#4", "Brand#99"]
 BAR_COLS = ["Open", "High", "Low", "Close", "Volume"]
+# Unit prices often end exactly halfway between two shorter decimals.
+EXACT = 9
 
 
 def query(fn: Query) -> Query:
@@ -49,22 +51,22 @@ def query(fn: Query) -> Query:
 
 @query
 def bars_daily(spark, sf_dir):
-    return rounded(daily_bars(spark, sf_dir))
+    return rounded(daily_bars(spark, sf_dir), EXACT)
 
 
 @query
 def bars_hourly(spark, sf_dir):
-    return rounded(hourly_bars(spark, sf_dir))
+    return rounded(hourly_bars(spark, sf_dir), EXACT)
 
 
 @query
 def bars_index(spark, sf_dir):
-    return rounded(index_level_bars(spark, sf_dir))
+    return rounded(index_level_bars(spark, sf_dir), EXACT)
 
 
 @query
 def bars_lookback(spark, sf_dir):
-    return rounded(cleaning.look_back_range(daily_bars(spark, sf_dir), months=24))
+    return rounded(cleaning.look_back_range(daily_bars(spark, sf_dir), months=24), EXACT)
 
 
 @query
@@ -80,7 +82,7 @@ def normalize_bars(spark, sf_dir):
         *[price.alias(c) for c in ("Open", "High", "Low", "Close")],
         F.col("o_orderkey").cast("string").alias("Volume"),
     )
-    return rounded(cleaning.normalize_bars(raw))
+    return rounded(cleaning.normalize_bars(raw), EXACT)
 
 
 def _dirty_bars(spark, sf_dir) -> DataFrame:
@@ -95,12 +97,12 @@ def _dirty_bars(spark, sf_dir) -> DataFrame:
 
 @query
 def coerce_bars(spark, sf_dir):
-    return rounded(cleaning.coerce_bars(_dirty_bars(spark, sf_dir)))
+    return rounded(cleaning.coerce_bars(_dirty_bars(spark, sf_dir)), EXACT)
 
 
 @query
 def clean_bars(spark, sf_dir):
-    return rounded(cleaning.clean_bars(cleaning.coerce_bars(_dirty_bars(spark, sf_dir))))
+    return rounded(cleaning.clean_bars(cleaning.coerce_bars(_dirty_bars(spark, sf_dir))), EXACT)
 
 
 @query
@@ -117,7 +119,7 @@ def dedupe_bars(spark, sf_dir):
         "l_partkey",
     )
     newest = F.struct("l_orderkey", "l_linenumber", "l_partkey", "Close", "Volume")
-    return rounded(cleaning.dedupe_bars(raw, newest).select("ticker", "date", "Close", "Volume"))
+    return rounded(cleaning.dedupe_bars(raw, newest).select("ticker", "date", "Close", "Volume"), EXACT)
 
 
 def _user_bars(spark, sf_dir) -> DataFrame:
@@ -134,14 +136,13 @@ def _user_bars(spark, sf_dir) -> DataFrame:
 
 @query
 def min_history(spark, sf_dir):
-    return rounded(
-        cleaning.min_history(_user_bars(spark, sf_dir), 5).drop("idx", "chunk")
-    )
+    long = cleaning.min_history(_user_bars(spark, sf_dir), 5)
+    return rounded(long.drop("idx"), EXACT)
 
 
 @query
 def date_range(spark, sf_dir):
-    return rounded(cleaning.date_range(hourly_bars(spark, sf_dir), "2024-01-05", "2024-01-20"))
+    return rounded(cleaning.date_range(hourly_bars(spark, sf_dir), "2024-01-05", "2024-01-20"), EXACT)
 
 
 @query
@@ -161,7 +162,7 @@ def _upper_bars(spark, sf_dir) -> DataFrame:
 
 @query
 def watchlist_bars(spark, sf_dir):
-    return rounded(wl.on_watchlist(_upper_bars(spark, sf_dir), _watchlist(spark)))
+    return rounded(wl.on_watchlist(_upper_bars(spark, sf_dir), _watchlist(spark)), EXACT)
 
 
 @query
@@ -171,7 +172,7 @@ def ingest_status(spark, sf_dir):
 
 @query
 def ticker_overview(spark, sf_dir):
-    return rounded(reports.ticker_overview(daily_bars(spark, sf_dir)))
+    return rounded(reports.ticker_overview(daily_bars(spark, sf_dir)), EXACT)
 
 
 # ------------------------------------------------------------ features
@@ -236,7 +237,7 @@ for _name, _columns in FEATURE_GROUPS.items():
 @query
 def label(spark, sf_dir):
     df = compute_features(daily_bars(spark, sf_dir), ())
-    return rounded(df.select("ticker", "date", "next_close", "next_pct_change", "target"))
+    return rounded(df.select("ticker", "date", "next_close", "next_pct_change", "target"), EXACT)
 
 
 @query
