@@ -140,10 +140,10 @@ def training_table(
 
     The row gate counts raw bars, before rows without Close or Volume go.
     """
-    enough = bars.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_bars)
-    features = compute_features(bars, columns, by, drop_unlabeled=drop_unlabeled)
-    # Sized by Spark: broadcast while the list of series is small.
-    return time_split(features.join(enough.drop("_n"), list(by), "left_semi"), test_size)
+    features = compute_features(
+        bars, columns, by, drop_unlabeled=drop_unlabeled, min_raw=min_bars
+    )
+    return time_split(features, test_size)
 
 
 def train_model(

@@ -51,11 +51,20 @@ def coerce_bars(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_bars(bars: DataFrame) -> DataFrame:
-    """Drop rows without Close or Volume; other prices may be missing."""
+def nan_to_null(bars: DataFrame) -> DataFrame:
+    """NaN prices and volumes become NULL."""
     numeric = {c for c, kind in bars.dtypes if kind in ("double", "float")}
-    bars = bars.withColumns({c: missing_to_null(F.col(c)) for c in NUMERIC_COLS if c in numeric})
-    return bars.filter(F.col("Close").isNotNull() & F.col("Volume").isNotNull())
+    return bars.withColumns({c: missing_to_null(F.col(c)) for c in NUMERIC_COLS if c in numeric})
+
+
+def usable() -> Column:
+    """Rows with Close and Volume; other prices may be missing."""
+    return F.col("Close").isNotNull() & F.col("Volume").isNotNull()
+
+
+def clean_bars(bars: DataFrame) -> DataFrame:
+    """Drop rows without Close or Volume."""
+    return nan_to_null(bars).filter(usable())
 
 
 def dedupe_bars(bars: DataFrame, newest: Column, by=("ticker",), order: str = "date") -> DataFrame:
@@ -101,7 +110,7 @@ def look_back_range(bars: DataFrame, months: int = 24, as_of=None, order: str =
 
 def min_history(bars: DataFrame, rows: int = 26, by=("ticker",), order: str = "date") -> DataFrame:
     """Series with at least ``rows`` bars, with their length ``n_bars``."""
-    return index_bars(bars, by, order).filter(F.col("n_bars") >= rows)
+    return index_bars(bars, by, order, min_rows=rows)
 
 
 def validate_bars(bars: DataFrame, rows: int = 26, by=("ticker",)) -> DataFrame:

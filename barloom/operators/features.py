@@ -13,7 +13,7 @@ from barloom.functions.indicators import (
     look_back,
     uses_average,
 )
-from barloom.operators.cleaning import clean_bars, require_columns
+from barloom.operators.cleaning import nan_to_null, require_columns, usable
 from barloom.operators.panel import (
     BLOCK_ROWS,
     CHUNK_ROWS,
@@ -45,11 +45,20 @@ def fill_features(df: DataFrame, columns) -> DataFrame:
 
 
 def indexed_history(
-    bars: DataFrame, by=("ticker",), order: str = "date", min_rows: int = MIN_ROWS
+    bars: DataFrame,
+    by=("ticker",),
+    order: str = "date",
+    min_rows: int = MIN_ROWS,
+    min_raw: int = 0,
 ) -> DataFrame:
-    """Usable bars with positions; series that are too short are left out."""
+    """Usable bars with positions; series that are too short are left out.
+
+    ``min_rows`` counts usable bars, ``min_raw`` bars before cleaning.
+    """
     require_columns(bars, [*by, order, "Open", "High", "Low", "Close", "Volume"])
-    return index_bars(clean_bars(bars), by, order).filter(F.col("n_bars") >= min_rows)
+    return index_bars(
+        nan_to_null(bars), by, order, valid=usable(), min_rows=min_rows, min_raw=min_raw
+    )
 
 
 def feature_panel(
@@ -62,6 +71,7 @@ def feature_panel(
     threshold: float = TARGET_THRESHOLD,
     spare: int = 0,
     chunk_rows: int = CHUNK_ROWS,
+    min_raw: int = 0,
 ) -> Panel:
     """Bars with indicators and label, still in chunks.
 
@@ -71,7 +81,7 @@ def feature_panel(
     before = look_back(columns, rsi_period)
     if spare:
         before += BLOCK_ROWS if uses_average(columns) else spare
-    indexed = indexed_history(bars, by, order, min_rows)
+    indexed = indexed_history(bars, by, order, min_rows, min_raw)
     panel = chunk_panel(indexed, by, before=before, after=1, chunk_rows=chunk_rows)
     return add_target(add_indicators(panel, columns, rsi_period), threshold)
 
@@ -87,6 +97,7 @@ def compute_features(
     drop_unlabeled: bool = False,
     fill: bool = True,
     chunk_rows: int = CHUNK_ROWS,
+    min_raw: int = 0,
 ) -> DataFrame:
     """Bars plus feature columns, ``next_close``, ``next_pct_change``, ``target``.
 
@@ -94,7 +105,15 @@ def compute_features(
     downstream use them instead of sorting the series again.
     """
     df = feature_panel(
-        bars, columns, by, order, min_rows, rsi_period, threshold, chunk_rows=chunk_rows
+        bars,
+        columns,
+        by,
+        order,
+        min_rows,
+        rsi_period,
+        threshold,
+        chunk_rows=chunk_rows,
+        min_raw=min_raw,
     ).result()
     if drop_unlabeled:
         df = df.filter(F.col("next_close").isNotNull())

@@ -57,12 +57,18 @@ def series_spine(
     by: tuple[str, ...] = ("ticker",),
     order: str = "date",
     bucket_days: int | None = None,
+    valid: Column | None = None,
 ) -> DataFrame:
-    """One row per series and time bucket: rows before it, rows in the series."""
+    """One row per series and time bucket.
+
+    ``_base`` counts the valid rows before the bucket, ``n_bars`` the valid
+    rows of the series and ``n_raw`` all of its rows.
+    """
+    counted = F.count(F.lit(1))
     counts = (
-        bars.select(*by, _bucket(bars, order, bucket_days).alias("_bucket"))
+        bars.withColumn("_bucket", _bucket(bars, order, bucket_days))
         .groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg((counted if valid is None else F.count_if(valid)).alias("_rows"), counted.alias("_raw"))
     )
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,6 +77,7 @@ def series_spine(
         "_bucket",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"),
         F.sum("_rows").over(whole).alias("n_bars"),
+        F.sum("_raw").over(whole).alias("n_raw"),
     )
 
 
@@ -79,21 +86,27 @@ def index_bars(
     by: tuple[str, ...] = ("ticker",),
     order: str = "date",
     bucket_days: int | None = None,
+    valid: Column | None = None,
+    min_rows: int = 0,
+    min_raw: int = 0,
 ) -> DataFrame:
     """Add ``idx`` (position in the series) and ``n_bars`` (its length).
 
-    ``(by, order)`` must be unique and not NULL; ``clean_bars`` and
-    ``dedupe_bars`` see to that.
+    Rows that are not ``valid`` are left out, and so are series with fewer than
+    ``min_rows`` valid rows or fewer than ``min_raw`` rows of any kind.
+    ``(by, order)`` must be unique and not NULL.
     """
     bars = bars.drop("idx", "n_bars", "chunk")
-    spine = series_spine(bars, by, order, bucket_days)
+    spine = series_spine(bars, by, order, bucket_days, valid)
+    spine = spine.filter((F.col("n_bars") >= min_rows) & (F.col("n_raw") >= min_raw))
+    rows = bars if valid is None else bars.filter(valid)
     keys = [*by, "_bucket"]
     inside = Window.partitionBy(*keys).orderBy(order)
     return (
-        bars.withColumn("_bucket", _bucket(bars, order, bucket_days))
+        rows.withColumn("_bucket", _bucket(bars, order, bucket_days))
         .join(spine, keys)
         .withColumn("idx", F.col("_base") + F.row_number().over(inside) - F.lit(1))
-        .drop("_bucket", "_base")
+        .drop("_bucket", "_base", "n_raw")
     )
 
 

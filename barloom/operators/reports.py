@@ -46,12 +46,17 @@ def history_summary(history: DataFrame) -> DataFrame:
     )
 
 
+def fixed(value: Column, pattern: str = "0.00") -> Column:
+    """Text with fixed decimals, rounded on the exact binary value."""
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def percent(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * F.lit(100.0))
+    return F.concat(fixed(value * F.lit(100.0)), F.lit("%"))
 
 
 def dollars(value: Column) -> Column:
-    return F.format_string("$%.2f", value)
+    return F.concat(F.lit("$"), fixed(value))
 
 
 def title_case(value: Column) -> Column:
@@ -78,5 +83,5 @@ def history_display(history: DataFrame) -> DataFrame:
 def comparison_display(comparison: DataFrame) -> DataFrame:
     """A model comparison as text."""
     out = {c: percent(F.col(c)) for c in ("accuracy", "total_return", "max_drawdown", "win_rate")}
-    out |= {c: F.format_string("%.2f", F.col(c)) for c in ("sharpe_ratio", "f1_score")}
+    out |= {c: fixed(F.col(c)) for c in ("sharpe_ratio", "f1_score")}
     return comparison.withColumns(out)

@@ -18,7 +18,7 @@ from barloom.operators.backtest import (
     perf_metrics,
     strategy_returns,
 )
-from barloom.operators.cleaning import clean_bars
+from barloom.operators.cleaning import clean_bars, usable
 from barloom.operators.features import MIN_ROWS
 from barloom.operators.metrics import class_metrics
 from barloom.operators.panel import group_panel, index_bars
@@ -153,9 +153,9 @@ def walk_forward_status(
 ) -> DataFrame:
     """Usable rows per window and whether that is enough to evaluate it."""
     windows = walk_forward_windows(index_bars(bars, by, order), train, test, step)
-    usable = F.count_if(F.col("Close").isNotNull() & F.col("Volume").isNotNull())
+    n_usable = F.count_if(usable())
     return (
         windows.groupBy(*by, "window_id")
-        .agg(usable.alias("n_rows"))
+        .agg(n_usable.alias("n_rows"))
         .withColumn("evaluated", F.col("n_rows") >= min_rows)
     )

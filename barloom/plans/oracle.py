@@ -629,3 +629,12 @@ SQL["history_summary"] = sql(
     {r("avg_confidence", 6, "avg(CASE WHEN prediction = 1 THEN prob_up ELSE 1 - prob_up END)")}
     FROM p""",
 )
+SQL["history_display"] = sql(
+    SCORED,
+    """SELECT strftime(date, '%Y-%m-%d %H:%M:%S') AS "Time", ticker AS "Ticker",
+    strftime(date, '%Y-%m-%d') AS "Data Date", printf('$%.2f', "Close") AS "Price",
+    CASE WHEN prediction = 1 THEN 'Up' ELSE 'Down' END AS "Prediction",
+    printf('%.2f%%', 100 * CASE WHEN prediction = 1 THEN prob_up ELSE 1 - prob_up END) AS "Confidence",
+    printf('%.2f%%', 100 * prob_up) AS "P(Up)", printf('%.2f%%', 100 * (1 - prob_up)) AS "P(Down)",
+    'rsi' AS "Model", '50.00%' AS "Model Acc" FROM p""",
+)

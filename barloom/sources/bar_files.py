@@ -68,6 +68,20 @@ def latest_files(bars: DataFrame) -> DataFrame:
     return bars.join(newest, ["file_name", "ticker"], "left_semi")
 
 
+def newest_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Path of the newest file of each ticker; lists files, reads none."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.csv")
+        .load(folder)
+        .select("path", F.col("_metadata.file_name").alias("file_name"))
+        .withColumn("ticker", ticker_of(F.col("file_name")))
+        .filter(F.col("ticker") != UNKNOWN)
+    )
+    newest = files.groupBy("ticker").agg(F.max_by("path", "file_name").alias("path"))
+    return [row["path"] for row in newest.orderBy("ticker").collect()]
+
+
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One folder per ticker, readable with partition pruning."""
     bars.write.partitionBy("ticker").mode(mode).format(fmt).options(header=True).save(path)
