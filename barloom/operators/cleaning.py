@@ -21,27 +21,33 @@ def require_columns(df: DataFrame, columns) -> None:
 def normalize_bars(raw: DataFrame, zone: str = EXCHANGE_ZONE, intraday: bool = False) -> DataFrame:
     """Rename ``Date``, parse it, and derive the trading day.
 
-    The text may mix UTC offsets: it is parsed to an instant and the day is
-    taken in the zone of the exchange.  With ``intraday`` the instant is kept.
-    No global sort: order lives in the windows that need it.
+    Text may mix UTC offsets: it is parsed to an instant and the day is taken
+    in the zone of the exchange.  Text without an offset is local already.
+    With ``intraday`` the instant is kept.  No global sort: order lives in the
+    windows that need it.
     """
     if "date" not in raw.columns and "Date" in raw.columns:
         raw = raw.withColumnRenamed("Date", "date")
     kind = raw.schema["date"].dataType
+    date = F.col("date")
+    session = raw.sparkSession.conf.get("spark.sql.session.timeZone")
+
+    def local_day(instant: Column) -> Column:
+        wall = instant.cast("timestamp_ntz")
+        return F.convert_timezone(F.lit(session), F.lit(zone), wall).cast("date")
+
     if isinstance(kind, T.StringType):
         instant = F.expr("try_cast(date AS timestamp)")
+        zoned = date.rlike(r":\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
+        plain_day = F.expr("try_cast(date AS date)")
+        value = instant if intraday else F.when(zoned, local_day(instant)).otherwise(plain_day)
+    elif isinstance(kind, T.TimestampType) and not intraday:
+        value = local_day(date)
+    elif isinstance(kind, T.TimestampNTZType) and not intraday:
+        value = date.cast("date")
     else:
-        instant = F.col("date")
-    if not intraday and not isinstance(kind, T.DateType):
-        if isinstance(kind, T.TimestampNTZType):
-            instant = F.col("date").cast("date")  # already local time
-        else:
-            session = raw.sparkSession.conf.get("spark.sql.session.timeZone")
-            local = F.convert_timezone(
-                F.lit(session), F.lit(zone), instant.cast("timestamp_ntz")
-            )
-            instant = local.cast("date")
-    return coerce_bars(raw.withColumn("date", instant))
+        value = date
+    return coerce_bars(raw.withColumn("date", value))
 
 
 def coerce_bars(raw: DataFrame) -> DataFrame:

@@ -49,7 +49,10 @@ def _bucket(df: DataFrame, order: str, days: int | None) -> Column:
     if days is None:
         is_date = isinstance(df.schema[order].dataType, T.DateType)
         days = DATE_BUCKET_DAYS if is_date else TIMESTAMP_BUCKET_DAYS
-    return F.floor(F.unix_date(F.col(order).cast("date")) / F.lit(days))
+    bucket = F.floor(F.unix_date(F.col(order).cast("date")) / F.lit(days))
+    # Never NULL, so that no join adds a filter to one reader of the bars only:
+    # two readers with the same columns then share one exchange.
+    return F.coalesce(bucket, F.lit(0).cast("bigint"))
 
 
 def series_spine(
@@ -93,10 +96,13 @@ def index_bars(
     """Add ``idx`` (position in the series) and ``n_bars`` (its length).
 
     Rows that are not ``valid`` are left out, and so are series with fewer than
-    ``min_rows`` valid rows or fewer than ``min_raw`` rows of any kind.
-    ``(by, order)`` must be unique and not NULL.
+    ``min_rows`` valid rows or fewer than ``min_raw`` rows of any kind.  Rows
+    without a key or a date have no place in a series and are left out too.
+    ``(by, order)`` must be unique.
     """
     bars = bars.drop("idx", "n_bars", "chunk")
+    for key in (*by, order):
+        bars = bars.filter(F.col(key).isNotNull())
     spine = series_spine(bars, by, order, bucket_days, valid)
     spine = spine.filter((F.col("n_bars") >= min_rows) & (F.col("n_raw") >= min_raw))
     rows = bars if valid is None else bars.filter(valid)
