@@ -61,7 +61,7 @@ FEATURE_COLS = [
 # Periods of the indicators.
 RSI_PERIOD = 14
 ATR_PERIOD = 14
-ADX_PERIOD = 14
+ADX_PERIOD = ATR_PERIOD  # the directional index divides by the same range
 TARGET_THRESHOLD = 0.005
 
 # Intermediate columns that are useful on their own.
@@ -107,14 +107,19 @@ def _stages(panel: Panel, rsi_period: int) -> list[dict[str, str]]:
     row, last = panel.row_sql(), panel.last_sql
     tiny = f"{TINY!r}D"
 
+    def mean(x: str, n: int) -> str:
+        # For columns that are never NULL: the number of rows in the frame is
+        # known, so the window only has to add up.
+        return f"sum({x}) OVER {last(n)} / least(idx + 1, {n})"
+
     windows_1 = {f"_c{k}": f"lag(Close, {k}) OVER {row}" for k in (1, 2, 3, 5, 10)}
     windows_1 |= {"_h1": f"lag(High, 1) OVER {row}", "_l1": f"lag(Low, 1) OVER {row}"}
-    windows_1 |= {f"sma_{n}": f"avg(Close) OVER {last(n)}" for n in (5, 10, 20)}
+    windows_1 |= {f"sma_{n}": mean("Close", n) for n in (5, 10, 20)}
     windows_1 |= {
         "rolling_std_10": f"stddev_samp(Close) OVER {last(10)}",
         "_std20": f"stddev_samp(Close) OVER {last(20)}",
-        "volume_sma_10": f"avg(Volume) OVER {last(10)}",
-        "_volume_sma_20": f"avg(Volume) OVER {last(20)}",
+        "volume_sma_10": mean("Volume", 10),
+        "_volume_sma_20": mean("Volume", 20),
         "_oldest10": f"first(Close) OVER {last(10)}",
     }
     for span in (5, 10, 12, 20, 26):
@@ -156,18 +161,17 @@ def _stages(panel: Panel, rsi_period: int) -> list[dict[str, str]]:
         values_1[f"close_to_ema{n}"] = f"try_divide(Close, ema_{n}) - 1D"
 
     windows_2 = {
-        "_gain_avg": f"avg(_gain) OVER {last(rsi_period)}",
-        "_loss_avg": f"avg(_loss) OVER {last(rsi_period)}",
+        "_gain_avg": mean("_gain", rsi_period),
+        "_loss_avg": mean("_loss", rsi_period),
         "hl_range_5": f"avg(hl_range) OVER {last(5)}",
         "volume_price_trend": f"sum(Volume * pct_change_1) OVER {last(5)}",
         "atr_14": f"avg(_true_range) OVER {last(ATR_PERIOD)}",
-        "_adx_range": f"avg(_true_range) OVER {last(ADX_PERIOD)}",
-        "_plus_avg": f"avg(_plus_move) OVER {last(ADX_PERIOD)}",
-        "_minus_avg": f"avg(_minus_move) OVER {last(ADX_PERIOD)}",
+        "_plus_avg": mean("_plus_move", ADX_PERIOD),
+        "_minus_avg": mean("_minus_move", ADX_PERIOD),
         **{f"volatility_{n}": f"stddev_samp(pct_change_1) OVER {last(n)}" for n in (5, 10, 20)},
         **ema_sums(panel, "macd", 9, "signal"),
     }
-    plus, minus = (f"100D * try_divide({m}, _adx_range)" for m in ("_plus_avg", "_minus_avg"))
+    plus, minus = (f"100D * try_divide({m}, atr_14)" for m in ("_plus_avg", "_minus_avg"))
     values_2 = {
         "rsi": f"100D - 100D / (1D + _gain_avg / (_loss_avg + {tiny}))",
         "bb_width": "try_divide(bb_upper - bb_lower, bb_middle)",

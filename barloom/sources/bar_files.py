@@ -31,18 +31,18 @@ def ticker_of(file_name: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(UNKNOWN))
 
 
-def read_raw_csv(spark: SparkSession, paths, columns=("Dividends", "Stock Splits"), ticker=False):
+def read_raw_csv(reader, paths, columns=("Dividends", "Stock Splits"), ticker=False) -> DataFrame:
     """Eight-column CSV files as text columns plus ``file_name``.
 
-    The schema is given, not inferred: no extra pass over the files.  Pass
-    ``ticker=True`` for files with a leading ``ticker`` column.
+    ``reader`` is ``spark.read`` or ``spark.readStream``.  The schema is given,
+    not inferred: no extra pass over the files.  Pass ``ticker=True`` for files
+    with a leading ``ticker`` column.
     """
     names = (["ticker"] if ticker else []) + RAW_FIELDS + list(columns)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return (
-        spark.read.schema(schema)
+        reader.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
         .option("ignoreCorruptFiles", True)
         .csv(paths)
@@ -50,15 +50,20 @@ def read_raw_csv(spark: SparkSession, paths, columns=("Dividends", "Stock Splits
     )
 
 
+def parse_raw(raw: DataFrame, intraday: bool = False) -> DataFrame:
+    """Typed bars with the ticker of the row, else of the file name."""
+    name = ticker_of(F.col("file_name"))
+    if "ticker" in raw.columns:
+        name = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), name)
+    bars = normalize_bars(raw.withColumn("ticker", name), intraday=intraday)
+    return bars.select("ticker", "date", "Open", "High", "Low", "Close", "Volume", "file_name")
+
+
 def read_bars_csv(
     spark: SparkSession, paths, columns=("Dividends", "Stock Splits"), ticker=False, intraday=False
 ) -> DataFrame:
     """Bars ``(ticker, date, Open, High, Low, Close, Volume, file_name)``."""
-    raw = read_raw_csv(spark, paths, columns, ticker)
-    from_name = ticker_of(F.col("file_name"))
-    name = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), from_name) if ticker else from_name
-    bars = normalize_bars(raw.withColumn("ticker", name), intraday=intraday)
-    return bars.select("ticker", "date", "Open", "High", "Low", "Close", "Volume", "file_name")
+    return parse_raw(read_raw_csv(spark.read, paths, columns, ticker), intraday)
 
 
 def latest_files(bars: DataFrame) -> DataFrame:

@@ -19,6 +19,12 @@ def parse_watchlist(lines: DataFrame) -> DataFrame:
     )
 
 
+def watchlist_order(spark: SparkSession, path: str) -> list[str]:
+    """The listed tickers in file order, for jobs that loop over the list."""
+    lines = [row["value"].strip().upper() for row in spark.read.text(path).collect()]
+    return list(dict.fromkeys(t for t in lines if t and not t.startswith("#")))
+
+
 def on_watchlist(bars: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Bars of the listed tickers; Spark broadcasts the list if it is small."""
     return bars.join(watchlist, "ticker", "left_semi")
