@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.functions.maths import flag
 from barloom.ml.scoring import model_columns
 from barloom.ml.training import Trained, feature_importance
-from barloom.operators.backtest import perf_metrics
 from barloom.operators.reports import title_case
 
 # Quality goals, and the ticker preferred for production.
@@ -19,6 +18,17 @@ TARGET_ACCURACY = 0.70
 MIN_SHARPE = 1.0
 PREFERRED_TICKER = "AAPL"
 
+PERF_NAMES = (
+    "total_return",
+    "annualized_return",
+    "volatility",
+    "sharpe_ratio",
+    "max_drawdown",
+    "win_rate",
+    "profit_factor",
+    "total_trades",
+    "winning_trades",
+)
 REGISTRY_SCHEMA = (
     "ticker string, model_type string, accuracy double, train_accuracy double, "
     "train_size bigint, test_size bigint, feature_count int, n_estimators int, "
@@ -88,7 +98,10 @@ def registry_rows(
     classifier = trained.model.stages[-1]
     top = [r["feature"] for r in feature_importance(trained.model, 5).collect()]
     when = training_date or datetime.now(timezone.utc)
-    figures = metrics_map(trained.holdout_metrics(), by)
+    figures = trained.holdout_metrics()
+    figures = figures.select(
+        *by, figures_map([F.col(n) for n in PERF_NAMES]).alias("backtest_metrics")
+    )
     return sizes.join(figures, by, "left").select(
         *by,
         F.lit(trained.model_type).alias("model_type"),
@@ -106,11 +119,15 @@ def registry_rows(
     )
 
 
-def metrics_map(perf: DataFrame, by) -> DataFrame:
-    """Performance columns as one map column ``backtest_metrics``."""
-    names = [c for c in perf.columns if c not in by]
-    pairs = [x for c in names for x in (F.lit(c), F.col(c).cast("double"))]
-    return perf.select(*by, F.create_map(*pairs).alias("backtest_metrics"))
+def figures_map(figures: list[Column]) -> Column:
+    """Performance figures as one map column."""
+    as_struct = F.struct(*figures)
+    pairs = [
+        x
+        for name in PERF_NAMES
+        for x in (F.lit(name), as_struct[name].cast("double"))
+    ]
+    return F.create_map(*pairs)
 
 
 def append_registry(rows: DataFrame, path: str) -> None:

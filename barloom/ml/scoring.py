@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barloom.operators.backtest import backtest_signals, perf_metrics
 from barloom.operators.cleaning import date_range, require_columns
+from barloom.operators.evaluation import compare_curves
 from barloom.operators.features import compute_features, fill_features, latest_features
 from barloom.operators.metrics import class_metrics
 from barloom.operators.walkforward import evaluate_windows, window_features
@@ -96,16 +97,7 @@ def compare_models(
     scored = rows.select(*keep, F.inline(F.array(*entries)))
     signals = scored.withColumn("position", F.col("prediction"))
     keys = (*by, "model")
-    return comparison(backtest_signals(signals, keys, **options), signals, keys)
-
-
-def comparison(curve: DataFrame, scored: DataFrame, by, predicted: str = "prediction") -> DataFrame:
-    """The comparison columns out of a curve and its labelled rows."""
-    perf = perf_metrics(curve, by)
-    hits = class_metrics(scored, by, predicted=predicted)
-    return perf.join(hits, list(by)).select(
-        *by, "accuracy", "sharpe_ratio", "total_return", "max_drawdown", "win_rate", "f1_score"
-    )
+    return compare_curves(backtest_signals(signals, keys, **options), keys, "prediction")
 
 
 def walk_forward_model(

@@ -123,43 +123,49 @@ def _chunk_carry(panel: Panel, growth: Column, price: str) -> DataFrame:
     )
 
 
-def perf_metrics(curve: DataFrame, by=("ticker",)) -> DataFrame:
-    """Performance of each series: one grouped aggregate over the curve.
-
-    A series without any return gets zeros.
-    """
+def perf_sums() -> list[Column]:
+    """Aggregates of a curve that the performance figures are made of."""
     r, cum = F.col("returns"), F.col("cumulative_returns")
     last_known = F.when(r.isNotNull(), F.col("idx"))
-    sums = curve.groupBy(*by).agg(
+    return [
         F.count(r).alias("_n"),
-        (F.max_by(cum, last_known) - F.lit(1.0)).alias("total_return"),
-        (F.stddev_samp(r) * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("volatility"),
-        F.min("drawdown").alias("max_drawdown"),
-        F.count_if(r != 0).alias("total_trades"),
-        F.count_if(r > 0).alias("winning_trades"),
+        (F.max_by(cum, last_known) - F.lit(1.0)).alias("_total"),
+        (F.stddev_samp(r) * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("_vol"),
+        F.min("drawdown").alias("_drawdown"),
+        F.count_if(r != 0).alias("_trades"),
+        F.count_if(r > 0).alias("_wins"),
         F.sum(F.when(r > 0, r)).alias("_profit"),
         F.abs(F.sum(F.when(r < 0, r))).alias("_loss"),
-    )
-    base = F.lit(1.0) + F.col("total_return")
+    ]
+
+
+def perf_figures() -> list[Column]:
+    """Performance figures out of ``perf_sums``; zeros without any return."""
+    empty, zero, vol = F.col("_n") == 0, F.lit(0.0), F.col("_vol")
+    base = F.lit(1.0) + F.col("_total")
     # A negative base has no real root: the annual figure is unknown.
     annual = F.when(base >= 0, F.pow(base, F.lit(float(TRADING_DAYS)) / F.col("_n")) - F.lit(1.0))
-    empty = F.col("_n") == 0
-    zero = F.lit(0.0)
-    vol = F.col("volatility")
-    return sums.select(
-        *by,
-        F.when(empty, zero).otherwise(F.col("total_return")).alias("total_return"),
-        F.when(empty, zero).otherwise(annual).alias("annualized_return"),
-        F.when(empty, zero).otherwise(vol).alias("volatility"),
+    gain = ratio(F.coalesce(F.col("_profit"), zero), F.col("_loss"))
+
+    def unless_empty(value: Column) -> Column:
+        return F.when(empty, zero).otherwise(value)
+
+    return [
+        unless_empty(F.col("_total")).alias("total_return"),
+        unless_empty(annual).alias("annualized_return"),
+        unless_empty(vol).alias("volatility"),
         F.when(vol > 0, annual / vol).otherwise(zero).alias("sharpe_ratio"),
-        F.when(empty, zero).otherwise(F.col("max_drawdown")).alias("max_drawdown"),
-        F.coalesce(ratio(F.col("winning_trades"), F.col("total_trades")), zero).alias("win_rate"),
-        F.coalesce(
-            F.when(F.col("_loss") > 0, F.coalesce(F.col("_profit"), zero) / F.col("_loss")), zero
-        ).alias("profit_factor"),
-        "total_trades",
-        "winning_trades",
-    )
+        unless_empty(F.col("_drawdown")).alias("max_drawdown"),
+        F.coalesce(ratio(F.col("_wins"), F.col("_trades")), zero).alias("win_rate"),
+        F.coalesce(gain, zero).alias("profit_factor"),
+        F.col("_trades").alias("total_trades"),
+        F.col("_wins").alias("winning_trades"),
+    ]
+
+
+def perf_metrics(curve: DataFrame, by=("ticker",)) -> DataFrame:
+    """Performance of each series: one grouped aggregate over the curve."""
+    return curve.groupBy(*by).agg(*perf_sums()).select(*by, *perf_figures())
 
 
 def backtest_signals(

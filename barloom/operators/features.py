@@ -50,6 +50,7 @@ def indexed_history(
     order: str = "date",
     min_rows: int = MIN_ROWS,
     min_raw: int = 0,
+    tail: int | None = None,
 ) -> DataFrame:
     """Usable bars with positions; series that are too short are left out.
 
@@ -57,7 +58,13 @@ def indexed_history(
     """
     require_columns(bars, [*by, order, "Open", "High", "Low", "Close", "Volume"])
     return index_bars(
-        nan_to_null(bars), by, order, valid=usable(), min_rows=min_rows, min_raw=min_raw
+        nan_to_null(bars),
+        by,
+        order,
+        valid=usable(),
+        min_rows=min_rows,
+        min_raw=min_raw,
+        tail=tail,
     )
 
 
@@ -136,7 +143,7 @@ def latest_features(
     before = look_back(columns, rsi_period)
     if uses_average(columns):
         before += BLOCK_ROWS  # the last bar sits anywhere in its block
-    indexed = indexed_history(bars, by, order, min_rows)
+    indexed = indexed_history(bars, by, order, min_rows, tail=rows + before)
     panel = tail_panel(indexed, by, rows, before)
     panel = add_target(add_indicators(panel, columns, rsi_period))
     return _select(panel.result(), columns, by, order, fill=True)

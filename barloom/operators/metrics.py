@@ -17,17 +17,37 @@ def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def confusion_matrix(
-    scored: DataFrame, by=("ticker",), actual: str = "target", predicted: str = "prediction"
-) -> DataFrame:
-    """Counts ``tn, fp, fn, tp`` per series; always all four."""
+def confusion_counts(actual: str = "target", predicted: str = "prediction") -> list[Column]:
+    """Aggregates ``tn, fp, fn, tp``."""
     y, p = F.col(actual), F.col(predicted)
-    return scored.groupBy(*by).agg(
+    return [
         F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"),
         F.count_if((y == 1) & (p == 1)).alias("tp"),
-    )
+    ]
+
+
+def class_figures() -> list[Column]:
+    """Accuracy, precision, recall and F1 out of the counts, and the counts."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return [
+        _or_zero(ratio(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
+        _or_zero(ratio(tp, tp + fp)).alias("precision"),
+        _or_zero(ratio(tp, tp + fn)).alias("recall"),
+        _or_zero(ratio(F.lit(2) * tp, F.lit(2) * tp + fp + fn)).alias("f1_score"),
+        tn,
+        fp,
+        fn,
+        tp,
+    ]
+
+
+def confusion_matrix(
+    scored: DataFrame, by=("ticker",), actual: str = "target", predicted: str = "prediction"
+) -> DataFrame:
+    """Counts ``tn, fp, fn, tp`` per series; always all four."""
+    return scored.groupBy(*by).agg(*confusion_counts(actual, predicted))
 
 
 def confusion_rows(scored: DataFrame, by=("ticker",), actual="target", predicted="prediction"):
@@ -50,59 +70,58 @@ def class_metrics(
 ) -> DataFrame:
     """Accuracy, precision, recall, F1 and the confusion counts.
 
-    With ``score`` the exact ROC AUC is added.
+    With ``score`` the exact ROC AUC is added, in the same pass over the rows.
     """
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    out = confusion_matrix(scored, by, actual, predicted).select(
-        *by,
-        _or_zero(ratio(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
-        _or_zero(ratio(tp, tp + fp)).alias("precision"),
-        _or_zero(ratio(tp, tp + fn)).alias("recall"),
-        _or_zero(ratio(F.lit(2) * tp, F.lit(2) * tp + fp + fn)).alias("f1_score"),
-        "tn",
-        "fp",
-        "fn",
-        "tp",
-    )
     if score is None:
-        return out
-    return out.join(roc_auc(scored, by, actual, score), list(by)) if by else out.join(
-        F.broadcast(roc_auc(scored, by, actual, score))  # one row against one row
-    )
+        return confusion_matrix(scored, by, actual, predicted).select(*by, *class_figures())
+    counts = _rank_area(scored, by, actual, score, confusion_counts(actual, predicted))
+    return counts.select(*by, *class_figures(), "roc_auc")
 
 
 def roc_auc(
     scored: DataFrame, by=("ticker",), actual: str = "target", score: str = "prob_up"
 ) -> DataFrame:
-    """Exact area under the ROC curve; 0.0 where only one class occurs.
+    """Exact area under the ROC curve; 0.0 where only one class occurs."""
+    return _rank_area(scored, by, actual, score, [])
+
+
+COUNT_NAMES = ("tn", "fp", "fn", "tp")
+
+
+def _rank_area(scored: DataFrame, by, actual: str, score: str, counts: list[Column]) -> DataFrame:
+    """``roc_auc`` per series, with further counts summed up on the way.
 
     The area counts, for every positive, the negatives with a lower score and
     half of those with the same score.  Rows are first reduced to counts per
     distinct score, ranked inside score buckets, and the buckets are then put
     together by a running sum: no task ever ranks a whole series.
-    ``score`` is a probability; values outside [0, 1] share the end buckets.
+    The score is a probability; values outside [0, 1] share the end buckets.
     """
     by = list(by)
-    counts = scored.groupBy(*by, F.col(score).alias("_score")).agg(
+    kept = COUNT_NAMES[: len(counts)]
+    tally = scored.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(actual) == 1).alias("_pos"),
         F.count_if(F.col(actual) == 0).alias("_neg"),
+        *counts,
     )
     slot = F.floor(F.col("_score") * F.lit(SCORE_BUCKETS))
     top = F.lit(SCORE_BUCKETS - 1).cast("bigint")
-    counts = counts.withColumn("_slot", F.greatest(F.least(slot, top), F.lit(0).cast("bigint")))
+    tally = tally.withColumn("_slot", F.greatest(F.least(slot, top), F.lit(0).cast("bigint")))
     inside = Window.partitionBy(*by, "_slot").orderBy("_score")
     below = F.coalesce(
         F.sum("_neg").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    counts = counts.withColumn("_wins", F.col("_pos") * (below + F.col("_neg") / F.lit(2.0)))
-    slots = counts.groupBy(*by, "_slot").agg(
-        F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.sum("_wins").alias("_wins")
+    tally = tally.withColumn("_wins", F.col("_pos") * (below + F.col("_neg") / F.lit(2.0)))
+    slots = tally.groupBy(*by, "_slot").agg(
+        *[F.sum(c).alias(c) for c in ("_pos", "_neg", "_wins", *kept)]
     )
     earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_below", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)))
     area = F.sum(F.col("_wins") + F.col("_pos") * F.col("_below"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    return slots.groupBy(*by).agg(_or_zero(ratio(area, pairs)).alias("roc_auc"))
+    return slots.groupBy(*by).agg(
+        _or_zero(ratio(area, pairs)).alias("roc_auc"), *[F.sum(c).alias(c) for c in kept]
+    )
 
 
 def classification_report(

@@ -79,6 +79,7 @@ def series_spine(
         *by,
         "_bucket",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"),
+        "_rows",
         F.sum("_rows").over(whole).alias("n_bars"),
         F.sum("_raw").over(whole).alias("n_raw"),
     )
@@ -92,12 +93,15 @@ def index_bars(
     valid: Column | None = None,
     min_rows: int = 0,
     min_raw: int = 0,
+    tail: int | None = None,
 ) -> DataFrame:
     """Add ``idx`` (position in the series) and ``n_bars`` (its length).
 
     Rows that are not ``valid`` are left out, and so are series with fewer than
     ``min_rows`` valid rows or fewer than ``min_raw`` rows of any kind.  Rows
     without a key or a date have no place in a series and are left out too.
+    With ``tail`` only the time buckets that hold the last ``tail`` rows of a
+    series are read on; their rows keep the positions they have in the whole.
     ``(by, order)`` must be unique.
     """
     bars = bars.drop("idx", "n_bars", "chunk")
@@ -105,6 +109,8 @@ def index_bars(
         bars = bars.filter(F.col(key).isNotNull())
     spine = series_spine(bars, by, order, bucket_days, valid)
     spine = spine.filter((F.col("n_bars") >= min_rows) & (F.col("n_raw") >= min_raw))
+    if tail is not None:
+        spine = spine.filter(F.col("_base") + F.col("_rows") > F.col("n_bars") - F.lit(tail))
     rows = bars if valid is None else bars.filter(valid)
     keys = [*by, "_bucket"]
     inside = Window.partitionBy(*keys).orderBy(order)
@@ -112,7 +118,7 @@ def index_bars(
         rows.withColumn("_bucket", _bucket(bars, order, bucket_days))
         .join(spine, keys)
         .withColumn("idx", F.col("_base") + F.row_number().over(inside) - F.lit(1))
-        .drop("_bucket", "_base", "n_raw")
+        .drop("_bucket", "_base", "_rows", "n_raw")
     )
 
 

@@ -15,12 +15,11 @@ from barloom.operators.backtest import (
     INITIAL_CAPITAL,
     TRANSACTION_COST,
     equity_curve,
-    perf_metrics,
     strategy_returns,
 )
 from barloom.operators.cleaning import clean_bars, usable
+from barloom.operators.evaluation import evaluate_curve
 from barloom.operators.features import MIN_ROWS
-from barloom.operators.metrics import class_metrics
 from barloom.operators.panel import group_panel, index_bars
 from barloom.operators.signals import RULES, rule_position
 
@@ -137,9 +136,7 @@ def walk_forward_rule(
 def evaluate_windows(panel, cost: float = TRANSACTION_COST, capital: float = INITIAL_CAPITAL):
     """Metrics per group of a panel with ``position``, ``price``, ``target``."""
     curve = equity_curve(strategy_returns(panel, cost=cost), capital)
-    perf = perf_metrics(curve, panel.by)
-    hits = class_metrics(curve, panel.by, predicted="position")
-    return perf.join(hits, list(panel.by))
+    return evaluate_curve(curve, panel.by)
 
 
 def walk_forward_status(

@@ -22,6 +22,7 @@ from barloom.ml.training import (
 from barloom.ml.tuning import tune_classifier
 from barloom.operators import backtest as bt
 from barloom.operators import cleaning, metrics, reports, training_set, walkforward
+from barloom.operators.evaluation import compare_curves, evaluate_curve
 from barloom.operators.features import compute_features, latest_features
 from barloom.operators.panel import index_bars
 from barloom.operators.signals import RULES, rule_curve, rule_position
@@ -360,16 +361,12 @@ def signals_join(spark, sf_dir):
 def backtest_rule(spark, sf_dir):
     """Date filter, features, signal, returns and both kinds of metrics."""
     bars = cleaning.date_range(index_level_bars(spark, sf_dir), "2024-01-03", "2024-01-25")
-    curve = rule_curve(bars, ("macd_trend",))
-    perf = bt.perf_metrics(curve)
-    hits = metrics.class_metrics(curve, predicted="position")
-    return rounded(perf.join(hits, "ticker"))
+    return rounded(evaluate_curve(rule_curve(bars, ("macd_trend",))))
 
 
 @query
 def compare_signals(spark, sf_dir):
-    curve = _curve(spark, sf_dir, tuple(RULES))
-    return rounded(scoring.comparison(curve, curve, ("ticker", "model"), "position"))
+    return rounded(compare_curves(_curve(spark, sf_dir, tuple(RULES))))
 
 
 @query
@@ -442,15 +439,16 @@ def rule_registry(spark, sf_dir) -> DataFrame:
     keys = ("ticker", "model")
     test = F.col("is_test")
     hit = (F.col("target") == F.col("position")).cast("double")
-    sizes = curve.groupBy(*keys).agg(
+    sums = curve.groupBy(*keys).agg(
+        *bt.perf_sums(),
         F.avg(F.when(test, hit)).alias("accuracy"),
         F.avg(F.when(~test, hit)).alias("train_accuracy"),
         F.count_if(~test).alias("train_size"),
         F.count_if(test).alias("test_size"),
         F.max(F.when(~test, F.col("date"))).alias("training_date"),
     )
-    figures = reg.metrics_map(bt.perf_metrics(curve, keys), keys)
-    return sizes.join(figures, list(keys)).select(
+    # One pass over the curve gives the sizes and the figures of the map.
+    return sums.select(
         "ticker",
         F.col("model").alias("model_type"),
         "accuracy",
@@ -459,7 +457,7 @@ def rule_registry(spark, sf_dir) -> DataFrame:
         "test_size",
         F.lit(len(FEATURE_COLS)).alias("feature_count"),
         "training_date",
-        "backtest_metrics",
+        reg.figures_map(bt.perf_figures()).alias("backtest_metrics"),
     )
 
 
