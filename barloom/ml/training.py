@@ -73,6 +73,16 @@ def feature_stages(columns=tuple(FEATURE_COLS)) -> list:
     ]
 
 
+def kept_rows(rows: DataFrame) -> DataFrame:
+    """Training rows in evenly sized partitions, cached for many passes.
+
+    Trees read their rows once per level, so one more exchange pays off when
+    it leaves neither tiny nor oversized partitions.  Cached blocks of a lost
+    executor are computed again from the lineage.
+    """
+    return rows.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_classifier(
     train: DataFrame,
     model_type: str = "random_forest",
@@ -81,13 +91,9 @@ def fit_classifier(
     columns=tuple(FEATURE_COLS),
     **overrides,
 ) -> PipelineModel:
-    """Assemble, scale and fit; the rows are kept in memory or on disk.
-
-    Cached blocks of a lost executor are computed again from the lineage.
-    """
+    """Assemble, scale and fit on rows kept in memory or on disk."""
     estimator = make_classifier(model_type, n_estimators, seed, **overrides)
-    rows = with_class_weight(train.select(*columns, "target"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = kept_rows(with_class_weight(train.select(*columns, "target")))
     try:
         return Pipeline(stages=[*feature_stages(columns), estimator]).fit(rows)
     finally:

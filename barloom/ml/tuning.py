@@ -5,14 +5,19 @@ from __future__ import annotations
 import itertools
 import random
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 
 from barloom.functions.indicators import FEATURE_COLS
-from barloom.ml.training import RANDOM_STATE, feature_stages, make_classifier, model_type_name
+from barloom.ml.training import (
+    RANDOM_STATE,
+    feature_stages,
+    kept_rows,
+    make_classifier,
+    model_type_name,
+)
 from barloom.operators.training_set import with_class_weight, with_folds
 
 # Search spaces and search effort.
@@ -77,7 +82,7 @@ def tune_classifier(
         for trial in trials
     ]
     rows = with_folds(train, folds, by).select(*columns, "target", "fold")
-    rows = with_class_weight(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = kept_rows(with_class_weight(rows))
     validator = CrossValidator(
         estimator=Pipeline(stages=[*feature_stages(columns), estimator]),
         estimatorParamMaps=param_maps,
