@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barloom.llm.bktree_simhash import near_duplicates
 from barloom.llm.common import table
 from barloom.llm.harmonic_packing import pack
+from barloom.llm.merge_replay import digests
 from barloom.llm.window_dedup import dedup_lines
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -21,4 +24,13 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op3_window_dedup)}
+def op8_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(docs, BYTE_VOCABULARY, public_tokenizers.PATTERN).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op3_window_dedup, op8_bktree_simhash, op9_merge_replay)}
