@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +39,27 @@ BUCKET_ROWS = 50_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-@lru_cache(maxsize=8)
 def class_lengths(capacity: int) -> tuple[int, ...]:
     """The lengths a piece may have, longest first."""
     return tuple(sorted({capacity // j for j in range(1, RECIPROCALS + 1) if capacity >= j} | set(range(1, min(RECIPROCALS, capacity) + 1)), reverse=True))
 
 
-@lru_cache(maxsize=1 << 16)
-def rest_lengths(rest: int, capacity: int) -> tuple[int, ...]:
-    """Lengths into which fewer than ``capacity`` tokens are cut."""
-    out = []
-    for length in class_lengths(capacity):
-        while length <= rest:
-            out.append(length)
-            rest -= length
-    return tuple(out)
+class Cutter:
+    """Cuts numbers of tokens into lengths of classes; how a rest is cut is remembered."""
 
+    def __init__(self, capacity: int):
+        self.capacity, self.lengths = capacity, class_lengths(capacity)
+        self.rests: dict[int, list[int]] = {}
 
-def cut_lengths(n: int, capacity: int) -> list[int]:
-    return [capacity] * (n // capacity) + list(rest_lengths(n % capacity, capacity))
+    def cut(self, n: int) -> list[int]:
+        whole, rest = divmod(n, self.capacity)
+        if rest not in self.rests:
+            left, out = rest, []
+            for length in self.lengths:
+                out += [length] * (left // length)
+                left %= length
+            self.rests[rest] = out
+        return [self.capacity] * whole + self.rests[rest]
 
 
 class WordIds:
@@ -100,7 +101,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """Pieces of all documents: ``doc_id, start, length, doc_tokens, ids`` (little-endian 32-bit ids)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words, cutter = WordIds(vocabulary), Cutter(capacity)
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -108,7 +109,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 flat, counts = words.encode(texts.slice(a, b - a))
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
-                cuts = [cut_lengths(int(n), capacity) for n in counts]
+                cuts = [cutter.cut(int(n)) for n in counts]
                 per_doc = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
                 lengths = np.array([x for c in cuts for x in c], dtype=np.int64)
                 ends = np.cumsum(lengths)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barloom.llm import rff_quality, string_kernel_lid
 from barloom.llm.bktree_simhash import near_duplicates
-from barloom.llm.common import table
+from barloom.llm.common import doc_bucket, table
 from barloom.llm.harmonic_packing import pack
 from barloom.llm.merge_replay import digests
 from barloom.llm.window_dedup import dedup_lines
@@ -20,10 +21,24 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = doc_bucket("doc_id", 4) == 2
+    model = string_kernel_lid.fit(docs, ~held)
+    return string_kernel_lid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines")
 
 
+def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = doc_bucket("doc_id", 5) == 0
+    model = rff_quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return rff_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,4 +48,4 @@ def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, BYTE_VOCABULARY, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op3_window_dedup, op8_bktree_simhash, op9_merge_replay)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op8_bktree_simhash, op9_merge_replay)}
