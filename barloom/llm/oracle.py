@@ -32,4 +32,19 @@ SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL WHEN k.removed_lines > 0 THE
 FROM rows r LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE = {"op3_window_dedup": OP3}
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLE = {"op3_window_dedup": OP3, "op6_histogram_topk": OP6}

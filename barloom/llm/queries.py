@@ -9,7 +9,9 @@ from barloom.llm import rff_quality, string_kernel_lid
 from barloom.llm.bktree_simhash import near_duplicates
 from barloom.llm.common import doc_bucket, table
 from barloom.llm.harmonic_packing import pack
+from barloom.llm.histogram_topk import top_k
 from barloom.llm.merge_replay import digests
+from barloom.llm.permutation_index import nearest
 from barloom.llm.window_dedup import dedup_lines
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +41,14 @@ def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rff_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op6_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op8_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,4 +58,4 @@ def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, BYTE_VOCABULARY, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op8_bktree_simhash, op9_merge_replay)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op8_bktree_simhash, op9_merge_replay)}
