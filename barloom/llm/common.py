@@ -50,6 +50,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``stored`` that nothing will read again."""
+    spark = df.sparkSession
+    mark = "/barloom-llm/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if mark in folder and len(folder.rpartition(mark)[2]) == 32:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 def doc_bucket(id_col: str | Column, n: int) -> Column:
     """CRC-32 of the id's text, modulo ``n``; NULL ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import ranges, slices
+from barloom.llm.common import Numbers, ranges, slices
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 24 << 20
@@ -207,14 +207,6 @@ class Merges:
         return ids, counts
 
 
-class Numbers(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 class Lexicon:
     """Words of the shards so far with their ids, as arrays."""
 

@@ -47,4 +47,26 @@ FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 10
 """
 
-ORACLE = {"op3_window_dedup": OP3, "op6_histogram_topk": OP6}
+RECORD_BYTES = """strlen('WARC/1.0') + strlen('WARC-Type: resource') + strlen('WARC-Record-ID: <urn:page:>') + strlen('WARC-Target-URI: ')
+  + strlen('Content-Length: ') + 16 + strlen(CAST(page_id AS VARCHAR)) + strlen(url) + strlen(html) + strlen(CAST(strlen(html) AS VARCHAR))"""
+
+OP10 = f"""
+WITH n AS (SELECT greatest(1, ceil(count(*) / 4096.0)) AS volumes FROM pages),
+archive AS (
+  SELECT CAST(page_id AS VARCHAR) AS id, url AS uri, page_id, html, {RECORD_BYTES} AS length,
+         CAST('0x' || substr(md5(CAST(page_id AS VARCHAR) || chr(10) || url), 1, 8) AS BIGINT) % CAST(volumes AS BIGINT) AS volume
+  FROM pages, n
+),
+placed AS (
+  SELECT *, CAST(sum(length) OVER (PARTITION BY volume ORDER BY id, uri) - length AS BIGINT) AS start FROM archive
+)
+SELECT id, uri, volume, start, CAST(length AS BIGINT) AS length, CASE WHEN page_id % 89 = 3 THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE page_id % 89 = 3 OR (page_id % 97 = 5 AND html <> '#' || substr(html, 2))
+UNION ALL
+SELECT CAST(page_id AS VARCHAR), url,
+       CAST('0x' || substr(md5(CAST(page_id AS VARCHAR) || chr(10) || url), 1, 8) AS BIGINT) % CAST(volumes AS BIGINT),
+       -1, CAST({RECORD_BYTES} AS BIGINT), 'extra'
+FROM (SELECT -page_id - 1 AS page_id, url, html FROM pages WHERE page_id % 83 = 7), n
+"""
+
+ORACLE = {"op3_window_dedup": OP3, "op6_histogram_topk": OP6, "op10_merkle_warc": OP10}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import rff_quality, string_kernel_lid
+from barloom.llm import pitman_yor, rff_quality, string_kernel_lid
 from barloom.llm.bktree_simhash import near_duplicates
 from barloom.llm.common import doc_bucket, table
 from barloom.llm.harmonic_packing import pack
 from barloom.llm.histogram_topk import top_k
 from barloom.llm.merge_replay import digests
+from barloom.llm.merkle_warc import audit
 from barloom.llm.permutation_index import nearest
 from barloom.llm.window_dedup import dedup_lines
 
@@ -49,6 +50,13 @@ def op6_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = doc_bucket("doc_id", 5) == 1
+    scored = pitman_yor.score(docs, pitman_yor.fit(docs, ~held))
+    return scored.withColumn("held_out", held)
+
+
 def op8_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,4 +66,14 @@ def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, BYTE_VOCABULARY, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op8_bktree_simhash, op9_merge_replay)}
+def op10_merkle_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with damage of every kind, made from the same pages by a rule."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    number = F.col("page_id")
+    damaged = F.when(number % 97 == 5, F.concat(F.lit("#"), F.col("html").substr(F.lit(2), F.length("html")))).otherwise(F.col("html"))
+    replica = pages.where(F.coalesce(number % 89 != 3, F.lit(True))).withColumn("html", damaged)
+    strays = pages.where(number % 83 == 7).withColumn("page_id", -number - 1)
+    return audit(pages, replica.unionByName(strays))
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc)}

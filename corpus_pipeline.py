@@ -7,12 +7,54 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
-import barloom.llm.queries  # noqa: E402, F401
-from barloom.llm.common import stored, table  # noqa: E402
+from barloom.llm import bktree_simhash, harmonic_packing, rff_quality, string_kernel_lid, window_dedup  # noqa: E402
+from barloom.llm.common import doc_bucket, stored, table  # noqa: E402
+from barloom.llm.queries import WORD_VOCABULARY  # noqa: E402
 
-STAGES = []
+#: A language that is less sure than this is no language.
+LEAST_SURE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognisable language."""
+    model = string_kernel_lid.fit(docs, doc_bucket("doc_id", 4) != 2)
+    found = string_kernel_lid.predict(docs, model)
+    return found.where((F.col("lang_pred") != string_kernel_lid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of low quality."""
+    model = rff_quality.fit(docs, table(spark, sf_dir, "labels"), doc_bucket("doc_id", 5) != 0)
+    return rff_quality.score(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that stand earlier in the corpus; ``n_chars`` follows the text."""
+    return window_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near copies."""
+    return bktree_simhash.keep_one(docs).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences."""
+    packed = harmonic_packing.pack(docs, WORD_VOCABULARY, keep_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("lines", lines),
+    ("near_copies", near_copies),
+    ("packing", packing),
+]
+
+#: Two stages are trained models and one a tokenizer: tests compare with a slow version instead.
 ORACLE_SQL = None
 
 
