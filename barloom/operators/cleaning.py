@@ -15,7 +15,7 @@ EXCHANGE_ZONE = "America/New_York"
 def require_columns(df: DataFrame, columns) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks the columns {missing}")
 
 
 def normalize_bars(raw: DataFrame, zone: str = EXCHANGE_ZONE, intraday: bool = False) -> DataFrame:
@@ -119,20 +119,29 @@ def min_history(bars: DataFrame, rows: int = 26, by=("ticker",), order: str = "d
     return index_bars(bars, by, order, min_rows=rows)
 
 
-def validate_bars(bars: DataFrame, rows: int = 26, by=("ticker",)) -> DataFrame:
-    """Per series: can it be scored, and if not, the first reason why."""
-    require_columns(bars, [*by, *NUMERIC_COLS])
+def validate_bars(
+    bars: DataFrame, rows: int = 26, by=("ticker",), order: str = "date"
+) -> DataFrame:
+    """Per series: can it be scored, and if not, the first reason why.
+
+    Rows whose date is missing or did not parse are counted: they have no place
+    in a series, and the operators behind leave them out.
+    """
+    require_columns(bars, [*by, order, *NUMERIC_COLS])
     gap = F.col("Close").isNull() | F.col("Volume").isNull()
     counts = bars.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(gap).alias("n_missing")
-    )
-    short = F.concat(
-        F.lit(f"Insufficient data: need at least {rows} rows for all features, got "),
-        F.col("n_rows").cast("string"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(gap).alias("n_missing"),
+        F.count_if(F.col(order).isNull()).alias("n_bad_dates"),
     )
+
+    def counted(name: str, text: str) -> Column:
+        return F.concat(F.col(name).cast("string"), F.lit(text))
+
     message = (
-        F.when(F.col("n_rows") < rows, short)
-        .when(F.col("n_missing") > 0, "Data contains NaN values in Close or Volume columns")
+        F.when(F.col("n_rows") < rows, counted("n_rows", f" bars, {rows} are needed"))
+        .when(F.col("n_bad_dates") > 0, counted("n_bad_dates", " bars have no valid date"))
+        .when(F.col("n_missing") > 0, counted("n_missing", " bars lack a close or a volume"))
         .otherwise("")
     )
     return counts.withColumn("error_message", message).withColumn(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barloom.session import cut_lineage
 from barloom.sources.ticks import bars_from_ticks
 
 
@@ -19,14 +20,7 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = table(spark, sf_dir, "lineitem")
-    sequence = [
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        "l_extendedprice",
-        "l_quantity",
-    ]
+    sequence = {"l_orderkey": 14, "l_linenumber": 4, "l_partkey": 10, "l_suppkey": 10}
     return bars_from_ticks(
         lines.join(part, F.col("l_partkey") == F.col("p_partkey")),
         ticker=F.col("p_brand"),
@@ -38,6 +32,11 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept(bars: DataFrame) -> DataFrame:
+    """Bars written once: an operator that reads its input twice then reads bars, not ticks."""
+    return cut_lineage(bars)
+
+
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event value per event type."""
     return _event_bars(spark, sf_dir, F.col("value"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Only settings that hold at every scale; sizes are left to the cluster.
@@ -29,16 +33,26 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names, if it names one.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in ``spark.checkpoint.dir``.
 
-    Without ``spark.checkpoint.dir`` the frame is returned as it is: it stays
-    lazy and recomputable, which is safe, only not shared between consumers.
+    Without that setting a local master gets a temporary folder; on a cluster a
+    machine's own folder would lose what other machines wrote, so it is refused.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/barloom-{os.getpid()}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back.
+
+    For tables that several readers need, such as bars made from ticks: what
+    stands behind runs once, and a lost executor costs reading files again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/barloom-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

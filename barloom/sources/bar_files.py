@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from barloom.operators.cleaning import coerce_bars, normalize_bars
 
 # Prices are read as text so that one bad value empties one cell, not a row.
-# The file is read by header name, so that extra columns do no harm.
-RAW_FIELDS = ["date", "Open", "High", "Low", "Close", "Volume"]
-FILE_NAME = r"^(.+)-\d{4}-\d{2}-\d{2}-\d{4}-\d{2}-\d{2}\.csv$"
+REQUIRED = ("date", "open", "high", "low", "close", "volume")
+RAW_NAMES = dict(zip(REQUIRED, ("date", "Open", "High", "Low", "Close", "Volume")))
+# Columns that a file may have, known or not.
+MAX_COLUMNS = 64
+FILE_NAME = r"^(.+)-\d{4}-\d{2}-\d{2}-\d{4}-\d{2}-\d{2}\.csv(\.gz|\.bz2)?$"
 UNKNOWN = "UNKNOWN"
 
 BAR_SCHEMA = T.StructType(
@@ -31,39 +33,102 @@ def ticker_of(file_name: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(UNKNOWN))
 
 
-def read_raw_csv(reader, paths, columns=("Dividends", "Stock Splits"), ticker=False) -> DataFrame:
-    """Eight-column CSV files as text columns plus ``file_name``.
+def read_lines(reader, paths) -> DataFrame:
+    """Lines of CSV files, headers included, as ``cells`` with their file.
 
-    ``reader`` is ``spark.read`` or ``spark.readStream``.  The schema is given,
-    not inferred: no extra pass over the files.  Pass ``ticker=True`` for files
-    with a leading ``ticker`` column.
+    ``reader`` is ``spark.read`` or ``spark.readStream``.  A file that cannot be
+    read to its end is an error, never a shorter table (see ``file_status``).
     """
-    names = (["ticker"] if ticker else []) + RAW_FIELDS + list(columns)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
-        reader.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True)
-        .csv(paths)
-        .withColumn("file_name", F.col("_metadata.file_name"))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLUMNS)])
+    lines = reader.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(paths)
+    return lines.select(
+        F.array(*schema.names).alias("cells"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+    )
+
+
+def by_header(lines: DataFrame) -> DataFrame:
+    """Text columns ``ticker, date, Open ... Volume`` and ``file_name``.
+
+    Every file is read by the names in its own header, in any order and any
+    spelling of case; other columns do no harm, and ``ticker`` is NULL in files
+    without one.  A file with rows but without a header, without a required
+    column, or with two different headers is an error that names the file.
+    """
+    names = F.transform("cells", lambda c: F.lower(F.trim(F.replace(c, F.lit("\ufeff"), F.lit("")))))
+    known = [F.array_contains(names, n) for n in REQUIRED]
+    lines = lines.withColumn("_header", F.coalesce(known[0] | (known[1] & known[4]), F.lit(False)))
+    headers = (
+        lines.filter("_header")
+        .groupBy(F.col("file_path").alias("_path"))
+        .agg(F.min(names).alias("_names"), F.max(names).alias("_others"))
+    )
+    lacking = F.array_except(F.array(*[F.lit(n) for n in REQUIRED]), "_names")
+    problem = (
+        F.when(F.col("_names").isNull(), F.lit("no header"))
+        .when(F.col("_names") != F.col("_others"), F.lit("headers that differ"))
+        .when(F.size(lacking) > 0, F.concat(F.lit("no column "), F.array_join(lacking, ", ")))
+    )
+    message = F.concat(F.lit("file "), F.col("file_path"), F.lit(" has "), problem)
+    sound = F.when(problem.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)
+    rows = lines.filter("NOT _header").join(headers, F.col("file_path") == F.col("_path"), "left")
+
+    def cell(name: str) -> Column:
+        return F.get("cells", F.array_position("_names", name).cast("int") - 1)
+
+    return rows.filter(sound).select(
+        cell("ticker").alias("ticker"),
+        *[cell(n).alias(shown) for n, shown in RAW_NAMES.items()],
+        "file_name",
     )
 
 
 def parse_raw(raw: DataFrame, intraday: bool = False) -> DataFrame:
     """Typed bars with the ticker of the row, else of the file name."""
-    name = ticker_of(F.col("file_name"))
-    if "ticker" in raw.columns:
-        name = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), name)
+    name = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), ticker_of(F.col("file_name")))
     bars = normalize_bars(raw.withColumn("ticker", name), intraday=intraday)
     return bars.select("ticker", "date", "Open", "High", "Low", "Close", "Volume", "file_name")
 
 
-def read_bars_csv(
-    spark: SparkSession, paths, columns=("Dividends", "Stock Splits"), ticker=False, intraday=False
-) -> DataFrame:
+def read_bars_csv(spark: SparkSession, paths, intraday=False) -> DataFrame:
     """Bars ``(ticker, date, Open, High, Low, Close, Volume, file_name)``."""
-    return parse_raw(read_raw_csv(spark.read, paths, columns, ticker), intraday)
+    return parse_raw(by_header(read_lines(spark.read, paths)), intraday)
+
+
+def file_status(spark: SparkSession, paths) -> DataFrame:
+    """``ticker, file_name, path, problem`` of every file; ``problem`` is NULL if it can be read to its end.
+
+    Only compressed files can be damaged unnoticed; they are unpacked for the
+    check, each in one task and in small pieces.
+    """
+
+    @F.udf("string")
+    def problem(path, content):
+        import bz2
+        import gzip
+        import io
+
+        opened = {"gz": gzip.open, "z2": bz2.open}.get(path[-2:])
+        try:
+            with opened(io.BytesIO(content)) as lines:
+                while lines.read(1 << 20):
+                    pass
+        except (EOFError, OSError, ValueError) as error:
+            return str(error)
+        except Exception as error:  # zlib.error has no common base with the others
+            return f"{type(error).__name__}: {error}"
+        return None
+
+    files = spark.read.format("binaryFile").load(paths)
+    packed = F.col("path").rlike(r"\.(gz|bz2)$")
+    name = F.col("_metadata.file_name")
+    return files.select(
+        ticker_of(name).alias("ticker"),
+        name.alias("file_name"),
+        "path",
+        F.when(packed, problem("path", "content")).alias("problem"),
+    )
 
 
 def latest_files(bars: DataFrame) -> DataFrame:
@@ -74,10 +139,14 @@ def latest_files(bars: DataFrame) -> DataFrame:
 
 
 def newest_paths(spark: SparkSession, folder: str) -> list[str]:
-    """Path of the newest file of each ticker; lists files, reads none."""
+    """Path of the newest file of each ticker; lists files, reads none.
+
+    One path per ticker comes to the driver, which is what a reader takes; for
+    more tickers than that use :func:`latest_files`.
+    """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", "*.csv*")
         .load(folder)
         .select("path", F.col("_metadata.file_name").alias("file_name"))
         .withColumn("ticker", ticker_of(F.col("file_name")))
@@ -88,8 +157,12 @@ def newest_paths(spark: SparkSession, folder: str) -> list[str]:
 
 
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One folder per ticker, readable with partition pruning."""
-    bars.write.partitionBy("ticker").mode(mode).format(fmt).options(header=True).save(path)
+    """One folder per ticker, readable with partition pruning.
+
+    Rows of a ticker are brought together first, so a folder gets few files;
+    those of a very large ticker are split again.
+    """
+    bars.hint("rebalance", "ticker").write.partitionBy("ticker").mode(mode).format(fmt).options(header=True).save(path)
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

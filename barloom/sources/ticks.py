@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Bar intervals by name, as data providers spell them.
 INTERVALS = {"1d": "day", "1h": "hour", "1m": "minute", "1wk": "week", "1mo": "month"}
@@ -16,22 +16,57 @@ def bar_time(ts: Column, interval: str) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
+def packed_order(ticks: DataFrame, sequence: dict[str, int] | list[str]) -> Column:
+    """The columns of ``sequence`` as one DECIMAL(38) that orders like them.
+
+    Dates and times count in days and microseconds.  A dictionary gives the
+    digits of each column; a list shares 38 digits out, 17 to a time.  Values
+    after the first must not be negative; one that needs more digits is an
+    error, never a wrong order.  A missing value orders as 0.
+    """
+    kinds = {name: ticks.schema[name].dataType for name in sequence}
+    times = (T.TimestampType, T.TimestampNTZType)
+    if not isinstance(sequence, dict):
+        stamps = sum(isinstance(k, times) for k in kinds.values())
+        others = max(1, len(kinds) - stamps)
+        share = (38 - 17 * stamps) // others
+        sequence = {n: 17 if isinstance(k, times) else share for n, k in kinds.items()}
+    if not 0 < sum(sequence.values()) <= 38 or min(sequence.values()) < 1:
+        raise ValueError(f"an order has 1 to 38 digits in all, not {sequence}")
+    total, left = None, sum(sequence.values())
+    for name, digits in sequence.items():
+        left -= digits
+        value = f"`{name}`"
+        if isinstance(kinds[name], T.TimestampType):
+            value = f"unix_micros({value})"
+        elif isinstance(kinds[name], T.TimestampNTZType):
+            value = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {value})"
+        elif isinstance(kinds[name], T.DateType):
+            value = f"unix_date({value})"
+        unit = f"CAST('1{'0' * left}' AS DECIMAL({left + 1}, 0))"
+        part = f"coalesce(CAST({value} AS DECIMAL({digits}, 0)), 0) * {unit}"
+        total = part if total is None else f"CAST({total} AS DECIMAL(38, 0)) + {part}"
+    return F.expr(f"CAST({total} AS DECIMAL(38, 0))")
+
+
 def bars_from_ticks(
     ticks: DataFrame,
     ticker: Column,
     ts: Column,
     price: Column,
     size: Column,
-    sequence: list[str],
+    sequence: dict[str, int] | list[str],
     interval: str = "1d",
 ) -> DataFrame:
     """Open, High, Low, Close and Volume per ticker and interval.
 
-    ``sequence`` names the columns that order the ticks and break ties.  One
-    grouped aggregate with partial results on the map side: ticks of a hot
-    ticker are reduced to bars before the shuffle.
+    ``sequence`` names the columns that order the ticks, which must tell the
+    ticks of a bar apart (see :func:`packed_order`).  One grouped aggregate with
+    partial results on the map side: ticks of a hot ticker are reduced to bars
+    before the shuffle.  All buffers have a fixed width, so the aggregate hashes
+    and no tick is sorted.
     """
-    order = F.struct(*sequence)
+    order = packed_order(ticks, sequence)
     rows = ticks.select(
         ticker.alias("ticker"),
         bar_time(ts, interval).alias("date"),

@@ -30,18 +30,36 @@ def on_watchlist(bars: DataFrame, watchlist: DataFrame) -> DataFrame:
     return bars.join(watchlist, "ticker", "left_semi")
 
 
-def ingest_status(bars: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """What was loaded per listed ticker; a missing one does not stop the rest."""
+def ingest_status(
+    bars: DataFrame, watchlist: DataFrame, files: DataFrame | None = None
+) -> DataFrame:
+    """What was loaded per listed ticker; a missing one does not stop the rest.
+
+    ``n_bad_dates`` counts rows whose date did not parse.  ``files`` (see
+    ``bar_files.file_status``) marks tickers whose files are damaged.
+    """
     loaded = bars.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
+        F.count_if(F.col("date").isNull()).alias("n_bad_dates"),
     )
+    listed = watchlist.join(loaded, "ticker", "left")
+    damage = F.lit(None).cast("string")
+    if files is not None:
+        damaged = files.filter("problem IS NOT NULL").groupBy("ticker")
+        listed = listed.join(damaged.agg(F.min("problem").alias("_problem")), "ticker", "left")
+        damage = F.col("_problem")
     rows = F.coalesce(F.col("n_rows"), F.lit(0))
-    return watchlist.join(loaded, "ticker", "left").select(
+    bad = F.coalesce(F.col("n_bad_dates"), F.lit(0))
+    return listed.select(
         "ticker",
         rows.alias("n_rows"),
         "first_date",
         "last_date",
-        F.when(rows > 0, "loaded").otherwise("no data").alias("status"),
+        bad.alias("n_bad_dates"),
+        F.when(damage.isNotNull(), F.concat(F.lit("damaged: "), damage))
+        .when(rows > 0, "loaded")
+        .otherwise("no data")
+        .alias("status"),
     )

@@ -1,17 +1,20 @@
 """Pick up new bar files since the last run.
 
-Each micro-batch is written to a folder named after its number, replacing what
-an interrupted attempt may have left there: running again, or losing an
-executor half-way, changes nothing.  Files may overlap in time; the reader
-keeps the newest row of every ``(ticker, date)``.
+Each micro-batch is written to a folder named after its stream and its number,
+replacing what an interrupted attempt may have left there: running again, or
+losing an executor half-way, changes nothing.  A new checkpoint is a new stream
+and leaves the batches of an older one alone.  Files may overlap in time; the
+reader keeps the row of every ``(ticker, date)`` that was loaded last.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.operators.cleaning import dedupe_bars
-from barloom.sources.bar_files import parse_raw, read_raw_csv
+from barloom.sources.bar_files import by_header, parse_raw, read_lines
 
 
 def refresh_bars(
@@ -25,9 +28,12 @@ def refresh_bars(
     """Append all CSV files not seen before to the bar log, then stop."""
 
     def store(batch: DataFrame, number: int) -> None:
-        parse_raw(batch, intraday).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        # Spark names a stream in its checkpoint before the first batch runs.
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        bars = parse_raw(by_header(batch), intraday).withColumn("loaded_at", F.current_timestamp())
+        bars.write.mode("overwrite").parquet(f"{table}/stream={stream}/batch={number}")
 
-    raw = read_raw_csv(spark.readStream.option("maxFilesPerTrigger", max_files), folder)
+    raw = read_lines(spark.readStream.option("maxFilesPerTrigger", max_files), folder)
     run = (
         raw.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
@@ -38,6 +44,7 @@ def refresh_bars(
 
 
 def read_bar_log(spark: SparkSession, table: str) -> DataFrame:
-    """Current bars: the last batch wins, inside a batch the last file name."""
+    """Current bars: the last load wins, inside a load the last file name."""
     log = spark.read.parquet(table)
-    return dedupe_bars(log, F.struct("batch", "file_name")).drop("batch", "file_name")
+    newest = F.struct("loaded_at", "batch", "file_name")
+    return dedupe_bars(log, newest).drop("stream", "batch", "file_name", "loaded_at")

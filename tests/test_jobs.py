@@ -34,6 +34,18 @@ def test_refresh_is_incremental_and_idempotent(spark, tmp_path):
     assert all(abs(bars[r[1]] - r[5]) < 1e-9 for r in later)
 
 
+def test_a_new_checkpoint_leaves_older_batches_alone(spark, tmp_path):
+    raw, table = tmp_path / "raw", str(tmp_path / "log")
+    raw.mkdir()
+    write_file(raw, "A", walk("A", 10, seed=1))
+    refresh_bars(spark, str(raw), table, str(tmp_path / "one"))
+    (raw / "A-2001-01-01-2001-12-31.csv").unlink()
+    write_file(raw, "B", walk("B", 6, seed=1))
+    refresh_bars(spark, str(raw), table, str(tmp_path / "two"))
+    got = {r["ticker"]: r["count"] for r in read_bar_log(spark, table).groupBy("ticker").count().collect()}
+    assert got == {"A": 10, "B": 6}
+
+
 @pytest.mark.parametrize("per_ticker", [False, True])
 def test_nightly(spark, tmp_path, per_ticker):
     raw = tmp_path / "raw"
@@ -43,8 +55,12 @@ def test_nightly(spark, tmp_path, per_ticker):
     (tmp_path / "list.txt").write_text("BBB\n# later\nAAA\nGONE\n")
     status = nightly_retrain(
         spark, str(raw), str(tmp_path / "list.txt"), str(tmp_path / "out"),
-        per_ticker=per_ticker, n_estimators=2, maxDepth=3, as_of=dt.date(2001, 12, 31),
+        per_ticker=per_ticker, n_estimators=2, maxDepth=3, as_of=dt.date(2001, 12, 31), run="one",
     )
+    training = {r["ticker"]: r["training"] for r in status.collect()}
+    assert training == {"AAA": "trained", "BBB": "trained", "GONE": "not trained"}
+    uris = {r["model_uri"] for r in read_registry(spark, str(tmp_path / "out" / "registry")).collect()}
+    assert all("/models/run=one/" in u for u in uris)
     assert {r["ticker"]: r["status"] for r in status.collect()} == {
         "AAA": "loaded", "BBB": "loaded", "GONE": "no data",
     }

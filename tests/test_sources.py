@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import cleaning
 from barloom.operators.reports import ticker_overview, title_case
 from barloom.sources import bar_files, watchlist
-from barloom.sources.ticks import bars_from_ticks
+from barloom.sources.ticks import bars_from_ticks, packed_order
 
 from helpers import BARS, bars_frame, walk
 
@@ -56,10 +57,72 @@ def test_latest_file_per_ticker(spark, folder):
 
 def test_ticker_column_wins(spark, tmp_path):
     (tmp_path / "all.csv").write_text("ticker," + HEADER + "ZZ,2020-01-02,1,1,1,1,1,0,0\n")
-    bars = bar_files.read_bars_csv(spark, str(tmp_path), ticker=True)
+    bars = bar_files.read_bars_csv(spark, str(tmp_path))
     assert bars.first()["ticker"] == "ZZ" and bars.first()["date"] == dt.date(2020, 1, 2)
 
 
+def write(folder, name, text):
+    (folder / name).write_text(text)
+
+
+def test_columns_go_by_their_names(spark, tmp_path):
+    write(tmp_path, "A-2020-01-01-2020-02-01.csv", "Date,Close,Open,High,Low,Volume\n2020-01-02,10,1,12,0.5,7\n")
+    write(tmp_path, "B-2020-01-01-2020-02-01.csv", "Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-02,1,12,0.5,10,9.9,7\n")
+    write(tmp_path, "C-2020-01-01-2020-02-01.csv", "TICKER, date ,open,HIGH,Low,close,volume,x\nZZ,2020-01-02,1,12,0.5,10,7,8\n")
+    rows = bar_files.read_bars_csv(spark, str(tmp_path)).drop("file_name").collect()
+    assert {r["ticker"] for r in rows} == {"A", "B", "ZZ"}
+    assert {tuple(r)[1:] for r in rows} == {(dt.date(2020, 1, 2), 1.0, 12.0, 0.5, 10.0, 7.0)}
+
+
+@pytest.mark.parametrize(
+    "text, problem",
+    [
+        ("Date,Open,High,Low,Close\n2020-01-02,1,1,1,1\n", "no column volume"),
+        ("2020-01-02,1,1,1,1,1\n", "no header"),
+        ("Date,Open,High,Low,Close,Volume\n2020-01-02,1,1,1,1,1\nDate,Close,High,Low,Open,Volume\n", "headers that differ"),
+    ],
+)
+def test_files_without_the_columns_are_refused(spark, tmp_path, text, problem):
+    write(tmp_path, "A-2020-01-01-2020-02-01.csv", HEADER + "2020-01-02,1,1,1,1,1,0,0\n")
+    write(tmp_path, "B-2020-01-01-2020-02-01.csv", text)
+    with pytest.raises(Exception, match=f"B-2020-01-01-2020-02-01.csv has {problem}"):
+        bar_files.read_bars_csv(spark, str(tmp_path)).collect()
+
+
+def test_damaged_files_are_reported_not_shortened(spark, tmp_path):
+    whole = gzip.compress((HEADER + "2020-01-02,1,2,3,4,5,0,0\n" * 20000).encode())
+    (tmp_path / "GOOD-2020-01-01-2020-02-01.csv.gz").write_bytes(whole)
+    (tmp_path / "BAD-2020-01-01-2020-02-01.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "TXT-2020-01-01-2020-02-01.csv").write_text(HEADER + "2020-01-02,1,2,3,4,5,0,0\nx,1,2,3,4,5,0,0\n")
+    with pytest.raises(Exception):
+        bar_files.read_bars_csv(spark, str(tmp_path)).count()
+    files = bar_files.file_status(spark, str(tmp_path))
+    problems = {r["ticker"]: r["problem"] for r in files.collect()}
+    assert problems["GOOD"] is None and problems["TXT"] is None and problems["BAD"]
+    good = [r["path"] for r in files.filter("problem IS NULL").collect()]
+    listed = spark.createDataFrame([(t,) for t in ("GOOD", "BAD", "TXT", "NONE")], "ticker string")
+    status = watchlist.ingest_status(bar_files.read_bars_csv(spark, good), listed, files)
+    got = {r["ticker"]: (r["n_rows"], r["n_bad_dates"], r["status"]) for r in status.collect()}
+    assert got["GOOD"] == (20000, 0, "loaded") and got["TXT"] == (2, 1, "loaded") and got["NONE"] == (0, 0, "no data")
+    assert got["BAD"][0] == 0 and got["BAD"][2].startswith("damaged: ")
+
+
+def test_ticks_are_hashed_not_sorted(spark):
+    ticks = spark.range(1000).selectExpr("id % 7 AS t", "timestamp_ntz'2024-01-01' AS ts", "id", "CAST(id AS DOUBLE) p")
+    bars = bars_from_ticks(ticks, F.col("t"), F.col("ts"), F.col("p"), F.col("p"), ["ts", "id"])
+    bars.collect()
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_an_order_that_needs_more_digits_is_an_error(spark):
+    ticks = spark.range(200).selectExpr("1 AS t", "id")
+    with pytest.raises(Exception):
+        ticks.select(packed_order(ticks, {"id": 2})).collect()
+    with pytest.raises(ValueError):
+        packed_order(ticks, {"t": 20, "id": 19})
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_round_trip(spark, tmp_path, fmt):
     bars = bars_frame(spark, walk("A", 5) + walk("B-C", 4))
@@ -120,8 +183,16 @@ def test_validation_reasons(spark):
     rows[40] = (*rows[40][:5], None, rows[40][6])
     got = {r["ticker"]: (r["is_valid"], r["error_message"]) for r in cleaning.validate_bars(bars_frame(spark, rows)).collect()}
     assert got["LONG"] == (True, "")
-    assert got["SHORT"][0] is False and got["SHORT"][1].endswith("got 5")
-    assert got["GAP"] == (False, "Data contains NaN values in Close or Volume columns")
+    assert got["SHORT"] == (False, "5 bars, 26 are needed")
+    assert got["GAP"] == (False, "1 bars lack a close or a volume")
+
+
+def test_bad_dates_are_counted(spark):
+    rows = walk("A", 50)
+    rows = [(t, None if i < 5 else d, *rest) for i, (t, d, *rest) in enumerate(rows)]
+    row = cleaning.validate_bars(bars_frame(spark, rows)).first()
+    assert (row["n_rows"], row["n_bad_dates"], row["is_valid"]) == (50, 5, False)
+    assert row["error_message"] == "5 bars have no valid date"
 
 
 def test_overview_of_one_bar(spark):
