@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.ml.registry import (
     PREFERRED_TICKER,
@@ -15,7 +17,8 @@ from barloom.ml.registry import (
 )
 from barloom.ml.training import train_by_ticker, train_model
 from barloom.operators.cleaning import look_back_range
-from barloom.sources.bar_files import newest_paths, read_bars_csv
+from barloom.session import cut_lineage
+from barloom.sources.bar_files import file_status, newest_paths, read_bars_csv
 from barloom.sources.watchlist import ingest_status, on_watchlist, read_watchlist, watchlist_order
 
 # Effort and history of the nightly run.
@@ -32,29 +35,49 @@ def nightly_retrain(
     n_estimators: int = NIGHTLY_TREES,
     prefer: str = PREFERRED_TICKER,
     as_of=None,
+    run: str | None = None,
     **options,
 ) -> DataFrame:
-    """Train on the newest file of every listed ticker; returns the load status.
+    """Train on the newest file of every listed ticker.
 
-    By default one pooled model is trained and registered for every series;
+    Returns, per listed ticker, what was loaded (``status``, with damaged files
+    and bad dates) and what came of training (``training``, ``reason``).  By
+    default one pooled model is trained and registered for every series;
     ``per_ticker`` trains one model per listed ticker instead.  Models go to
-    ``{out}/models``, metadata to ``{out}/registry``, and the model to serve to
-    ``{out}/models/production``.
+    ``{out}/models/run={run}``, so a registry row keeps describing its own
+    model; a run that is repeated under the same name replaces itself.  The
+    model to serve is copied to ``{out}/models/production``.
     """
+    run = run or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     listed = read_watchlist(spark, watchlist_path)
-    bars = read_bars_csv(spark, newest_paths(spark, bars_folder)).drop("file_name")
-    bars = on_watchlist(look_back_range(bars, LOOK_BACK_MONTHS, as_of), listed)
     order = watchlist_order(spark, watchlist_path)
+    paths = newest_paths(spark, bars_folder)
+    files = file_status(spark, paths)
+    damaged = {r["path"] for r in files.filter("problem IS NOT NULL").select("path").collect()}
+    bars = read_bars_csv(spark, [p for p in paths if p not in damaged]).drop("file_name")
+    bars = cut_lineage(on_watchlist(bars, listed))
+    status = ingest_status(bars, listed, files)
+    bars = look_back_range(bars, LOOK_BACK_MONTHS, as_of)
     options = {"n_estimators": n_estimators, **options}
     if per_ticker:
-        fitted = train_by_ticker(bars, order, **options)
+        done = train_by_ticker(bars, order, **options)
+        fitted = done.models
+        outcome = done.outcome.withColumnRenamed("status", "training")
     else:
         fitted = {"pooled": train_model(bars, **options)}
+        used = fitted["pooled"].scored.select("ticker").distinct()
+        outcome = used.select("ticker", F.lit("trained").alias("training"), F.lit("").alias("reason"))
     for name, trained in fitted.items():
-        uri = save_model(trained.model, f"{out}/models/{name}")
-        append_registry(registry_rows(trained, uri), f"{out}/registry")
+        uri = save_model(trained.model, f"{out}/models/run={run}/{name}")
+        append_registry(registry_rows(trained, uri), f"{out}/registry", run, name)
     if fitted:
         chosen = select_production(read_registry(spark, f"{out}/registry"), order, prefer).first()
         if chosen is not None:
             save_model(load_model(chosen["model_uri"]), f"{out}/models/production")
-    return ingest_status(bars, listed)
+    left_out = F.lit("too few bars")
+    return status.join(outcome, "ticker", "left").withColumns(
+        {
+            "training": F.coalesce("training", F.lit("not trained")),
+            "reason": F.coalesce("reason", left_out),
+        }
+    )

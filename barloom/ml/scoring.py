@@ -12,6 +12,7 @@ from barloom.operators.evaluation import compare_curves
 from barloom.operators.features import compute_features, fill_features, latest_features
 from barloom.operators.metrics import class_metrics
 from barloom.operators.walkforward import evaluate_windows, window_features
+from barloom.session import cut_lineage
 
 
 def model_columns(model: PipelineModel) -> list[str]:
@@ -62,8 +63,11 @@ def model_signals(bars: DataFrame, model: PipelineModel, start=None, end=None, b
 def backtest_model(
     bars: DataFrame, model: PipelineModel, start=None, end=None, by=("ticker",), **options
 ) -> dict[str, DataFrame]:
-    """Daily curve, performance and classification of a model, as tables."""
-    signals = model_signals(bars, model, start, end, by)
+    """Daily curve, performance and classification of a model, as tables.
+
+    The scored rows are written once; all three tables read them.
+    """
+    signals = cut_lineage(model_signals(bars, model, start, end, by))
     curve = backtest_signals(signals, by, **options)
     return {
         "daily": curve,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,8 +15,8 @@ from barloom.ml.scoring import score
 from barloom.operators.backtest import backtest_signals, perf_metrics
 from barloom.operators.features import compute_features
 from barloom.operators.metrics import class_metrics, classification_report
-from barloom.operators.panel import index_bars
-from barloom.operators.training_set import TEST_SIZE, time_split, with_class_weight
+from barloom.operators.training_set import TEST_SIZE, test_start, time_split, with_class_weight
+from barloom.session import cut_lineage
 
 # Model types, their defaults, and the rows a series must have.
 MODEL_TYPES = ("random_forest", "xgboost", "gradient_boosting")
@@ -50,7 +50,7 @@ DEFAULTS = {
 def model_type_name(model_type: str) -> str:
     name = model_type.lower().strip()
     if name not in MODEL_TYPES:
-        raise ValueError(f"Invalid model_type: {name}. Must be one of: {', '.join(MODEL_TYPES)}")
+        raise ValueError(f"no model type {name!r}; there are {', '.join(MODEL_TYPES)}")
     return name
 
 
@@ -93,7 +93,10 @@ def fit_classifier(
 ) -> PipelineModel:
     """Assemble, scale and fit on rows kept in memory or on disk."""
     estimator = make_classifier(model_type, n_estimators, seed, **overrides)
-    rows = kept_rows(with_class_weight(train.select(*columns, "target")))
+    rows = train.select(*columns, "target")
+    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
+        rows = with_class_weight(rows)
+    rows = kept_rows(rows)
     try:
         return Pipeline(stages=[*feature_stages(columns), estimator]).fit(rows)
     finally:
@@ -102,7 +105,11 @@ def fit_classifier(
 
 @dataclass
 class Trained:
-    """A fitted model with the scored rows of its split."""
+    """A fitted model with the scored rows of its split.
+
+    ``scored`` is a written table, so evaluation, report and hold-out do not
+    compute features again.  ``trials`` holds the search of a tuned model.
+    """
 
     model: PipelineModel
     model_type: str
@@ -110,6 +117,8 @@ class Trained:
     scored: DataFrame
     columns: tuple[str, ...]
     by: tuple[str, ...] = ("ticker",)
+    test_size: float = TEST_SIZE
+    trials: DataFrame | None = None
 
     def evaluation(self, by: tuple[str, ...] | None = None) -> DataFrame:
         """Accuracy and the other class metrics of train and test rows."""
@@ -120,15 +129,21 @@ class Trained:
         return classification_report(self.scored.filter("is_test"), self.by)
 
     def holdout_curve(self, min_rows: int = 26) -> DataFrame:
-        """Backtest of the test rows; series with too few of them are left out."""
+        """Backtest of the test rows; series with too few of them are left out.
+
+        Test rows are the last of their series, so their positions follow from
+        those they have.
+        """
+        first = test_start(self.test_size)
         signals = self.scored.filter("is_test").select(
             *self.by,
             "date",
             F.col("prediction").alias("position"),
             F.col("Close").alias("price"),
+            (F.col("idx") - first).alias("idx"),
+            (F.col("n_bars") - first).alias("n_bars"),
         )
-        numbered = index_bars(signals, self.by).filter(F.col("n_bars") >= min_rows)
-        return backtest_signals(numbered, self.by)
+        return backtest_signals(signals.filter(F.col("n_bars") >= min_rows), self.by)
 
     def holdout_metrics(self) -> DataFrame:
         return perf_metrics(self.holdout_curve(), self.by)
@@ -160,30 +175,72 @@ def train_model(
     test_size: float = TEST_SIZE,
     columns=tuple(FEATURE_COLS),
     by=("ticker",),
+    tune: bool = False,
+    search: dict | None = None,
     **overrides,
 ) -> Trained:
-    """One pooled model over all series, scored on train and test rows."""
+    """One pooled model over all series, scored on train and test rows.
+
+    ``tune`` searches tree parameters first and keeps the best model, refitted
+    on all training rows; ``search`` holds options of ``tune_classifier``.
+    """
     name = model_type_name(model_type)
-    table = training_table(bars, columns, by, test_size)
-    model = fit_classifier(
-        table.filter(~F.col("is_test")), name, n_estimators, seed, columns, **overrides
+    table = cut_lineage(training_table(bars, columns, by, test_size))
+    train, trials = table.filter(~F.col("is_test")), None
+    if tune:
+        from barloom.ml.tuning import tune_classifier  # builds on this module
+
+        options = {"seed": seed, "columns": columns, "by": by, **(search or {})}
+        model, trials = tune_classifier(train, name, **options)
+    else:
+        model = fit_classifier(train, name, n_estimators, seed, columns, **overrides)
+    scored = cut_lineage(score(table, model))
+    return Trained(model, name, seed, scored, tuple(columns), tuple(by), test_size, trials)
+
+
+@dataclass
+class TickerModels:
+    """Models by ticker, and what became of every ticker asked for."""
+
+    models: dict[str, Trained] = field(default_factory=dict)
+    outcome: DataFrame | None = None
+
+
+def trainable(bars: DataFrame, min_bars: int = MIN_TRAIN_BARS) -> DataFrame:
+    """``ticker, n_bars, n_up, n_down`` of the series that a model can be fitted to."""
+    rows = training_table(bars, (), min_bars=min_bars).filter(~F.col("is_test"))
+    return rows.groupBy("ticker").agg(
+        F.max("n_bars").alias("n_bars"),
+        F.count_if(F.col("target") == 1).alias("n_up"),
+        F.count_if(F.col("target") == 0).alias("n_down"),
     )
-    return Trained(model, name, seed, score(table, model), tuple(columns), tuple(by))
 
 
-def train_by_ticker(bars: DataFrame, tickers: list[str], **options) -> dict[str, Trained]:
-    """One model per listed ticker, each fit distributed; failures are skipped.
+def train_by_ticker(bars: DataFrame, tickers: list[str], **options) -> TickerModels:
+    """One model per listed ticker, each fit distributed.
 
-    For a short list.  Beyond that the pooled model, evaluated per ticker, does
-    one fit instead of thousands.
+    ``outcome`` has a row for every ticker with ``status`` and ``reason``.  What
+    keeps a series from being learned is found in one pass beforehand; an error
+    during a fit is no property of the series and stops the run.  For a short
+    list: beyond that the pooled model, evaluated per ticker, does one fit
+    instead of thousands.
     """
-    models = {}
-    for ticker in tickers:
-        try:
-            models[ticker] = train_model(bars.filter(F.col("ticker") == ticker), **options)
-        except Exception as error:  # one bad series must not stop the others
-            print(f"training failed for {ticker}: {error}")
-    return models
+    spark = bars.sparkSession
+    listed = spark.createDataFrame([(t,) for t in tickers], "ticker string")
+    found = {r["ticker"]: r for r in trainable(bars).join(listed, "ticker", "left_semi").collect()}
+    result, rows = TickerModels(), []
+    for ticker in dict.fromkeys(tickers):
+        facts = found.get(ticker)
+        if facts is None:
+            rows.append((ticker, "not trained", f"fewer than {MIN_TRAIN_BARS} bars"))
+        elif not (facts["n_up"] and facts["n_down"]):
+            rows.append((ticker, "not trained", "the training rows have one class only"))
+        else:
+            own = bars.filter(F.col("ticker") == ticker)
+            result.models[ticker] = train_model(own, **options)
+            rows.append((ticker, "trained", ""))
+    result.outcome = spark.createDataFrame(rows, "ticker string, status string, reason string")
+    return result
 
 
 def feature_importance(model: PipelineModel, top: int | None = 10) -> DataFrame:

@@ -81,8 +81,11 @@ def tune_classifier(
         .build()[0]
         for trial in trials
     ]
+    # Weights come from all training rows; a fold's own would differ slightly.
     rows = with_folds(train, folds, by).select(*columns, "target", "fold")
-    rows = kept_rows(with_class_weight(rows))
+    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
+        rows = with_class_weight(rows)
+    rows = kept_rows(rows)
     validator = CrossValidator(
         estimator=Pipeline(stages=[*feature_stages(columns), estimator]),
         estimatorParamMaps=param_maps,

@@ -51,10 +51,12 @@ def indexed_history(
     min_rows: int = MIN_ROWS,
     min_raw: int = 0,
     tail: int | None = None,
+    bucket_days: int | None = None,
 ) -> DataFrame:
     """Usable bars with positions; series that are too short are left out.
 
-    ``min_rows`` counts usable bars, ``min_raw`` bars before cleaning.
+    ``min_rows`` counts usable bars, ``min_raw`` bars before cleaning.  Fewer
+    ``bucket_days`` keep the numbering of very dense series in small groups.
     """
     require_columns(bars, [*by, order, "Open", "High", "Low", "Close", "Volume"])
     return index_bars(
@@ -65,6 +67,7 @@ def indexed_history(
         min_rows=min_rows,
         min_raw=min_raw,
         tail=tail,
+        bucket_days=bucket_days,
     )
 
 
@@ -79,6 +82,7 @@ def feature_panel(
     spare: int = 0,
     chunk_rows: int = CHUNK_ROWS,
     min_raw: int = 0,
+    bucket_days: int | None = None,
 ) -> Panel:
     """Bars with indicators and label, still in chunks.
 
@@ -88,7 +92,7 @@ def feature_panel(
     before = look_back(columns, rsi_period)
     if spare:
         before += BLOCK_ROWS if uses_average(columns) else spare
-    indexed = indexed_history(bars, by, order, min_rows, min_raw)
+    indexed = indexed_history(bars, by, order, min_rows, min_raw, bucket_days=bucket_days)
     panel = chunk_panel(indexed, by, before=before, after=1, chunk_rows=chunk_rows)
     return add_target(add_indicators(panel, columns, rsi_period), threshold)
 
@@ -105,6 +109,7 @@ def compute_features(
     fill: bool = True,
     chunk_rows: int = CHUNK_ROWS,
     min_raw: int = 0,
+    bucket_days: int | None = None,
 ) -> DataFrame:
     """Bars plus feature columns, ``next_close``, ``next_pct_change``, ``target``.
 
@@ -121,6 +126,7 @@ def compute_features(
         threshold,
         chunk_rows=chunk_rows,
         min_raw=min_raw,
+        bucket_days=bucket_days,
     ).result()
     if drop_unlabeled:
         df = df.filter(F.col("next_close").isNotNull())
@@ -135,6 +141,7 @@ def latest_features(
     order: str = "date",
     min_rows: int = MIN_ROWS,
     rsi_period: int = RSI_PERIOD,
+    bucket_days: int | None = None,
 ) -> DataFrame:
     """Features of the last ``rows`` bars of every series.
 
@@ -143,7 +150,9 @@ def latest_features(
     before = look_back(columns, rsi_period)
     if uses_average(columns):
         before += BLOCK_ROWS  # the last bar sits anywhere in its block
-    indexed = indexed_history(bars, by, order, min_rows, tail=rows + before)
+    indexed = indexed_history(
+        bars, by, order, min_rows, tail=rows + before, bucket_days=bucket_days
+    )
     panel = tail_panel(indexed, by, rows, before)
     panel = add_target(add_indicators(panel, columns, rsi_period))
     return _select(panel.result(), columns, by, order, fill=True)

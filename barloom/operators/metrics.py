@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.maths import ratio
@@ -95,29 +98,43 @@ def _rank_area(scored: DataFrame, by, actual: str, score: str, counts: list[Colu
     half of those with the same score.  Rows are first reduced to counts per
     distinct score, ranked inside score buckets, and the buckets are then put
     together by a running sum: no task ever ranks a whole series.
-    The score is a probability; values outside [0, 1] share the end buckets.
+    The buckets divide the range of the scores that a series really has.  Rows
+    without a score (NULL or NaN) have no rank and take no part in the area;
+    they do count in the confusion counts.
     """
     by = list(by)
     kept = COUNT_NAMES[: len(counts)]
-    tally = scored.groupBy(*by, F.col(score).alias("_score")).agg(
+    value = F.col(score).cast("double")
+    tally = scored.groupBy(*by, F.when(~F.isnan(value), value).alias("_score")).agg(
         F.count_if(F.col(actual) == 1).alias("_pos"),
         F.count_if(F.col(actual) == 0).alias("_neg"),
         *counts,
     )
-    slot = F.floor(F.col("_score") * F.lit(SCORE_BUCKETS))
-    top = F.lit(SCORE_BUCKETS - 1).cast("bigint")
-    tally = tally.withColumn("_slot", F.greatest(F.least(slot, top), F.lit(0).cast("bigint")))
+    ranked = F.col("_score").isNotNull()
+    tally = tally.withColumns(
+        {c: F.when(ranked, F.col(c)).otherwise(F.lit(0)) for c in ("_pos", "_neg")}
+    )
+    bounds = tally.groupBy(*by).agg(F.min("_score").alias("_lo"), F.max("_score").alias("_hi"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    bounds = bounds.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    # One row per series; without a series, one row in all.
+    tally = tally.join(bounds, functools.reduce(operator.and_, same)) if by else tally.join(F.broadcast(bounds))
+    # Halved first, so that the width of a very wide range is still a number.
+    place = ratio(F.col("_score") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+    slot = F.when(place.between(0.0, 1.0), F.floor(place * F.lit(SCORE_BUCKETS - 1)))
+    top = F.when(place > 0, F.lit(SCORE_BUCKETS - 1)).otherwise(F.lit(0)).cast("bigint")
+    tally = tally.withColumn("_slot", F.coalesce(slot, top))
     inside = Window.partitionBy(*by, "_slot").orderBy("_score")
     below = F.coalesce(
         F.sum("_neg").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    tally = tally.withColumn("_wins", F.col("_pos") * (below + F.col("_neg") / F.lit(2.0)))
+    tally = tally.withColumn("_wins", F.col("_pos").cast("double") * (below + F.col("_neg") / F.lit(2.0)))
     slots = tally.groupBy(*by, "_slot").agg(
         *[F.sum(c).alias(c) for c in ("_pos", "_neg", "_wins", *kept)]
     )
     earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_below", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)))
-    area = F.sum(F.col("_wins") + F.col("_pos") * F.col("_below"))
+    area = F.sum(F.col("_wins") + F.col("_pos").cast("double") * F.col("_below").cast("double"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return slots.groupBy(*by).agg(
         _or_zero(ratio(area, pairs)).alias("roc_auc"), *[F.sum(c).alias(c) for c in kept]

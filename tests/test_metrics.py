@@ -47,6 +47,21 @@ def test_auc_outside_the_unit_interval(spark):
     assert abs(got - pairwise_auc(rows)) < 1e-12
 
 
+def test_auc_without_scores(spark):
+    nan = float("nan")
+    rows = [("A", 1, 1, 0.9), ("A", 1, 0, 0.4), ("A", 0, 0, 0.4), ("A", 0, 0, 0.1), ("A", 1, 1, None), ("A", 0, 0, nan)]
+    row = metrics.class_metrics(frame(spark, rows), score="prob_up").first()
+    assert abs(row["roc_auc"] - pairwise_auc(rows[:4])) < 1e-12
+    assert row["tn"] + row["fp"] + row["fn"] + row["tp"] == 6
+    assert metrics.roc_auc(frame(spark, [("A", 1, 1, None), ("A", 0, 0, None)])).first()["roc_auc"] == 0.0
+
+
+@pytest.mark.parametrize("scale", [1e-300, 100.0, 1e308])
+def test_auc_of_scores_of_any_size(spark, scale):
+    rows = [("A", i % 2, 0, x * scale) for i, x in enumerate([-0.9, 0.3, 0.2, 0.9, -0.7, 0.9, 0.9, -0.1])]
+    assert abs(metrics.roc_auc(frame(spark, rows)).first()["roc_auc"] - pairwise_auc(rows)) < 1e-12
+
+
 def test_one_class(spark):
     df = frame(spark, [("A", 0, 0, 0.2), ("A", 0, 0, 0.4)])
     row = metrics.class_metrics(df, score="prob_up").first()

@@ -71,7 +71,7 @@ def test_prediction_is_the_last_scored_row(trained, bars):
 
 
 def test_missing_feature_columns(trained, bars):
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         scoring.score(bars, trained.model)
 
 
@@ -83,7 +83,7 @@ def test_importance(trained):
 
 def test_model_types():
     assert model_type_name("  XGBoost ") == "xgboost"
-    with pytest.raises(ValueError, match="Invalid model_type"):
+    with pytest.raises(ValueError, match="no model type 'svm'"):
         model_type_name("svm")
     assert make_classifier("random_forest").getMaxDepth() == 15
     assert make_classifier("gradient_boosting").getStepSize() == 0.05
@@ -109,8 +109,33 @@ def test_tuning(bars):
 
 
 def test_failed_ticker_does_not_stop_the_rest(bars):
-    models = train_by_ticker(bars, ["A", "NOBODY"], **SMALL)
-    assert list(models) == ["A"]
+    done = train_by_ticker(bars, ["A", "NOBODY", "TINY"], **SMALL)
+    assert list(done.models) == ["A"]
+    rows = {r["ticker"]: (r["status"], r["reason"]) for r in done.outcome.collect()}
+    assert rows == {
+        "A": ("trained", ""),
+        "NOBODY": ("not trained", "fewer than 50 bars"),
+        "TINY": ("not trained", "fewer than 50 bars"),
+    }
+
+
+def test_errors_during_a_fit_are_not_swallowed(bars):
+    with pytest.raises(Exception):
+        train_by_ticker(bars, ["A"], n_estimators=3, maxDepth=99)
+
+
+def test_tuned_model_is_a_trained_model(bars):
+    search = {"draws": 2, "folds": 2, "space": {"numTrees": [2, 4], "maxDepth": [2]}}
+    tuned = train_model(bars, tune=True, search=search)
+    best = next(r for r in tuned.trials.collect() if r["best"])
+    rows = registry.registry_rows(tuned).collect()
+    assert {r["n_estimators"] for r in rows} == {int(best["params"]["numTrees"])}
+    assert tuned.evaluation().count() == 4 and tuned.holdout_metrics().count() == 1
+
+
+def test_holdout_positions_follow_from_the_split(trained):
+    rows = trained.holdout_curve().orderBy("date").collect()
+    assert [r["idx"] for r in rows] == list(range(30)) and {r["n_bars"] for r in rows} == {30}
 
 
 def test_compare_and_backtest(trained, bars):
@@ -133,10 +158,16 @@ def test_registry(spark, trained, tmp_path):
     when = dt.datetime(2024, 5, 1)
     rows = registry.registry_rows(trained, "file:/models/one", when)
     path = str(tmp_path / "registry")
-    registry.append_registry(rows, path)
-    registry.append_registry(
-        registry.create_metadata(spark, "AAPL", 0.75, 800, 200, 15, dt.datetime(2024, 4, 1)), path
-    )
+    registry.append_registry(rows, path, "one")
+    registry.append_registry(rows, path, "one")  # a retry replaces the rows of its run
+    other = {
+        "ticker": "AAPL",
+        "accuracy": 0.75,
+        "feature_count": 15,
+        "training_date": dt.datetime(2024, 4, 1),
+        "model_type": "random_forest",
+    }
+    registry.append_registry(spark.createDataFrame([other], registry.REGISTRY_SCHEMA), path, "two")
     table = registry.read_registry(spark, path)
     assert table.count() == 3
     a = table.filter("ticker = 'A'").first()
@@ -147,7 +178,7 @@ def test_registry(spark, trained, tmp_path):
     assert registry.select_production(table, ["B", "A", "AAPL"]).first()["ticker"] == "AAPL"
     assert registry.select_production(table, ["B", "A"]).first()["ticker"] == "B"
     info = registry.model_info(table.filter("ticker = 'AAPL'")).first()
-    assert info["train_accuracy"] == 0.0 and info["model_type"] == "RandomForestClassifier"
+    assert info["train_accuracy"] == 0.0 and info["model_type"] == "random_forest"
     kinds = {r["Model Type"] for r in registry.registry_compare(table).collect()}
     assert "Random Forest" in kinds
     gate = registry.quality_gate(table).filter("ticker = 'AAPL'").first()
