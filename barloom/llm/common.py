@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python task handles at once (a longer text is handled alone).
@@ -75,7 +76,7 @@ def doc_bucket(id_col: str | Column, n: int) -> Column:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text, or of one row."""
-    lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()], dtype=np.int64)
+    lengths = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], dtype=np.int64)
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > limit:
