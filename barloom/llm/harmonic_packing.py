@@ -26,13 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import slices, stored
+from barloom.llm.common import ranges, slices, stored
 
 CAPACITY = 4096
 RECIPROCALS = 64
 END_ID = 2
-#: Words kept with their ids in a Python worker; beyond that the memory starts anew.
-REMEMBERED = 200_000
+#: Parts of words kept with their ids in a Python worker; beyond that the memory starts anew.
+REMEMBERED = 400_000
+#: Bytes of text whose words are looked up together.
+SLICE = 8 << 20
 #: Pieces that one task numbers in one go.
 BUCKET_ROWS = 50_000
 
@@ -63,38 +65,85 @@ class Cutter:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins anything across a space or a line feed.
+    """Ids of texts by a tokenizer that never joins anything across white space, or across a letter or
+    digit and a following mark.
 
-    Text is cut at these two; distinct words of a slice are looked up or encoded once, and the ids of
-    the text are taken from them.
+    Texts are cut at spaces and line feeds, and words before their trailing marks. The parts that a
+    slice holds are looked up, or encoded once; the ids of a text are taken from theirs. Parts are kept
+    between slices, up to a bounded number. ASCII parts are lowered beforehand where the tokenizer lowers
+    letters itself.
     """
 
+    MARKS = "!\"#$%&()*+,-./:;?@[]^_`{|}~"
+
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, list[int]] = {}
+        self.lowers = self._ids(["Aa"]) == self._ids(["aa"])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.part: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.counts = np.zeros(1, dtype=np.int64)
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes new parts. Parts of letters only are encoded many in one text: each ends in a token that ends a word."""
+        plain = [p for p in parts if p.isalpha() and len(low := p.lower()) == len(p) and low.isalpha()] if self.ends.any() else []
+        ids, counts, done = [], [], []
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            found = np.array(self._ids([" ".join(some)])[0], dtype=np.uint32)
+            last = np.flatnonzero(self.ends[found])
+            if len(last) == len(some) and last[-1] == len(found) - 1:
+                ids.append(found)
+                counts.append(np.diff(last, prepend=-1))
+                done += some
+        known = set(done)
+        rest = [p for p in parts if p not in known]
+        if rest:
+            lists = self._ids(rest)
+            ids.append(np.array([x for y in lists for x in y], dtype=np.uint32))
+            counts.append(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+        first = len(self.part)
+        self.part.update(zip(done + rest, range(first, first + len(parts))))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.counts = np.concatenate([self.counts, *counts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each text."""
-        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        if len(self.part) > REMEMBERED:
+            self.clear()
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        words = pc.split_pattern(texts, " ")
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        ids = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        lists = pa.array(ids, type=pa.list_(pa.uint32()))
-        index = coded.indices
-        flat = lists.take(index).flatten().to_numpy(zero_copy_only=False).astype(np.uint32, copy=False)
-        per_word = np.concatenate([[0], np.cumsum(sizes[index.to_numpy(zero_copy_only=False)])]) if len(index) else np.zeros(1, np.int64)
+        distinct, marks = coded.dictionary.to_pylist(), self.MARKS
+        cores = [w.rstrip(marks) for w in distinct]
+        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, distinct)]
+        tails = [w[len(c) :] for c, w in zip(cores, distinct)]
+        if self.lowers:
+            cores = [c.lower() if c.isascii() else c for c in cores]
+        new = list(set(cores).union(tails).difference(self.part))
+        if new:
+            self._learn(new)
+        both = np.empty((len(distinct), 2), dtype=np.int64)
+        both[:, 0] = np.fromiter(map(self.part.__getitem__, cores), dtype=np.int64, count=len(cores))
+        both[:, 1] = np.fromiter(map(self.part.__getitem__, tails), dtype=np.int64, count=len(tails))
+        used = both[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        counts = self.counts[used]
+        flat = self.ids[ranges((np.cumsum(self.counts) - self.counts)[used], counts)]
+        before = np.concatenate([[0], np.cumsum(counts)])
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-        return flat, np.diff(per_word[offsets])
+        return flat, np.diff(before[2 * offsets])
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -105,7 +154,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 flat, counts = words.encode(texts.slice(a, b - a))
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
