@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import ASCII_LOWER, ranges, stored
+from barloom.llm.common import ASCII_LOWER, free_name, ranges, stored
 
 SHINGLE = 4
 RADIUS = 4
@@ -231,5 +231,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` without those that are near a document of smaller id (rows without id stay)."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

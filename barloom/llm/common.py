@@ -69,6 +69,14 @@ class Numbers(dict):
         return number
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_bucket(id_col: str | Column, n: int) -> Column:
     """CRC-32 of the id's text, modulo ``n``; NULL ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")).cast("binary")) % n

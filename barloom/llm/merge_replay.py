@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import Numbers, ranges, slices
+from barloom.llm.common import Numbers, free_name, ranges, slices
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 24 << 20
@@ -306,4 +306,6 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
     returns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     of: Column = _encoder(vocabulary, pattern, returns, _digests)(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return docs.drop(*names).withColumn("_digests", of).select("*", *[F.col(f"_digests.{n}").alias(n) for n in names]).drop("_digests")
+    docs = docs.drop(*names)
+    found = free_name(docs, "_found")
+    return docs.withColumn(found, of).select("*", *[f"{found}.{n}" for n in names]).drop(found)

@@ -81,9 +81,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-@arrow_udf("array<double>")
-def _statistics(texts: pa.Array) -> pa.Array:
-    return pa.array([statistics(texts[i].as_py()) for i in range(len(texts))], type=pa.list_(pa.float64()))
+def statistics_column(text: Column) -> Column:
+    """``statistics`` of a text as an array of double."""
+
+    @arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(texts[i].as_py()) for i in range(len(texts))], type=pa.list_(pa.float64()))
+
+    return of(text)
 
 
 @dataclass(frozen=True)
@@ -116,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     chosen = stored(sample_rows(rows, "label", ["_id"], sample))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     part = F.pmod(F.xxhash64("_doc", F.lit("calibrate")), F.lit(3)) == 0
-    train = texts.select(_statistics("_text").alias("x"), "label", part.alias("held")).limit(4 * sample)
+    train = texts.select(statistics_column(F.col("_text")).alias("x"), "label", part.alias("held")).limit(4 * sample)
     train = stored(train.repartition(TASKS))
     ridge = train.where("not held")
     moments = ridge.agg(

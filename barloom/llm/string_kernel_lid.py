@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import stored
+from barloom.llm.common import free_name, stored
 
 ORDERS = (1, 2, 3, 4)
 SLOT_BITS = 16
@@ -188,4 +188,5 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             names = pa.array([languages[b] if b >= 0 else UNKNOWN for b in best.tolist()])
             yield pa.StructArray.from_arrays([names, pa.array(top)], names=["lang_pred", "score"])
 
-    return docs.withColumn("_lid", of(F.col(text_col).cast("string"))).select("*", "_lid.lang_pred", "_lid.score").drop("_lid")
+    found = free_name(docs, "_found")
+    return docs.withColumn(found, of(F.col(text_col).cast("string"))).select("*", f"{found}.lang_pred", f"{found}.score").drop(found)

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barloom.llm.common import free_name
+
 WINDOW = 3
 RESULT = ("n_lines", "removed_lines", "removed_spans")
 
@@ -55,7 +57,7 @@ def later_windows(found: DataFrame) -> DataFrame:
         flagged.groupBy("id", "row")
         .agg(F.max("later").alias("any"), F.array_sort(F.collect_set(F.struct("pos", "later"))).alias("w"))
         .where("any")
-        .select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("w.later").alias("_later"))
+        .select("id", "row", F.col("w.later").alias("later"))
     )
 
 
@@ -65,25 +67,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Adds ``n_lines`` (before), ``removed_lines`` (int) and ``removed_spans`` (array of structs ``start``,
     ``end``: merged line ranges, the end not included).
     """
-    later = later_windows(windows(docs, id_col, text_col))
-    rows = docs.drop(*RESULT).withColumn("_id", F.col(id_col)).withColumn("_row", F.xxhash64(F.col(text_col)))
-    later = later.withColumnsRenamed({"_id": "_lid", "_row": "_lrow"})
-    both = rows.join(later, F.col("_id").eqNullSafe(F.col("_lid")) & (F.col("_row") == F.col("_lrow")), "left")
+    rows = docs.drop(*[c for c in RESULT if c not in (id_col, text_col)])
+    row, later_id, later_row, flags = (free_name(rows, c) for c in ("_row", "_later_id", "_later_row", "_flags"))
+    later = later_windows(windows(docs, id_col, text_col)).toDF(later_id, later_row, flags)
+    rows = rows.withColumn(row, F.xxhash64(F.col(text_col)))
+    both = rows.join(later, F.col(id_col).eqNullSafe(F.col(later_id)) & (F.col(row) == F.col(later_row)), "left")
     lines = F.split(F.col(text_col), "\n")
 
     def gone(i: Column) -> Column:
-        return F.coalesce(F.get("_later", i), F.lit(False)) | F.coalesce(F.get("_later", i - 1), F.lit(False)) | F.coalesce(F.get("_later", i - 2), F.lit(False))
+        return F.coalesce(F.get(flags, i), F.lit(False)) | F.coalesce(F.get(flags, i - 1), F.lit(False)) | F.coalesce(F.get(flags, i - 2), F.lit(False))
 
     kept = F.filter(lines, lambda x, i: ~gone(i))
     every = F.sequence(F.lit(0), F.size(lines))
     starts = F.filter(every, lambda i: gone(i) & ~gone(i - 1))
     ends = F.filter(every, lambda i: ~gone(i) & gone(i - 1))
     spans = F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    hit = F.col("_later").isNotNull()
+    hit = F.col(flags).isNotNull()
     return (
         both.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
         .withColumn("removed_spans", F.when(hit, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
         .withColumn("removed_lines", F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]))
         .withColumn(text_col, F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
-        .drop("_id", "_row", "_lid", "_lrow", "_later")
+        .drop(row, later_id, later_row, flags)
     )
