@@ -99,6 +99,8 @@ def build_index(rows: DataFrame, pivots: np.ndarray, width: int, longest: float,
 
 def search_index(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], pivots: np.ndarray, width: int, k: int, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
     """For one block of queries the best ``k`` of every task: ``query_id, vec_id, score``."""
+    if prefix > 255:
+        raise ValueError("a prefix has at most 255 pivots")
     norms = np.linalg.norm(queries[1], axis=1, keepdims=True)
     flat = np.hstack([queries[1] / norms, np.zeros((len(norms), 1))])
     shared = index.sparkSession.sparkContext.broadcast((*queries, prefixes(flat, pivots, prefix)))
@@ -106,6 +108,7 @@ def search_index(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], pivot
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, asked, order = shared.value
         length = order.shape[1]
+        left = np.arange(length, 0, -1, dtype=np.uint8)[:, None]
         top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
         for batch in batches:
             for row in range(batch.num_rows):
@@ -115,12 +118,11 @@ def search_index(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], pivot
                 starts = np.frombuffer(raw["starts"], dtype=np.int64)
                 rows, places = np.frombuffer(raw["rows"], dtype=np.int32), np.frombuffer(raw["places"], dtype=np.int32)
                 wanted = max(LEAST, int(share * len(ids)))
+                # The files as rows of the pivots: how far before the end of its prefix a vector has the pivot, or 0.
+                files = np.zeros((len(starts) - 1, len(ids)), dtype=np.uint8)
+                files[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), rows] = length - places
                 for q in range(len(query_ids)):
-                    near = np.zeros(len(ids), dtype=np.int32)
-                    for place, pivot in enumerate(order[q].tolist()):
-                        a, b = starts[pivot], starts[pivot + 1]
-                        # A vector stands once in a pivot's file, so the sum can be taken in place.
-                        near[rows[a:b]] += length - np.maximum(places[a:b], place)
+                    near = np.minimum(files[order[q]], left).sum(axis=0, dtype=np.uint16)
                     if wanted < len(ids):
                         some = np.flatnonzero(near >= np.partition(near, len(ids) - wanted)[len(ids) - wanted])
                     else:
