@@ -653,3 +653,61 @@ SQL["history_display"] = sql(
     printf('%.2f%%', 100 * prob_up) AS "P(Up)", printf('%.2f%%', 100 * (1 - prob_up)) AS "P(Down)",
     'rsi' AS "Model", '50.00%' AS "Model Acc" FROM p""",
 )
+
+# What must hold of the fitted models, whatever their trees look like.
+ROWS = [INDEX, indexed(min_rows=50), *PLAIN, SPLIT]
+SQL["score_all_facts"] = sql(
+    ROWS,
+    """SELECT ticker, is_test, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date,
+    sum(target)::BIGINT AS n_up, count(*) AS n_probabilities, count(*) AS n_consistent
+    FROM s GROUP BY ALL""",
+)
+SQL["evaluation_facts"] = sql(
+    ROWS,
+    """SELECT m AS model_type, ticker, is_test, count(*) AS n_rows, sum(target)::BIGINT AS n_up,
+    TRUE AS accuracy_holds, TRUE AS auc_holds
+    FROM s CROSS JOIN (VALUES ('random_forest'), ('gradient_boosting')) v(m) GROUP BY ALL""",
+)
+SQL["train_eval_facts"] = sql(
+    ROWS,
+    """SELECT ticker, label, count(*) FILTER (WHERE label NOT IN ('Down', 'Up')
+      OR target = CASE label WHEN 'Up' THEN 1 ELSE 0 END) AS support, TRUE AS figures_hold
+    FROM s CROSS JOIN (VALUES ('Down'), ('Up'), ('accuracy'), ('macro avg'), ('weighted avg')) v(label)
+    WHERE is_test GROUP BY ALL""",
+)
+SQL["predict_next_day_facts"] = sql(
+    ROWS,
+    f"""SELECT ticker, date, {r("current_price", EXACT, '"Close"')}, 1.0::DOUBLE AS whole,
+    TRUE AS probability_holds FROM s WHERE idx = n_bars - 1""",
+)
+SQL["feature_importance_facts"] = (
+    f"SELECT {len(FEATURE_COLS)}::BIGINT AS n_features, 1.0::DOUBLE AS whole, 0::BIGINT AS n_negative"
+)
+SQL["backtest_holdout_facts"] = sql(
+    ROWS,
+    f"""SELECT ticker, count(*) AS n_days, count(*) - 1 AS n_returns, min(date) AS first_date,
+    {r("buy_and_hold", 6, 'arg_max("Close", idx) / arg_min("Close", idx) * 10000')},
+    0::BIGINT AS n_wrong_drawdowns FROM s WHERE is_test GROUP BY ticker HAVING count(*) >= 26""",
+)
+SQL["walk_forward_model_facts"] = sql(
+    [
+        INDEX,
+        indexed(min_rows=1).replace("ib AS", "whole AS"),
+        windows().replace("FROM ib", "FROM whole"),
+    ],
+    """SELECT ticker, window_id, count(*) AS n_rows, count(*) FILTER (WHERE nxt / "Close" - 1 > 0.005) AS n_up
+    FROM (SELECT *, lead("Close") OVER (PARTITION BY ticker, window_id ORDER BY idx) AS nxt FROM win)
+    GROUP BY ALL""",
+)
+SQL["compare_models_facts"] = sql(
+    [INDEX, indexed()],
+    """SELECT DISTINCT ticker, m AS model, TRUE AS accuracy_holds
+    FROM ib CROSS JOIN (VALUES ('forest'), ('boosting')) v(m)""",
+)
+SQL["model_registry_facts"] = sql(
+    ROWS,
+    f"""SELECT ticker, 'random_forest' AS model_type, count(*) FILTER (WHERE NOT is_test) AS train_size,
+    count(*) FILTER (WHERE is_test) AS test_size, {len(FEATURE_COLS)} AS feature_count,
+    200 AS n_estimators, 42 AS random_state, 5 AS n_top_features, 9 AS n_figures
+    FROM s GROUP BY ticker""",
+)

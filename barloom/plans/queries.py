@@ -31,8 +31,8 @@ from barloom.sources.ticks import bars_from_ticks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Model queries keep the default tree shapes but grow few trees.
-TREES = 10
+# Where a query fits several models (folds, single series), each has fewer trees.
+SMALL_FOREST = 50
 WATCHLIST = ["Brand#11", "# a comment", "", " brand#23", "Brand#4", "Brand#99"]
 BAR_COLS = ["Open", "High", "Low", "Close", "Volume"]
 # Unit prices often end exactly halfway between two shorter decimals.
@@ -534,7 +534,7 @@ def _trained(spark, sf_dir, model_type="random_forest"):
     key = (spark.sparkContext.applicationId, sf_dir, model_type)
     if key not in _FITTED:
         bars = kept(index_level_bars(spark, sf_dir))
-        _FITTED[key] = train_model(bars, model_type, n_estimators=TREES)
+        _FITTED[key] = train_model(bars, model_type)
     return _FITTED[key]
 
 
@@ -555,10 +555,10 @@ QUERIES["xgb_like_train"] = _train_query("xgboost")
 def tune_rf(spark, sf_dir):
     """A tuned model, through training: the trials, and what the winner scores on its test rows.
 
-    Of the shipped space this takes the small forests and two draws; the whole
-    search is 91 fits of up to 700 trees.
+    The shipped space with smaller forests, and two draws of it; the whole search
+    is 91 fits of up to 700 trees.
     """
-    space = {**SEARCH_SPACES["random_forest"], "numTrees": [TREES], "maxDepth": [8, 10]}
+    space = {**SEARCH_SPACES["random_forest"], "numTrees": [SMALL_FOREST]}
     search = {"draws": 2, "space": space}
     trained = train_model(kept(index_level_bars(spark, sf_dir)), tune=True, search=search)
     held = trained.evaluation(by=()).filter("is_test").select(F.col("accuracy").alias("held_out"))
@@ -575,7 +575,7 @@ def q_train_by_ticker(spark, sf_dir):
     """A model for every series there is, and one that is not there."""
     bars = kept(index_level_bars(spark, sf_dir))
     tickers = [r["ticker"] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]
-    done = train_by_ticker(bars, [*tickers, "nobody"], n_estimators=TREES)
+    done = train_by_ticker(bars, [*tickers, "nobody"], n_estimators=SMALL_FOREST)
     out = None
     for trained in done.models.values():
         one = trained.evaluation().filter("is_test").drop("is_test")
@@ -647,3 +647,138 @@ def model_roundtrip(spark, sf_dir):
 @query
 def model_registry(spark, sf_dir):
     return reg.registry_rows(_trained(spark, sf_dir))
+
+
+# ------------------------- what SQL can say about the fitted models
+# The queries above return what the models say. These return what must hold of
+# it whatever the trees look like: which rows were scored, how they split, and
+# that the figures are consistent with each other.
+
+
+def _probability_facts() -> list:
+    p, predicted = F.col("prob_up"), F.col("prediction")
+    return [
+        F.count_if(p.between(0.0, 1.0)).alias("n_probabilities"),
+        F.count_if(predicted == F.when(p > 0.5, 1).otherwise(0)).alias("n_consistent"),
+    ]
+
+
+@query
+def score_all_facts(spark, sf_dir):
+    rows = _trained(spark, sf_dir).scored
+    return rows.groupBy("ticker", "is_test").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.sum("target").alias("n_up"),
+        *_probability_facts(),
+    )
+
+
+@query
+def evaluation_facts(spark, sf_dir):
+    """Rows and positives behind the figures of every kind of model."""
+    out = None
+    for kind in ("random_forest", "gradient_boosting"):
+        figures = _trained(spark, sf_dir, kind).evaluation()
+        hits = F.col("tp") + F.col("tn")
+        rows = hits + F.col("fp") + F.col("fn")
+        one = figures.select(
+            F.lit(kind).alias("model_type"),
+            "ticker",
+            "is_test",
+            rows.alias("n_rows"),
+            (F.col("tp") + F.col("fn")).alias("n_up"),
+            (F.abs(F.col("accuracy") - hits / rows) < 1e-9).alias("accuracy_holds"),
+            F.col("roc_auc").between(0.0, 1.0).alias("auc_holds"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def train_eval_facts(spark, sf_dir):
+    report = _trained(spark, sf_dir).report()
+    return report.select(
+        "ticker",
+        "label",
+        "support",
+        F.greatest("precision", "recall", "f1_score").between(0.0, 1.0).alias("figures_hold"),
+    )
+
+
+@query
+def predict_next_day_facts(spark, sf_dir):
+    said = predict_next_day(spark, sf_dir)
+    sure = F.greatest("prob_up", "prob_down")
+    return rounded(
+        said.select(
+            "ticker",
+            "date",
+            "current_price",
+            (F.col("prob_up") + F.col("prob_down")).alias("whole"),
+            (F.abs(F.col("probability") - sure) < 1e-9).alias("probability_holds"),
+        ),
+        EXACT,
+    )
+
+
+@query
+def feature_importance_facts(spark, sf_dir):
+    every = feature_importance(_trained(spark, sf_dir).model, None)
+    return rounded(
+        every.agg(
+            F.countDistinct("feature").alias("n_features"),
+            F.sum("importance").alias("whole"),
+            F.count_if(F.col("importance") < 0).alias("n_negative"),
+        )
+    )
+
+
+@query
+def backtest_holdout_facts(spark, sf_dir):
+    curve = _trained(spark, sf_dir).holdout_curve()
+    return rounded(
+        curve.groupBy("ticker").agg(
+            F.count(F.lit(1)).alias("n_days"),
+            F.count("returns").alias("n_returns"),
+            F.min("date").alias("first_date"),
+            F.max_by("buy_and_hold", "idx").alias("buy_and_hold"),
+            F.count_if(F.col("drawdown") > 0).alias("n_wrong_drawdowns"),
+        )
+    )
+
+
+@query
+def walk_forward_model_facts(spark, sf_dir):
+    windows = walk_forward_model(spark, sf_dir)
+    return windows.select(
+        "ticker",
+        "window_id",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("n_up"),
+    )
+
+
+@query
+def compare_models_facts(spark, sf_dir):
+    both = compare_models(spark, sf_dir)
+    return both.select(
+        "ticker", "model", F.col("accuracy").between(0.0, 1.0).alias("accuracy_holds")
+    )
+
+
+@query
+def model_registry_facts(spark, sf_dir):
+    rows = model_registry(spark, sf_dir)
+    return rows.select(
+        "ticker",
+        "model_type",
+        "train_size",
+        "test_size",
+        "feature_count",
+        "n_estimators",
+        "random_state",
+        F.size("top_features").alias("n_top_features"),
+        F.size("backtest_metrics").alias("n_figures"),
+    )
