@@ -76,10 +76,10 @@ def next_level(level: DataFrame) -> DataFrame:
 
 
 def tree(base: DataFrame, height: int) -> list[DataFrame]:
-    """Levels from the leaves to the roots."""
-    levels = [base]
+    """Levels from the leaves to the roots, each written once: a level has a ``FANOUT``-th of the rows of the one below."""
+    levels = [stored(base)]
     for _ in range(height):
-        levels.append(next_level(levels[-1]))
+        levels.append(stored(next_level(levels[-1])))
     return levels
 
 
@@ -92,6 +92,7 @@ def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
             mine = mine.withColumn("_up", below).join(suspects, ["volume", "_up"], "left_semi").drop("_up")
             other = other.withColumn("_up", below).join(suspects, ["volume", "_up"], "left_semi").drop("_up")
         met = mine.join(other.select("volume", "node", F.col("digest").alias("other")), ["volume", "node"], "left").where(~F.col("digest").eqNullSafe(F.col("other")))
+        met = stored(met)
         suspects = met.select("volume", F.col("node").alias("_up"))
     return met
 
@@ -109,7 +110,7 @@ def audit(archive: DataFrame, replica: DataFrame, id_col: str = "page_id", url_c
     height = 1
     while FANOUT**height <= largest:
         height += 1
-    found = differing(tree(stored(base_level(ours, listed)), height), tree(stored(base_level(theirs, listed)), height))
+    found = differing(tree(base_level(ours, listed), height), tree(base_level(theirs, listed), height))
     status = F.when(F.col("other") == "missing", "missing").otherwise("changed")
     known = found.select("id", "uri", "volume", "start", (F.col("end") - F.col("start")).alias("length"), status.alias("status"))
     extra = theirs.join(listed, ["id", "uri"], "left_anti")
