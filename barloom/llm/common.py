@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python task handles at once (a longer text is handled alone).
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 12 << 20
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = rb"[^\x20\x09-\x0D]+"
 
@@ -69,6 +70,18 @@ class Numbers(dict):
         return number
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the bytes of text that Spark hands to a Python worker at once, if they are more than ``BATCH_BYTES``.
+
+    Spark's own bound (64 MB) exists several times over while a batch is copied, in the executor's heap,
+    outside it and in the worker; whole texts of many sizes need no such batches.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ first ``BURN`` sweeps are passed over; probabilities are averaged over the other
 
 Jobs: words are counted per context (added up in each slice of text, then by Spark); a table of one row
 per word with its contexts and tables is written after each sweep. For scoring, the most frequent words
-(at most ``FREQUENT``, a bounded table) are sent to the tasks that read the texts; all other tokens are
+(at most ``FREQUENT`` with ``FREQUENT_PAIRS`` contexts, a bounded table) are sent to the tasks that read the texts; all other tokens are
 joined with the words' rows. No text is shuffled. Discounts come from the numbers of words (or pairs)
 that occur once and twice.
 
@@ -37,15 +37,16 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import ASCII_LOWER, Numbers, discard, slices, stored
+from barloom.llm.common import ASCII_LOWER, Numbers, discard, slices, small_batches, stored
 
 CONTEXTS = 4096
 SWEEPS, BURN = 3, 1
-FREQUENT = 150_000
+#: Frequent words that are sent to all tasks, and their contexts in all.
+FREQUENT, FREQUENT_PAIRS = 150_000, 4_000_000
 SINGLY = 32
 STRENGTH = (10.0, 10.0)  # of the parent and of the contexts
 #: Bytes of text whose words are counted or scored together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 SEED = 11
 END = b""
 NAMES = ["row", "doc_id", "n_tokens", "known", "base", "log", "w", "g", "n"]
@@ -214,6 +215,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
     """Counts the rows where ``learn`` holds and samples their seating."""
     if burn != BURN or sweeps <= burn:
         raise ValueError("sweeps must exceed BURN")
+    small_batches(docs.sparkSession)
     state = stored(count(docs.where(learn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))))
     size = F.size("gs")
     facts = state.agg(
@@ -272,21 +274,21 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
     return Model(table, facts["tokens"] or 0, words, weights, unknown)
 
 
-def _frequent(model: Model, bound: int) -> tuple[np.ndarray, ...]:
-    """The most frequent words, at most ``bound``, as arrays: hashes in order, counts, the parent's
-    probabilities, and keys (place and context) with averaged probabilities."""
+def _frequent(model: Model, words: int, pairs: int) -> tuple[np.ndarray, ...]:
+    """The most frequent words, at most ``words`` with ``pairs`` contexts in all, as arrays: hashes in
+    order, counts, the parent's probabilities, and keys (place and context) with averaged probabilities."""
     # Counts in steps of a 32nd of a doubling: some two thousand at most.
     step = F.floor(F.log2("c") * 32)
-    sizes = model.words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step"))
-    least, taken = 1 << 20, 0
+    sizes = model.words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.size("gs")).alias("pairs")).orderBy(F.desc("step"))
+    least = 1 << 20
     for r in sizes.collect():
-        taken += r["n"]
-        if taken > bound:
+        words, pairs = words - r["n"], pairs - r["pairs"]
+        if words < 0 or pairs < 0:
             break
         least = r["step"]
     found = model.words.where(step >= least).select("w", "c", "p1", "gs", "ps").toArrow().combine_chunks()
     if not found.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(model.unknown))), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(model.unknown))), np.zeros(0, np.int32), np.zeros(0, np.float32)
     columns = {n: found.column(n).combine_chunks() for n in found.column_names}
     columns = {n: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for n, c in columns.items()}
     w = columns["w"].to_numpy()
@@ -294,17 +296,19 @@ def _frequent(model: Model, bound: int) -> tuple[np.ndarray, ...]:
     rank = np.empty(len(w), dtype=np.int64)
     rank[order] = np.arange(len(w))
     sizes = np.diff(columns["gs"].offsets.to_numpy())
-    keys = np.repeat(rank, sizes) * CONTEXTS + _flat(columns["gs"])
+    # 32 bits hold the keys: FREQUENT * CONTEXTS is below 2^31.
+    keys = np.repeat(rank, sizes).astype(np.int32) * np.int32(CONTEXTS) + columns["gs"].flatten().to_numpy(zero_copy_only=False).astype(np.int32)
     by_key = np.argsort(keys)
     p1 = columns["p1"].flatten().to_numpy().reshape(len(w), -1)
     return w[order], columns["c"].to_numpy()[order], p1[order], keys[by_key], columns["ps"].flatten().to_numpy()[by_key]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row, and ``perplexity`` per token."""
     spark = docs.sparkSession
+    small_batches(spark)
     floor = model.train_tokens + 0.5 * (model.distinct + 1)
-    shared = spark.sparkContext.broadcast((_frequent(model, frequent), model.weights))
+    shared = spark.sparkContext.broadcast((_frequent(model, frequent, frequent_pairs), model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, counts, parents, keys, values), weights = shared.value
@@ -323,8 +327,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 place, context = spot[w[sure]], g[sure]
                 if len(place):
                     p = (weights[:, context].T * parents[place]).mean(axis=1)
-                    at = np.minimum(np.searchsorted(keys, place * CONTEXTS + context), len(keys) - 1)
-                    seen = keys[at] == place * CONTEXTS + context
+                    key = (place * CONTEXTS + context).astype(np.int32)
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    seen = keys[at] == key
                     p[seen] = values[at[seen]]
                     log[sure] = np.log10(p)
                     base[sure] = np.log10((counts[place] + 0.5) / floor)
