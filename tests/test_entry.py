@@ -29,6 +29,8 @@ CHECKED = [
     "class_metrics",
     "quality_gate",
     "history_display",
+    "comparison_display",
+    "ingest_status",
 ]
 
 
@@ -52,3 +54,32 @@ def test_query_equals_sql(spark, con, name):
     expected = con.execute(contract.oracle_sql()[name]).df()
     assert len(got) > 0
     assert difference(got, expected) == ""
+
+
+def scans(df, table):
+    """How often the optimized plan reads a given table."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return sum(table in str(leaf.toString()) for leaf in _leaves(plan))
+
+
+def _leaves(plan):
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+@pytest.mark.parametrize("name", ["bars_daily", "ingest_status"])
+def test_ticks_are_read_once(spark, name):
+    assert scans(contract.queries()[name](spark, SF), "l_quantity") == 1
+
+
+@pytest.mark.parametrize("name", ["features_all", "latest_features", "scale_features", "ticker_overview"])
+def test_features_read_written_bars_not_ticks(spark, name):
+    assert scans(contract.queries()[name](spark, SF), "l_quantity") == 0
+
+
+def test_bars_are_hashed(spark):
+    for name in ("bars_daily", "bars_hourly", "bars_index"):
+        df = contract.queries()[name](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
