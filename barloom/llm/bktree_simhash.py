@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import ASCII_LOWER, free_name, ranges, stored
+from barloom.llm.common import ASCII_LOWER, free_name, ranges, release, small_batches, stored
 
 SHINGLE = 4
 RADIUS = 4
@@ -71,6 +71,7 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         raw = texts.cast(pa.binary())
         found = np.fromiter((fingerprint(raw[i].as_py(), shingle) for i in range(len(raw))), dtype=np.uint64, count=len(raw))
+        release()
         return pa.array(found.view(np.int64))
 
     return of(F.coalesce(text.cast("string"), F.lit("")))
@@ -215,6 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint`` (16 lowercase hex digits) ``, component_id`` (smallest id reachable) for every row."""
+    small_batches(docs.sparkSession)
     prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     # A document that stands in rows of several fingerprints joins their classes.

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import ranges, slices, stored
+from barloom.llm.common import ranges, release, slices, small_batches, stored
 
 CAPACITY = 4096
 RECIPROCALS = 64
@@ -34,7 +34,7 @@ END_ID = 2
 #: Parts of words kept with their ids in a Python worker; beyond that the memory starts anew.
 REMEMBERED = 400_000
 #: Bytes of text whose words are looked up together.
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Pieces that one task numbers in one go.
 BUCKET_ROWS = 50_000
 
@@ -166,11 +166,13 @@ def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 at = np.concatenate([[0], ends]) * 4
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
                 owner = pa.array(np.repeat(keys[a:b], per_doc), mask=~np.repeat(valid[a:b], per_doc), from_pandas=False).cast(pa.int64())
+                release()
                 yield pa.RecordBatch.from_arrays(
                     [owner, pa.array(ends - lengths - first), pa.array(lengths), pa.array(np.repeat(counts, per_doc)), ids],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 

@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import Numbers, free_name, ranges, slices
+from barloom.llm.common import Numbers, free_name, ranges, release, slices
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Words kept between shards; beyond that the memory starts anew.
 REMEMBERED = 400_000
 NEVER = np.int64(1) << 40
@@ -262,6 +262,7 @@ def _encoder(vocabulary: str, pattern: str, returns: str, row) -> callable:
             out = []
             for a, b in slices(texts, SHARD_BYTES):
                 out += [row(lexicon.ids_of(x), decoder) for x in lexicon.read(texts.slice(a, b - a))]
+                release()
             yield pa.array(out, type=kind)
 
     return run

@@ -37,7 +37,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import ASCII_LOWER, Numbers, discard, slices, small_batches, stored
+from barloom.llm.common import ASCII_LOWER, Numbers, discard, release, slices, small_batches, stored
 
 CONTEXTS = 4096
 SWEEPS, BURN = 3, 1
@@ -88,6 +88,7 @@ def count(texts: DataFrame) -> DataFrame:
             for a, b in slices(column, SLICE):
                 hashes, word, before, _ = tokens(column.slice(a, b - a))
                 pair, n = np.unique(word * CONTEXTS + before, return_counts=True)
+                release()
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[pair // CONTEXTS]), pa.array((pair % CONTEXTS).astype(np.int16)), pa.array(n)], names=["w", "g", "n"])
 
     pairs = texts.mapInArrow(run, "w long, g short, n long").groupBy("w", "g").agg(F.sum("n").alias("n"))
@@ -341,6 +342,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     [pa.array(rows), ids.slice(a, n), pa.array(np.bincount(doc, minlength=n)), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), none, pa.nulls(n, pa.int16()), none],
                     names=NAMES,
                 )
+                release()
                 open_ = np.flatnonzero(~sure[back])
                 if len(open_):
                     rest, times = np.unique(doc[open_] * len(pair) + back[open_], return_counts=True)

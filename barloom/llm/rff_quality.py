@@ -27,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import stored
+from barloom.llm.common import release, small_batches, stored
 from barloom.llm.string_kernel_lid import sample_rows
 
 #: Labelled rows that are learned from, at most about so many for each label.
@@ -180,6 +180,7 @@ def _column(model: Model, what: str):
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (probability of label 1) and ``predicted`` (1 if it reaches ``threshold``)."""
     docs = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     if model is None:
         value = F.lit(0.5)
     else:
@@ -187,6 +188,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
         @arrow_udf("double")
         def of(texts: pa.Array) -> pa.Array:
             values = np.array([statistics(texts[i].as_py()) for i in range(len(texts))]).reshape(-1, len(STATISTICS))
+            release()
             return pa.array(model.score(values))
 
         value = of(F.col(text_col).cast("string"))

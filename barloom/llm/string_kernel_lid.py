@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.llm.common import free_name, stored
+from barloom.llm.common import free_name, release, small_batches, stored
 
 ORDERS = (1, 2, 3, 4)
 SLOT_BITS = 16
@@ -41,6 +41,8 @@ SAMPLE = 1000
 LANDMARKS, ALL_LANDMARKS = 64, 1024
 RIDGE = 1e-3
 TASKS = 8
+#: Texts whose presence matrix stands in memory at once.
+BATCH = 64
 UNKNOWN = "und"
 #: Multipliers that spread n-grams over slots.
 SPREAD = (np.uint32(1), np.uint32(1), np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
@@ -166,6 +168,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # slots by languages, whatever the input
 
     @arrow_udf("lang_pred string, score double")
@@ -174,8 +177,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         find = Presence()
         for texts in batches:
             best, top = np.full(len(texts), -1), np.zeros(len(texts))
-            for at in range(0, len(texts), 256):
-                sets = [find.slots(texts[i].as_py()) for i in range(at, min(at + 256, len(texts)))]
+            for at in range(0, len(texts), BATCH):
+                sets = [find.slots(texts[i].as_py()) for i in range(at, min(at + BATCH, len(texts)))]
                 sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
                 some = np.flatnonzero(sizes)
                 if len(some):
@@ -185,6 +188,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     raw /= np.sqrt(sizes[some])[:, None]
                     best[at + some] = raw.argmax(axis=1)
                     top[at + some] = np.clip((raw.max(axis=1) + 1) / 2, 0.0, 1.0)
+            release()
             names = pa.array([languages[b] if b >= 0 else UNKNOWN for b in best.tolist()])
             yield pa.StructArray.from_arrays([names, pa.array(top)], names=["lang_pred", "score"])
 
