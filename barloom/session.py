@@ -39,10 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     Without that setting a local master gets a temporary folder; on a cluster a
     machine's own folder would lose what other machines wrote, so it is refused.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"file://{tempfile.gettempdir()}/barloom-{os.getpid()}"
 
