@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Bytes of text that a Python task handles at once (a longer text is handled alone).
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 12 << 20
-#: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-WORD_PATTERN = rb"[^\x20\x09-\x0D]+"
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))

@@ -212,10 +212,10 @@ class Model:
     unknown: np.ndarray
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SWEEPS, burn: int = BURN) -> Model:
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SWEEPS) -> Model:
     """Counts the rows where ``learn`` holds and samples their seating."""
-    if burn != BURN or sweeps <= burn:
-        raise ValueError("sweeps must exceed BURN")
+    if sweeps <= BURN:
+        raise ValueError(f"{BURN} sweeps are passed over, so more are needed")
     small_batches(docs.sparkSession)
     state = stored(count(docs.where(learn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))))
     size = F.size("gs")
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
         last, state = state, stored(_sweep(state, totals, sweep))
         totals = _totals(state, sweep, words, discounts, customers)
         discard(last)
-        if sweep > burn:
+        if sweep > BURN:
             samples.append((sweep, totals))
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
