@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,7 @@ class WordIds:
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.lowers = self._ids(["Aa"]) == self._ids(["aa"])
@@ -86,8 +88,29 @@ class WordIds:
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         self.ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
+        # The same merges on words that need no splitting; used if it agrees on words of letters.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.spell = {b: c for b, c in enumerate(self._byte_characters())}
+        probes = ["the", "Packing", "équeê", "Straße", "ÑANDÚ", "слово"]
+        self.plain = self.ends.any() and self._ids(probes) == [self._merged([p])[0].tolist() for p in probes]
         self.clear()
 
+    @staticmethod
+    def _byte_characters() -> list[str]:
+        """The characters by which byte-level vocabularies spell bytes: printable ones stand for themselves."""
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        return [chr(b if b in own else next(rest)) for b in range(256)]
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of words of letters, encoded as one text of lowered words spelt in bytes."""
+        text = " ".join(words).lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.spell).replace(self.spell[32], " ")
+        found = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return found, np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+
     def clear(self) -> None:
         self.part: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -98,15 +121,19 @@ class WordIds:
 
     def _learn(self, parts: list[str]) -> None:
         """Encodes new parts. Parts of letters only are encoded many in one text: each ends in a token that ends a word."""
-        plain = [p for p in parts if p.isalpha() and len(low := p.lower()) == len(p) and low.isalpha()] if self.ends.any() else []
+        plain = []
+        if self.plain:
+            for p in parts:
+                # Lowering must be letter by letter, and leave nothing to normalize.
+                if p.isalpha() and (p.isascii() or ("Σ" not in p and len(low := p.lower()) == len(p) and low.isalpha() and is_normalized("NFC", p))):
+                    plain.append(p)
         ids, counts, done = [], [], []
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            found = np.array(self._ids([" ".join(some)])[0], dtype=np.uint32)
-            last = np.flatnonzero(self.ends[found])
-            if len(last) == len(some) and last[-1] == len(found) - 1:
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            found, sizes = self._merged(some)
+            if len(sizes) == len(some) and sizes.sum() == len(found):
                 ids.append(found)
-                counts.append(np.diff(last, prepend=-1))
+                counts.append(sizes)
                 done += some
         known = set(done)
         rest = [p for p in parts if p not in known]
@@ -132,12 +159,15 @@ class WordIds:
         tails = [w[len(c) :] for c, w in zip(cores, distinct)]
         if self.lowers:
             cores = [c.lower() if c.isascii() else c for c in cores]
-        new = list(set(cores).union(tails).difference(self.part))
+        cut = [i for i, t in enumerate(tails) if t]
+        numbers = list(map(self.part.get, cores))
+        new = {c for c, n in zip(cores, numbers) if n is None}.union(tails).difference(self.part)
         if new:
-            self._learn(new)
-        both = np.empty((len(distinct), 2), dtype=np.int64)
-        both[:, 0] = np.fromiter(map(self.part.__getitem__, cores), dtype=np.int64, count=len(cores))
-        both[:, 1] = np.fromiter(map(self.part.__getitem__, tails), dtype=np.int64, count=len(tails))
+            self._learn(list(new))
+            numbers = list(map(self.part.__getitem__, cores))
+        both = np.zeros((len(distinct), 2), dtype=np.int64)  # part 0 is the empty one
+        both[:, 0] = numbers
+        both[cut, 1] = [self.part[tails[i]] for i in cut]
         used = both[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         counts = self.counts[used]
         flat = self.ids[ranges((np.cumsum(self.counts) - self.counts)[used], counts)]
