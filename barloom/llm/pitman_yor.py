@@ -46,7 +46,7 @@ FREQUENT, FREQUENT_PAIRS = 150_000, 4_000_000
 SINGLY = 32
 STRENGTH = (10.0, 10.0)  # of the parent and of the contexts
 #: Bytes of text whose words are counted or scored together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 SEED = 11
 END = b""
 NAMES = ["row", "doc_id", "n_tokens", "known", "base", "log", "w", "g", "n"]
