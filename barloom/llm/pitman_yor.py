@@ -1,23 +1,27 @@
-"""LM scoring: a hierarchical Pitman-Yor model of words given the end of the word before.
+"""LM scoring: a hierarchical Pitman-Yor model of words given the word before.
 
-Every context has a restaurant whose customers are the tokens that follow it; its tables are customers
-of one parent restaurant that all contexts share, whose own parent is the uniform distribution over the
-known words and one unknown word. A context is a hash bucket (``CONTEXTS`` in all) of the last two
-characters of the word before, or the start of the text.
+Every word before has a restaurant (known by 64 bits of hash, as all words are; their number grows with
+the input) whose customers are the tokens that follow it. Its tables are customers of the restaurant of
+its ending: a hash bucket (``CONTEXTS`` in all) of its last two characters, or the start of the text. The
+tables of those are customers of one parent restaurant, whose own parent is the uniform distribution over
+the known words and one unknown word.
 
 A customer sits down at a table of its word or opens one, by the rule of the Chinese restaurant. Gibbs
 sweeps take all customers of a word out of a restaurant and seat them again one by one, given all other
 words and restaurants as they are. Every word's seating depends on other words by the restaurants' totals
-only (a few numbers per context), so words are resampled in parallel, the totals being renewed after each
-sweep; all contexts of a word are resampled against the parent as the sweep found it. Beyond ``SINGLY``
-customers of a word in a restaurant, they are seated in rows of a 64th of those that sit already. The
-first ``BURN`` sweeps are passed over; probabilities are averaged over the others.
-
-Jobs: words are counted per context (added up in each slice of text, then by Spark); a table of one row
-per word with its contexts and tables is written after each sweep. For scoring, the most frequent words
-(at most ``FREQUENT`` with ``FREQUENT_PAIRS`` contexts, a bounded table) are sent to the tasks that read the texts; all other tokens are
-joined with the words' rows. No text is shuffled. Discounts come from the numbers of words (or pairs)
-that occur once and twice.
+only, so words are resampled in parallel, the totals being renewed after each sweep; a level is resampled
+against the one above as the sweep found it. A pair of words that occurs once has one table whatever is
+drawn, so only the others are resampled. Beyond ``SINGLY`` customers of a word in a restaurant, they are
+seated in rows of a 64th of those that sit already. The first ``BURN`` sweeps are passed over. Probabilities
+of endings are averaged over the others; so are the tables of pairs, with which they are put together.
+
+Jobs: pairs of words are counted (added up in each slice of text, then by Spark) into rows ``h, w, g, n``:
+word before, word, ending and count. A sweep joins those of more than one customer with the totals of the
+word before by ``h`` and with the word's seating at the ending by ``w, g``; then a table of one row per word
+with its endings and tables is written. For scoring, the most frequent words (at most ``FREQUENT`` with
+``FREQUENT_PAIRS`` endings), words before (``FREQUENT``) and pairs (``KNOWN_PAIRS``), bounded tables, are sent
+to the tasks that read the texts; all other tokens are joined with the tables by key. No text is shuffled.
+Discounts come from the numbers of words (or pairs) that occur once and twice.
 
 Defined results: a NULL text is empty, which is one end token; words are known by 64 bits of hash; with
 nothing to learn from every token has probability 1, as the only known distribution is over the unknown
@@ -40,16 +44,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.llm.common import ASCII_LOWER, Numbers, discard, release, slices, small_batches, stored
 
 CONTEXTS = 4096
-SWEEPS, BURN = 3, 1
-#: Frequent words that are sent to all tasks, and their contexts in all.
-FREQUENT, FREQUENT_PAIRS = 150_000, 4_000_000
+SWEEPS, BURN = 6, 3
+#: Frequent words that are sent to all tasks, and their endings in all; frequent pairs of words.
+FREQUENT, FREQUENT_PAIRS, KNOWN_PAIRS = 150_000, 4_000_000, 1_500_000
 SINGLY = 32
-STRENGTH = (10.0, 10.0)  # of the parent and of the contexts
+STRENGTH = (10.0, 10.0, 2.0)  # of the parent, of the endings, and of the words before
 #: Bytes of text whose words are counted or scored together.
 SLICE = 2 << 20
 SEED = 11
 END = b""
-NAMES = ["row", "doc_id", "n_tokens", "known", "base", "log", "w", "g", "n"]
+NAMES = ["row", "doc_id", "n_tokens", "known", "base", "log", "h", "w", "g", "n", "x", "y"]
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.float32(), pa.float32()]
+PARTS = "row long, doc_id long, n_tokens long, known long, base double, log double, h long, w long, g short, n long, x float, y float"
 
 
 def _hash(word: bytes) -> int:
@@ -61,8 +67,15 @@ def _context(word: bytes) -> int:
     return 1 + zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % (CONTEXTS - 1)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a slice of texts: hashes of its distinct words; number of the word, context, and text of each token."""
+def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits of both hashes."""
+    mixed = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w.view(np.uint64)).view(np.int64)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a slice of texts: hashes and endings of its distinct words; number of the word, of the word before
+    (the end token's at the start of a text), and text of each token."""
     number = Numbers()
     number[END]
     words, ends = [], []
@@ -75,25 +88,32 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     hashes = np.fromiter(map(_hash, number), dtype=np.uint64, count=len(number)).view(np.int64)
     context = np.fromiter(map(_context, number), dtype=np.int64, count=len(number))
     context[0] = 0  # after an end, a text starts
-    before = np.concatenate([[0], context[word[:-1]]])
-    return hashes, word, before, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    before = np.concatenate([[0], word[:-1]])
+    return hashes, context, word, before, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """``w, gs, ns``: for every word its contexts and how often it stands in them. ``texts`` has one column."""
+    """``h, w, g, n``: how often a word stands after a word of that ending. ``texts`` has one column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
             for a, b in slices(column, SLICE):
-                hashes, word, before, _ = tokens(column.slice(a, b - a))
-                pair, n = np.unique(word * CONTEXTS + before, return_counts=True)
+                hashes, context, word, before, _ = tokens(column.slice(a, b - a))
+                pair, n = np.unique(word * len(hashes) + before, return_counts=True)
+                w, h = pair // len(hashes), pair % len(hashes)
                 release()
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[pair // CONTEXTS]), pa.array((pair % CONTEXTS).astype(np.int16)), pa.array(n)], names=["w", "g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[h]), pa.array(hashes[w]), pa.array(context[h].astype(np.int16)), pa.array(n)], names=["h", "w", "g", "n"])
 
-    pairs = texts.mapInArrow(run, "w long, g short, n long").groupBy("w", "g").agg(F.sum("n").alias("n"))
-    rows = pairs.groupBy("w").agg(F.collect_list(F.struct("g", "n")).alias("s"))
-    return rows.select("w", F.col("s.g").alias("gs"), F.col("s.n").alias("ns"))
+    return texts.mapInArrow(run, "h long, w long, g short, n long").groupBy("h", "w", "g").agg(F.sum("n").alias("n"))
+
+
+def endings(pairs: DataFrame) -> DataFrame:
+    """``w, c, gs, ns, t0, u0``: every word's count, its endings and how many words before have it there; one table each."""
+    each = pairs.groupBy("w", "g").agg(F.count("*").alias("n"), F.sum("n").alias("c"))
+    rows = each.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list(F.struct("g", "n")).alias("s"))
+    ones = F.transform("s.n", lambda x: F.lit(1).cast("long"))
+    return rows.select("w", "c", F.col("s.g").alias("gs"), F.col("s.n").alias("ns"), ones.alias("t0"), F.lit(1).cast("long").alias("u0"))
 
 
 @dataclass
@@ -145,23 +165,56 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def _totals(state: DataFrame, sweep: int, words: int, discounts: tuple[float, float], customers: np.ndarray) -> Totals:
+def _totals(state: DataFrame, sweep: int, words: int, discounts: tuple[float, float]) -> Totals:
     """The sums that the tasks of a sweep left as rows without a word."""
-    sums = state.where("w IS NULL").select(F.posexplode(f"t{sweep}").alias("g", "t")).groupBy("g").agg(F.sum("t").alias("t"))
-    tables = np.zeros(CONTEXTS + 1, dtype=np.int64)
-    for r in sums.collect():  # one row per context
-        tables[r["g"]] = r["t"]
-    return Totals(customers, tables[:CONTEXTS], int(tables[CONTEXTS]), words, discounts)
-
+    both = F.posexplode(F.arrays_zip(F.col("ns").alias("ns"), F.col(f"t{sweep}").alias("t")))
+    sums = state.where("w IS NULL").select(both.alias("g", "s")).groupBy("g").agg(F.sum("s.ns").alias("n"), F.sum("s.t").alias("t"))
+    customers, tables = np.zeros(CONTEXTS + 1, dtype=np.int64), np.zeros(CONTEXTS + 1, dtype=np.int64)
+    for r in sums.collect():  # one row per ending
+        customers[r["g"]], tables[r["g"]] = r["n"], r["t"]
+    return Totals(customers[:CONTEXTS], tables[:CONTEXTS], int(tables[CONTEXTS]), words, discounts)
+
+
+def _sweep_pairs(many: DataFrame, contexts: DataFrame, state: DataFrame, totals: Totals, discount: float, sweep: int) -> DataFrame:
+    """``many`` (pairs of more than one customer) seated again; ``d`` is the change of tables, ``sum`` their sum over the samples."""
+    t, u = f"t{sweep - 1}", f"u{sweep - 1}"
+    own = F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x)
+    seated = state.where("w IS NOT NULL").select("w", own.alias("n1"), F.col(u).alias("u"), F.explode(F.arrays_zip("gs", F.col("ns").alias("n2"), F.col(t).alias("t2"))).alias("s"))
+    seated = seated.select("w", F.col("s.gs").alias("g"), "n1", "u", "s.n2", "s.t2")
+    rows = many.select("h", "w", "g", "n", "t", "sum").join(contexts.select("h", F.col("t").alias("th")), "h").join(seated, ["w", "g"])
 
-def _sweep(state: DataFrame, totals: Totals, sweep: int) -> DataFrame:
-    """``state`` with the tables after one more sweep; tables before the first sweep are one for each pair."""
-    old = [c for c in state.columns if c not in ("w", "gs", "ns")]
-    kept = [c for s in range(BURN + 1, sweep) for c in (f"t{s}", f"u{s}")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, g, t, th, n1, u, n2, t2 = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "g", "t", "th", "n1", "u", "n2", "t2"))
+            rng = np.random.default_rng([SEED, 1000 + sweep, len(n), int(batch.column("h")[0].as_py()) & 0x7FFFFFFF, int(batch.column("w")[0].as_py()) & 0x7FFFFFFF])
+            # The pair's own tables leave the ending's restaurant, and what that has too many leave the parent's.
+            others = n2 - t
+            left = np.minimum(t2, others)
+            above = n1 - (t2 - left)
+            base = totals.parent_probability(above, np.minimum(u, above)) * (STRENGTH[1] + totals.discounts[1] * np.maximum(totals.tables[g] - (t2 - left), 0))
+            base = (np.maximum(others - totals.discounts[1] * left, 0.0) + base) / (STRENGTH[1] + np.maximum(totals.customers[g] - t, 0))
+            now = seat(n, (STRENGTH[2] + discount * np.maximum(th - t, 0)) * base, discount, rng)
+            total = batch.column("sum").to_numpy() + (now if sweep > BURN else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("h", "w", "g", "n")] + [pa.array(now), pa.array(total), pa.array(now - t)], names=["h", "w", "g", "n", "t", "sum", "d"])
+
+    return rows.mapInArrow(run, "h long, w long, g short, n long, t long, sum long, d long")
+
+
+def _sweep(state: DataFrame, changes: DataFrame, totals: Totals, sweep: int) -> DataFrame:
+    """``state`` with the tables after one more sweep; ``changes`` are ``w, g, d`` of the tables below."""
+    kept = [c for s in range(BURN + 1, sweep) for c in (f"n{s}", f"t{s}", f"u{s}")]
+    lists = changes.groupBy("w", "g").agg(F.sum("d").alias("d")).where("d <> 0").groupBy("w").agg(F.collect_list(F.struct("g", "d")).alias("s"))
+    lists = lists.select("w", F.col("s.g").alias("dg"), F.col("s.d").alias("dn"))
+    rows = state.where("w IS NOT NULL").join(lists, "w", "left")
+    rows = rows.withColumns({"dg": F.coalesce("dg", F.array().cast("array<short>")), "dn": F.coalesce("dn", F.array().cast("array<long>"))})
+    now = [f"n{sweep}", f"t{sweep}", f"u{sweep}"] if sweep > BURN else [f"t{sweep}", f"u{sweep}"]
+    names = ["w", "c", "gs", "ns", *kept, *now]
+    kinds = {"w": "long", "c": "long", "gs": "array<short>", "u": "long"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CONTEXTS + 1, dtype=np.int64)
-        names = ["w", "gs", "ns", *kept, f"t{sweep}", f"u{sweep}"]
+        sums = np.zeros((2, CONTEXTS + 1), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,10 +224,11 @@ def _sweep(state: DataFrame, totals: Totals, sweep: int) -> DataFrame:
             offsets = batch.column("gs").offsets
             sizes = np.diff(offsets.to_numpy())
             owner = np.repeat(np.arange(len(w)), sizes)
-            if old:
-                tables, parent = _flat(batch.column(f"t{sweep - 1}")), batch.column(f"u{sweep - 1}").to_numpy()
-            else:
-                tables, parent = np.ones(len(gs), dtype=np.int64), np.ones(len(w), dtype=np.int64)
+            place = owner * CONTEXTS + gs
+            order = np.argsort(place)
+            changed = np.repeat(np.arange(len(w)), np.diff(batch.column("dg").offsets.to_numpy())) * CONTEXTS + _flat(batch.column("dg"))
+            ns[order[np.searchsorted(place[order], changed)]] += _flat(batch.column("dn"))
+            tables, parent = np.minimum(_flat(batch.column(f"t{sweep - 1}")), ns), batch.column(f"u{sweep - 1}").to_numpy()
             own = np.bincount(owner, weights=tables, minlength=len(w)).astype(np.int64)
             others = own[owner] - tables
             base = totals.parent_probability(others, np.minimum(parent[owner], others))
@@ -184,32 +238,36 @@ def _sweep(state: DataFrame, totals: Totals, sweep: int) -> DataFrame:
             own = np.bincount(owner, weights=tables, minlength=len(w)).astype(np.int64)
             opened = (STRENGTH[0] + totals.discounts[0] * np.maximum(totals.parent - parent, 0)) / (totals.words + 1)
             parent = seat(own, opened, totals.discounts[0], rng)
-            sums[:CONTEXTS] += np.bincount(gs, weights=tables, minlength=CONTEXTS).astype(np.int64)
-            sums[CONTEXTS] += int(parent.sum())
+            sums[0, :CONTEXTS] += np.bincount(gs, weights=ns, minlength=CONTEXTS).astype(np.int64)
+            sums[1, :CONTEXTS] += np.bincount(gs, weights=tables, minlength=CONTEXTS).astype(np.int64)
+            sums[1, CONTEXTS] += int(parent.sum())
             first = pa.array(offsets.to_numpy() - offsets[0].as_py())
-            arrays = [batch.column("w"), batch.column("gs"), batch.column("ns"), *[batch.column(c) for c in kept]]
-            arrays += [pa.ListArray.from_arrays(first, pa.array(tables)), pa.array(parent)]
+            customers = pa.ListArray.from_arrays(first, pa.array(ns))
+            arrays = [batch.column("w"), batch.column("c"), batch.column("gs"), customers, *[batch.column(c) for c in kept]]
+            arrays += [*([customers] if sweep > BURN else []), pa.ListArray.from_arrays(first, pa.array(tables)), pa.array(parent)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-        row = {"w": [None], "gs": [[]], "ns": [[]], f"t{sweep}": [sums.tolist()], f"u{sweep}": [0]}
-        kinds = {"w": pa.int64(), "gs": pa.list_(pa.int16()), "ns": pa.list_(pa.int64())}
-        kind = {n: kinds.get(n) or (pa.list_(pa.int64()) if n[0] == "t" else pa.int64()) for n in names}
+        row = {"gs": [[]], "ns": [sums[0].tolist()], f"t{sweep}": [sums[1].tolist()]}
+        kind = {n: {"long": pa.int64(), "array<short>": pa.list_(pa.int16())}.get(kinds.get(n) or kinds.get(n[0])) or pa.list_(pa.int64()) for n in names}
         yield pa.RecordBatch.from_arrays([pa.array(row.get(n, [None]), type=kind[n]) for n in names], names=names)
 
-    schema = "w long, gs array<short>, ns array<long>, " + ", ".join(f"{c} {'array<long>' if c[0] == 't' else 'long'}" for c in [*kept, f"t{sweep}", f"u{sweep}"])
-    return state.where("w IS NOT NULL").mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join(f"{n} {kinds.get(n) or kinds.get(n[0]) or 'array<long>'}" for n in names))
 
 
 @dataclass
 class Model:
     """``words``: a stored table ``w, c, p1, gs, ps``: count, parent's probability in each sample, and the
-    averaged probability in each context where the word was seen. ``unknown``: the parent's probability of
-    the unknown word in each sample. ``weights``: of the parent in each sample and context."""
+    averaged probability in each ending where the word was seen. ``unknown``: the parent's probability of
+    the unknown word in each sample. ``weights``: of the parent in each sample and ending. ``pairs``: ``h, w,
+    n, a``, count and discounted count of every pair seen. ``contexts``: ``h, c, x, y``: after a word that
+    stood ``c`` times, a word's probability is ``a * x`` and ``y`` times that of the ending."""
 
     words: DataFrame
     train_tokens: int
     distinct: int
     weights: np.ndarray
     unknown: np.ndarray
+    pairs: DataFrame
+    contexts: DataFrame
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SWEEPS) -> Model:
@@ -217,50 +275,68 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
     if sweeps <= BURN:
         raise ValueError(f"{BURN} sweeps are passed over, so more are needed")
     small_batches(docs.sparkSession)
-    state = stored(count(docs.where(learn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))))
+    pairs = stored(count(docs.where(learn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))))
+    state = stored(endings(pairs))
     size = F.size("gs")
     facts = state.agg(
         F.count("*").alias("words"),
-        F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"),
+        F.sum("c").alias("tokens"),
         F.sum((size == 1).cast("long")).alias("w1"),
         F.sum((size == 2).cast("long")).alias("w2"),
         F.sum(F.size(F.filter("ns", lambda x: x == 1)).cast("long")).alias("p1"),
         F.sum(F.size(F.filter("ns", lambda x: x == 2)).cast("long")).alias("p2"),
     ).first()
     words, discounts = facts["words"], (_discount(facts["w1"] or 0, facts["w2"] or 0), _discount(facts["p1"] or 0, facts["p2"] or 0))
+    rare = pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    discount = _discount(rare["once"], rare["twice"])
     customers, tables = np.zeros(CONTEXTS, dtype=np.int64), np.zeros(CONTEXTS, dtype=np.int64)
     per = state.select(F.explode(F.arrays_zip("gs", "ns")).alias("s")).groupBy("s.gs").agg(F.sum("s.ns").alias("c"), F.count("*").alias("t"))
-    for r in per.collect():  # one row per context
+    for r in per.collect():  # one row per ending
         customers[r["gs"]], tables[r["gs"]] = r["c"], r["t"]
     totals, samples = Totals(customers, tables, words, words, discounts), []
+    single = stored(pairs.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("t")))
+    many, contexts = pairs.where("n > 1").withColumns({"t": F.lit(1).cast("long"), "sum": F.lit(0).cast("long")}), single
     for sweep in range(1, sweeps + 1):
-        last, state = state, stored(_sweep(state, totals, sweep))
-        totals = _totals(state, sweep, words, discounts, customers)
+        before, many = many, stored(_sweep_pairs(many, contexts, state, totals, discount, sweep))
+        last, state = state, stored(_sweep(state, many.select("w", "g", "d"), totals, sweep))
+        totals = _totals(state, sweep, words, discounts)
         discard(last)
+        if sweep > 1:
+            discard(before)
+            discard(contexts)
+        more = many.groupBy("h").agg(F.sum(F.col("t") - 1).alias("more"))
+        contexts = stored(single.join(more, "h", "left").select("h", "c", (F.col("t") + F.coalesce("more", F.lit(0))).alias("t")))
         if sweep > BURN:
             samples.append((sweep, totals))
+    discard(contexts)
+    mean = F.col("sum") / F.lit(float(len(samples)))
+    more = many.groupBy("h").agg(F.sum(mean - 1).alias("more"))
+    below = STRENGTH[2] + F.col("c")
+    contexts = stored(single.join(more, "h", "left").select("h", "c", (1 / below).alias("x"), ((STRENGTH[2] + discount * (F.col("t") + F.coalesce("more", F.lit(0.0)))) / below).alias("y")))
+    discard(single)
+    ones = pairs.where("n = 1").select("h", "w", "n", F.lit(1 - discount).cast("float").alias("a"))
+    seen = ones.unionByName(many.select("h", "w", "n", (F.col("n") - discount * mean).cast("float").alias("a")))
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gs, ns = _flat(batch.column("gs")), _flat(batch.column("ns"))
+            gs = _flat(batch.column("gs"))
             offsets = batch.column("gs").offsets
             sizes = np.diff(offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             total, parents = np.zeros(len(gs)), []
             for sweep, totals in samples:
-                tables, parent = _flat(batch.column(f"t{sweep}")), batch.column(f"u{sweep}").to_numpy()
+                ns, tables, parent = _flat(batch.column(f"n{sweep}")), _flat(batch.column(f"t{sweep}")), batch.column(f"u{sweep}").to_numpy()
                 own = np.bincount(owner, weights=tables, minlength=len(sizes))
                 base = totals.parent_probability(own, parent)
                 seen = (ns - totals.discounts[1] * tables) / (STRENGTH[1] + totals.customers[gs])
                 total += seen + totals.weight()[gs] * base[owner]
                 parents.append(base)
-            counts = np.bincount(owner, weights=ns, minlength=len(sizes)).astype(np.int64)
             first = offsets.to_numpy() - offsets[0].as_py()
             step = np.arange(len(sizes) + 1, dtype=np.int32) * len(parents)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("w"),
-                    pa.array(counts),
+                    batch.column("c"),
                     pa.ListArray.from_arrays(pa.array(step), pa.array(np.array(parents).T.ravel())),
                     batch.column("gs"),
                     pa.ListArray.from_arrays(pa.array(first), pa.array((total / len(parents)).astype(np.float32))),
@@ -272,7 +348,32 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
     discard(state)
     weights = np.array([t.weight() for _, t in samples])
     unknown = np.array([float(t.parent_probability(np.zeros(1), np.zeros(1))[0]) for _, t in samples])
-    return Model(table, facts["tokens"] or 0, words, weights, unknown)
+    return Model(table, facts["tokens"] or 0, words, weights, unknown, seen, contexts)
+
+
+def _at_least(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest ``count``, at most ``most``; rows of equal step of it go together."""
+    step = F.floor(F.log2(count) * 32)
+    least = 1 << 20
+    for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # some two thousand at most
+        most -= r["n"]
+        if most < 0:
+            break
+        least = r["step"]
+    return rows.where(step >= least)
+
+
+def _sorted(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(key)
+    return key[order], *(v[order] for v in values)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``keys``, and whether the wanted key stands there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return spot, keys[spot] == wanted
 
 
 def _frequent(model: Model, words: int, pairs: int) -> tuple[np.ndarray, ...]:
@@ -304,71 +405,87 @@ def _frequent(model: Model, words: int, pairs: int) -> tuple[np.ndarray, ...]:
     return w[order], columns["c"].to_numpy()[order], p1[order], keys[by_key], columns["ps"].flatten().to_numpy()[by_key]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS, known_pairs: int = KNOWN_PAIRS) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row, and ``perplexity`` per token."""
     spark = docs.sparkSession
     small_batches(spark)
     floor = model.train_tokens + 0.5 * (model.distinct + 1)
-    shared = spark.sparkContext.broadcast((_frequent(model, frequent, frequent_pairs), model.weights))
+    found = _at_least(model.contexts, "c", frequent).toArrow()
+    contexts = _sorted(*(found.column(c).to_numpy() for c in ("h", "x", "y")))
+    found = _at_least(model.pairs.where("n > 1"), "n", known_pairs).select("h", "w", "a").toArrow()
+    pairs = _sorted(_pair_key(found.column("h").to_numpy(), found.column("w").to_numpy()), found.column("a").to_numpy())
+    del found
+    shared = spark.sparkContext.broadcast((_frequent(model, frequent, frequent_pairs), contexts, pairs, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, counts, parents, keys, values), weights = shared.value
+        (known, counts, parents, keys, values), (before_hash, xs, ys), (pair_keys, amounts), weights = shared.value
         row = TaskContext.get().partitionId() << 40
+
+        def rows_of(size: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[n].cast(k) if n in columns else pa.nulls(size, k) for n, k in zip(NAMES, KINDS)], names=NAMES)
+
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in slices(column, SLICE):
-                hashes, word, before, doc = tokens(column.slice(a, b - a))
+                hashes, context, word, before, doc = tokens(column.slice(a, b - a))
                 n = b - a
-                spot = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                here = known[spot] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
-                pair, back = np.unique(word * CONTEXTS + before, return_inverse=True)
-                w, g = pair // CONTEXTS, pair % CONTEXTS
-                sure = here[w]
-                log, base = np.zeros(len(pair)), np.zeros(len(pair))
-                place, context = spot[w[sure]], g[sure]
+                spot, here = _find(known, hashes)
+                first, opened = _find(before_hash, hashes)
+                pair, back = np.unique(word * len(hashes) + before, return_inverse=True)
+                w, h = pair // len(hashes), pair % len(hashes)
+                g = context[h]
+                sure = here[w] & opened[h]
+                log, base, x, y, done = np.zeros(len(pair)), np.zeros(len(pair)), np.zeros(len(pair)), np.zeros(len(pair)), np.zeros(len(pair), dtype=bool)
+                place, ending = spot[w[sure]], g[sure]
                 if len(place):
-                    p = (weights[:, context].T * parents[place]).mean(axis=1)
-                    key = (place * CONTEXTS + context).astype(np.int32)
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    seen = keys[at] == key
+                    p = (weights[:, ending].T * parents[place]).mean(axis=1)
+                    at, seen = _find(keys, (place * CONTEXTS + ending).astype(np.int32))
                     p[seen] = values[at[seen]]
-                    log[sure] = np.log10(p)
+                    x[sure], y[sure] = xs[first[h[sure]]], ys[first[h[sure]]] * p
                     base[sure] = np.log10((counts[place] + 0.5) / floor)
-                sums = [np.bincount(doc, weights=x[back], minlength=n) for x in (log, base, sure.astype(np.float64))]
-                none = pa.nulls(n, pa.int64())
+                    at, there = _find(pair_keys, _pair_key(hashes[h[sure]], hashes[w[sure]]))
+                    done[sure] = there
+                    log[done] = np.log10(amounts[at[there]] * x[done] + y[done])
+                sums = [np.bincount(doc, weights=v[back], minlength=n) for v in (log, base, sure.astype(np.float64))]
                 rows = row + np.arange(n)
                 row += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), ids.slice(a, n), pa.array(np.bincount(doc, minlength=n)), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), none, pa.nulls(n, pa.int16()), none],
-                    names=NAMES,
-                )
+                yield rows_of(n, row=pa.array(rows), doc_id=ids.slice(a, n), n_tokens=pa.array(np.bincount(doc, minlength=n)), known=pa.array(sums[2].astype(np.int64)), base=pa.array(sums[1]), log=pa.array(sums[0]))
                 release()
-                open_ = np.flatnonzero(~sure[back])
-                if len(open_):
-                    rest, times = np.unique(doc[open_] * len(pair) + back[open_], return_counts=True)
+                for chosen in (sure & ~done, ~sure):
+                    some = np.flatnonzero(chosen[back])
+                    if not len(some):
+                        continue
+                    rest, times = np.unique(doc[some] * len(pair) + back[some], return_counts=True)
                     which = rest % len(pair)
-                    m = len(rest)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[rest // len(pair)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(hashes[w[which]]), pa.array(g[which].astype(np.int16)), pa.array(times)],
-                        names=NAMES,
-                    )
+                    more = {"x": pa.array(x[which]), "y": pa.array(y[which])} if sure[which[0]] else {"g": pa.array(g[which])}
+                    yield rows_of(len(rest), row=pa.array(rows[rest // len(pair)]), h=pa.array(hashes[h[which]]), w=pa.array(hashes[w[which]]), n=pa.array(times), **more)
 
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = stored(parts.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, log double, w long, g short, n long"))
-    rare = parts.where("w IS NOT NULL").select("row", "w", "g", "n")
-    found = rare.join(model.words, "w", "left")
+    parts = parts.mapInArrow(run, PARTS).withColumn("k", F.when(F.col("h").isNotNull(), F.xxhash64("h", "w")))
+    # Rows with all but the pair known need no more than its key.
+    parts = stored(parts.withColumns({c: F.when(F.col("g").isNotNull(), F.col(c)) for c in ("h", "w")}))
     samples = len(model.unknown)
     table = spark.createDataFrame([(g, [float(x) for x in model.weights[:, g]]) for g in range(CONTEXTS)], "g short, a array<double>")
-    found = found.join(F.broadcast(table), "g")
+    rare = parts.where("g IS NOT NULL").select("row", "k", "h", "w", "g", "n").join(model.contexts.select("h", "x", F.col("y").alias("weight")), "h", "left")
+    rare = rare.join(model.words, "w", "left").join(F.broadcast(table), "g")
     parent = [F.coalesce(F.col("p1")[s], F.lit(float(model.unknown[s]))) * F.col("a")[s] for s in range(samples)]
     p = F.coalesce(F.get("ps", F.array_position("gs", F.col("g")).cast("int") - 1).cast("double"), sum(parent[1:], parent[0]) / samples)
     c = F.coalesce("c", F.lit(0))
-    rest = found.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(p)).alias("log2"),
-        F.sum(F.col("n") * F.log10((c + 0.5) / floor)).alias("base2"),
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known2"),
+    rare = rare.select(
+        "row", "k", "n",
+        F.coalesce("x", F.lit(0.0)).alias("x"),
+        (F.coalesce("weight", F.lit(1.0)) * p).alias("y"),
+        (F.col("n") * F.log10((c + 0.5) / floor)).alias("b"),
+        F.when(c > 0, F.col("n")).otherwise(0).alias("f"),
+    )
+    half = parts.where("k IS NOT NULL AND g IS NULL").select("row", "k", "n", F.col("x").cast("double"), F.col("y").cast("double"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("f"))
+    met = half.unionByName(rare).join(model.pairs.select(F.xxhash64("h", "w").alias("k"), "a"), "k", "left")
+    rest = met.groupBy("row").agg(
+        F.sum(F.col("n") * F.log10(F.coalesce("a", F.lit(0.0)) * F.col("x") + F.col("y"))).alias("log2"),
+        F.sum("b").alias("base2"),
+        F.sum("f").alias("known2"),
     )
-    whole = parts.where("w IS NULL").select("row", "doc_id", "n_tokens", "known", "base", "log").join(rest, "row", "left")
+    whole = parts.where("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "known", "base", "log").join(rest, "row", "left")
     logs = (F.col("log") + F.coalesce("log2", F.lit(0.0))).alias("score")
     return whole.select(
         "doc_id", "n_tokens",

@@ -87,3 +87,27 @@ def test_nothing_learned(spark):
     got = pitman_yor.score(hard(spark), model).collect()
     assert len(got) == 13 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == 0 for r in got)
     assert pitman_yor.score(hard(spark).limit(0), model).count() == 0
+
+
+def test_the_whole_word_before_counts(spark):
+    """``bathe``, ``the`` and ``she`` end alike; what follows each of them is its own."""
+    rows = [(i, f"{a} {b}") for i, (a, b) in enumerate([("bathe", "north"), ("the", "south"), ("she", "west")] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "bathe north"), (1, "bathe south"), (2, "she west"), (3, "she north")], "doc_id long, text string")
+    model = pitman_yor.fit(docs, F.lit(True))
+    for few in ({}, {"frequent": 0}, {"known_pairs": 0}):
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(asked, model, **few).collect()}
+        assert got[0] > got[1] + 0.5 and got[2] > got[3] + 0.5
+    assert model.contexts.count() == 7  # six words and the start
+
+
+def test_probabilities_after_a_word_add_up_to_one(spark, scored):
+    docs, model, _ = scored
+    rows = model.words.collect()
+    for r in model.contexts.orderBy(F.desc("c"), "h").limit(3).collect() + model.contexts.orderBy("c", "h").limit(2).collect():
+        # Of the ending, the words' probabilities add up to one; so must the rest.
+        seen = sum(p["a"] for p in model.pairs.where(F.col("h") == r["h"]).collect())
+        assert seen * r["x"] + r["y"] == pytest.approx(1.0, abs=1e-5)
+    assert len(rows) == model.distinct
+    pairs = {(a, b) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 5 != 1 for t in [words(d["text"]) + [None]] for a, b in zip([None] + t, t)}
+    assert model.pairs.count() == len(pairs)
