@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -216,8 +217,10 @@ def trainable(bars: DataFrame, min_bars: int = MIN_TRAIN_BARS) -> DataFrame:
     )
 
 
-def train_by_ticker(bars: DataFrame, tickers: list[str], **options) -> TickerModels:
-    """One model per listed ticker, each fit distributed.
+def train_by_ticker(
+    bars: DataFrame, tickers: list[str], parallelism: int = 4, **options
+) -> TickerModels:
+    """One model per listed ticker, each fit distributed, ``parallelism`` of them at a time.
 
     ``outcome`` has a row for every ticker with ``status`` and ``reason``.  What
     keeps a series from being learned is found in one pass beforehand; an error
@@ -228,7 +231,7 @@ def train_by_ticker(bars: DataFrame, tickers: list[str], **options) -> TickerMod
     spark = bars.sparkSession
     listed = spark.createDataFrame([(t,) for t in tickers], "ticker string")
     found = {r["ticker"]: r for r in trainable(bars).join(listed, "ticker", "left_semi").collect()}
-    result, rows = TickerModels(), []
+    result, rows, able = TickerModels(), [], []
     for ticker in dict.fromkeys(tickers):
         facts = found.get(ticker)
         if facts is None:
@@ -236,9 +239,15 @@ def train_by_ticker(bars: DataFrame, tickers: list[str], **options) -> TickerMod
         elif not (facts["n_up"] and facts["n_down"]):
             rows.append((ticker, "not trained", "the training rows have one class only"))
         else:
-            own = bars.filter(F.col("ticker") == ticker)
-            result.models[ticker] = train_model(own, **options)
+            able.append(ticker)
             rows.append((ticker, "trained", ""))
+
+    @inheritable_thread_target(spark)
+    def fit(ticker: str) -> Trained:
+        return train_model(bars.filter(F.col("ticker") == ticker), **options)
+
+    with ThreadPool(parallelism) as pool:
+        result.models = dict(zip(able, pool.map(fit, able, chunksize=1)))
     result.outcome = spark.createDataFrame(rows, "ticker string, status string, reason string")
     return result
 

@@ -16,7 +16,6 @@ from barloom.ml.training import (
     train_by_ticker,
     train_model,
 )
-from barloom.ml.tuning import SEARCH_SPACES
 from barloom.operators import backtest as bt
 from barloom.operators import cleaning, metrics, reports, training_set, walkforward
 from barloom.operators.evaluation import compare_curves, evaluate_curve
@@ -31,8 +30,6 @@ from barloom.sources.ticks import bars_from_ticks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Where a query fits several models (folds, single series), each has fewer trees.
-SMALL_FOREST = 50
 WATCHLIST = ["Brand#11", "# a comment", "", " brand#23", "Brand#4", "Brand#99"]
 BAR_COLS = ["Open", "High", "Low", "Close", "Volume"]
 # Unit prices often end exactly halfway between two shorter decimals.
@@ -553,14 +550,8 @@ QUERIES["xgb_like_train"] = _train_query("xgboost")
 
 @query
 def tune_rf(spark, sf_dir):
-    """A tuned model, through training: the trials, and what the winner scores on its test rows.
-
-    The shipped space with smaller forests, and two draws of it; the whole search
-    is 91 fits of up to 700 trees.
-    """
-    space = {**SEARCH_SPACES["random_forest"], "numTrees": [SMALL_FOREST]}
-    search = {"draws": 2, "space": space}
-    trained = train_model(kept(index_level_bars(spark, sf_dir)), tune=True, search=search)
+    """A tuned model, through training: the trials, and what the winner scores on its test rows."""
+    trained = train_model(kept(index_level_bars(spark, sf_dir)), tune=True)
     held = trained.evaluation(by=()).filter("is_test").select(F.col("accuracy").alias("held_out"))
     return trained.trials.join(F.broadcast(held))  # one row
 
@@ -575,7 +566,7 @@ def q_train_by_ticker(spark, sf_dir):
     """A model for every series there is, and one that is not there."""
     bars = kept(index_level_bars(spark, sf_dir))
     tickers = [r["ticker"] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]
-    done = train_by_ticker(bars, [*tickers, "nobody"], n_estimators=SMALL_FOREST)
+    done = train_by_ticker(bars, [*tickers, "nobody"])
     out = None
     for trained in done.models.values():
         one = trained.evaluation().filter("is_test").drop("is_test")

@@ -14,6 +14,7 @@ from barloom.ml.training import (
     training_table,
 )
 from barloom.ml.tuning import SEARCH_SPACES, draw_params, tune_classifier
+from barloom.plans import queries
 
 from helpers import bars_frame, walk
 
@@ -198,3 +199,24 @@ def test_prediction_log(spark, trained, bars, tmp_path):
     registry.clear_history(spark, path)
     assert spark.read.parquet(path).count() == 0
     assert "prob_down" in spark.read.parquet(path).columns
+
+
+def test_queries_ask_for_the_whole_search_and_default_trees(spark, bars, monkeypatch):
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def note(name):
+        def call(*args, **options):
+            asked[name] = options
+            raise Asked
+
+        return call
+
+    for name in ("train_model", "train_by_ticker"):
+        monkeypatch.setattr(queries, name, note(name))
+    for name in ("tune_rf", "train_by_ticker"):
+        with pytest.raises(Asked):
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == {"train_model": {"tune": True}, "train_by_ticker": {}}
