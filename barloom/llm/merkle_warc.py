@@ -4,13 +4,14 @@ Pages become WARC records. Records of one id and URI are one leaf, whose hash co
 their bytes, and the sum of their SHA-256 values in four 32-bit lanes: a sum does not depend on the
 order, so a key of any number of records is added up before the shuffle. The archive's manifest places the leaves in
 volumes (by a hash of the key, some ``VOLUME`` leaves each) and orders them there, giving every leaf an
-offset range. Above the leaves stand nodes of ``FANOUT`` consecutive children, each covering their
-offset range and hashing their hashes, up to one root per volume.
+offset range; a leaf's hash covers where it starts and, by its own length, ends. Above the leaves stand nodes
+of ``FANOUT`` consecutive children, each hashing their offset range and their hashes, up to one root per volume.
 
-Each replica's tree is built from its own records and the manifest, without the other's hashes. The
-audit compares the roots of the volumes and goes down, level by level, only below nodes whose hashes
-differ; the leaves it arrives at are the damaged or missing records. Records that the manifest does not
-know are reported as extra.
+Each replica's tree is built from its own records and the manifest, without the other's hashes. Records
+that the manifest does not know are leaves behind the last one of their volume. The audit compares the
+roots of the volumes and goes down, level by level, only below nodes whose hashes differ; the leaves it
+arrives at are the damaged, missing or extra records. Starts are the manifest's, so records behind one that
+is missing or has another length are no findings; rows of a table have no order that could be compared.
 
 Defined results: a NULL id or URI is written as empty, a NULL body is an empty one; repeated rows count
 (one copy less is a change); several records of one key are reported together, with their bytes added
@@ -66,13 +67,31 @@ def manifest(found: DataFrame, volumes: int) -> DataFrame:
 
 def base_level(found: DataFrame, listed: DataFrame) -> DataFrame:
     """The lowest level of a replica's tree: its leaves where the manifest has them; without a digest if they are missing."""
-    return listed.join(found.select("id", "uri", "digest"), ["id", "uri"], "left").select("id", "uri", "volume", "node", "start", "end", F.coalesce("digest", F.lit("missing")).alias("digest"))
+    met = listed.join(found.select("id", "uri", F.col("length").alias("own"), "digest"), ["id", "uri"], "left")
+    placed = met.withColumn("end", F.when(F.col("own").isNull(), F.col("end")).otherwise(F.col("start") + F.col("own")))
+    return placed.select("id", "uri", "volume", "node", "start", "end", F.coalesce(covering("digest"), F.lit("missing")).alias("digest"))
+
+
+def covering(hashes: str | Column) -> Column:
+    """Hash of an offset range and of what stands there; NULL if nothing does."""
+    hashes = F.col(hashes) if isinstance(hashes, str) else hashes
+    return F.sha2(F.concat(F.col("start").cast("string"), F.lit(":"), F.col("end").cast("string"), F.lit(":"), hashes), 256)
+
+
+def strays(found: DataFrame, listed: DataFrame, volumes: int) -> DataFrame:
+    """Leaves that the manifest does not have, as rows of ``base_level`` behind the last of their volume."""
+    last = listed.groupBy("volume").agg((F.max("node") + 1).alias("n0"), F.max("end").alias("e0"))
+    order = Window.partitionBy("volume").orderBy("id", "uri")
+    end = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    extra = found.join(listed, ["id", "uri"], "left_anti").withColumn("volume", volume_of(volumes)).withColumns({"i": F.row_number().over(order).cast("long") - 1, "to": end})
+    extra = extra.join(last, "volume", "left").withColumns({"node": F.coalesce("n0", F.lit(0)) + F.col("i"), "end": F.coalesce("e0", F.lit(0)) + F.col("to")})
+    return extra.withColumn("start", F.col("end") - F.col("length")).select("id", "uri", "volume", "node", "start", "end", covering("digest").alias("digest"))
 
 
 def next_level(level: DataFrame) -> DataFrame:
     children = F.array_sort(F.collect_list(F.struct("node", "digest")))
     above = level.groupBy("volume", F.expr(f"node div {FANOUT}").alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), children.alias("c"))
-    return above.select("volume", "node", "start", "end", F.sha2(F.array_join(F.col("c.digest"), ""), 256).alias("digest"))
+    return above.select("volume", "node", "start", "end", covering(F.array_join(F.col("c.digest"), "")).alias("digest"))
 
 
 def tree(base: DataFrame, height: int) -> list[DataFrame]:
@@ -84,14 +103,14 @@ def tree(base: DataFrame, height: int) -> list[DataFrame]:
 
 
 def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """Leaves of ``ours`` that differ, found from the roots down; ``other`` is the other tree's digest."""
+    """Leaves that differ, found from the roots down; ``other`` is the other tree's digest. Of those that ``theirs`` alone has, only place and digest."""
     suspects = None
     for mine, other in zip(reversed(ours), reversed(theirs)):
         if suspects is not None:  # only children of nodes that differ
             below = F.expr(f"node div {FANOUT}")
             mine = mine.withColumn("_up", below).join(suspects, ["volume", "_up"], "left_semi").drop("_up")
             other = other.withColumn("_up", below).join(suspects, ["volume", "_up"], "left_semi").drop("_up")
-        met = mine.join(other.select("volume", "node", F.col("digest").alias("other")), ["volume", "node"], "left").where(~F.col("digest").eqNullSafe(F.col("other")))
+        met = mine.join(other.select("volume", "node", F.col("digest").alias("other")), ["volume", "node"], "full").where(~F.col("digest").eqNullSafe(F.col("other")))
         met = stored(met)
         suspects = met.select("volume", F.col("node").alias("_up"))
     return met
@@ -106,13 +125,14 @@ def audit(archive: DataFrame, replica: DataFrame, id_col: str = "page_id", url_c
     theirs = stored(leaves(records(replica, id_col, url_col, body_col)))
     volumes = max(1, math.ceil(ours.count() / VOLUME))
     listed = stored(manifest(ours, volumes))
-    largest = listed.agg(F.max("node")).first()[0] or 0
+    extra = stored(strays(theirs, listed, volumes))
+    largest = max(table.agg(F.max("node")).first()[0] or 0 for table in (listed, extra))
     height = 1
     while FANOUT**height <= largest:
         height += 1
-    found = differing(tree(base_level(ours, listed), height), tree(base_level(theirs, listed), height))
+    found = differing(tree(base_level(ours, listed), height), tree(base_level(theirs, listed).unionByName(extra), height))
     status = F.when(F.col("other") == "missing", "missing").otherwise("changed")
-    known = found.select("id", "uri", "volume", "start", (F.col("end") - F.col("start")).alias("length"), status.alias("status"))
-    extra = theirs.join(listed, ["id", "uri"], "left_anti")
-    extra = extra.select("id", "uri", volume_of(volumes).alias("volume"), F.lit(-1).cast("long").alias("start"), "length", F.lit("extra").alias("status"))
+    known = found.where("digest IS NOT NULL").select("id", "uri", "volume", "start", (F.col("end") - F.col("start")).alias("length"), status.alias("status"))
+    extra = extra.join(found.where("digest IS NULL").select("volume", "node"), ["volume", "node"], "left_semi")
+    extra = extra.select("id", "uri", "volume", F.lit(-1).cast("long").alias("start"), (F.col("end") - F.col("start")).alias("length"), F.lit("extra").alias("status"))
     return known.unionByName(extra)

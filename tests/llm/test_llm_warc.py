@@ -68,3 +68,15 @@ def test_record_bytes(spark):
     record = merkle_warc.records(pages(spark, [(7, "http://x/é", "<p>é</p>")])).first()["record"]
     head, _, body = bytes(record).partition(b"\r\n\r\n")
     assert body == "<p>é</p>".encode() + b"\r\n\r\n" and b"Content-Length: 9" in head and b"urn:page:7>" in head
+
+
+def test_roots_cover_extra_records_and_offsets(spark):
+    ours = merkle_warc.leaves(merkle_warc.records(pages(spark, ROWS)))
+    listed = merkle_warc.manifest(ours, 1)
+    root = lambda base: [r["digest"] for r in merkle_warc.tree(base, 3)[3].collect()]
+    base = merkle_warc.base_level(ours, listed)
+    more = merkle_warc.leaves(merkle_warc.records(pages(spark, [*ROWS, (9000, "http://new", "z")])))
+    assert root(base) == root(merkle_warc.base_level(more, listed))
+    assert root(base) != root(merkle_warc.base_level(more, listed).unionByName(merkle_warc.strays(more, listed, 1)))
+    moved = listed.withColumns({c: listed[c] + 1 for c in ("start", "end")})
+    assert root(base) != root(merkle_warc.base_level(ours, moved))
