@@ -14,6 +14,11 @@ Score: kernel rows times coefficients. As the kernel is a product of presence ve
 coefficients are multiplied once into a matrix of slots by languages, and a batch of texts is scored by
 one product of its (sparse) presence matrix with that. Texts are read whole and never shuffled.
 
+A text of no learned language still gets the nearest one. How much of it is known says the share of its
+3- and 4-grams that the landmarks hold (``EVEN`` more count as held, so that short texts are not judged by a
+few). A fit keeps, as the least share to trust, ``TRUST`` times that of the lowest hundredth of the sampled
+texts that are not landmarks.
+
 Defined results: NULL, or no letter: ``und``, score 0, also if nothing could be learned. The score is
 the winning language's regression value moved from [-1, 1] to [0, 1] and clipped. Ties go to the language
 that sorts first. Equal texts get equal results; no rows give no rows; columns with names of result
@@ -44,6 +49,7 @@ TASKS = 8
 #: Texts whose presence matrix stands in memory at once.
 BATCH = 64
 UNKNOWN = "und"
+EVEN, TRUST = 8, 0.7
 #: Multipliers that spread n-grams over slots.
 SPREAD = (np.uint32(1), np.uint32(1), np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 
@@ -80,10 +86,17 @@ class Presence:
 
 @dataclass(frozen=True)
 class Model:
-    """``weights``: slots by languages."""
+    """``weights``: slots by languages; ``held``: slots of the landmarks; ``least``: share of known n-grams to trust."""
 
     languages: tuple[str, ...]
     weights: np.ndarray
+    held: np.ndarray
+    least: float
+
+
+def known_share(slots: np.ndarray, held: np.ndarray) -> float:
+    long = slots[slots >= 2 << SLOT_BITS]
+    return (int(held[long].sum()) + EVEN) / (len(long) + EVEN)
 
 
 def sample_rows(rows: DataFrame, group: str, keys: list[str], bound: int) -> DataFrame:
@@ -131,15 +144,18 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     good = values > 1e-8 * values[-1]
     white = vectors[:, good] / np.sqrt(values[good])  # Nyström features: kernel row times this
 
+    held = np.unpackbits(np.bitwise_or.reduce(packed, axis=0), count=SLOTS).astype(bool)
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, size = Presence(), white.shape[1]
-        left, right, n = np.zeros((size, size)), np.zeros((size, len(languages))), 0
+        left, right, n, shares = np.zeros((size, size)), np.zeros((size, len(languages))), 0, []
         marked = np.unpackbits(packed, axis=1, count=SLOTS).T.copy()
         for batch in batches:
             kernel, target = [], []
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
                 slots = find.slots(text.as_py())
                 if len(slots):
+                    shares.append(known_share(slots, held))
                     kernel.append(marked[slots].sum(axis=0, dtype=np.int64) / np.sqrt(count * len(slots)))
                     target.append([1.0 if lang == x else -1.0 for x in languages])
             if kernel:
@@ -147,36 +163,38 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 left += features.T @ features
                 right += features.T @ np.array(target)
                 n += len(kernel)
-        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([n])], names=["l", "r", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([n]), pa.array([shares], type=pa.list_(pa.float64()))], names=["l", "r", "n", "s"])
 
-    left, right, n = 0.0, 0.0, 0
-    for row in chosen.select("text", "lang").mapInArrow(sums, "l binary, r binary, n long").collect():  # TASKS rows
+    left, right, n, shares = 0.0, 0.0, 0, []
+    for row in chosen.select("text", "lang").mapInArrow(sums, "l binary, r binary, n long, s array<double>").collect():  # TASKS rows
         left = left + np.frombuffer(row["l"]).reshape(white.shape[1], -1)
         right = right + np.frombuffer(row["r"]).reshape(white.shape[1], -1)
         n += row["n"]
+        shares += [s for s in row["s"] if s < 1]  # the landmarks' own are 1
     if not n:
         return None
     solved = white @ np.linalg.solve(left + RIDGE * n * np.eye(len(left)), right) / np.sqrt(count)[:, None]
     weights = np.zeros((SLOTS, len(languages)), dtype=np.float32)
     for row, coefficients in zip(packed, solved):
         weights[np.flatnonzero(np.unpackbits(row, count=SLOTS))] += coefficients.astype(np.float32)
-    return Model(languages, weights)
+    return Model(languages, weights, held, TRUST * float(np.quantile(shares or [1.0], 0.01)))
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", known_col: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, and the share of known n-grams in ``known_col`` if it is named."""
     docs = docs.drop("lang_pred", "score")
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        known = {known_col: F.lit(0.0)} if known_col else {}
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), **known})
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))  # slots by languages, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.held))  # slots by languages, whatever the input
 
-    @arrow_udf("lang_pred string, score double")
+    @arrow_udf("lang_pred string, score double, known double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        languages, weights = shared.value
+        languages, weights, held = shared.value
         find = Presence()
         for texts in batches:
-            best, top = np.full(len(texts), -1), np.zeros(len(texts))
+            best, top, known = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
             for at in range(0, len(texts), BATCH):
                 sets = [find.slots(texts[i].as_py()) for i in range(at, min(at + BATCH, len(texts)))]
                 sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -186,11 +204,13 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     starts = (np.cumsum(sizes) - sizes)[some]
                     raw = np.add.reduceat(weights[np.concatenate(sets)], starts, axis=0, dtype=np.float64)
                     raw /= np.sqrt(sizes[some])[:, None]
+                    if known_col:
+                        known[at + some] = [known_share(sets[i], held) for i in some]
                     best[at + some] = raw.argmax(axis=1)
                     top[at + some] = np.clip((raw.max(axis=1) + 1) / 2, 0.0, 1.0)
             release()
             names = pa.array([languages[b] if b >= 0 else UNKNOWN for b in best.tolist()])
-            yield pa.StructArray.from_arrays([names, pa.array(top)], names=["lang_pred", "score"])
+            yield pa.StructArray.from_arrays([names, pa.array(top), pa.array(known)], names=["lang_pred", "score", "known"])
 
     found = free_name(docs, "_found")
-    return docs.withColumn(found, of(F.col(text_col).cast("string"))).select("*", f"{found}.lang_pred", f"{found}.score").drop(found)
+    return docs.withColumn(found, of(F.col(text_col).cast("string"))).select("*", f"{found}.lang_pred", f"{found}.score", *([F.col(f"{found}.known").alias(known_col)] if known_col else [])).drop(found)

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from barloom.llm import bktree_simhash, harmonic_packing, rff_quality, string_kernel_lid, window_dedup  # noqa: E402
-from barloom.llm.common import doc_bucket, stored, table  # noqa: E402
+from barloom.llm.common import doc_bucket, free_name, stored, table  # noqa: E402
 from barloom.llm.queries import WORD_VOCABULARY  # noqa: E402
 
 #: A language that is less sure than this is no language.
@@ -18,10 +18,12 @@ LEAST_SURE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language."""
+    """Drops documents without a recognisable language: no letter, or n-grams that no learned language has."""
     model = string_kernel_lid.fit(docs, doc_bucket("doc_id", 4) != 2)
-    found = string_kernel_lid.predict(docs, model)
-    return found.where((F.col("lang_pred") != string_kernel_lid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(docs.columns)
+    known = free_name(docs, "_known")
+    found = string_kernel_lid.predict(docs, model, known_col=known)
+    sure = (F.col("score") >= LEAST_SURE) & (F.col(known) >= (model.least if model else 0.0))
+    return found.where((F.col("lang_pred") != string_kernel_lid.UNKNOWN) & sure).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

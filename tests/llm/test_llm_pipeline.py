@@ -1,6 +1,7 @@
 """The pipeline's stages against slow versions, each on its own input."""
 
 import os
+import random
 import sys
 
 import public_tokenizers
@@ -82,3 +83,14 @@ def test_query_equals_sql(spark, name):
     got = contract.queries()[name](spark, SF).toPandas()
     assert len(got) > 0
     assert difference(got, connect(SF).execute(contract.oracle_sql()[name]).df()) == ""
+
+
+def test_language_drops_what_was_never_learned(spark):
+    docs = table(spark, SF, "documents")
+    rng = random.Random(1)
+    gibberish = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    finnish = "suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset"
+    strange = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate([*gibberish, finnish])], "doc_id long, text string")
+    kept = corpus_pipeline.language(spark, docs.unionByName(strange, allowMissingColumns=True), SF)
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.count() == corpus_pipeline.language(spark, docs, SF).count() > 0
