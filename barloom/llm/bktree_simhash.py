@@ -231,8 +231,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without those that are near a document of smaller id (rows without id stay)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    name = free_name(docs, "_gone")
+    """``docs`` without those that are near a document of smaller id (rows without id stay).
+
+    Of several rows of the id that is kept the one with the smallest hash of its columns stays.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, shingle, radius).select("doc_id", "component_id"))
+    name, mark = free_name(docs, "_gone"), free_name(docs, "_mark")
+    id_of = F.col(id_col).cast("long") == F.col(name)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    kept = docs.join(gone, id_of, "left_anti")
+    twice = stored(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(name)))
+    if twice.isEmpty():
+        return kept
+    # Columns as text: maps and variants have no hash. Written, so that equal rows keep their numbers.
+    row = F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"})
+    rows = stored(kept.join(twice, id_of).withColumn(mark, F.struct(F.xxhash64(row).alias("a"), F.monotonically_increasing_id().alias("b"))))
+    first = rows.groupBy(name).agg(F.min(mark).alias(mark))
+    return kept.join(twice, id_of, "left_anti").unionByName(rows.join(first, [name, mark]).select(docs.columns))

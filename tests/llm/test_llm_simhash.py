@@ -87,3 +87,9 @@ def test_hot_copies(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text in many rows of this table").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     got = {r["doc_id"]: r["component_id"] for r in bktree_simhash.near_duplicates(docs).collect()}
     assert all(got[i] == 0 for i in range(0, 2000, 3))
+
+
+def test_one_row_of_a_repeated_id_is_kept(spark):
+    rows = [(5, "alpha beta gamma delta epsilon")] * 3 + [(5, "one two three four five"), (7, "alpha beta gamma delta epsilon"), (8, "nothing like the others at all here")]
+    kept = bktree_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert kept.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in kept.collect()) == [5, 8]
