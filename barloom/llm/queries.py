@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import pitman_yor, rff_quality, string_kernel_lid
+from barloom.llm import bestfit_packing, pitman_yor, rff_quality, string_kernel_lid
 from barloom.llm.bktree_simhash import near_duplicates
 from barloom.llm.common import doc_bucket, table
 from barloom.llm.harmonic_packing import pack
@@ -15,6 +15,7 @@ from barloom.llm.merkle_warc import audit
 from barloom.llm.permutation_index import nearest
 from barloom.llm.window_dedup import dedup_lines
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -76,4 +77,9 @@ def op10_merkle_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(pages, replica.unionByName(strays))
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc)}
+def op11_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bestfit_packing.pack(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc, op11_bestfit_packing)}
