@@ -13,6 +13,7 @@ from barloom.llm.histogram_topk import top_k
 from barloom.llm.merge_replay import digests
 from barloom.llm.merkle_warc import audit
 from barloom.llm.permutation_index import nearest
+from barloom.llm.spelling_variants import spelling_variants
 from barloom.llm.window_dedup import dedup_lines
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,4 +83,8 @@ def op11_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc, op11_bestfit_packing)}
+def op13_bloom_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), damage=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc, op11_bestfit_packing, op13_bloom_spelling)}
