@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import bestfit_packing, pitman_yor, rff_quality, string_kernel_lid
+from barloom.llm import bestfit_packing, conversation_repair, pitman_yor, rff_quality, string_kernel_lid
 from barloom.llm.bktree_simhash import near_duplicates
 from barloom.llm.common import doc_bucket, table
 from barloom.llm.harmonic_packing import pack
@@ -83,8 +83,13 @@ def op11_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, gone = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(conversation_repair.prepare(rows, gone=gone))
+
+
 def op13_bloom_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), damage=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc, op11_bestfit_packing, op13_bloom_spelling)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_string_kernel, op3_window_dedup, op4_rff_quality, op5_permutation_index, op6_histogram_topk, op7_pitman_yor, op8_bktree_simhash, op9_merge_replay, op10_merkle_warc, op11_bestfit_packing, op12_grammar_repair, op13_bloom_spelling)}
