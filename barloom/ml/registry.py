@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.functions.maths import flag
+from barloom.ml.boosting import BoostedModel
 from barloom.ml.scoring import model_columns
 from barloom.ml.training import Trained, feature_importance
 from barloom.operators.reports import title_case
@@ -45,8 +46,11 @@ def save_model(model: PipelineModel, uri: str) -> str:
     return uri
 
 
-def load_model(uri: str) -> PipelineModel:
-    """Read a pipeline back and check that it can score."""
+def load_model(uri: str) -> PipelineModel | BoostedModel:
+    """Read a model back and check that it can score."""
+    boosted = BoostedModel.load(uri)
+    if boosted is not None:
+        return boosted
     model = PipelineModel.load(uri)
     if len(model.stages) < 3 or not hasattr(model.stages[-1], "featureImportances"):
         raise ValueError(f"{uri} holds no pipeline of assembler, scaler and tree classifier")

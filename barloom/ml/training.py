@@ -12,6 +12,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.indicators import FEATURE_COLS
+from barloom.ml.boosting import BoostedModel, SecondOrder
 from barloom.ml.scoring import score
 from barloom.operators.backtest import backtest_signals, perf_metrics
 from barloom.operators.features import compute_features
@@ -37,7 +38,7 @@ DEFAULTS = {
         "minInstancesPerNode": 2,
         "featureSubsetStrategy": "sqrt",
     },
-    # Boosted trees of the same shape; Spark has no second boosting library.
+    # Second-order boosting; the least of a node is a sum of hessians, features are drawn per tree.
     "xgboost": {
         "maxDepth": 5,
         "stepSize": 0.05,
@@ -64,6 +65,8 @@ def make_classifier(
     if name == "random_forest":
         # Balanced class weights, as a column of the training table.
         return RandomForestClassifier(numTrees=n_estimators, weightCol="class_weight", **shared)
+    if name == "xgboost":
+        return SecondOrder(seed, n_estimators, **params)
     return GBTClassifier(maxIter=n_estimators, **shared)
 
 
@@ -91,10 +94,12 @@ def fit_classifier(
     seed: int = RANDOM_STATE,
     columns=tuple(FEATURE_COLS),
     **overrides,
-) -> PipelineModel:
-    """Assemble, scale and fit on rows kept in memory or on disk."""
+) -> PipelineModel | BoostedModel:
+    """Assemble, scale and fit on rows kept in memory or on disk; second-order boosting bins rows instead."""
     estimator = make_classifier(model_type, n_estimators, seed, **overrides)
     rows = train.select(*columns, "target")
+    if isinstance(estimator, SecondOrder):
+        return estimator.fit(rows, columns)
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
         rows = with_class_weight(rows)
     rows = kept_rows(rows)
@@ -112,7 +117,7 @@ class Trained:
     compute features again.  ``trials`` holds the search of a tuned model.
     """
 
-    model: PipelineModel
+    model: PipelineModel | BoostedModel
     model_type: str
     seed: int
     scored: DataFrame

@@ -1,24 +1,34 @@
-"""Random search over tree parameters with Spark's cross-validator."""
+"""Random search over tree parameters, cross-validated, with a trial table that a restart continues.
+
+Points of the search that differ only in the number of trees or rounds, or in the depth of a forest, are
+judged by one growth: tree ``k`` of a forest depends on its number alone, a deeper tree begins with the levels of
+a shallower one, and boosting passes through fewer rounds on its way to more. Growth runs in tasks of a hundred
+trees, or of one fold of boosting, over a block of at most ``max_rows`` rows; trees live as long as their task, and only the
+summed votes for the held-out rows leave it. Each growth is one job whose trials are written when it ends.
+The winner alone is fitted on all rows.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import random
+import uuid
+from collections.abc import Iterator
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.indicators import FEATURE_COLS
-from barloom.ml.training import (
-    RANDOM_STATE,
-    feature_stages,
-    kept_rows,
-    make_classifier,
-    model_type_name,
-)
-from barloom.operators.training_set import with_class_weight, with_folds
+from barloom.ml.boosting import SecondOrder
+from barloom.ml.growth import Boosting, Shape, bin_edges, boost, drawn_features, forest_tree, to_bins
+from barloom.ml.training import RANDOM_STATE, fit_classifier, model_type_name
+from barloom.operators.training_set import with_folds
+from barloom.session import cut_lineage, shared_folder
 
 # Search spaces and search effort.
 SEARCH_SPACES = {
@@ -58,6 +68,194 @@ def draw_params(space: dict[str, list], draws: int, seed: int) -> list[dict]:
     if draws >= len(grid):
         return grid
     return random.Random(seed).sample(grid, draws)
+#: Rows that the search is judged on; of larger tables a sample by hash. The winner is fitted on all rows.
+SEARCH_ROWS = 100_000
+#: Trees that one task grows.
+TREES_PER_TASK = 100
+
+TRIAL_SCHEMA = "trial int, fold int, correct long, n long"
+# What the other parameters are where a space does not name them.
+UNNAMED = {"maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "all", "subsamplingRate": 1.0, "stepSize": 0.1, "minInfoGain": 0.0}
+LENGTH = {"random_forest": "numTrees", "xgboost": "maxIter", "gradient_boosting": "maxIter"}
+
+
+class Growth:
+    """Trials that one growth judges: the same parameters but for length and, in forests, depth."""
+
+    def __init__(self, name: str, params: dict, trials: dict[int, dict]):
+        self.name, self.params, self.trials = name, {**UNNAMED, **params}, trials
+        self.lengths = {t: int(p[LENGTH[name]]) for t, p in trials.items()}
+        self.depths = {t: int(p.get("maxDepth", UNNAMED["maxDepth"])) for t, p in trials.items()}
+        self.most = max(self.lengths.values())
+
+    def units(self, folds: int) -> list[tuple[int, int, int]]:
+        """``fold, first, last``: trees of forests in parts that end wherever a trial does, boosting in one part."""
+        if self.name != "random_forest":
+            return [(fold, 0, self.most) for fold in range(folds)]
+        stops = sorted({*range(0, self.most, TREES_PER_TASK), *self.lengths.values()})
+        return [(fold, a, b) for fold in range(folds) for a, b in zip(stops, stops[1:])]
+
+    def forest_shape(self, columns: int) -> Shape:
+        return Shape(max(self.depths.values()), int(self.params["minInstancesPerNode"]), per_node=drawn_features(self.params["featureSubsetStrategy"], columns))
+
+    def settings(self, seed: int, columns: int) -> Boosting:
+        p = self.params
+        if self.name == "xgboost":
+            return SecondOrder(seed, **{**p, "maxIter": self.most}).settings
+        shape = Shape(int(p["maxDepth"]), int(p["minInstancesPerNode"]), per_node=drawn_features(p["featureSubsetStrategy"], columns))
+        return Boosting(self.most, float(p["stepSize"]), shape, float(p["subsamplingRate"]), 1.0, False, seed)
+
+    def votes(self, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, held: np.ndarray, first: int, last: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``depth, upto, sums``: votes (or margins) of trees ``first`` to ``last`` for the held-out rows."""
+        fit = ~held
+        if self.name == "random_forest":
+            depths = sorted(set(self.depths.values()))
+            shape = self.forest_shape(bins.shape[1])
+            sums = {d: np.zeros(int(held.sum())) for d in depths}
+            train, labels, weights, test = bins[fit], y[fit], weight[fit], bins[held]
+            for number in range(first, last):
+                tree = forest_tree(train, labels, weights, shape, float(self.params["subsamplingRate"]), seed, number)
+                for d, node in zip(depths, tree.route(test, depths)):
+                    sums[d] += tree.value[node] - 0.5
+            for d in depths:
+                yield d, last, sums[d]
+        else:
+            settings = self.settings(seed, bins.shape[1])
+            if not settings.second_order and 0 < y[fit].mean() < 1:
+                settings.base = float(np.log(y[fit].mean() / (1 - y[fit].mean())))
+            stops = tuple(sorted(set(self.lengths.values())))
+            _, seen = boost(bins[fit], y[fit], np.flatnonzero(fit), settings, bins[held], stops)
+            for upto, margin in seen.items():
+                yield 0, upto, margin
+
+    def judged(self, table: pa.Table, y: np.ndarray) -> list[tuple[int, int]]:
+        """``trial, correct`` of one fold, from all its votes."""
+        rows = table.to_pylist()
+        out = []
+        for trial, length in self.lengths.items():
+            if self.name == "random_forest":
+                parts = [r["sums"] for r in rows if r["upto"] <= length and r["depth"] == self.depths[trial]]
+            else:
+                parts = [r["sums"] for r in rows if r["upto"] == length]
+            votes = sum(np.frombuffer(p) for p in parts)
+            out.append((trial, int(((votes > 0) == (y > 0.5)).sum())))
+        return out
+
+
+def growths(name: str, trials: list[dict]) -> list[Growth]:
+    """The trials, put together where one growth judges several."""
+    apart = {LENGTH[name]} | ({"maxDepth"} if name == "random_forest" else set())
+    groups: dict[str, dict[int, dict]] = {}
+    for i, trial in enumerate(trials):
+        key = json.dumps({k: v for k, v in trial.items() if k not in apart}, sort_keys=True)
+        groups.setdefault(key, {})[i] = trial
+    return [Growth(name, json.loads(key), some) for key, some in groups.items()]
+
+
+def _run(spark: SparkSession, growth: Growth, block, folds: int, seed: int) -> DataFrame:
+    """``trial, fold, correct, n`` of one growth; ``block`` is a broadcast of bins, labels, weights and folds."""
+    units = growth.units(folds)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in batch.column(0).to_pylist():
+                bins, y, weight, fold_of = block.value
+                fold, first, last = units[unit]
+                found = list(growth.votes(bins, y, weight, fold_of == fold, first, last, seed))
+                names = ["fold", "depth", "upto", "sums"]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([fold] * len(found), pa.int32()),
+                        pa.array([d for d, _, _ in found], pa.int32()),
+                        pa.array([u for _, u, _ in found], pa.int32()),
+                        pa.array([s.tobytes() for _, _, s in found], pa.binary()),
+                    ],
+                    names=names,
+                )
+
+    def judge(table: pa.Table) -> pa.Table:
+        _, y, _, fold_of = block.value
+        fold = table["fold"][0].as_py()
+        mine = y[fold_of == fold]
+        done = growth.judged(table, mine)
+        return pa.table(
+            {
+                "trial": pa.array([t for t, _ in done], pa.int32()),
+                "fold": pa.array([fold] * len(done), pa.int32()),
+                "correct": pa.array([c for _, c in done], pa.int64()),
+                "n": pa.array([len(mine)] * len(done), pa.int64()),
+            }
+        )
+
+    votes = spark.range(0, len(units), 1, len(units)).mapInArrow(work, "fold int, depth int, upto int, sums binary")
+    return votes.groupBy("fold").applyInArrow(judge, TRIAL_SCHEMA)
+
+
+def _written(spark: SparkSession, path: str) -> list[tuple] | None:
+    """Trials of a growth that an earlier run has written to the end."""
+    try:
+        return [tuple(r) for r in spark.read.schema(TRIAL_SCHEMA).parquet(path).collect()]
+    except AnalysisException:
+        return None
+
+
+def search_rows(train: DataFrame, folds: int, columns, by, max_rows: int) -> DataFrame:
+    """Rows of the search with their ``fold``, written once: all, or a sample of about ``max_rows`` by hash."""
+    rows = cut_lineage(with_folds(train, folds, by).select(*by, "date", *columns, "target", "fold"))
+    share = max_rows / max(1, rows.count())
+    if share >= 1:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*by, "date"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def search(
+    train: DataFrame,
+    model_type: str = "random_forest",
+    draws: int = SEARCH_DRAWS,
+    folds: int = SEARCH_FOLDS,
+    seed: int = RANDOM_STATE,
+    columns=tuple(FEATURE_COLS),
+    by=("ticker",),
+    space: dict[str, list] | None = None,
+    path: str | None = None,
+    max_rows: int = SEARCH_ROWS,
+) -> DataFrame:
+    """The trial table: ``trial, params, accuracy`` (mean over folds), ``best`` (the first of the highest) and ``n_rows`` judged.
+
+    ``path`` keeps what each growth found under a name made of the trials and the rows; a second call
+    with the same ones runs only the growths that are not there yet. Weights and bins come from all rows of
+    the search; a fold's own would differ slightly.
+    """
+    spark, name = train.sparkSession, model_type_name(model_type)
+    trials = draw_params(space or SEARCH_SPACES[name], draws, seed)
+    rows = search_rows(train, folds, columns, by, max_rows)
+    table = rows.select("fold", "target", *columns, *by, "date").toArrow().sort_by([(c, "ascending") for c in (*by, "date")])
+    x = np.stack([table[c].to_numpy() for c in columns], axis=1).astype(float)
+    y, fold_of = table["target"].to_numpy().astype(float), table["fold"].to_numpy()
+    up = y.mean()
+    weight = np.where(y > 0.5, 0.5 / max(up, 1e-12), 0.5 / max(1 - up, 1e-12)) if name == "random_forest" else np.ones(len(y))
+    bins = to_bins(x, bin_edges(x))
+    mark = hashlib.sha256(json.dumps([name, trials, folds, seed, list(columns)]).encode())
+    for part in (bins, y, np.ascontiguousarray(fold_of)):
+        mark.update(part.tobytes())
+    folder = f"{(path or f'{shared_folder(spark)}/barloom-searches/{uuid.uuid4().hex}').rstrip('/')}/search={mark.hexdigest()[:16]}"
+    block = spark.sparkContext.broadcast((bins, y, weight, fold_of))
+    found: list[tuple] = []
+    for k, growth in enumerate(growths(name, trials)):
+        place = f"{folder}/growth={k}"
+        done = _written(spark, place)
+        if done is None or len(done) != len(growth.trials) * folds:
+            _run(spark, growth, block, folds, seed).write.mode("overwrite").parquet(place)
+            done = _written(spark, place)
+        found += done
+    block.destroy()
+    judged = {t: sum(n for u, _, _, n in found if u == t) for t in range(len(trials))}
+    share = {t: float(np.mean([c / n for u, _, c, n in found if u == t and n])) for t in range(len(trials))}
+    best = max(share, key=lambda t: (share[t], -t))
+    return spark.createDataFrame(
+        [(i, {k: str(v) for k, v in t.items()}, share[i], i == best, judged[i]) for i, t in enumerate(trials)],
+        "trial int, params map<string,string>, accuracy double, best boolean, n_rows long",
+    )
 
 
 def tune_classifier(
@@ -69,42 +267,12 @@ def tune_classifier(
     columns=tuple(FEATURE_COLS),
     by=("ticker",),
     space: dict[str, list] | None = None,
-    parallelism: int = 4,
+    path: str | None = None,
+    max_rows: int = SEARCH_ROWS,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Best model by mean accuracy, refitted on all rows, and the trial table."""
+    """Best model by mean accuracy, refitted on all rows, and the trial table (see ``search``)."""
     name = model_type_name(model_type)
-    estimator = make_classifier(name, seed=seed)
-    trials = draw_params(space or SEARCH_SPACES[name], draws, seed)
-    param_maps = [
-        ParamGridBuilder()
-        .baseOn({estimator.getParam(k): v for k, v in trial.items()})
-        .build()[0]
-        for trial in trials
-    ]
-    # Weights come from all training rows; a fold's own would differ slightly.
-    rows = with_folds(train, folds, by).select(*columns, "target", "fold")
-    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
-        rows = with_class_weight(rows)
-    rows = kept_rows(rows)
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[*feature_stages(columns), estimator]),
-        estimatorParamMaps=param_maps,
-        evaluator=MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    try:
-        fitted = validator.fit(rows)
-    finally:
-        rows.unpersist()
-    best = max(range(len(trials)), key=lambda i: fitted.avgMetrics[i])
-    table = train.sparkSession.createDataFrame(
-        [
-            (i, {k: str(v) for k, v in t.items()}, float(fitted.avgMetrics[i]), i == best)
-            for i, t in enumerate(trials)
-        ],
-        "trial int, params map<string,string>, accuracy double, best boolean",
-    )
-    return fitted.bestModel, table
+    table = search(train, name, draws, folds, seed, columns, by, space, path, max_rows)
+    best = table.filter("best").first()["trial"]
+    params = dict(draw_params(space or SEARCH_SPACES[name], draws, seed)[best])
+    return fit_classifier(train, name, int(params.pop(LENGTH[name])), seed, columns, **params), table

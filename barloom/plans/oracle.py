@@ -662,6 +662,27 @@ SQL["score_all_facts"] = sql(
     sum(target)::BIGINT AS n_up, count(*) AS n_probabilities, count(*) AS n_consistent
     FROM s GROUP BY ALL""",
 )
+SQL["tune_rf_facts"] = sql(
+    ROWS,
+    """SELECT 30::BIGINT AS n_trials, 30::BIGINT AS n_points, count(*) AS n_rows, TRUE AS same_rows,
+    1::BIGINT AS n_best, TRUE AS best_is_highest, TRUE AS accuracy_holds FROM s WHERE NOT is_test""",
+)
+SQL["train_many_facts"] = sql(
+    ROWS,
+    """SELECT ticker, is_test, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date,
+    sum(target)::BIGINT AS n_up, count(*) AS n_probabilities, count(*) AS n_consistent,
+    'trained' AS status, '' AS reason, 200::BIGINT AS n_trees FROM s GROUP BY ALL""",
+)
+SQL["predict_many_facts"] = sql(
+    ROWS,
+    f"""SELECT ticker, date, {r("current_price", EXACT, '"Close"')}, TRUE AS probability_holds
+    FROM s WHERE idx = n_bars - 1""",
+)
+SQL["xgb_like_facts"] = sql(
+    ROWS,
+    """SELECT ticker, is_test, count(*) AS n_rows, sum(target)::BIGINT AS n_up,
+    count(*) AS n_probabilities, count(*) AS n_consistent, count(*) AS n_same FROM s GROUP BY ALL""",
+)
 SQL["evaluation_facts"] = sql(
     ROWS,
     """SELECT m AS model_type, ticker, is_test, count(*) AS n_rows, sum(target)::BIGINT AS n_up,

@@ -11,6 +11,7 @@ from barloom.functions.indicators import FEATURE_COLS
 from barloom.functions.maths import rounded
 from barloom.ml import registry as reg
 from barloom.ml import scoring
+from barloom.ml.many import score_many, train_many
 from barloom.ml.training import (
     feature_importance,
     train_by_ticker,
@@ -548,10 +549,17 @@ QUERIES["gbt_train"] = _train_query("gradient_boosting")
 QUERIES["xgb_like_train"] = _train_query("xgboost")
 
 
+def _tuned(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "tuned")
+    if key not in _FITTED:
+        _FITTED[key] = train_model(kept(index_level_bars(spark, sf_dir)), tune=True)
+    return _FITTED[key]
+
+
 @query
 def tune_rf(spark, sf_dir):
     """A tuned model, through training: the trials, and what the winner scores on its test rows."""
-    trained = train_model(kept(index_level_bars(spark, sf_dir)), tune=True)
+    trained = _tuned(spark, sf_dir)
     held = trained.evaluation(by=()).filter("is_test").select(F.col("accuracy").alias("held_out"))
     return trained.trials.join(F.broadcast(held))  # one row
 
@@ -574,6 +582,29 @@ def q_train_by_ticker(spark, sf_dir):
     return done.outcome.join(out, "ticker", "left") if out is not None else done.outcome
 
 
+def _many(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "many")
+    if key not in _FITTED:
+        _FITTED[key] = train_many(kept(index_level_bars(spark, sf_dir)))
+    return _FITTED[key]
+
+
+@query
+def q_train_many(spark, sf_dir):
+    """A model for every series in one pass: what came of each, and how its test rows were met."""
+    done = _many(spark, sf_dir)
+    held = metrics.class_metrics(done.scored.filter("is_test"), ("ticker",), score="prob_up")
+    return done.outcome.join(held, "ticker", "left")
+
+
+@query
+def predict_many(spark, sf_dir):
+    """Direction for the bar after the last one, by the model of each series."""
+    done = _many(spark, sf_dir)
+    rows = latest_features(kept(index_level_bars(spark, sf_dir)), 1, done.columns)
+    return scoring.label_predictions(score_many(rows, done.models, done.columns, done.model_type))
+
+
 @query
 def score_all(spark, sf_dir):
     return _trained(spark, sf_dir).scored.select(
@@ -654,6 +685,60 @@ def _probability_facts() -> list:
     ]
 
 
+@query
+def tune_rf_facts(spark, sf_dir):
+    """The search judged every trial on every training row, and marked the best of all its points."""
+    trials = _tuned(spark, sf_dir).trials
+    highest = trials.agg(F.max("accuracy").alias("highest"))
+    return trials.join(F.broadcast(highest)).agg(  # one row
+        F.count(F.lit(1)).alias("n_trials"),
+        F.count_distinct(F.to_json("params")).alias("n_points"),
+        F.max("n_rows").alias("n_rows"),
+        (F.min("n_rows") == F.max("n_rows")).alias("same_rows"),
+        F.count_if("best").alias("n_best"),
+        F.bool_and(~F.col("best") | (F.col("accuracy") == F.col("highest"))).alias("best_is_highest"),
+        F.bool_and(F.col("accuracy").between(0.0, 1.0)).alias("accuracy_holds"),
+    )
+
+
+@query
+def train_many_facts(spark, sf_dir):
+    """Every series was trained, and each of its rows scored once."""
+    done = _many(spark, sf_dir)
+    rows = done.scored.groupBy("ticker", "is_test").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.sum("target").alias("n_up"),
+        *_probability_facts(),
+    )
+    trees = done.models.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_trees"))
+    return rows.join(done.outcome, "ticker").join(trees, "ticker")
+
+
+@query
+def predict_many_facts(spark, sf_dir):
+    rows = predict_many(spark, sf_dir)
+    up = F.col("prediction") == "Up"
+    holds = (F.col("prob_up") > 0.5) == up
+    return rounded(rows.select("ticker", "date", "current_price", holds.alias("probability_holds")), EXACT)
+
+
+@query
+def xgb_like_facts(spark, sf_dir):
+    """Second-order boosting scored every row and saved and loaded model agree."""
+    trained = _trained(spark, sf_dir, "xgboost")
+    uri = reg.save_model(trained.model, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}")
+    again = scoring.score(trained.scored.drop("prediction", "prob_up"), reg.load_model(uri))
+    rows = again.withColumnRenamed("prob_up", "again").select("ticker", "date", "again").join(trained.scored, ["ticker", "date"])
+    return rows.groupBy("ticker", "is_test").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("target").alias("n_up"),
+        *_probability_facts(),
+        F.count_if(F.col("again") == F.col("prob_up")).alias("n_same"),
+    )
+
+
 @query
 def score_all_facts(spark, sf_dir):
     rows = _trained(spark, sf_dir).scored
