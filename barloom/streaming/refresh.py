@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.operators.cleaning import dedupe_bars
-from barloom.sources.bar_files import by_header, parse_raw, read_lines
+from barloom.sources.bar_files import parse_raw, read_raw
 
 
 def refresh_bars(
@@ -30,12 +30,16 @@ def refresh_bars(
     def store(batch: DataFrame, number: int) -> None:
         # Spark names a stream in its checkpoint before the first batch runs.
         stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
-        bars = parse_raw(by_header(batch), intraday).withColumn("loaded_at", F.current_timestamp())
+        paths = [r["path"] for r in batch.collect()]  # of at most max_files files
+        bars = parse_raw(read_raw(spark, paths), intraday).withColumn("loaded_at", F.current_timestamp())
         bars.write.mode("overwrite").parquet(f"{table}/stream={stream}/batch={number}")
 
-    raw = read_lines(spark.readStream.option("maxFilesPerTrigger", max_files), folder)
+    # The stream carries names of files; their rows are read batch by batch.
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema)
+    found = files.option("maxFilesPerTrigger", max_files).load(folder)
     run = (
-        raw.writeStream.foreachBatch(store)
+        found.select("path").writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

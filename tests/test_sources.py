@@ -89,6 +89,56 @@ def test_files_without_the_columns_are_refused(spark, tmp_path, text, problem):
         bar_files.read_bars_csv(spark, str(tmp_path)).collect()
 
 
+def test_layouts_are_read_from_first_lines(spark, tmp_path):
+    wide = [f"x{i}" for i in range(200)]
+    write(tmp_path, "A-2020-01-01-2020-02-01.csv", ",".join([*wide, "Date", '"Open"', "High", "Low", "Close", "Volume"]) + "\n" + ",".join(["9"] * 200) + ",2020-01-02,1,12,0.5,10,7\n")
+    for k in range(5):
+        write(tmp_path, f"B{k}-2020-01-01-2020-02-01.csv", '\n\ufeffDATE,"Note, long",open,high,low,close,volume\n2020-01-02,"a, b",1,12,0.5,10,7\nDATE,x,open,high,low,close,volume\n')
+    layouts = bar_files.file_layouts(spark, str(tmp_path))
+    assert sorted(len(paths) for _, paths in layouts) == [1, 5]
+    raw = bar_files.read_raw(spark, str(tmp_path))
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    # One scan per layout, and no line is shuffled or joined; only needed columns are parsed.
+    assert plan.count("FileScan csv") == 2 and "Exchange" not in plan and "Join" not in plan
+    assert "c199" not in plan.split("ReadSchema")[1].split(">")[0]
+    rows = bar_files.read_bars_csv(spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and {tuple(r)[1:7] for r in rows} == {(dt.date(2020, 1, 2), 1.0, 12.0, 0.5, 10.0, 7.0)}
+
+
+def test_large_file_keeps_its_header_in_every_split(spark, tmp_path):
+    lines = "".join(f"{i},2020-01-02,{i},{i},{i},{i}\n" for i in range(60_000))
+    write(tmp_path, "A-2020-01-01-2020-02-01.csv", "Volume,Date,Open,High,Low,Close\n" + lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        bars = bar_files.read_bars_csv(spark, str(tmp_path))
+        assert bars.rdd.getNumPartitions() > 3 and bars.filter("Volume = Close AND date = '2020-01-02'").count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_written_csv_is_read_by_both_readers(spark, tmp_path):
+    tickers = ["AB", "BRK-B", "A/B", "0005", "A+B %"]
+    bars = bars_frame(spark, [r for k, t in enumerate(tickers) for r in walk(t, 5, seed=k)])
+    out = str(tmp_path / "out")
+    bar_files.write_bars(bars, out, fmt="csv")
+    got = bar_files.read_bars_csv(spark, out).drop("file_name")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in bars.select(got.columns).collect()}
+    newest = bar_files.newest_paths(spark, out)
+    assert len(newest) == 5 and bar_files.read_bars_csv(spark, newest).count() == 25
+
+
+def test_plain_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "A-2020-01-01-2020-02-01.csv").write_text(HEADER)
+    (tmp_path / "B-2020-01-01-2020-02-01.csv.gz").write_bytes(gzip.compress(b"a") + gzip.compress(b"b" * 3_000_000))
+    files = bar_files.file_status(spark, str(tmp_path))
+    assert all("content" not in part for part in files._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1:])
+    assert {r["ticker"]: r["problem"] for r in files.collect()} == {"A": None, "B": None}
+    packed = (tmp_path / "B-2020-01-01-2020-02-01.csv.gz").read_bytes()
+    (tmp_path / "B-2020-01-01-2020-02-01.csv.gz").write_bytes(packed[:-20])
+    assert {r["ticker"]: r["problem"] for r in files.collect()} == {"A": None, "B": "the file ends before its data"}
+
+
 def test_damaged_files_are_reported_not_shortened(spark, tmp_path):
     whole = gzip.compress((HEADER + "2020-01-02,1,2,3,4,5,0,0\n" * 20000).encode())
     (tmp_path / "GOOD-2020-01-01-2020-02-01.csv.gz").write_bytes(whole)
