@@ -15,7 +15,8 @@ from barloom.ml.registry import (
     save_model,
     select_production,
 )
-from barloom.ml.training import train_by_ticker, train_model
+from barloom.ml.training import Trained, train_by_ticker, train_model
+from barloom.ml.versions import publish
 from barloom.operators.cleaning import look_back_range
 from barloom.session import cut_lineage
 from barloom.sources.bar_files import file_status, newest_paths, read_bars_csv
@@ -46,7 +47,8 @@ def nightly_retrain(
     ``per_ticker`` trains one model per listed ticker instead.  Models go to
     ``{out}/models/run={run}``, so a registry row keeps describing its own
     model; a run that is repeated under the same name replaces itself.  The
-    model to serve is copied to ``{out}/models/production``.
+    model to serve is copied to a folder of its own below ``{out}/models/production``
+    and served from there on; a run that breaks off leaves the old one served.
     """
     run = run or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     listed = read_watchlist(spark, watchlist_path)
@@ -59,21 +61,25 @@ def nightly_retrain(
     status = ingest_status(bars, listed, files)
     bars = look_back_range(bars, LOOK_BACK_MONTHS, as_of)
     options = {"n_estimators": n_estimators, **options}
+
+    def keep(name: str, trained: Trained) -> None:
+        uri = save_model(trained.model, f"{out}/models/run={run}/{name}")
+        append_registry(registry_rows(trained, uri), f"{out}/registry", run, name)
+
     if per_ticker:
-        done = train_by_ticker(bars, order, **options)
+        done = train_by_ticker(bars, order, keep=keep, **options)
         fitted = done.models
         outcome = done.outcome.withColumnRenamed("status", "training")
     else:
         fitted = {"pooled": train_model(bars, **options)}
+        keep("pooled", fitted["pooled"])
         used = fitted["pooled"].scored.select("ticker").distinct()
         outcome = used.select("ticker", F.lit("trained").alias("training"), F.lit("").alias("reason"))
-    for name, trained in fitted.items():
-        uri = save_model(trained.model, f"{out}/models/run={run}/{name}")
-        append_registry(registry_rows(trained, uri), f"{out}/registry", run, name)
     if fitted:
         chosen = select_production(read_registry(spark, f"{out}/registry"), order, prefer).first()
         if chosen is not None:
-            save_model(load_model(chosen["model_uri"]), f"{out}/models/production")
+            model = load_model(chosen["model_uri"])
+            publish(spark, f"{out}/models/production", lambda folder: save_model(model, folder))
     left_out = F.lit("too few bars")
     return status.join(outcome, "ticker", "left").withColumns(
         {

@@ -11,6 +11,7 @@ from barloom.functions.maths import flag
 from barloom.ml.boosting import BoostedModel
 from barloom.ml.scoring import model_columns
 from barloom.ml.training import Trained, feature_importance
+from barloom.ml.versions import publish, served
 from barloom.operators.reports import title_case
 
 # Quality goals, and the ticker preferred for production.
@@ -47,7 +48,8 @@ def save_model(model: PipelineModel, uri: str) -> str:
 
 
 def load_model(uri: str) -> PipelineModel | BoostedModel:
-    """Read a model back and check that it can score."""
+    """Read a model back and check that it can score; of a published place, the model served there."""
+    uri = served(SparkSession.active(), uri) or uri
     boosted = BoostedModel.load(uri)
     if boosted is not None:
         return boosted
@@ -217,7 +219,46 @@ def prediction_records(
     )
 
 
+#: What tells predictions apart.
+HISTORY_KEY = ("model_ticker", "ticker", "date")
+
+
+def merge_history(records: DataFrame, path: str) -> None:
+    """Add predictions that are not in the log at ``path`` yet, by model, ticker and date.
+
+    Doing it again, after a failure or with more records, adds nothing twice.
+    """
+    spark = records.sparkSession
+    if served(spark, path) is None:
+        publish(spark, path, lambda folder: spark.createDataFrame([], records.schema).write.parquet(folder))
+    there = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in HISTORY_KEY]
+    known = read_history(spark, path).select(*[F.col(k).alias(f"_{k}") for k in HISTORY_KEY])
+    new = _first_of_each(records).join(known, there, "left_anti")
+    new.write.mode("append").parquet(served(spark, path))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The log at ``path``, a row per key: writers at the same time may both have added one."""
+    folder = served(spark, path)
+    if folder is None:
+        raise ValueError(f"{path} holds no prediction log")
+    return _first_of_each(spark.read.parquet(folder))
+
+
+def _first_of_each(records: DataFrame) -> DataFrame:
+    columns = [c for c in records.columns if c not in HISTORY_KEY]
+    first = F.min(F.struct(*columns)).alias("_first")  # the earliest timestamp comes first
+    return records.groupBy(*HISTORY_KEY).agg(first).select(*HISTORY_KEY, "_first.*").select(*records.columns)
+
+
+def compact_history(spark: SparkSession, path: str) -> None:
+    """Write the log's rows anew, without repeats and into fewer files, and serve that."""
+    rows = read_history(spark, path)
+    publish(spark, path, lambda folder: rows.hint("rebalance").write.parquet(folder))
+
+
 def append_history(records: DataFrame, path: str) -> None:
+    """Add rows as they are; ``merge_history`` keeps one per prediction."""
     records.write.mode("append").parquet(path)
 
 

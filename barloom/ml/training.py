@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -223,15 +224,19 @@ def trainable(bars: DataFrame, min_bars: int = MIN_TRAIN_BARS) -> DataFrame:
 
 
 def train_by_ticker(
-    bars: DataFrame, tickers: list[str], parallelism: int = 4, **options
+    bars: DataFrame,
+    tickers: list[str],
+    parallelism: int = 4,
+    keep: Callable[[str, Trained], object] | None = None,
+    **options,
 ) -> TickerModels:
     """One model per listed ticker, each fit distributed, ``parallelism`` of them at a time.
 
     ``outcome`` has a row for every ticker with ``status`` and ``reason``.  What
     keeps a series from being learned is found in one pass beforehand; an error
-    during a fit is no property of the series and stops the run.  For a short
-    list: beyond that the pooled model, evaluated per ticker, does one fit
-    instead of thousands.
+    during a fit is no property of the series and is raised when the other fits
+    have ended.  ``keep`` gets every model as its fit ends, so none of them is
+    lost.  For a short list: ``many.train_many`` fits thousands in one pass.
     """
     spark = bars.sparkSession
     listed = spark.createDataFrame([(t,) for t in tickers], "ticker string")
@@ -248,11 +253,20 @@ def train_by_ticker(
             rows.append((ticker, "trained", ""))
 
     @inheritable_thread_target(spark)
-    def fit(ticker: str) -> Trained:
-        return train_model(bars.filter(F.col("ticker") == ticker), **options)
+    def fit(ticker: str) -> Trained | Exception:
+        try:
+            trained = train_model(bars.filter(F.col("ticker") == ticker), **options)
+            if keep is not None:
+                keep(ticker, trained)
+            return trained
+        except Exception as error:  # raised below
+            return error
 
     with ThreadPool(parallelism) as pool:
         result.models = dict(zip(able, pool.map(fit, able, chunksize=1)))
+    for trained in result.models.values():
+        if isinstance(trained, Exception):
+            raise trained
     result.outcome = spark.createDataFrame(rows, "ticker string, status string, reason string")
     return result
 

@@ -653,6 +653,13 @@ SQL["history_display"] = sql(
     printf('%.2f%%', 100 * prob_up) AS "P(Up)", printf('%.2f%%', 100 * (1 - prob_up)) AS "P(Down)",
     'rsi' AS "Model", '50.00%' AS "Model Acc" FROM p""",
 )
+SQL["prediction_log"] = sql(
+    SCORED,
+    f"""SELECT ticker, date, {r("current_price", EXACT, '"Close"')},
+    CASE WHEN prediction = 1 THEN 'Up' ELSE 'Down' END AS prediction,
+    {r("probability", EXACT, "CASE WHEN prediction = 1 THEN prob_up ELSE 1 - prob_up END")},
+    'rsi' AS model_ticker FROM p""",
+)
 
 # What must hold of the fitted models, whatever their trees look like.
 ROWS = [INDEX, indexed(min_rows=50), *PLAIN, SPLIT]

@@ -522,6 +522,18 @@ def history_display(spark, sf_dir):
     return reports.history_display(_history(spark, sf_dir))
 
 
+@query
+def prediction_log(spark, sf_dir):
+    """A log that got its first days, then all days, and all days once more after a failure."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    records = kept(_history(spark, sf_dir))
+    for some in (records.filter("date < '2024-01-10'"), records, records):
+        reg.merge_history(some, path)
+    reg.compact_history(spark, path)
+    columns = ("ticker", "date", "current_price", "prediction", "probability", "model_ticker")
+    return rounded(reg.read_history(spark, path).select(*columns), EXACT)
+
+
 # -------------------------------------------------------------- models
 
 _FITTED: dict[tuple, object] = {}

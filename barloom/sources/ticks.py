@@ -20,9 +20,10 @@ def packed_order(ticks: DataFrame, sequence: dict[str, int] | list[str]) -> Colu
     """The columns of ``sequence`` as one DECIMAL(38) that orders like them.
 
     Dates and times count in days and microseconds.  A dictionary gives the
-    digits of each column; a list shares 38 digits out, 17 to a time.  Values
-    after the first must not be negative; one that needs more digits is an
-    error, never a wrong order.  A missing value orders as 0.
+    digits of each column; a list shares 38 digits out, 17 to a time.  A value
+    that needs more digits, has a fraction, or is negative after the first
+    column is an error in every mode of Spark, never a wrong order.  A missing
+    value orders as 0.
     """
     kinds = {name: ticks.schema[name].dataType for name in sequence}
     times = (T.TimestampType, T.TimestampNTZType)
@@ -43,8 +44,16 @@ def packed_order(ticks: DataFrame, sequence: dict[str, int] | list[str]) -> Colu
             value = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {value})"
         elif isinstance(kinds[name], T.DateType):
             value = f"unix_date({value})"
+        elif not isinstance(kinds[name], (T.IntegralType, T.DecimalType, T.FractionalType)):
+            raise ValueError(f"column {name} is neither a number nor a time")
         unit = f"CAST('1{'0' * left}' AS DECIMAL({left + 1}, 0))"
-        part = f"coalesce(CAST({value} AS DECIMAL({digits}, 0)), 0) * {unit}"
+        cast = f"try_cast({value} AS DECIMAL({digits}, 0))"
+        wrong = f"{cast} IS NULL OR {cast} <> {value}"
+        if total is not None:
+            wrong += f" OR {cast} < 0"
+        message = f"a value of {name} does not fit into {digits} digits of an order"
+        error = f"CAST(raise_error('{message}') AS DECIMAL({digits}, 0))"
+        part = f"CAST(CASE WHEN {value} IS NULL THEN 0 WHEN {wrong} THEN {error} ELSE {cast} END AS DECIMAL({digits}, 0)) * {unit}"
         total = part if total is None else f"CAST({total} AS DECIMAL(38, 0)) + {part}"
     return F.expr(f"CAST({total} AS DECIMAL(38, 0))")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import FEATURE_COLS
-from barloom.ml import registry, scoring
+from barloom.ml import registry, scoring, versions
 from barloom.ml.training import (
     feature_importance,
     make_classifier,
@@ -125,6 +125,57 @@ def test_errors_during_a_fit_are_not_swallowed(bars):
         train_by_ticker(bars, ["A"], n_estimators=3, maxDepth=99)
 
 
+def test_finished_fits_are_kept_when_another_fails(bars, monkeypatch):
+    from barloom.ml import training
+
+    real, kept = training.train_model, []
+
+    def sometimes(rows, **options):
+        if rows.first()["ticker"] == "A":
+            raise RuntimeError("no luck")
+        return real(rows, **options)
+
+    monkeypatch.setattr(training, "train_model", sometimes)
+    both = bars.unionByName(bars.filter("ticker = 'A'").withColumn("ticker", F.lit("B")))
+    with pytest.raises(RuntimeError, match="no luck"):
+        train_by_ticker(both, ["A", "B"], keep=lambda name, _: kept.append(name), **SMALL)
+    assert kept == ["B"]
+
+
+def test_merged_log_holds_a_prediction_once(spark, trained, bars, tmp_path):
+    path = str(tmp_path / "log")
+    records = registry.prediction_records(
+        scoring.predict_next_day(bars, trained.model), F.lit("A"), F.lit(0.5)
+    ).withColumn("ticker", F.when(F.col("ticker") != "A", F.col("ticker")))
+    with pytest.raises(ValueError):
+        registry.read_history(spark, path)
+    for _ in range(2):
+        registry.merge_history(records, path)
+    other = records.withColumn("model_ticker", F.lit("B"))
+    registry.merge_history(other.unionByName(records).unionByName(other), path)
+    assert registry.read_history(spark, path).count() == 2 * records.count()
+    registry.compact_history(spark, path)
+    registry.merge_history(records, path)
+    folder = versions.served(spark, path)
+    assert spark.read.parquet(folder).count() == registry.read_history(spark, path).count() == 2 * records.count()
+
+
+def test_broken_publishing_leaves_what_was_served(spark, trained, tmp_path):
+    place = str(tmp_path / "production")
+    versions.publish(spark, place, lambda folder: registry.save_model(trained.model, folder))
+    first = versions.served(spark, place)
+
+    def broken(folder):
+        registry.save_model(trained.model, folder)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, place, broken)
+    assert versions.served(spark, place) == first and registry.load_model(place) is not None
+    versions.publish(spark, place, lambda folder: registry.save_model(trained.model, folder))
+    assert versions.served(spark, place) != first
+
+
 def test_tuned_model_is_a_trained_model(bars):
     search = {"draws": 2, "folds": 2, "space": {"numTrees": [2, 4], "maxDepth": [2]}}
     tuned = train_model(bars, tune=True, search=search)

@@ -173,6 +173,27 @@ def test_an_order_that_needs_more_digits_is_an_error(spark):
         packed_order(ticks, {"t": 20, "id": 19})
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_orders_are_right_or_an_error_in_every_mode(spark, ansi):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        one = "timestamp_ntz'2024-01-01' AS ts"
+        ticks = spark.range(1).selectExpr("explode(array(1, 50, 12345, -7, NULL)) AS a", "1.5D AS half", "'x' AS name", one)
+        order = lambda rows, seq: [r[0] for r in rows.select(packed_order(rows, seq)).collect()]
+        fine = ticks.filter("a IS NULL OR a BETWEEN 0 AND 99")
+        got = order(fine, {"ts": 17, "a": 2})
+        assert [int(x) % 100 for x in got] == [1, 50, 0]
+        assert order(ticks.filter("a < 0"), {"a": 5}) == [-7]
+        for where, seq in (("a > 99", {"ts": 17, "a": 2}), ("a < 0", {"ts": 17, "a": 2}), ("a = 1", {"half": 3})):
+            with pytest.raises(Exception, match="digits of an order"):
+                order(ticks.filter(where), seq)
+        with pytest.raises(ValueError, match="neither a number nor a time"):
+            packed_order(ticks, {"name": 3})
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_round_trip(spark, tmp_path, fmt):
     bars = bars_frame(spark, walk("A", 5) + walk("B-C", 4))
