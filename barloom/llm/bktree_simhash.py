@@ -218,13 +218,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, fingerprint`` (16 lowercase hex digits) ``, component_id`` (smallest id reachable) for every row."""
     small_batches(docs.sparkSession)
     prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    # A fingerprint is a node by itself, so that rows without id link those that have one.
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select(F.col("fp").alias("node"), "fp", "low"))
     # A document that stands in rows of several fingerprints joins their classes.
-    twice = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("doc_id")
-    shared = prints.join(twice, "doc_id").join(classes, "fp").select("doc_id", F.col("node").alias("u")).distinct()
-    bridges = shared.join(shared.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v").where("u > v").distinct()
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("hi")).where("v < hi").select("doc_id", "v")
+    bridges = prints.join(several, "doc_id").select(F.col("fp").alias("u"), "v").where("u > v").distinct()
     found = components(links(classes, radius).union(bridges))
-    final = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    groups = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group"), "low")
+    lows = groups.groupBy("group").agg(F.min("low").alias("component_id"))
+    final = groups.join(lows, "group").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     out = prints.join(final, "fp", "left")
     return out.select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

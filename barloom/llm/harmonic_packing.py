@@ -20,11 +20,13 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from functools import lru_cache
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.llm.common import ranges, release, slices, small_batches, stored
@@ -39,7 +41,7 @@ SLICE = 6 << 20
 #: Pieces that one task numbers in one go.
 BUCKET_ROWS = 50_000
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, _task int, _row long"
 
 
 def class_lengths(capacity: int) -> tuple[int, ...]:
@@ -65,9 +67,15 @@ class Cutter:
         return [self.capacity] * whole + self.rests[rest]
 
 
+@lru_cache(100_000)
+def firm(c: str) -> bool:
+    """Whether a word that ends in ``c`` ends in a letter or digit after it is normalized and lowered."""
+    return c.isalnum() and (c.isascii() or normalize("NFC", c).lower()[-1].isalnum())
+
+
 class WordIds:
     """Ids of texts by a tokenizer that never joins anything across white space, or across a letter or
-    digit and a following mark.
+    digit and a following mark (as they are after normalizing and lowering).
 
     Texts are cut at spaces and line feeds, and words before their trailing marks. The parts that a
     slice holds are looked up, or encoded once; the ids of a text are taken from theirs. Parts are kept
@@ -155,7 +163,7 @@ class WordIds:
         coded = words.flatten().dictionary_encode()
         distinct, marks = coded.dictionary.to_pylist(), self.MARKS
         cores = [w.rstrip(marks) for w in distinct]
-        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, distinct)]
+        cores = [c if firm(c[-1:]) else w for c, w in zip(cores, distinct)]
         tails = [w[len(c) :] for c, w in zip(cores, distinct)]
         if self.lowers:
             cores = [c.lower() if c.isascii() else c for c in cores]
@@ -177,10 +185,14 @@ class WordIds:
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents: ``doc_id, start, length, doc_tokens, ids`` (little-endian 32-bit ids)."""
+    """Pieces of all documents: ``doc_id, start, length, doc_tokens, ids`` (little-endian 32-bit ids).
+
+    ``_task, _row`` number the pieces; write the table before they are used.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cutter = WordIds(vocabulary), Cutter(capacity)
+        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -197,9 +209,11 @@ def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
                 owner = pa.array(np.repeat(keys[a:b], per_doc), mask=~np.repeat(valid[a:b], per_doc), from_pandas=False).cast(pa.int64())
                 release()
+                numbers = [pa.array(np.full(len(lengths), task, dtype=np.int32)), pa.array(np.arange(made, made + len(lengths)))]
+                made += len(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [owner, pa.array(ends - lengths - first), pa.array(lengths), pa.array(np.repeat(counts, per_doc)), ids],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
+                    [owner, pa.array(ends - lengths - first), pa.array(lengths), pa.array(np.repeat(counts, per_doc)), ids, *numbers],
+                    names=["doc_id", "start", "length", "doc_tokens", "ids", "_task", "_row"],
                 )
 
     small_batches(docs.sparkSession)
@@ -223,12 +237,12 @@ def _fill(counts: dict[int, int], capacity: int) -> list[list[int]]:
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (any columns beside ``length``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (any columns beside ``length``, ``_task`` and ``_row``) with ``sequence_id`` and ``offset``.
 
-    ``pieces`` is read several times, so hand over a stored table. Lengths must be those of
+    Buckets go by the numbers of the pieces, so equal rows spread like others. ``pieces`` is read several times, so hand over a stored table. Lengths must be those of
     ``class_lengths``.
     """
-    keys = [c for c in pieces.columns if pieces.schema[c].dataType.simpleString() != "binary"]
+    keys = ["_task", "_row"]
     buckets = max(1, math.ceil(pieces.count() / BUCKET_ROWS))
     rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -260,7 +274,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += length
     spot = pieces.sparkSession.createDataFrame(spots, "length long, _number long, _sequence long, _offset long")
     return numbered.join(F.broadcast(spot), ["length", "_number"], "left").select(
-        *pieces.columns,
+        *[c for c in pieces.columns if c not in keys],
         F.when(F.col("_full"), F.expr("_base + _number div _per")).otherwise(F.col("_sequence")).alias("sequence_id"),
         F.when(F.col("_full"), F.expr("(_number % _per) * length")).otherwise(F.col("_offset")).alias("offset"),
     )

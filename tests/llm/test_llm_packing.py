@@ -1,11 +1,17 @@
+import random
+import sys
+import unicodedata
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import check_packing, hard, with_clashes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.harmonic_packing import Cutter, assemble, class_lengths, pack
+from barloom.llm import harmonic_packing
+from barloom.llm.harmonic_packing import Cutter, WordIds, assemble, class_lengths, pack
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,6 +25,29 @@ def encoded(tokenizer, rows, end=2):
     return {r["doc_id"]: tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [end] for r in rows}
 
 
+def test_marks_after_every_letter_and_digit(tokenizer):
+    words = WordIds(VOCABULARY)
+    every = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalnum()]
+    apart = [c for c in every if len(c.lower()) > 1 or not unicodedata.is_normalized("NFC", c)]
+    assert len(apart) > 60 and "\u0130" in apart
+    some = apart + random.Random(3).sample(every, 4000)
+    texts = [f"{c}{m} a{c}{m}{m} b" for c in some for m in ("}", ".", "!?")]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    flat, counts = words.encode(pa.array(texts))
+    at = np.cumsum(counts)
+    assert [x.tolist() for x in np.split(flat, at[:-1])] == want
+
+
+def test_equal_rows_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(harmonic_packing, "BUCKET_ROWS", 5000)
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    packed = pack(docs, VOCABULARY)
+    assert packed.select(F.count("*"), F.count_distinct("sequence_id", "offset")).first() == (100_000, 100_000)
+    assert packed.agg(F.max("sequence_id")).first()[0] == -(-100_000 // 4096) - 1
+    plan = packed._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(_task" in plan
+
+
 def test_cuts_are_class_lengths():
     for capacity in (64, 100, 4096):
         lengths, cutter = set(class_lengths(capacity)), Cutter(capacity)

@@ -93,3 +93,14 @@ def test_one_row_of_a_repeated_id_is_kept(spark):
     rows = [(5, "alpha beta gamma delta epsilon")] * 3 + [(5, "one two three four five"), (7, "alpha beta gamma delta epsilon"), (8, "nothing like the others at all here")]
     kept = bktree_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert kept.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in kept.collect()) == [5, 8]
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    of = F.when(F.col("text") == "one", 0).when(F.col("text") == "mid", 15).otherwise(255).cast("long")
+    monkeypatch.setattr(bktree_simhash, "fingerprint_column", lambda text, shingle: of)
+    rows = [(1, "one"), (2, "two"), (None, "mid")]
+    got = {r["doc_id"]: r["component_id"] for r in bktree_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, None: None}
+    rows = [(1, "one"), (2, "two")]
+    got = {r["doc_id"]: r["component_id"] for r in bktree_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
