@@ -11,9 +11,8 @@ Nearness is the largest inner product. Vectors get one more component that makes
 long (zero for a query), so that the order of pivots follows inner products also where lengths differ.
 
 Every row is indexed; only the pivots are a sample. A shard gives each query the ``SHARE`` of its rows
-with the smallest footrule distance (``LEAST`` at least) and all rows that tie with the last of them.
-Shards are cut out of partitions as they come, so nothing is shuffled to build the index and no key can
-be hot; a task keeps only the best ``k`` of each query over all its shards. Queries come in blocks of a
+with the smallest footrule distance (never fewer than were asked for) and all rows that tie with the last of them.
+Rows are dealt out evenly, whatever their partitions and values, so shards are of one size and none is hot; a task keeps only the best ``k`` of each query over all its shards. Queries come in blocks of a
 bounded size, which alone are broadcast.
 
 Defined results: vectors that are NULL, zero, or hold NULL or non-finite components, and rows without id
@@ -35,10 +34,10 @@ from barloom.llm.common import stored
 from barloom.llm.vectors import QUERY_BLOCK, best, clean, matrix, query_blocks
 
 PIVOTS = 512
-PREFIX = 96
+PREFIX = 255
+#: Rows of a shard, about.
 SHARD = 8192
-SHARE = 0.08
-LEAST = 400
+SHARE = 0.12
 
 INDEX = "ids binary, vectors binary, starts binary, rows binary, places binary"
 FOUND = "query_id long, vec_id long, score double"
@@ -81,20 +80,12 @@ def build_index(rows: DataFrame, pivots: np.ndarray, width: int, longest: float,
         return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], type=pa.binary()) for a in arrays], names=["ids", "vectors", "starts", "rows", "places"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, n = [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
-                ids.append(part.column(0).to_numpy())
-                vectors.append(matrix(part.column(1), width))
-                n += part.num_rows
-                if n >= SHARD:
-                    yield shard(np.concatenate(ids), np.concatenate(vectors))
-                    ids, vectors, n = [], [], 0
-        if n:
-            yield shard(np.concatenate(ids), np.concatenate(vectors))
+        parts = [(b.column(0).to_numpy(), matrix(b.column(1), width)) for b in batches if b.num_rows]
+        if parts:
+            yield shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
-    return rows.mapInArrow(build, INDEX)
+    shards = max(1, -(-rows.count() // SHARD))
+    return rows.repartition(shards).mapInArrow(build, INDEX)
 
 
 def search_index(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], pivots: np.ndarray, width: int, k: int, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
@@ -117,7 +108,7 @@ def search_index(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], pivot
                 vectors = np.frombuffer(raw["vectors"]).reshape(len(ids), width)
                 starts = np.frombuffer(raw["starts"], dtype=np.int64)
                 rows, places = np.frombuffer(raw["rows"], dtype=np.int32), np.frombuffer(raw["places"], dtype=np.int32)
-                wanted = max(LEAST, int(share * len(ids)))
+                wanted = max(k + 1, int(np.ceil(share * len(ids))))  # the query's own row may be among them
                 # The files as rows of the pivots: how far before the end of its prefix a vector has the pivot, or 0.
                 files = np.zeros((len(starts) - 1, len(ids)), dtype=np.uint8)
                 files[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), rows] = length - places

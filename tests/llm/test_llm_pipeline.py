@@ -6,7 +6,7 @@ import sys
 
 import public_tokenizers
 import pytest
-from brute import check_packing, dedup_lines, fingerprint, groups, hard
+from brute import check_packing, dedup_lines, fingerprint, groups, hard, with_clashes
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
@@ -94,3 +94,12 @@ def test_language_drops_what_was_never_learned(spark):
     kept = corpus_pipeline.language(spark, docs.unionByName(strange, allowMissingColumns=True), SF)
     assert kept.where("doc_id >= 1000000000").count() == 0
     assert kept.count() == corpus_pipeline.language(spark, docs, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_other_columns_alone(spark, name):
+    docs = stored(with_clashes(table(spark, SF, "documents").limit(150)))
+    kept = stored(dict(corpus_pipeline.STAGES)[name](spark, docs, SF))
+    assert kept.columns == docs.columns and kept.count() > 50
+    others = [c for c in docs.columns if c not in corpus_pipeline.DOCUMENT]
+    assert kept.select("doc_id", "source", *others).exceptAll(docs.select("doc_id", "source", *others)).count() == 0

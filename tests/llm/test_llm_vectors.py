@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm import permutation_index
 from barloom.llm.histogram_topk import top_k
 from barloom.llm.permutation_index import nearest
 from barloom.llm.queries import QUERIES
@@ -90,6 +91,21 @@ def test_nearest_recall(spark):
     assert len(found) == (ids % 20 == 0).sum() and hits / (20 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("partitions, shard", [(1, 8192), (64, 8192), (4, 256)])
+def test_recall_does_not_come_from_small_shards(spark, monkeypatch, partitions, shard):
+    monkeypatch.setattr(permutation_index, "SHARD", shard)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").repartition(partitions)
+    rows = table.collect()
+    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    found = collected(nearest(table, F.col("id") % 20 == 0))
+    hits = 0
+    for q, near in found.items():
+        scores = vectors @ vectors[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len({i for i, _ in near} & set(ids[np.lexsort((ids, -scores))[:20]]))
+    assert len(found) == 100 and hits / 2000 >= 0.95
+
+
 def test_nearest_recall_with_lengths_and_few_candidates(spark):
     rng = np.random.default_rng(3)
     vectors = (rng.normal(size=(12_000, 16)) * rng.uniform(0.5, 2, size=(12_000, 1))).astype(np.float32)
