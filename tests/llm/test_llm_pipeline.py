@@ -67,7 +67,7 @@ def test_packing(steps):
 
 def test_run_is_registered(spark):
     assert contract.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in contract.queries() if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in contract.queries() if k.startswith("op")}
 
 
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
