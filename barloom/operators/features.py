@@ -21,6 +21,7 @@ from barloom.operators.panel import (
     Panel,
     chunk_panel,
     index_bars,
+    index_bars_once,
     tail_panel,
 )
 
@@ -52,13 +53,18 @@ def indexed_history(
     min_raw: int = 0,
     tail: int | None = None,
     bucket_days: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Usable bars with positions; series that are too short are left out.
 
     ``min_rows`` counts usable bars, ``min_raw`` bars before cleaning.  Fewer
     ``bucket_days`` keep the numbering of very dense series in small groups.
+    ``once`` is for bars that are dear to compute, such as those made from
+    ticks: they are computed once and written, instead of read twice.
     """
     require_columns(bars, [*by, order, "Open", "High", "Low", "Close", "Volume"])
+    if once:
+        return index_bars_once(nan_to_null(bars), by, order, usable(), min_rows, min_raw)
     return index_bars(
         nan_to_null(bars),
         by,
@@ -83,6 +89,7 @@ def feature_panel(
     chunk_rows: int = CHUNK_ROWS,
     min_raw: int = 0,
     bucket_days: int | None = None,
+    once: bool = False,
 ) -> Panel:
     """Bars with indicators and label, still in chunks.
 
@@ -92,7 +99,7 @@ def feature_panel(
     before = look_back(columns, rsi_period)
     if spare:
         before += BLOCK_ROWS if uses_average(columns) else spare
-    indexed = indexed_history(bars, by, order, min_rows, min_raw, bucket_days=bucket_days)
+    indexed = indexed_history(bars, by, order, min_rows, min_raw, bucket_days=bucket_days, once=once)
     panel = chunk_panel(indexed, by, before=before, after=1, chunk_rows=chunk_rows)
     return add_target(add_indicators(panel, columns, rsi_period), threshold)
 
@@ -110,10 +117,11 @@ def compute_features(
     chunk_rows: int = CHUNK_ROWS,
     min_raw: int = 0,
     bucket_days: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Bars plus feature columns, ``next_close``, ``next_pct_change``, ``target``.
 
-    ``idx``, ``n_bars`` and ``chunk`` stay in the result: the operators
+    ``once`` computes ``bars`` once instead of twice, by writing them.  ``idx``, ``n_bars`` and ``chunk`` stay in the result: the operators
     downstream use them instead of sorting the series again.
     """
     df = feature_panel(
@@ -127,6 +135,7 @@ def compute_features(
         chunk_rows=chunk_rows,
         min_raw=min_raw,
         bucket_days=bucket_days,
+        once=once,
     ).result()
     if drop_unlabeled:
         df = df.filter(F.col("next_close").isNotNull())

@@ -30,6 +30,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.window import WindowSpec
 
+from barloom.session import cut_lineage
+
 # An exponential average is computed in blocks of this many rows; what a row
 # more than one whole block back contributes is below double precision.
 BLOCK_ROWS = 512
@@ -122,6 +124,54 @@ def index_bars(
     )
 
 
+def index_bars_once(
+    bars: DataFrame,
+    by: tuple[str, ...] = ("ticker",),
+    order: str = "date",
+    valid: Column | None = None,
+    min_rows: int = 0,
+    min_raw: int = 0,
+) -> DataFrame:
+    """The rows of ``index_bars``, with ``bars`` computed once.
+
+    Rows are dealt out by ranges of (series, valid first, order), sorted, and
+    written. A row's place among those of its task is kept with it; what a
+    series has in a file follows from the least place and the number of rows,
+    and positions from a running sum over its files. A long series lies in many
+    files, and rows meet the table of files by (series, file).
+    """
+    bars = bars.drop("idx", "n_bars", "chunk")
+    for key in (*by, order):
+        bars = bars.filter(F.col(key).isNotNull())
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    bars = bars.withColumn("_left_out", ~ok)
+    keys = [*by, "_left_out", order]
+    dealt = bars.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = cut_lineage(dealt.withColumn("_place", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_file", F.expr("shiftright(_place, 33)"))
+    files = rows.groupBy(*by, "_file").agg(
+        F.count_if(~F.col("_left_out")).alias("_rows"),
+        F.count(F.lit(1)).alias("_raw"),
+        F.min(F.when(~F.col("_left_out"), F.col("_place"))).alias("_first"),
+    )
+    whole = Window.partitionBy(*by)  # one row per file of the series
+    earlier = whole.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(
+        *by,
+        "_file",
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_rows").over(whole).alias("n_bars"),
+        F.sum("_raw").over(whole).alias("_n_raw"),
+    )
+    files = files.filter((F.col("n_bars") >= min_rows) & (F.col("_n_raw") >= min_raw))
+    return (
+        rows.filter(~F.col("_left_out"))
+        .join(files, [*by, "_file"])
+        .withColumn("idx", F.col("_place") + F.col("_shift"))
+        .drop("_file", "_place", "_shift", "_n_raw", "_left_out")
+    )
+
+
 def block_rows_for(span: int) -> int:
     """Smallest usable block for an exponential average of this span."""
     q = 1.0 - 2.0 / (span + 1.0)

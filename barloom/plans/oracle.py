@@ -295,6 +295,10 @@ SQL["features_all"] = sql(
 SQL["features_hourly"] = sql(
     [HOURLY, indexed(), *FULL], f"SELECT ticker, date, {filled(FEATURE_COLS)}, target FROM f"
 )
+SQL["features_from_ticks"] = sql(
+    [HOURLY, indexed(), *FULL],
+    f"SELECT ticker, date, idx, n_bars, {filled(FEATURE_COLS)}, target FROM f",
+)
 for _name, _rows in (("latest_features", 1), ("features_tail5", 5)):
     SQL[_name] = sql(
         [DAILY, indexed(), *FULL],

@@ -254,6 +254,13 @@ def features_hourly(spark, sf_dir):
     return rounded(df.select("ticker", "date", *FEATURE_COLS, "target"), **PRICE_SCALE)
 
 
+@query
+def features_from_ticks(spark, sf_dir):
+    """All features straight from ticks, which are read once."""
+    df = compute_features(hourly_bars(spark, sf_dir), once=True)
+    return rounded(df.select("ticker", "date", "idx", "n_bars", *FEATURE_COLS, "target"), **PRICE_SCALE)
+
+
 def _latest(spark, sf_dir, rows):
     df = latest_features(kept(daily_bars(spark, sf_dir)), rows)
     return rounded(df.select("ticker", "date", *FEATURE_COLS), **PRICE_SCALE)

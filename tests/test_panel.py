@@ -6,10 +6,13 @@ from barloom.operators.panel import (
     attach_stats,
     chunk_panel,
     index_bars,
+    index_bars_once,
     series_spine,
     tail_panel,
 )
 
+from barloom.sources.ticks import bars_from_ticks
+
 from helpers import bars_frame, close_to, walk
 
 
@@ -34,6 +37,34 @@ def test_index_is_the_row_number_in_the_series(skewed):
         assert {r["n_bars"] for r in rows} == {len(rows)}
 
 
+@pytest.mark.parametrize("gates", [{}, {"min_rows": 22}, {"min_raw": 23}])
+def test_numbering_in_one_reading(spark, skewed, gates):
+    holes = skewed.withColumn("Close", F.when(F.dayofmonth("date") != 5, F.col("Close")))
+    holes = holes.unionByName(holes.limit(3).withColumn("ticker", F.lit(None).cast("string")))
+    valid = F.col("Close").isNotNull()
+    want = index_bars(holes, valid=valid, **gates).drop("chunk")
+    got = index_bars_once(holes, valid=valid, **gates)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert index_bars_once(skewed.limit(0)).count() == 0
+
+
+def test_bars_are_computed_once(spark, tmp_path):
+    """Ticks are counted as tasks read them: by one reading, whoever needs the bars."""
+    spark.range(5000).selectExpr("id", "concat('T', id % 3) AS t", "timestampadd(HOUR, id, timestamp_ntz'2024-01-01') AS ts", "100D + id % 17 AS p").write.parquet(str(tmp_path / "ticks"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ticks = spark.read.parquet(str(tmp_path / "ticks"))
+    ticks = ticks.mapInArrow(seen, ticks.schema)
+    bars = bars_from_ticks(ticks, F.col("t"), F.col("ts"), F.col("p"), F.lit(1.0), ["ts", "id"], "1h")
+    assert compute_features(bars, ("sma_5",), once=True).count() == 5000
+    assert read.value == 5000
+
+
 def test_spine_is_much_smaller_than_the_series(skewed):
     spine = series_spine(skewed, bucket_days=100)
     assert spine.filter("ticker = 'HOT'").count() <= 31
