@@ -34,10 +34,10 @@ from barloom.llm.common import stored
 from barloom.llm.vectors import QUERY_BLOCK, best, clean, matrix, query_blocks
 
 PIVOTS = 512
-PREFIX = 255
+PREFIX = 96
 #: Rows of a shard, about.
 SHARD = 8192
-SHARE = 0.12
+SHARE = 0.15
 
 INDEX = "ids binary, vectors binary, starts binary, rows binary, places binary"
 FOUND = "query_id long, vec_id long, score double"
