@@ -11,14 +11,14 @@ sweeps take all customers of a word out of a restaurant and seat them again one
 words and restaurants as they are. Every word's seating depends on other words by the restaurants' totals
 only, so words are resampled in parallel, the totals being renewed after each sweep; a level is resampled
 against the one above as the sweep found it. A pair of words that occurs once has one table whatever is
-drawn, so only the others are resampled. Beyond ``SINGLY`` customers of a word in a restaurant, they are
+drawn, and a word that occurs once one at its ending and one at the parent, so only the others are resampled. Beyond ``SINGLY`` customers of a word in a restaurant, they are
 seated in rows of a 64th of those that sit already. The first ``BURN`` sweeps are passed over. Probabilities
 of endings are averaged over the others; so are the tables of pairs, with which they are put together.
 
 Jobs: pairs of words are counted (added up in each slice of text, then by Spark) into rows ``h, w, g, n``:
-word before, word, ending and count. A sweep joins those of more than one customer with the totals of the
-word before by ``h`` and with the word's seating at the ending by ``w, g``; then a table of one row per word
-with its endings and tables is written. For scoring, the most frequent words (at most ``FREQUENT`` with
+word before, word, ending and count. A sweep joins those of more than one customer with the tables opened
+after the word before by ``h`` and with the word's seating at the ending by ``w, g``; then a table of one row
+per word that occurs again, with its endings, tables and sums over the samples so far, is written. For scoring, the most frequent words (at most ``FREQUENT`` with
 ``FREQUENT_PAIRS`` endings), words before (``FREQUENT``) and pairs (``KNOWN_PAIRS``), bounded tables, are sent
 to the tasks that read the texts; all other tokens are joined with the tables by key. No text is shuffled.
 Discounts come from the numbers of words (or pairs) that occur once and twice.
@@ -109,11 +109,12 @@ def count(texts: DataFrame) -> DataFrame:
 
 
 def endings(pairs: DataFrame) -> DataFrame:
-    """``w, c, gs, ns, t0, u0``: every word's count, its endings and how many words before have it there; one table each."""
-    each = pairs.groupBy("w", "g").agg(F.count("*").alias("n"), F.sum("n").alias("c"))
-    rows = each.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list(F.struct("g", "n")).alias("s"))
+    """``w, c, gs, ns, ms, t, u``: every word's count, its endings, how many words before have it there and
+    whether it stands after one of them more than once; one table each."""
+    each = pairs.groupBy("w", "g").agg(F.count("*").alias("n"), F.sum("n").alias("c"), (F.max("n") > 1).alias("m"))
+    rows = each.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list(F.struct("g", "n", "m")).alias("s"))
     ones = F.transform("s.n", lambda x: F.lit(1).cast("long"))
-    return rows.select("w", "c", F.col("s.g").alias("gs"), F.col("s.n").alias("ns"), ones.alias("t0"), F.lit(1).cast("long").alias("u0"))
+    return rows.select("w", "c", F.col("s.g").alias("gs"), F.col("s.n").alias("ns"), F.col("s.m").alias("ms"), ones.alias("t"), F.lit(1).cast("long").alias("u"))
 
 
 @dataclass
@@ -136,6 +137,10 @@ class Totals:
         """Of the parent's probability in each context."""
         return (STRENGTH[1] + self.discounts[1] * self.tables) / (STRENGTH[1] + self.customers)
 
+    def probability(self, gs: np.ndarray, ns: np.ndarray, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """In the contexts ``gs``, of words with ``ns`` customers at ``tables`` tables there and ``base`` of the parent."""
+        return (ns - self.discounts[1] * tables) / (STRENGTH[1] + self.customers[gs]) + self.weight()[gs] * base
+
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables at which ``customers`` of a word sit down one by one; ``new`` is the weight of opening one."""
@@ -165,23 +170,29 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def _totals(state: DataFrame, sweep: int, words: int, discounts: tuple[float, float]) -> Totals:
-    """The sums that the tasks of a sweep left as rows without a word."""
-    both = F.posexplode(F.arrays_zip(F.col("ns").alias("ns"), F.col(f"t{sweep}").alias("t")))
+def _totals(state: DataFrame, still: np.ndarray, words: int, discounts: tuple[float, float]) -> Totals:
+    """The sums that the tasks of a sweep left as rows without a word, and the words that stand ``still``: one
+    customer at one table of an ending, and of the parent, each."""
+    both = F.posexplode(F.arrays_zip(F.col("ns").alias("ns"), F.col("t").alias("t")))
     sums = state.where("w IS NULL").select(both.alias("g", "s")).groupBy("g").agg(F.sum("s.ns").alias("n"), F.sum("s.t").alias("t"))
-    customers, tables = np.zeros(CONTEXTS + 1, dtype=np.int64), np.zeros(CONTEXTS + 1, dtype=np.int64)
+    customers, tables = np.append(still, 0), np.append(still, still.sum())
     for r in sums.collect():  # one row per ending
-        customers[r["g"]], tables[r["g"]] = r["n"], r["t"]
+        customers[r["g"]] += r["n"]
+        tables[r["g"]] += r["t"]
     return Totals(customers[:CONTEXTS], tables[:CONTEXTS], int(tables[CONTEXTS]), words, discounts)
 
 
-def _sweep_pairs(many: DataFrame, contexts: DataFrame, state: DataFrame, totals: Totals, discount: float, sweep: int) -> DataFrame:
-    """``many`` (pairs of more than one customer) seated again; ``d`` is the change of tables, ``sum`` their sum over the samples."""
-    t, u = f"t{sweep - 1}", f"u{sweep - 1}"
-    own = F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x)
-    seated = state.where("w IS NOT NULL").select("w", own.alias("n1"), F.col(u).alias("u"), F.explode(F.arrays_zip("gs", F.col("ns").alias("n2"), F.col(t).alias("t2"))).alias("s"))
-    seated = seated.select("w", F.col("s.gs").alias("g"), "n1", "u", "s.n2", "s.t2")
-    rows = many.select("h", "w", "g", "n", "t", "sum").join(contexts.select("h", F.col("t").alias("th")), "h").join(seated, ["w", "g"])
+def _sweep_pairs(many: DataFrame, state: DataFrame, totals: Totals, discount: float, sweep: int) -> DataFrame:
+    """``many`` (pairs of more than one customer) seated again; ``k`` is the number of pairs of the word before,
+    ``d`` the change of tables, ``sum`` their sum over the samples. Only endings with such pairs are joined."""
+    zipped = F.arrays_zip(F.col("gs").alias("g"), F.col("ns").alias("n2"), F.col("t").alias("t2"), F.col("ms").alias("m"))
+    own = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x)
+    seated = state.where("w IS NOT NULL").select("w", own.alias("n1"), "u", F.explode(F.filter(zipped, lambda x: x["m"])).alias("s"))
+    seated = seated.select("w", "s.g", "n1", "u", "s.n2", "s.t2")
+    # A word before has a table for each of its pairs, and those that were opened beside them.
+    more = many.where("t > 1").groupBy("h").agg(F.sum(F.col("t") - 1).alias("more"))
+    rows = many.select("h", "w", "g", "n", "t", "sum", "k").join(more, "h", "left")
+    rows = rows.withColumn("th", F.col("k") + F.coalesce("more", F.lit(0))).drop("more").join(seated, ["w", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,21 +208,45 @@ def _sweep_pairs(many: DataFrame, contexts: DataFrame, state: DataFrame, totals:
             base = (np.maximum(others - totals.discounts[1] * left, 0.0) + base) / (STRENGTH[1] + np.maximum(totals.customers[g] - t, 0))
             now = seat(n, (STRENGTH[2] + discount * np.maximum(th - t, 0)) * base, discount, rng)
             total = batch.column("sum").to_numpy() + (now if sweep > BURN else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("h", "w", "g", "n")] + [pa.array(now), pa.array(total), pa.array(now - t)], names=["h", "w", "g", "n", "t", "sum", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("h", "w", "g", "n", "k")] + [pa.array(now), pa.array(total), pa.array(now - t)], names=["h", "w", "g", "n", "k", "t", "sum", "d"])
+
+    return rows.mapInArrow(run, "h long, w long, g short, n long, k long, t long, sum long, d long")
+
+
+def _grouped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the lists of a batch of words start, the word of each item, and the items' endings."""
+    offsets = batch.column("gs").offsets.to_numpy()
+    return offsets - offsets[0], np.repeat(np.arange(batch.num_rows), np.diff(offsets)), _flat(batch.column("gs"))
+
+
+def _sampled(batch: pa.RecordBatch, totals: Totals, first: bool) -> list[pa.Array]:
+    """``p1, ps`` of a batch of words with one more sample: the parent's probabilities, one a sample, and the sums of the endings'."""
+    starts, owner, gs = _grouped(batch)
+    tables, size = _flat(batch.column("t")), batch.num_rows
+    own = np.bincount(owner, weights=tables, minlength=size)
+    base = totals.parent_probability(own, batch.column("u").to_numpy())
+    ps = totals.probability(gs, _flat(batch.column("ns")), tables, base[owner])
+    parents = base[:, None]
+    if not first:
+        ps = ps + batch.column("ps").flatten().to_numpy(zero_copy_only=False)
+        parents = np.hstack([batch.column("p1").flatten().to_numpy(zero_copy_only=False).reshape(size, -1), parents])
+    step = np.arange(size + 1, dtype=np.int32) * parents.shape[1]
+    return [pa.ListArray.from_arrays(pa.array(step), pa.array(parents.ravel())), pa.ListArray.from_arrays(pa.array(starts), pa.array(ps.astype(np.float32)))]
+
 
-    return rows.mapInArrow(run, "h long, w long, g short, n long, t long, sum long, d long")
+KIND = {"w": pa.int64(), "c": pa.int64(), "gs": pa.list_(pa.int16()), "ms": pa.list_(pa.bool_()), "ns": pa.list_(pa.int64()), "t": pa.list_(pa.int64()), "u": pa.int64(), "p1": pa.list_(pa.float64()), "ps": pa.list_(pa.float32())}
+SQL_KIND = {"w": "long", "c": "long", "gs": "array<short>", "ms": "array<boolean>", "ns": "array<long>", "t": "array<long>", "u": "long", "p1": "array<double>", "ps": "array<float>"}
 
 
 def _sweep(state: DataFrame, changes: DataFrame, totals: Totals, sweep: int) -> DataFrame:
-    """``state`` with the tables after one more sweep; ``changes`` are ``w, g, d`` of the tables below."""
-    kept = [c for s in range(BURN + 1, sweep) for c in (f"n{s}", f"t{s}", f"u{s}")]
-    lists = changes.groupBy("w", "g").agg(F.sum("d").alias("d")).where("d <> 0").groupBy("w").agg(F.collect_list(F.struct("g", "d")).alias("s"))
+    """``state`` after one more sweep; ``changes`` are ``w, g, d`` of the tables below. A sample that the sweep
+    before left is added to ``p1, ps`` on the way, now that its ``totals`` are known."""
+    lists = changes.where("d <> 0").groupBy("w", "g").agg(F.sum("d").alias("d")).where("d <> 0").groupBy("w").agg(F.collect_list(F.struct("g", "d")).alias("s"))
     lists = lists.select("w", F.col("s.g").alias("dg"), F.col("s.d").alias("dn"))
     rows = state.where("w IS NOT NULL").join(lists, "w", "left")
     rows = rows.withColumns({"dg": F.coalesce("dg", F.array().cast("array<short>")), "dn": F.coalesce("dn", F.array().cast("array<long>"))})
-    now = [f"n{sweep}", f"t{sweep}", f"u{sweep}"] if sweep > BURN else [f"t{sweep}", f"u{sweep}"]
-    names = ["w", "c", "gs", "ns", *kept, *now]
-    kinds = {"w": "long", "c": "long", "gs": "array<short>", "u": "long"}
+    sampled = sweep - 1 > BURN
+    names = ["w", "c", "gs", "ms", "ns", "t", "u"] + (["p1", "ps"] if sampled else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, CONTEXTS + 1), dtype=np.int64)
@@ -220,15 +255,14 @@ def _sweep(state: DataFrame, changes: DataFrame, totals: Totals, sweep: int) ->
                 continue
             w = batch.column("w").to_numpy()
             rng = np.random.default_rng([SEED, sweep, len(w), int(w[0]) & 0x7FFFFFFF])
-            gs, ns = _flat(batch.column("gs")), _flat(batch.column("ns"))
-            offsets = batch.column("gs").offsets
-            sizes = np.diff(offsets.to_numpy())
-            owner = np.repeat(np.arange(len(w)), sizes)
+            starts, owner, gs = _grouped(batch)
+            ns = _flat(batch.column("ns"))
+            more = _sampled(batch, totals, sweep == BURN + 2) if sampled else []
             place = owner * CONTEXTS + gs
             order = np.argsort(place)
             changed = np.repeat(np.arange(len(w)), np.diff(batch.column("dg").offsets.to_numpy())) * CONTEXTS + _flat(batch.column("dg"))
             ns[order[np.searchsorted(place[order], changed)]] += _flat(batch.column("dn"))
-            tables, parent = np.minimum(_flat(batch.column(f"t{sweep - 1}")), ns), batch.column(f"u{sweep - 1}").to_numpy()
+            tables, parent = np.minimum(_flat(batch.column("t")), ns), batch.column("u").to_numpy()
             own = np.bincount(owner, weights=tables, minlength=len(w)).astype(np.int64)
             others = own[owner] - tables
             base = totals.parent_probability(others, np.minimum(parent[owner], others))
@@ -241,16 +275,13 @@ def _sweep(state: DataFrame, changes: DataFrame, totals: Totals, sweep: int) ->
             sums[0, :CONTEXTS] += np.bincount(gs, weights=ns, minlength=CONTEXTS).astype(np.int64)
             sums[1, :CONTEXTS] += np.bincount(gs, weights=tables, minlength=CONTEXTS).astype(np.int64)
             sums[1, CONTEXTS] += int(parent.sum())
-            first = pa.array(offsets.to_numpy() - offsets[0].as_py())
-            customers = pa.ListArray.from_arrays(first, pa.array(ns))
-            arrays = [batch.column("w"), batch.column("c"), batch.column("gs"), customers, *[batch.column(c) for c in kept]]
-            arrays += [*([customers] if sweep > BURN else []), pa.ListArray.from_arrays(first, pa.array(tables)), pa.array(parent)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-        row = {"gs": [[]], "ns": [sums[0].tolist()], f"t{sweep}": [sums[1].tolist()]}
-        kind = {n: {"long": pa.int64(), "array<short>": pa.list_(pa.int16())}.get(kinds.get(n) or kinds.get(n[0])) or pa.list_(pa.int64()) for n in names}
-        yield pa.RecordBatch.from_arrays([pa.array(row.get(n, [None]), type=kind[n]) for n in names], names=names)
+            first = pa.array(starts)
+            seated = [pa.ListArray.from_arrays(first, pa.array(ns)), pa.ListArray.from_arrays(first, pa.array(tables)), pa.array(parent)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("w", "c", "gs", "ms")] + seated + more, names=names)
+        row = {"gs": [[]], "ns": [sums[0].tolist()], "t": [sums[1].tolist()]}
+        yield pa.RecordBatch.from_arrays([pa.array(row.get(n, [None]), type=KIND[n]) for n in names], names=names)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} {kinds.get(n) or kinds.get(n[0]) or 'array<long>'}" for n in names))
+    return rows.mapInArrow(run, ", ".join(f"{n} {SQL_KIND[n]}" for n in names))
 
 
 @dataclass
@@ -289,26 +320,24 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
     words, discounts = facts["words"], (_discount(facts["w1"] or 0, facts["w2"] or 0), _discount(facts["p1"] or 0, facts["p2"] or 0))
     rare = pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     discount = _discount(rare["once"], rare["twice"])
-    customers, tables = np.zeros(CONTEXTS, dtype=np.int64), np.zeros(CONTEXTS, dtype=np.int64)
-    per = state.select(F.explode(F.arrays_zip("gs", "ns")).alias("s")).groupBy("s.gs").agg(F.sum("s.ns").alias("c"), F.count("*").alias("t"))
+    customers, tables, still = np.zeros((3, CONTEXTS), dtype=np.int64)
+    per = state.select("c", F.explode(F.arrays_zip("gs", "ns")).alias("s")).groupBy("s.gs").agg(F.sum("s.ns").alias("c"), F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("still"))
     for r in per.collect():  # one row per ending
-        customers[r["gs"]], tables[r["gs"]] = r["c"], r["t"]
+        customers[r["gs"]], tables[r["gs"]], still[r["gs"]] = r["c"], r["t"], r["still"]
     totals, samples = Totals(customers, tables, words, words, discounts), []
     single = stored(pairs.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("t")))
-    many, contexts = pairs.where("n > 1").withColumns({"t": F.lit(1).cast("long"), "sum": F.lit(0).cast("long")}), single
+    many = pairs.where("n > 1").withColumns({"t": F.lit(1).cast("long"), "sum": F.lit(0).cast("long")}).join(single.select("h", F.col("t").alias("k")), "h")
+    # Words that occur once have one table everywhere, whatever is drawn.
+    words_once, state = state, state.where("c > 1")
     for sweep in range(1, sweeps + 1):
-        before, many = many, stored(_sweep_pairs(many, contexts, state, totals, discount, sweep))
+        before, many = many, stored(_sweep_pairs(many, state, totals, discount, sweep))
         last, state = state, stored(_sweep(state, many.select("w", "g", "d"), totals, sweep))
-        totals = _totals(state, sweep, words, discounts)
-        discard(last)
+        totals = _totals(state, still, words, discounts)
         if sweep > 1:
             discard(before)
-            discard(contexts)
-        more = many.groupBy("h").agg(F.sum(F.col("t") - 1).alias("more"))
-        contexts = stored(single.join(more, "h", "left").select("h", "c", (F.col("t") + F.coalesce("more", F.lit(0))).alias("t")))
+            discard(last)
         if sweep > BURN:
-            samples.append((sweep, totals))
-    discard(contexts)
+            samples.append(totals)
     mean = F.col("sum") / F.lit(float(len(samples)))
     more = many.groupBy("h").agg(F.sum(mean - 1).alias("more"))
     below = STRENGTH[2] + F.col("c")
@@ -319,35 +348,33 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", sweeps: int = SW
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gs = _flat(batch.column("gs"))
-            offsets = batch.column("gs").offsets
-            sizes = np.diff(offsets.to_numpy())
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            total, parents = np.zeros(len(gs)), []
-            for sweep, totals in samples:
-                ns, tables, parent = _flat(batch.column(f"n{sweep}")), _flat(batch.column(f"t{sweep}")), batch.column(f"u{sweep}").to_numpy()
-                own = np.bincount(owner, weights=tables, minlength=len(sizes))
-                base = totals.parent_probability(own, parent)
-                seen = (ns - totals.discounts[1] * tables) / (STRENGTH[1] + totals.customers[gs])
-                total += seen + totals.weight()[gs] * base[owner]
-                parents.append(base)
-            first = offsets.to_numpy() - offsets[0].as_py()
-            step = np.arange(len(sizes) + 1, dtype=np.int32) * len(parents)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("w"),
-                    batch.column("c"),
-                    pa.ListArray.from_arrays(pa.array(step), pa.array(np.array(parents).T.ravel())),
-                    batch.column("gs"),
-                    pa.ListArray.from_arrays(pa.array(first), pa.array((total / len(parents)).astype(np.float32))),
-                ],
-                names=["w", "c", "p1", "gs", "ps"],
-            )
-
-    table = stored(state.where("w IS NOT NULL").mapInArrow(average, "w long, c long, p1 array<double>, gs array<short>, ps array<float>"))
+            if not batch.num_rows:
+                continue
+            p1, sums = _sampled(batch, samples[-1], len(samples) == 1)
+            ps = pa.ListArray.from_arrays(sums.offsets, pa.array(sums.values.to_numpy() / np.float32(len(samples))))
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), p1, batch.column("gs"), ps], names=["w", "c", "p1", "gs", "ps"])
+
+    one = np.ones(1, dtype=np.int64)
+    parents = [float(t.parent_probability(one, one)[0]) for t in samples]
+    everywhere = np.mean([t.probability(np.arange(CONTEXTS), 1, 1, p) for t, p in zip(samples, parents)], axis=0)
+
+    def average_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, _, gs = _grouped(batch)
+            step = np.arange(batch.num_rows + 1, dtype=np.int32) * len(parents)
+            p1 = pa.ListArray.from_arrays(pa.array(step), pa.array(np.tile(parents, batch.num_rows)))
+            ps = pa.ListArray.from_arrays(pa.array(starts), pa.array(everywhere[gs].astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), p1, batch.column("gs"), ps], names=["w", "c", "p1", "gs", "ps"])
+
+    kinds = "w long, c long, p1 array<double>, gs array<short>, ps array<float>"
+    moved = state.where("w IS NOT NULL").mapInArrow(average, kinds)
+    table = stored(moved.unionByName(words_once.where("c = 1").select("w", "c", "gs").mapInArrow(average_once, kinds)))
     discard(state)
-    weights = np.array([t.weight() for _, t in samples])
-    unknown = np.array([float(t.parent_probability(np.zeros(1), np.zeros(1))[0]) for _, t in samples])
+    discard(words_once)
+    weights = np.array([t.weight() for t in samples])
+    unknown = np.array([float(t.parent_probability(np.zeros(1), np.zeros(1))[0]) for t in samples])
     return Model(table, facts["tokens"] or 0, words, weights, unknown, seen, contexts)
 
 
@@ -473,15 +500,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     c = F.coalesce("c", F.lit(0))
     rare = rare.select(
         "row", "k", "n",
-        F.coalesce("x", F.lit(0.0)).alias("x"),
-        (F.coalesce("weight", F.lit(1.0)) * p).alias("y"),
+        F.coalesce("x", F.lit(0.0)).cast("float").alias("x"),
+        (F.coalesce("weight", F.lit(1.0)) * p).cast("float").alias("y"),
         (F.col("n") * F.log10((c + 0.5) / floor)).alias("b"),
         F.when(c > 0, F.col("n")).otherwise(0).alias("f"),
     )
-    half = parts.where("k IS NOT NULL AND g IS NULL").select("row", "k", "n", F.col("x").cast("double"), F.col("y").cast("double"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("f"))
+    half = parts.where("k IS NOT NULL AND g IS NULL").select("row", "k", "n", "x", "y", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("f"))
     met = half.unionByName(rare).join(model.pairs.select(F.xxhash64("h", "w").alias("k"), "a"), "k", "left")
     rest = met.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("a", F.lit(0.0)) * F.col("x") + F.col("y"))).alias("log2"),
+        F.sum(F.col("n") * F.log10(F.coalesce("a", F.lit(0.0)).cast("double") * F.col("x") + F.col("y"))).alias("log2"),
         F.sum("b").alias("base2"),
         F.sum("f").alias("known2"),
     )
