@@ -12,6 +12,8 @@ INITIAL_CAPITAL = 10000.0
 TRANSACTION_COST = 0.001
 TRADING_DAYS = 252
 
+EXTREMES = ("least_return", "largest_return")
+
 
 def signal_panel(
     signals: DataFrame, by=("ticker",), order: str = "date", chunk_rows: int = CHUNK_ROWS
@@ -23,7 +25,7 @@ def signal_panel(
     """
     if not {"idx", "n_bars"} <= set(signals.columns):
         signals = index_bars(signals, by, order)
-    return chunk_panel(signals, by, before=1, chunk_rows=chunk_rows)
+    return chunk_panel(signals, by, before=1, chunk_rows=chunk_rows, order=order)
 
 
 def strategy_returns(
@@ -51,12 +53,16 @@ def strategy_returns(
     return panel.with_df(panel.df.drop("_held", "_before"))
 
 
-def equity_curve(panel: Panel, capital: float = INITIAL_CAPITAL, price: str = "price") -> DataFrame:
+def equity_curve(
+    panel: Panel, capital: float = INITIAL_CAPITAL, price: str = "price", extremes: bool = False
+) -> DataFrame:
     """Compound ``returns`` over each series.
 
     Adds ``cumulative_returns``, ``capital``, ``running_max``, ``drawdown`` and
     ``buy_and_hold``.  Growth is compounded inside the chunks; the growth up to
-    the start of a chunk comes from one row of totals per chunk.
+    the start of a chunk comes from one row of totals per chunk.  ``extremes``
+    adds ``least_return`` and ``largest_return`` of the whole series, which come
+    with the same totals; ``returns_histogram`` then needs no second reading.
     """
     panel = panel.core()
     growth = F.lit(1.0) + F.col("returns")
@@ -77,6 +83,8 @@ def equity_curve(panel: Panel, capital: float = INITIAL_CAPITAL, price: str = "p
                 "_carry": F.lit(1.0),
                 "_peak": F.lit(None).cast("double"),
                 "_first_price": F.first(price).over(panel.so_far()),
+                "least_return": F.min("returns").over(Window.partitionBy(*panel.keys)),
+                "largest_return": F.max("returns").over(Window.partitionBy(*panel.keys)),
             }
         )
     carry = F.col("_carry")
@@ -92,6 +100,8 @@ def equity_curve(panel: Panel, capital: float = INITIAL_CAPITAL, price: str = "p
         }
     )
     drawdown = ratio(F.col("cumulative_returns") - F.col("running_max"), F.col("running_max"))
+    if not extremes:
+        df = df.drop(*EXTREMES)
     return df.withColumn("drawdown", drawdown).drop(
         "_local", "_local_max", "_local_min", "_carry", "_peak", "_first_price", "blk", "core"
     )
@@ -104,6 +114,8 @@ def _chunk_carry(panel: Panel, growth: Column, price: str) -> DataFrame:
         F.max("_local").alias("_high"),
         F.min("_local").alias("_low"),
         F.min_by(price, "idx").alias("_open_price"),
+        F.min("returns").alias("_least"),
+        F.max("returns").alias("_largest"),
     )
     series = Window.partitionBy(*panel.by).orderBy("chunk")
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
@@ -118,8 +130,15 @@ def _chunk_carry(panel: Panel, growth: Column, price: str) -> DataFrame:
     carry = F.col("_carry")
     top = carry * F.when(carry >= 0, F.col("_high")).otherwise(F.col("_low"))
     totals = totals.withColumn("_top", top)
+    # The same order with a frame of all chunks: one sort serves both.
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return totals.select(
-        *panel.keys, "_carry", "_first_price", F.max("_top").over(earlier).alias("_peak")
+        *panel.keys,
+        "_carry",
+        "_first_price",
+        F.max("_top").over(earlier).alias("_peak"),
+        F.min("_least").over(whole).alias("least_return"),
+        F.max("_largest").over(whole).alias("largest_return"),
     )
 
 

@@ -100,7 +100,7 @@ def feature_panel(
     if spare:
         before += BLOCK_ROWS if uses_average(columns) else spare
     indexed = indexed_history(bars, by, order, min_rows, min_raw, bucket_days=bucket_days, once=once)
-    panel = chunk_panel(indexed, by, before=before, after=1, chunk_rows=chunk_rows)
+    panel = chunk_panel(indexed, by, before=before, after=1, chunk_rows=chunk_rows, order=order)
     return add_target(add_indicators(panel, columns, rsi_period), threshold)
 
 

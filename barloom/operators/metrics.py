@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.maths import ratio
+from barloom.operators.backtest import EXTREMES
 from barloom.operators.panel import attach_stats
 
 # Score buckets for the rank statistic; a bound on the rows one task sees when
@@ -185,18 +186,26 @@ def label_distribution(labelled: DataFrame, by=("ticker",), label: str = "target
 
 
 def returns_histogram(curve: DataFrame, by=("ticker",), bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Counts of ``returns`` in equal-width bins between its extremes."""
+    """Counts of ``returns`` in equal-width bins between its extremes.
+
+    A curve that carries the extremes of its series (``equity_curve`` with
+    ``extremes``) is read once, and a partial aggregate is all that is shuffled;
+    of any other the extremes are found by a reading of their own.
+    """
     r = F.col("returns")
     rows = curve.filter(r.isNotNull())
-    bounds = rows.groupBy(*by).agg(
-        F.min(r).alias("_lo"), F.max(r).alias("_hi"), F.max("n_bars").alias("n_bars")
-    )
+    if set(EXTREMES) <= set(curve.columns):
+        rows = rows.withColumnsRenamed(dict(zip(EXTREMES, ("_lo", "_hi"))))
+    else:
+        bounds = rows.groupBy(*by).agg(
+            F.min(r).alias("_lo"), F.max(r).alias("_hi"), F.max("n_bars").alias("n_bars")
+        )
+        rows = attach_stats(rows, bounds, by)
     lo, width = F.col("_lo"), F.col("_hi") - F.col("_lo")
     # A constant series has no width; all of it falls into the first bin.
     place = F.coalesce(F.floor(ratio(r - lo, width) * F.lit(bins)), F.lit(0).cast("bigint"))
     counted = (
-        attach_stats(rows, bounds, by)
-        .withColumn("bin", F.least(place, F.lit(bins - 1).cast("bigint")))
+        rows.withColumn("bin", F.least(place, F.lit(bins - 1).cast("bigint")))
         .groupBy(*by, "bin", "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -44,6 +44,9 @@ TIMESTAMP_BUCKET_DAYS = 7
 
 LAYOUT = ("idx", "n_bars", "chunk")
 
+# Metadata of the column ``chunk``: the number of rows in one.
+CHUNK_SIZE = "barloom.rows"
+
 
 def _bucket(df: DataFrame, order: str, days: int | None) -> Column:
     # The calendar day grows with the row order for dates and both kinds of
@@ -249,12 +252,15 @@ class Panel:
         return self.core().df.drop("blk", "core")
 
 
-def _ordered(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _ordered(df: DataFrame, keys: tuple[str, ...], order: str | None = None) -> DataFrame:
     # One exchange and one sort serve every window of the panel.  The number of
     # partitions is given: the windows cost far more time than their input has
     # bytes, and adaptive execution would merge small partitions by bytes.
+    # ``idx`` is unique, so ``order`` behind it never decides; the sort needs the
+    # column, though, and so it stays for a reader that has no other use for it.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, "blk", "idx")
+    last = () if order is None else (order,)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, "blk", "idx", *last)
 
 
 def chunk_panel(
@@ -264,8 +270,14 @@ def chunk_panel(
     after: int = 0,
     chunk_rows: int = CHUNK_ROWS,
     block: int = BLOCK_ROWS,
+    order: str | None = None,
 ) -> Panel:
-    """Cut indexed series into chunks that see ``before``/``after`` more rows."""
+    """Cut indexed series into chunks that see ``before``/``after`` more rows.
+
+    With ``order`` that column reaches every reader of the panel: one of the rows
+    and one of totals per chunk then ask for the same columns and share one
+    exchange, so that what stands behind it is computed once.
+    """
     if chunk_rows % block:
         raise ValueError(f"chunk_rows={chunk_rows} must be a multiple of {block}")
     first = F.expr(f"greatest(idx - {after}, 0L) div {chunk_rows}L")
@@ -273,10 +285,11 @@ def chunk_panel(
     df = (
         indexed.drop("chunk")
         .withColumn("chunk", F.explode(F.sequence(first, last)))
+        .withMetadata("chunk", {CHUNK_SIZE: chunk_rows})
         .withColumn("core", F.expr(f"idx div {chunk_rows}L = chunk"))
         .withColumn("blk", F.expr(f"idx div {block}L"))
     )
-    return Panel(_ordered(df, (*by, "chunk")), by, True, block)
+    return Panel(_ordered(df, (*by, "chunk"), order), by, True, block)
 
 
 def tail_panel(
@@ -320,10 +333,16 @@ def attach_stats(
 
     The join key is ``(by, extra, chunk)``, not ``by``: the statistics are
     repeated once per chunk of the series, so a hot ticker is spread over as
-    many tasks as it has chunks.  ``stats`` must hold ``n_bars``.
+    many tasks as it has chunks.  ``stats`` must hold ``n_bars``.  A ``chunk``
+    that says how many rows it has (``chunk_panel`` notes it) is used as it is;
+    beside any other, chunks of ``chunk_rows`` are counted from ``idx``.
     """
-    if "chunk" not in rows.columns:
-        rows = rows.withColumn("chunk", F.expr(f"idx div {chunk_rows}L"))
+    key = "chunk"
+    if key in rows.columns:
+        size = rows.schema[key].metadata.get(CHUNK_SIZE)
+        key, chunk_rows = (key, size) if size else ("_piece", chunk_rows)
+    if key not in rows.columns:
+        rows = rows.withColumn(key, F.expr(f"idx div {chunk_rows}L"))
     pieces = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_bars - 1L) div {chunk_rows}L"))
-    spread = stats.withColumn("chunk", F.explode(pieces)).drop("n_bars")
-    return rows.join(spread, [*by, *extra, "chunk"], how)
+    spread = stats.withColumn(key, F.explode(pieces)).drop("n_bars")
+    return rows.join(spread, [*by, *extra, key], how).drop("_piece")

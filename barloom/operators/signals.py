@@ -38,6 +38,7 @@ def rule_curve(
     capital: float = INITIAL_CAPITAL,
     chunk_rows: int = CHUNK_ROWS,
     bucket_days: int | None = None,
+    extremes: bool = False,
 ) -> DataFrame:
     """Backtest rule signals in one pass over the features.
 
@@ -60,4 +61,4 @@ def rule_curve(
         df = panel.df.select(*keep, F.inline(F.array(*each)))
         panel = panel.split_by("model")
     panel = panel.with_df(df.withColumnRenamed("Close", "price"))
-    return equity_curve(strategy_returns(panel, cost=cost), capital)
+    return equity_curve(strategy_returns(panel, cost=cost), capital, extremes=extremes)

@@ -24,7 +24,7 @@ from barloom.operators.features import compute_features, latest_features
 from barloom.operators.panel import index_bars
 from barloom.operators.signals import RULES, rule_curve, rule_position
 from barloom.plans.tables import daily_bars, hourly_bars, index_level_bars, kept, table
-from barloom.session import cut_lineage, shared_folder
+from barloom.session import shared_folder
 from barloom.sources import watchlist as wl
 from barloom.sources.ticks import bars_from_ticks
 
@@ -296,7 +296,6 @@ SCALED = ["pct_change_1", "rsi", "volatility_10", "hl_range", "gap_up", "volume_
 @query
 def scale_features(spark, sf_dir):
     df = training_set.time_split(compute_features(kept(daily_bars(spark, sf_dir)), tuple(SCALED)))
-    df = cut_lineage(df)  # statistics and rows are two readers
     out = training_set.scale_features(df, tuple(SCALED))
     return rounded(out.select("ticker", "date", "is_test", *SCALED))
 
@@ -351,8 +350,8 @@ def drawdown_series(spark, sf_dir):
 
 @query
 def returns_histogram(spark, sf_dir):
-    curve = _curve(spark, sf_dir).select("ticker", "returns", "idx", "n_bars")
-    return rounded(metrics.returns_histogram(cut_lineage(curve)))
+    curve = rule_curve(kept(index_level_bars(spark, sf_dir)), ("sma_cross",), extremes=True)
+    return rounded(metrics.returns_histogram(curve))
 
 
 @query

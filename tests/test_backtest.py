@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators.backtest import backtest_signals, perf_metrics
+from barloom.operators.backtest import backtest_signals, perf_metrics, signal_panel, strategy_returns, equity_curve
+from barloom.operators.metrics import returns_histogram
 from barloom.operators.signals import rule_curve
 
 from helpers import DAY0, bars_frame, close_to, deviation, mean, walk, window
@@ -143,3 +144,35 @@ def test_rules_side_by_side_equal_single_runs(spark):
         assert len(a) == len(b) == 1260
         for x, y in zip(a, b):
             assert close_to(x[2], y[2], 1e-12) and close_to(x[3], y[3], 1e-12)
+
+
+@pytest.mark.parametrize("chunk_rows", [512, 32768])
+def test_extremes_come_with_the_totals_of_chunks(spark, chunk_rows):
+    """Series of several chunks, of one bar and without a move."""
+    prices, positions = random_case(1400, 8)
+    both = signals(spark, prices, positions).unionByName(signals(spark, [5.0], [1], "B"))
+    both = both.unionByName(signals(spark, [7.0] * 600, [1] * 600, "C"))
+    panel = strategy_returns(signal_panel(both, chunk_rows=chunk_rows))
+    carried = equity_curve(panel, extremes=True)
+    plain = equity_curve(panel)
+    assert set(carried.columns) - set(plain.columns) == {"least_return", "largest_return"}
+    known = {r["ticker"]: r for r in plain.groupBy("ticker").agg(F.min("returns").alias("lo"), F.max("returns").alias("hi")).collect()}
+    for r in carried.select("ticker", "least_return", "largest_return").distinct().collect():
+        assert (r["least_return"], r["largest_return"]) == (known[r["ticker"]]["lo"], known[r["ticker"]]["hi"])
+    found = [sorted(returns_histogram(c, bins=9).collect()) for c in (carried, plain)]
+    assert found[0] == found[1] and {r["ticker"] for r in found[0]} == {"A", "C"}
+    assert sum(r["n"] for r in found[0] if r["ticker"] == "A") == 1399
+
+
+def test_totals_and_rows_share_an_exchange(spark):
+    """The date is in no total of a chunk; it must not make a second exchange, and signals with positions are not numbered again."""
+    prices, positions = random_case(900, 4)
+    placed = signals(spark, prices, positions).withColumns({"idx": F.datediff("date", F.lit(DAY0)).cast("long"), "n_bars": F.lit(900).cast("long")})
+    curve = backtest_signals(placed, chunk_rows=512).select("ticker", "date", "position", "price", "returns", "capital")
+    assert curve.count() == 900
+    rows = curve.collect()
+    plan = curve._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    exchanges = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(exchanges) == 2 and "ReusedExchange" in exchanges[1] and "row_number" not in plan
+    numbered = backtest_signals(signals(spark, prices, positions), chunk_rows=512).select(*curve.columns).collect()
+    assert sorted(rows) == sorted(numbered)

@@ -83,3 +83,13 @@ def test_bars_are_hashed(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["scale_features", "returns_histogram", "signals_join"])
+def test_statistics_share_the_exchange_of_the_rows(spark, name):
+    """Behind the exchange stand the readings of the bars: of numbering, of rows, and of prices that signals are bound to."""
+    df = contract.queries()[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    assert plan.count("FileScan") == (3 if name == "signals_join" else 2)

@@ -117,3 +117,27 @@ def test_statistics_come_back_by_chunk(skewed):
     joined = attach_stats(indexed, stats, chunk_rows=512)
     assert joined.count() == skewed.count()
     assert joined.filter("Close > top").count() == 0
+
+
+@pytest.mark.parametrize("noted", [True, False])
+def test_statistics_meet_chunks_of_any_size(skewed, noted):
+    """Chunks of 512 rows keep all rows, also where a table has lost the note of their size."""
+    rows = chunk_panel(index_bars(skewed), chunk_rows=512).result()
+    if not noted:
+        rows = rows.withMetadata("chunk", {})
+    stats = rows.groupBy("ticker").agg(F.max("Close").alias("top"), F.max("n_bars").alias("n_bars"))
+    joined = attach_stats(rows, stats)
+    assert joined.count() == skewed.count() and set(joined.columns) == {*rows.columns, "top"}
+    assert joined.filter("Close > top").count() == 0
+
+
+def test_scaling_keeps_the_rows_of_small_chunks(skewed):
+    from barloom.operators.training_set import scale_features, time_split
+
+    scaled = [
+        scale_features(time_split(compute_features(skewed, ("pct_change_1",), min_rows=1, chunk_rows=n)), ("pct_change_1",))
+        .select("ticker", "date", F.round("pct_change_1", 9).alias("x"))
+        for n in (512, 32768)
+    ]
+    assert scaled[0].count() == skewed.count()
+    assert scaled[0].exceptAll(scaled[1]).count() == 0
