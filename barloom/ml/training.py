@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -26,6 +27,9 @@ MODEL_TYPES = ("random_forest", "xgboost", "gradient_boosting")
 MIN_TRAIN_BARS = 50
 N_ESTIMATORS = 200
 RANDOM_STATE = 42
+#: Training rows from which a fit deals its rows by their number, and the most of them in a partition.
+DEAL_ROWS = 20_000
+PART_ROWS = 250_000
 DEFAULTS = {
     "random_forest": {
         "maxDepth": 15,
@@ -78,14 +82,36 @@ def feature_stages(columns=tuple(FEATURE_COLS)) -> list:
     ]
 
 
-def kept_rows(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows of a table of at least ``DEAL_ROWS`` in equal parts, one for every core; smaller ones as they are.
+
+    What trees cost goes by rows and not by bytes, so parts sized by bytes or by chunks of a series leave cores idle.
+    """
+    if n_rows < DEAL_ROWS:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, math.ceil(n_rows / PART_ROWS)))
+
+
+def kept_rows(rows: DataFrame, n_rows: int = 0) -> DataFrame:
     """Training rows in evenly sized partitions, cached for many passes.
 
     Trees read their rows once per level, so one more exchange pays off when
-    it leaves neither tiny nor oversized partitions.  Cached blocks of a lost
+    it leaves neither tiny nor oversized partitions.  More parts than cores send
+    the histograms of all nodes more often than needed.  Cached blocks of a lost
     executor are computed again from the lineage.
     """
-    return rows.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.hint("rebalance") if n_rows < DEAL_ROWS else dealt(rows, n_rows)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def note_nodes(estimator, spark: SparkSession) -> None:
+    """Lets a forest note the node of every row instead of walking each tree from its root on every level.
+
+    The notes grow a lineage that only checkpoints cut, so without a checkpoint folder it is left as it is.
+    """
+    if isinstance(estimator, RandomForestClassifier) and not estimator.isSet("cacheNodeIds"):
+        estimator.setCacheNodeIds(spark.sparkContext.getCheckpointDir() is not None)
 
 
 def fit_classifier(
@@ -101,9 +127,12 @@ def fit_classifier(
     rows = train.select(*columns, "target")
     if isinstance(estimator, SecondOrder):
         return estimator.fit(rows, columns)
+    n_rows = rows.count()
+    if n_rows >= DEAL_ROWS:
+        note_nodes(estimator, train.sparkSession)
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
         rows = with_class_weight(rows)
-    rows = kept_rows(rows)
+    rows = kept_rows(rows, n_rows)
     try:
         return Pipeline(stages=[*feature_stages(columns), estimator]).fit(rows)
     finally:
@@ -201,7 +230,7 @@ def train_model(
         model, trials = tune_classifier(train, name, **options)
     else:
         model = fit_classifier(train, name, n_estimators, seed, columns, **overrides)
-    scored = cut_lineage(score(table, model))
+    scored = cut_lineage(score(dealt(table, table.count()), model))
     return Trained(model, name, seed, scored, tuple(columns), tuple(by), test_size, trials)
 
 

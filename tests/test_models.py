@@ -271,3 +271,31 @@ def test_queries_ask_for_the_whole_search_and_default_trees(spark, bars, monkeyp
         with pytest.raises(Asked):
             queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert asked == {"train_model": {"tune": True}, "train_by_ticker": {}}
+
+
+def test_large_fits_deal_rows_evenly_and_note_nodes(spark, bars, monkeypatch, tmp_path):
+    """From a number of rows on every core gets an equal part, and a forest notes the nodes of rows; the trees stay the same."""
+    from barloom.ml import training
+
+    table = training_table(bars, ("rsi", "macd")).cache()
+    train = table.filter("NOT is_test")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: str(tmp_path))
+    monkeypatch.setattr(training, "DEAL_ROWS", 100)
+    cores = spark.sparkContext.defaultParallelism
+    kept = training.kept_rows(train, train.count())
+    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    kept.unpersist()
+    assert len(sizes) == cores and max(sizes) - min(sizes) <= 8
+    noted, walked = (
+        training.fit_classifier(train, "random_forest", 3, columns=("rsi", "macd"), maxDepth=6, **how)
+        for how in ({}, {"cacheNodeIds": False})
+    )
+    assert noted.stages[-1].getOrDefault("cacheNodeIds") and not walked.stages[-1].getOrDefault("cacheNodeIds")
+    key = lambda m: sorted(tuple(r) for r in scoring.score(table, m).select("ticker", "date", "prob_up").collect())
+    assert key(noted) == key(walked)
+    assert training.dealt(table, table.count()).rdd.getNumPartitions() == cores
+    table.unpersist()
+
+
+def test_small_fits_keep_their_rows_as_they_are(trained, spark):
+    assert not trained.model.stages[-1].getOrDefault("cacheNodeIds")
