@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +16,25 @@ from barloom.operators.metrics import class_metrics
 from barloom.operators.walkforward import evaluate_windows, window_features
 from barloom.session import cut_lineage
 
+#: Rows from which a table is dealt by their number for trees, and the most of them in a part.
+DEAL_ROWS = 20_000
+PART_ROWS = 250_000
+
+
+def is_large(n_rows: int) -> bool:
+    return n_rows >= DEAL_ROWS
+
+
+def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows of a table of at least ``DEAL_ROWS`` in equal parts, one for every core; smaller ones as they are.
+
+    What trees cost goes by rows and not by bytes, so parts sized by bytes or by chunks of a series leave cores idle.
+    """
+    if not is_large(n_rows):
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, math.ceil(n_rows / PART_ROWS)))
+
 
 def model_columns(model: PipelineModel) -> list[str]:
     """The feature columns a saved model expects, in order."""
@@ -82,12 +103,14 @@ def compare_models(
     """Models side by side on the same bars, one row per series and model.
 
     One pass over the features: each model adds its columns, then every bar is
-    repeated per model.
+    repeated per model.  Features and scored rows are written once, so that rows
+    are dealt evenly and the two readers of a curve do not score them twice.
     """
     if not models:
         raise ValueError("no model to compare")
     columns = tuple(dict.fromkeys(c for m in models.values() for c in model_columns(m)))
-    rows = compute_features(bars, columns, by)
+    table = cut_lineage(compute_features(bars, columns, by))
+    rows = dealt(table, table.count())
     entries = []
     for i, (name, model) in enumerate(models.items()):
         own = {"prediction": f"_prediction_{i}", "prob_up": f"_prob_up_{i}"}
@@ -98,7 +121,7 @@ def compare_models(
             )
         )
     keep = [*by, "date", F.col("Close").alias("price"), "target", "idx", "n_bars"]
-    scored = rows.select(*keep, F.inline(F.array(*entries)))
+    scored = cut_lineage(rows.select(*keep, F.inline(F.array(*entries))))
     signals = scored.withColumn("position", F.col("prediction"))
     keys = (*by, "model")
     return compare_curves(backtest_signals(signals, keys, **options), keys, "prediction")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.indicators import FEATURE_COLS
 from barloom.ml.boosting import BoostedModel, SecondOrder
-from barloom.ml.scoring import score
+from barloom.ml.scoring import dealt, is_large, score
 from barloom.operators.backtest import backtest_signals, perf_metrics
 from barloom.operators.features import compute_features
 from barloom.operators.metrics import class_metrics, classification_report
@@ -27,9 +26,6 @@ MODEL_TYPES = ("random_forest", "xgboost", "gradient_boosting")
 MIN_TRAIN_BARS = 50
 N_ESTIMATORS = 200
 RANDOM_STATE = 42
-#: Training rows from which a fit deals its rows by their number, and the most of them in a partition.
-DEAL_ROWS = 20_000
-PART_ROWS = 250_000
 DEFAULTS = {
     "random_forest": {
         "maxDepth": 15,
@@ -82,17 +78,6 @@ def feature_stages(columns=tuple(FEATURE_COLS)) -> list:
     ]
 
 
-def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Rows of a table of at least ``DEAL_ROWS`` in equal parts, one for every core; smaller ones as they are.
-
-    What trees cost goes by rows and not by bytes, so parts sized by bytes or by chunks of a series leave cores idle.
-    """
-    if n_rows < DEAL_ROWS:
-        return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(cores, math.ceil(n_rows / PART_ROWS)))
-
-
 def kept_rows(rows: DataFrame, n_rows: int = 0) -> DataFrame:
     """Training rows in evenly sized partitions, cached for many passes.
 
@@ -101,7 +86,7 @@ def kept_rows(rows: DataFrame, n_rows: int = 0) -> DataFrame:
     the histograms of all nodes more often than needed.  Cached blocks of a lost
     executor are computed again from the lineage.
     """
-    rows = rows.hint("rebalance") if n_rows < DEAL_ROWS else dealt(rows, n_rows)
+    rows = dealt(rows, n_rows) if is_large(n_rows) else rows.hint("rebalance")
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -128,7 +113,7 @@ def fit_classifier(
     if isinstance(estimator, SecondOrder):
         return estimator.fit(rows, columns)
     n_rows = rows.count()
-    if n_rows >= DEAL_ROWS:
+    if is_large(n_rows):
         note_nodes(estimator, train.sparkSession)
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
         rows = with_class_weight(rows)

@@ -280,7 +280,7 @@ def test_large_fits_deal_rows_evenly_and_note_nodes(spark, bars, monkeypatch, tm
     table = training_table(bars, ("rsi", "macd")).cache()
     train = table.filter("NOT is_test")
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: str(tmp_path))
-    monkeypatch.setattr(training, "DEAL_ROWS", 100)
+    monkeypatch.setattr(scoring, "DEAL_ROWS", 100)
     cores = spark.sparkContext.defaultParallelism
     kept = training.kept_rows(train, train.count())
     sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
@@ -293,9 +293,15 @@ def test_large_fits_deal_rows_evenly_and_note_nodes(spark, bars, monkeypatch, tm
     assert noted.stages[-1].getOrDefault("cacheNodeIds") and not walked.stages[-1].getOrDefault("cacheNodeIds")
     key = lambda m: sorted(tuple(r) for r in scoring.score(table, m).select("ticker", "date", "prob_up").collect())
     assert key(noted) == key(walked)
-    assert training.dealt(table, table.count()).rdd.getNumPartitions() == cores
+    assert scoring.dealt(table, table.count()).rdd.getNumPartitions() == cores
     table.unpersist()
 
 
 def test_small_fits_keep_their_rows_as_they_are(trained, spark):
     assert not trained.model.stages[-1].getOrDefault("cacheNodeIds")
+
+
+def test_compared_models_score_every_row_once(trained, bars):
+    """The rows that two readers of a curve need are scored and written before."""
+    both = scoring.compare_models(bars, {"one": trained.model, "two": trained.model})
+    assert "UDF" not in both._jdf.queryExecution().optimizedPlan().toString()
