@@ -33,13 +33,13 @@ TREES = "number int, feature binary, split binary, child binary, value binary, g
 KINDS = ("<i4", "<i4", "<i4", "<f8", "<f8")
 
 
-def packed_tree(number: int, tree: Tree) -> tuple:
+def packed_tree(number: int, tree: Tree, kinds=KINDS) -> tuple:
     parts = (tree.feature, tree.split, tree.child, tree.value, tree.gain)
-    return number, *(np.asarray(x, dtype=k).tobytes() for x, k in zip(parts, KINDS))
+    return number, *(np.asarray(x, dtype=k).tobytes() for x, k in zip(parts, kinds))
 
 
-def unpacked_tree(row) -> Tree:
-    return Tree(*(np.frombuffer(bytes(x), dtype=k) for x, k in zip(tuple(row)[1:], KINDS)))
+def unpacked_tree(row, kinds=KINDS) -> Tree:
+    return Tree(*(np.frombuffer(bytes(x), dtype=k) for x, k in zip(tuple(row)[1:], kinds)))
 
 
 def edges_of(rows: DataFrame, columns) -> np.ndarray:
@@ -189,6 +189,8 @@ class Inputs:
 class BoostedModel:
     """Boosted trees over binned columns, used like a fitted pipeline: ``transform``, ``stages`` and ``write``."""
 
+    folder, kinds = "boosted", KINDS
+
     def __init__(self, columns, edges: np.ndarray, trees: list[Tree], base: float = 0.0):
         self.columns, self.edges, self.trees, self.base = list(columns), edges, trees, base
         self.stages = [Inputs(columns), None, self]
@@ -207,18 +209,22 @@ class BoostedModel:
             np.add.at(total, tree.feature[inner], tree.gain[inner])
         return DenseVector(total / total.sum() if total.sum() > 0 else total)
 
+    def chance(self, bins: np.ndarray) -> np.ndarray:
+        """Probability of the class 1 of binned rows."""
+        margin = np.full(len(bins), self.base)
+        for tree in self.trees:
+            margin += tree.value[tree.route(bins)]
+        return sigmoid(margin)
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``probability`` (of both classes) and ``prediction``; nothing is shuffled."""
-        edges, trees, base, n = self.edges, self.trees, self.base, len(self.columns)
+        edges, chance, n = self.edges, self.chance, len(self.columns)
 
         @arrow_udf("double")
         def up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for lists in batches:
                 x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                bins, margin = to_bins(x, edges), np.full(len(lists), base)
-                for tree in trees:
-                    margin += tree.value[tree.route(bins)]
-                yield pa.array(sigmoid(margin))
+                yield pa.array(chance(to_bins(x, edges)))
 
         values = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in self.columns])
         scored = rows.withColumn("_up", up(values))
@@ -235,22 +241,22 @@ class BoostedModel:
     def save(self, uri: str) -> None:
         spark, mode = SparkSession.active(), self._mode
         self._mode = "error"
-        table = spark.createDataFrame([packed_tree(i, t) for i, t in enumerate(self.trees)], TREES)
+        table = spark.createDataFrame([packed_tree(i, t, self.kinds) for i, t in enumerate(self.trees)], TREES)
         meta = [(self.columns, self.edges.ravel().tolist(), self.base)]
         # The trees come last: a model without them does not load.
-        spark.createDataFrame(meta, "columns array<string>, edges array<double>, base double").coalesce(1).write.mode(mode).parquet(f"{uri}/boosted/meta")
-        table.coalesce(1).write.mode(mode).parquet(f"{uri}/boosted/trees")
+        spark.createDataFrame(meta, "columns array<string>, edges array<double>, base double").coalesce(1).write.mode(mode).parquet(f"{uri}/{self.folder}/meta")
+        table.coalesce(1).write.mode(mode).parquet(f"{uri}/{self.folder}/trees")
 
-    @staticmethod
-    def load(uri: str) -> BoostedModel | None:
+    @classmethod
+    def load(cls, uri: str) -> BoostedModel | None:
         """The model at ``uri``, None where there is none of this kind."""
         spark = SparkSession.active()
         try:
-            rows = spark.read.schema(TREES).parquet(f"{uri}/boosted/trees").orderBy("number").collect()
+            rows = spark.read.schema(TREES).parquet(f"{uri}/{cls.folder}/trees").orderBy("number").collect()
         except AnalysisException:
             return None
-        meta = spark.read.parquet(f"{uri}/boosted/meta").first()
-        return BoostedModel(meta["columns"], np.array(meta["edges"]).reshape(len(meta["columns"]), -1), [unpacked_tree(r) for r in rows], meta["base"])
+        meta = spark.read.parquet(f"{uri}/{cls.folder}/meta").first()
+        return cls(meta["columns"], np.array(meta["edges"]).reshape(len(meta["columns"]), -1), [unpacked_tree(r, cls.kinds) for r in rows], meta["base"])
 
 
 class SecondOrder:

@@ -8,6 +8,7 @@ boosting. The functions here work on bounded blocks of rows inside tasks.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -134,6 +135,14 @@ def histograms(bins: np.ndarray, node: np.ndarray, nodes: int, features: np.ndar
     return [np.bincount(code, np.repeat(w, m), minlength=nodes * m * width).reshape(nodes, m, width) for w in weights]
 
 
+def node_features(shape: Shape, columns: np.ndarray, nodes: int, rng: np.random.Generator) -> np.ndarray:
+    """The features that each of some nodes may be split by: ``[nodes, features]``."""
+    if shape.per_node and shape.per_node < len(columns):
+        drawn = rng.random((nodes, len(columns))).argpartition(shape.per_node - 1, axis=1)[:, : shape.per_node]
+        return columns[drawn]
+    return np.broadcast_to(columns, (nodes, len(columns)))
+
+
 def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, shape: Shape, rng: np.random.Generator, columns: np.ndarray | None = None) -> Tree:
     """One tree over rows of which ``n`` are in it (0 leaves a row out). Deeper shapes begin with the same levels."""
     columns = np.arange(bins.shape[1]) if columns is None else columns
@@ -149,11 +158,7 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, shape: S
         if not len(nodes):
             growing.split(nodes, np.zeros(0), np.zeros(0, int), np.zeros(0, int), [np.zeros(0)] * 3)
             return growing.tree()
-        if shape.per_node and shape.per_node < len(columns):
-            drawn = rng.random((len(nodes), len(columns))).argpartition(shape.per_node - 1, axis=1)[:, : shape.per_node]
-            features = columns[drawn]
-        else:
-            features = np.broadcast_to(columns, (len(nodes), len(columns)))
+        features = node_features(shape, columns, len(nodes), rng)
         found = best_splits(*histograms(bins[rows], k, len(nodes), features, [g[rows], h[rows], n[rows]]), shape)
         gain, j, split = found[:3]
         feature = features[np.arange(len(nodes)), j]
@@ -198,13 +203,22 @@ class Boosting:
 
 def in_round(key: np.ndarray, seed: int, number: int, share: float) -> np.ndarray:
     """Whether a row takes part in a round, by a hash of its key."""
-    if share >= 1:
-        return np.ones(len(key), dtype=bool)
+    return np.ones(len(key), dtype=bool) if share >= 1 else hashed(key, seed, number) < share
+
+
+def times_drawn(key: np.ndarray, seed: int, number: int, share: float) -> np.ndarray:
+    """How often a row is in a tree of a forest: a Poisson number with that mean, by a hash of its key."""
+    chance = np.cumsum([math.exp(-share) * share**k / math.factorial(k) for k in range(100)])
+    return np.searchsorted(chance, hashed(key, seed, number), side="right").astype(np.uint8)
+
+
+def hashed(key: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """A number from 0 to 1 for each key."""
     U = np.uint64
     x = key.astype(U) * U(0x9E3779B97F4A7C15) + U((seed * 1_000_003 + number) * 0xD1B54A32D192ED03 % (1 << 64))
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return ((x ^ (x >> U(31))) >> U(11)).astype(float) / (1 << 53) < share
+    return ((x ^ (x >> U(31))) >> U(11)).astype(float) / (1 << 53)
 
 
 def round_columns(settings: Boosting, number: int, n: int) -> np.ndarray:

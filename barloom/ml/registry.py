@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.functions.maths import flag
 from barloom.ml.boosting import BoostedModel
+from barloom.ml.forest import ForestModel
 from barloom.ml.scoring import model_columns
 from barloom.ml.training import Trained, feature_importance
 from barloom.ml.versions import publish, served
@@ -50,9 +51,10 @@ def save_model(model: PipelineModel, uri: str) -> str:
 def load_model(uri: str) -> PipelineModel | BoostedModel:
     """Read a model back and check that it can score; of a published place, the model served there."""
     uri = served(SparkSession.active(), uri) or uri
-    boosted = BoostedModel.load(uri)
-    if boosted is not None:
-        return boosted
+    for kind in (BoostedModel, ForestModel):
+        found = kind.load(uri)
+        if found is not None:
+            return found
     model = PipelineModel.load(uri)
     if len(model.stages) < 3 or not hasattr(model.stages[-1], "featureImportances"):
         raise ValueError(f"{uri} holds no pipeline of assembler, scaler and tree classifier")
