@@ -26,6 +26,8 @@ from barloom.session import cut_lineage
 BLOCK_ROWS = 100_000
 #: Rounds after which the margins of all rows are written.
 WRITE_EVERY = 25
+#: Nodes of trees that are saved by one task.
+PART_NODES = 1_000_000
 #: Accuracy of the quantiles that become bin edges.
 EDGE_ACCURACY = 10_000
 
@@ -241,11 +243,14 @@ class BoostedModel:
     def save(self, uri: str) -> None:
         spark, mode = SparkSession.active(), self._mode
         self._mode = "error"
-        table = spark.createDataFrame([packed_tree(i, t, self.kinds) for i, t in enumerate(self.trees)], TREES)
+        rows = [packed_tree(i, t, self.kinds) for i, t in enumerate(self.trees)]
+        parts = 1 + sum(len(t.feature) for t in self.trees) // PART_NODES
+        # Rows of the driver travel inside tasks, which may not be larger than a message.
+        table = spark.createDataFrame(rows, TREES).coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), TREES)
         meta = [(self.columns, self.edges.ravel().tolist(), self.base)]
         # The trees come last: a model without them does not load.
         spark.createDataFrame(meta, "columns array<string>, edges array<double>, base double").coalesce(1).write.mode(mode).parquet(f"{uri}/{self.folder}/meta")
-        table.coalesce(1).write.mode(mode).parquet(f"{uri}/{self.folder}/trees")
+        table.write.mode(mode).parquet(f"{uri}/{self.folder}/trees")
 
     @classmethod
     def load(cls, uri: str) -> BoostedModel | None:

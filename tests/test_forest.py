@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from barloom.ml import forest, training
+from barloom.ml import boosting, forest, training
 from barloom.ml.boosting import _rows_of, edges_of, pack_rows
 from barloom.ml.growth import Shape, grow, times_drawn
 from barloom.ml.registry import load_model, save_model
@@ -55,7 +55,9 @@ def test_large_forests_are_grown_saved_and_read(rows, monkeypatch, tmp_path):
     assert scored.filter("prediction = target").count() > 1_800
     assert scored.filter("prob_up BETWEEN 0 AND 1 AND prediction = int(prob_up > 0.5)").count() == 2_000
     assert abs(sum(r["importance"] for r in feature_importance(model, None).collect()) - 1) < 1e-9
+    monkeypatch.setattr(boosting, "PART_NODES", 500)
     again = load_model(save_model(model, str(tmp_path / "m")))
+    assert len(list((tmp_path / "m" / "forest" / "trees").glob("*.parquet"))) > 1
     key = lambda m: {r["id"]: r["prob_up"] for r in score(rows, m).collect()}
     assert key(again) == key(model)
 
