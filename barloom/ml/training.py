@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barloom.functions.indicators import FEATURE_COLS
 from barloom.ml.boosting import BoostedModel, SecondOrder
 from barloom.ml.forest import fit_forest, is_grown_here
+from barloom.ml.plain_boosting import fit_boosting, is_boosted_here
 from barloom.ml.scoring import dealt, is_large, score
 from barloom.operators.backtest import backtest_signals, perf_metrics
 from barloom.operators.features import compute_features
@@ -25,7 +26,7 @@ from barloom.session import cut_lineage
 # Model types, their defaults, and the rows a series must have.
 MODEL_TYPES = ("random_forest", "xgboost", "gradient_boosting")
 MIN_TRAIN_BARS = 50
-#: Training rows from which a forest is grown by ``ml.forest``.
+#: Training rows from which a forest is grown by ``ml.forest``, and plain boosting by ``ml.plain_boosting``.
 FOREST_ROWS = 20_000
 N_ESTIMATORS = 200
 RANDOM_STATE = 42
@@ -110,7 +111,7 @@ def fit_classifier(
     columns=tuple(FEATURE_COLS),
     **overrides,
 ) -> PipelineModel | BoostedModel:
-    """Assemble, scale and fit on rows kept in memory or on disk; second-order boosting and large forests bin rows instead."""
+    """Assemble, scale and fit on rows kept in memory or on disk; second-order boosting and large fits bin rows instead."""
     estimator = make_classifier(model_type, n_estimators, seed, **overrides)
     rows = train.select(*columns, "target")
     if isinstance(estimator, SecondOrder):
@@ -118,6 +119,8 @@ def fit_classifier(
     n_rows = rows.count()
     if n_rows >= FOREST_ROWS and is_grown_here(estimator, columns):
         return fit_forest(rows, columns, estimator, n_rows)
+    if n_rows >= FOREST_ROWS and is_boosted_here(estimator):
+        return fit_boosting(rows, columns, estimator, n_rows)
     if is_large(n_rows):
         note_nodes(estimator, train.sparkSession)
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
