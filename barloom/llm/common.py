@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over; else they stay until the driver happens to collect
+    its garbage. Those of a job that ended just now may still be held: call it after a later, small one."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Numbers(dict):
     """Numbers its keys in the order in which they are first asked for."""
 

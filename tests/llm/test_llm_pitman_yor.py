@@ -111,3 +111,42 @@ def test_probabilities_after_a_word_add_up_to_one(spark, scored):
     assert len(rows) == model.distinct
     pairs = {(a, b) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 5 != 1 for t in [words(d["text"]) + [None]] for a, b in zip([None] + t, t)}
     assert model.pairs.count() == len(pairs)
+
+
+def test_many_blocks(spark, scored, monkeypatch):
+    """Words dealt to many blocks, and slices of few texts: the same counts, whole distributions, and nearly the same scores."""
+    docs, one, got = scored
+    monkeypatch.setattr(pitman_yor, "BLOCK", 1 << 15)
+    monkeypatch.setattr(pitman_yor, "SLICE", 1 << 15)
+    frame = table(spark, SF, "documents")
+    model = pitman_yor.fit(frame, doc_bucket("doc_id", 5) != 1)
+    assert model.blocks > 5 and (model.train_tokens, model.distinct) == (one.train_tokens, one.distinct)
+    assert {(r["h"], r["w"]): r["n"] for r in model.pairs.collect()} == {(r["h"], r["w"]): r["n"] for r in one.pairs.collect()}
+    seen = collections.Counter()
+    for r in model.pairs.collect():
+        seen[r["h"]] += r["a"]
+    for r in model.contexts.collect():
+        assert seen[r["h"]] * r["x"] + r["y"] == pytest.approx(1.0, abs=1e-5)
+    for few in ({}, {"frequent": 20}):
+        again = pitman_yor.score(frame, model, **few).collect()
+        assert len(again) == len(docs)
+        for r in again:
+            old = got[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"]) == (old["n_tokens"], old["n_known"]) and r["base_score"] == pytest.approx(old["base_score"], rel=1e-9)
+        assert sum(r["score"] for r in again) == pytest.approx(sum(r["score"] for r in got.values()), rel=2e-3)
+
+
+def test_writes_fewer_rows_than_pairs(spark, monkeypatch):
+    """Neither the sweeps nor the scores write a row a pair: the disk they took was several times the input."""
+    rows = []
+
+    def counted(df, keep=pitman_yor.stored):
+        out = keep(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "stored", counted)
+    docs = table(spark, SF, "documents")
+    model = pitman_yor.fit(docs, F.lit(True))
+    assert pitman_yor.score(docs, model).count() == docs.count()
+    assert sum(rows) < model.pairs.count()
