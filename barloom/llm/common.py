@@ -61,8 +61,9 @@ def discard(df: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over; else they stay until the driver happens to collect
-    its garbage. Those of a job that ended just now may still be held: call it after a later, small one."""
+    """Lets Spark delete the shuffle files of jobs that are over; else they stay until the driver happens to collect its
+    garbage. What has just ended is held until its last events are handled, so a small job goes first."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

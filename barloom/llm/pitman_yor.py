@@ -56,6 +56,8 @@ STRENGTH = (10.0, 10.0, 2.0)  # of the parent, of the endings, and of the words
 SLICE = 4 << 20
 #: Bytes of text for each block: the first up to some hundred blocks, the second beyond.
 BLOCK, LARGE_BLOCK = 12 << 20, 48 << 20
+#: Texts are scored in so many rounds, as the pairs of a round are on disk at once.
+ROUNDS = 2
 #: Rows of pairs that a block gathers before it adds them up.
 GATHERED = 2_000_000
 SEED = 11
@@ -621,11 +623,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return spot, keys[spot] == wanted
 
 
-def _request(blocks: int) -> Callable:
+def _request(blocks: int, turn: int) -> Callable:
     """Each slice of texts sends every block the pairs of its words, and the first its ids and numbers of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        origin = TaskContext.get().partitionId() << 40
+        origin = (TaskContext.get().partitionId() * ROUNDS + turn) << 40
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in slices(column, SLICE):
@@ -738,9 +740,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "doc_id", "n_tokens", "known", "base", "log"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    forget_shuffles(spark)
-    asks = model.table.unionByName(texts.mapInArrow(_request(model.blocks), _schema(DEALT)))
-    answers = stored(_dealt(asks, "block", model.blocks).mapInArrow(run, "origin long, kind int, block int, data binary, row array<long>, h array<long>, a array<double>, p array<double>"))
+    answers = None
+    for turn in range(ROUNDS):
+        forget_shuffles(spark)
+        some = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
+        asks = model.table.unionByName(some.mapInArrow(_request(model.blocks, turn), _schema(DEALT)))
+        part = stored(_dealt(asks, "block", model.blocks).mapInArrow(run, "origin long, kind int, block int, data binary, row array<long>, h array<long>, a array<double>, p array<double>"))
+        answers = part if answers is None else answers.unionByName(part)
+        del asks, part, some
     forget_shuffles(spark)
     ordered = _dealt(answers.select("origin", "kind", "block", "data"), "origin", model.blocks)
     done = ordered.mapInArrow(finish, "row long, doc_id long, n_tokens long, known long, base double, log double")
