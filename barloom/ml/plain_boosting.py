@@ -4,7 +4,8 @@ A tree is fitted to the residuals of the margin so far: a leaf is the mean of it
 labels, counts whole. Rows are binned once and kept as blocks of packed bytes, dealt evenly by key. Each level of a tree is
 one job of one stage: tasks sum residuals and rows of their blocks by (node, column, bin), the sums are added up, and the
 driver, which sees no rows, picks the splits. Margins are brought up to date with the blocks every ``KEEP_EVERY`` rounds; the
-trees since then are added in the tasks.
+trees since then are added in the tasks. A table of at most ``ALONE_ROWS`` rows is boosted by one task, which grows the same trees
+without a job per level.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.ml.boosting import BoostedModel, _rows_of, edges_of, pack_rows
-from barloom.ml.growth import BINS, Growing, Shape, Tree, best_splits, drawn_features, histograms, in_round, node_features, sigmoid
+from barloom.ml.boosting import TREES, BoostedModel, _rows_of, edges_of, pack_rows, packed_tree, unpacked_tree
+from barloom.ml.growth import BINS, Growing, Shape, Tree, best_splits, drawn_features, grow, histograms, in_round, node_features, sigmoid
 from barloom.ml.scoring import PART_ROWS, dealt
 
+#: Rows that one task boosts alone.
+ALONE_ROWS = 100_000
 #: Rows of a block, and rows that are worth a task of their own.
 BLOCK_ROWS, LEAST_ROWS = 100_000, 5_000
 #: Rounds after which the margins of all rows are kept.
@@ -106,10 +109,41 @@ def _level(blocks: RDD, seed: int, number: int, share: float, pending: list[Tree
     return blocks.mapPartitions(run).treeReduce(np.add, 1 if blocks.getNumPartitions() <= PLAIN_PARTS else 2)
 
 
+def _settings(estimator: GBTClassifier, columns: int) -> tuple[Shape, int, float]:
+    """The shape of the trees, the seed and the share of rows."""
+    shape = Shape(estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), per_node=drawn_features(estimator.getFeatureSubsetStrategy(), columns))
+    return shape, estimator.getSeed() & ((1 << 63) - 1), estimator.getSubsamplingRate()
+
+
+def _factor(step: float, number: int) -> float:
+    """What values of tree ``number`` are multiplied by; Spark's residuals are four times these."""
+    return 8 * step if number else 4.0
+
+
+def _boost_alone(packed: DataFrame, estimator: GBTClassifier, columns: int) -> list[Tree]:
+    """The trees of ``_boost`` by one task, for a table that is known to fit."""
+    shape, seed, share = _settings(estimator, columns)
+    rounds, step = estimator.getMaxIter(), estimator.getStepSize()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, y, margin, bins = (np.concatenate(x) for x in zip(*[_rows_of(b) for b in batches if b.num_rows]))
+        rows = []
+        for number in range(rounds):
+            n = in_round(key, seed, number, share).astype(float)
+            tree = grow(bins, n * (y - sigmoid(margin)), n, n, shape, np.random.default_rng([seed, number]))
+            tree.value = tree.value * _factor(step, number)
+            margin = _with_trees(margin, bins, [tree])
+            rows.append(packed_tree(number, tree))
+        kinds = [pa.int32(), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["number", "feature", "split", "child", "value", "gain"])
+
+    rows = packed.repartition(1).sortWithinPartitions("key").mapInArrow(run, TREES).collect()
+    return [unpacked_tree(r) for r in sorted(rows, key=lambda r: r["number"])]
+
+
 def _boost(blocks: RDD, estimator: GBTClassifier, columns: int) -> list[Tree]:
     """All rounds; values of the trees are what they add to a margin of which the logistic function is taken, twice Spark's."""
-    shape = Shape(estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), per_node=drawn_features(estimator.getFeatureSubsetStrategy(), columns))
-    seed, share = estimator.getSeed() & ((1 << 63) - 1), estimator.getSubsamplingRate()
+    shape, seed, share = _settings(estimator, columns)
     trees: list[Tree] = []
     pending: list[Tree] = []
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
@@ -135,8 +169,7 @@ def _boost(blocks: RDD, estimator: GBTClassifier, columns: int) -> list[Tree]:
                 nodes = growing.open_nodes()
             growing.split(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, int), np.zeros(0, int), [np.zeros(0)] * 3)
             tree = growing.tree()
-            # Spark's residuals are four times these.
-            tree.value = tree.value * (8 * estimator.getStepSize() if number else 4.0)
+            tree.value = tree.value * _factor(estimator.getStepSize(), number)
             trees.append(tree)
             pending.append(tree)
     finally:
@@ -151,4 +184,6 @@ def fit_boosting(rows: DataFrame, columns, estimator: GBTClassifier, n_rows: int
     rows = rows.filter(F.col(label).isNotNull())
     edges = edges_of(rows, columns)
     packed = pack_rows(dealt(rows, n_rows), columns, edges, label)
+    if n_rows <= ALONE_ROWS:
+        return BoostedModel(columns, edges, _boost_alone(packed, estimator, len(columns)))
     return BoostedModel(columns, edges, _boost(_blocks(packed, n_rows, len(columns)), estimator, len(columns)))

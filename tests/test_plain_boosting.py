@@ -69,6 +69,31 @@ def test_trees_of_any_parts_are_those_of_one_block(rows, monkeypatch, least, blo
     assert len(trees) == 5 and np.allclose(got, want, atol=1e-9)
 
 
+def test_one_task_grows_the_trees_of_all_jobs_without_a_job_per_level(spark, rows, monkeypatch):
+    estimator = GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=3)
+
+    def fit():
+        group = f"alone-{plain_boosting.ALONE_ROWS}"
+        spark.sparkContext.setJobGroup(group, group)
+        model = plain_boosting.fit_boosting(rows, COLUMNS, estimator, 3_000)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("", "")
+        return model, jobs
+
+    alone, few = fit()
+    monkeypatch.setattr(plain_boosting, "ALONE_ROWS", 0)
+    together, many = fit()
+    assert few < 12 < 32 <= many
+    assert [len(t.feature) for t in alone.trees] == [len(t.feature) for t in together.trees]
+    assert np.allclose(chances(rows, alone), chances(rows, together), atol=1e-9)
+
+
+def test_a_table_of_some_thousand_rows_is_fitted_here(rows):
+    more = rows.unionByName(rows)
+    for kind in ("random_forest", "gradient_boosting"):
+        assert isinstance(fit_classifier(more, kind, 2, columns=COLUMNS), BoostedModel)
+
+
 def test_a_label_of_one_class_is_learned_as_such(rows):
     estimator = GBTClassifier(maxIter=2, maxDepth=2, seed=3)
     model = plain_boosting.fit_boosting(rows.withColumn("target", F.lit(1)), COLUMNS, estimator, 3_000)
