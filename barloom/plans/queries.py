@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.indicators import FEATURE_COLS
@@ -554,6 +556,13 @@ def _trained(spark, sf_dir, model_type="random_forest"):
     return _FITTED[key]
 
 
+def _trained_together(spark, sf_dir, *model_types):
+    """Models of several types, trained at the same time: the jobs of one alone leave cores idle."""
+    train = inheritable_thread_target(spark)(lambda kind: _trained(spark, sf_dir, kind))
+    with ThreadPool(len(model_types)) as pool:
+        return pool.map(train, model_types, chunksize=1)
+
+
 def _train_query(model_type: str) -> Query:
     def run(spark, sf_dir):
         trained = _trained(spark, sf_dir, model_type)
@@ -667,10 +676,8 @@ def walk_forward_model(spark, sf_dir):
 
 @query
 def compare_models(spark, sf_dir):
-    models = {
-        "forest": _trained(spark, sf_dir).model,
-        "boosting": _trained(spark, sf_dir, "gradient_boosting").model,
-    }
+    forest, boosting = _trained_together(spark, sf_dir, "random_forest", "gradient_boosting")
+    models = {"forest": forest.model, "boosting": boosting.model}
     return scoring.compare_models(kept(index_level_bars(spark, sf_dir)), models)
 
 
@@ -772,9 +779,9 @@ def score_all_facts(spark, sf_dir):
 @query
 def evaluation_facts(spark, sf_dir):
     """Rows and positives behind the figures of every kind of model."""
-    out = None
-    for kind in ("random_forest", "gradient_boosting"):
-        figures = _trained(spark, sf_dir, kind).evaluation()
+    out, kinds = None, ("random_forest", "gradient_boosting")
+    for kind, trained in zip(kinds, _trained_together(spark, sf_dir, *kinds)):
+        figures = trained.evaluation()
         hits = F.col("tp") + F.col("tn")
         rows = hits + F.col("fp") + F.col("fn")
         one = figures.select(

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -305,3 +306,18 @@ def test_compared_models_score_every_row_once(trained, bars):
     """The rows that two readers of a curve need are scored and written before."""
     both = scoring.compare_models(bars, {"one": trained.model, "two": trained.model})
     assert "UDF" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["compare_models", "evaluation_facts"])
+def test_models_of_one_query_are_trained_at_the_same_time(spark, trained, bars, monkeypatch, name):
+    both = threading.Barrier(2, timeout=20)
+
+    def wait_for_the_other(spark, sf_dir, model_type="random_forest"):
+        both.wait()
+        return trained
+
+    monkeypatch.setattr(queries, "_trained", wait_for_the_other)
+    monkeypatch.setattr(queries, "index_level_bars", lambda *_: bars)
+    rows = queries.QUERIES[name](spark, "nowhere").collect()
+    kinds = {r["model"] if name == "compare_models" else r["model_type"] for r in rows}
+    assert kinds == ({"forest", "boosting"} if name == "compare_models" else {"random_forest", "gradient_boosting"})
