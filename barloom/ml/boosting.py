@@ -19,7 +19,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from barloom.ml.growth import BINS, Boosting, Growing, Shape, Tree, best_splits, boost, gradients, histograms, in_round, round_columns, sigmoid, to_bins
+from barloom.ml.growth import BINS, Boosting, Growing, Shape, Tree, best_splits, boost, gradients, histograms, in_round, node_features, round_columns, sigmoid, to_bins
 from barloom.session import cut_lineage
 
 #: Rows that one task boosts alone.
@@ -53,8 +53,8 @@ def edges_of(rows: DataFrame, columns) -> np.ndarray:
     return np.array([list(x) for x in found], dtype=float)
 
 
-def pack_rows(rows: DataFrame, columns, edges: np.ndarray, label: str = "target") -> DataFrame:
-    """``key, y, margin, bins``: a number, the label, a margin of 0 and a byte per column; written once."""
+def pack_rows(rows: DataFrame, columns, edges: np.ndarray, label: str = "target", key: str | None = None) -> DataFrame:
+    """``key, y, margin, bins``: a number (or the column ``key``), the label, a margin of 0 and a byte per column; written once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 40
@@ -65,11 +65,16 @@ def pack_rows(rows: DataFrame, columns, edges: np.ndarray, label: str = "target"
             offsets = np.arange(n + 1, dtype=np.int32) * len(columns)
             packed = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(bins.tobytes())])
             y = batch.column(len(columns)).cast(pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(made, made + n)), y, pa.array(np.zeros(n)), packed], names=["key", "y", "margin", "bins"])
+            number = pa.array(np.arange(made, made + n)) if key is None else batch.column(len(columns) + 1)
+            yield pa.RecordBatch.from_arrays([number, y, pa.array(np.zeros(n)), packed], names=["key", "y", "margin", "bins"])
             made += n
 
     wanted = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
-    return cut_lineage(rows.select(*wanted, F.col(label).alias("y")).mapInArrow(pack, "key long, y double, margin double, bins binary"))
+    if key is not None:
+        rows = rows.select(*wanted, F.col(label).alias("y"), F.col(key).alias("key"))
+    else:
+        rows = rows.select(*wanted, F.col(label).alias("y"))
+    return cut_lineage(rows.mapInArrow(pack, "key long, y double, margin double, bins binary"))
 
 
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -97,8 +102,8 @@ def _boost_alone(packed: DataFrame, settings: Boosting) -> list[Tree]:
     return [unpacked_tree(r) for r in sorted(rows, key=lambda r: r["number"])]
 
 
-def _level(packed: DataFrame, settings: Boosting, pending: list[Tree], number: int, growing: Growing | None, columns: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
-    """Histograms of the open nodes of a level: sums of gradients, hessians and rows by (node, column, bin)."""
+def _level(packed: DataFrame, settings: Boosting, pending: list[Tree], number: int, growing: Growing | None, features: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """Histograms of the open nodes of a level: sums of gradients, hessians and rows by (node, column of the node, bin)."""
     width, place = BINS, None
     partial = first = None
     if growing is not None and growing.levels:
@@ -108,8 +113,7 @@ def _level(packed: DataFrame, settings: Boosting, pending: list[Tree], number: i
         partial = Tree(*(np.concatenate(x) for x in zip(*levels)))
         place = np.full(ends, -1)
         place[nodes] = np.arange(len(nodes))
-    count = max(1, len(nodes))
-    features = np.broadcast_to(columns, (count, len(columns)))
+    count = len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -135,9 +139,9 @@ def _level(packed: DataFrame, settings: Boosting, pending: list[Tree], number: i
     rows = packed.mapInArrow(run, "cell long, g double, h double, n double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
     out = []
     for name in ("g", "h", "n"):
-        flat = np.zeros(count * len(columns) * width)
+        flat = np.zeros(features.size * width)
         flat[rows["cell"].to_numpy()] = rows[name].to_numpy()
-        out.append(flat.reshape(count, len(columns), width))
+        out.append(flat.reshape(*features.shape, width))
     return out
 
 
@@ -149,18 +153,28 @@ def _boost_together(packed: DataFrame, settings: Boosting, n_columns: int) -> li
         if len(pending) == WRITE_EVERY:
             packed, pending = cut_lineage(_with_margins(packed, pending)), []
         columns = round_columns(settings, number, n_columns)
-        found = _level(packed, settings, pending, number, None, columns, np.zeros(1, int))
-        growing = Growing(settings.shape, *(x[0, 0].sum() for x in found))
-        while True:
+        rng, growing, nodes = np.random.default_rng([settings.seed, number]), None, np.zeros(1, dtype=np.int64)
+        sums: list[tuple[np.ndarray, np.ndarray]] = []  # gradients and hessians of the nodes of each level
+        while growing is None or len(nodes):
+            features = node_features(settings.shape, columns, len(nodes), rng)
+            g, h, n = _level(packed, settings, pending, number, growing, features, nodes)
+            worth = h if settings.second_order else n
+            if growing is None:
+                growing = Growing(settings.shape, *(x[0, 0].sum() for x in (g, worth, n)))
+                sums.append((growing.sums[0], h[0, :1].sum(axis=1)))
+                if not len(growing.open_nodes()):
+                    break
+            gain, j, split, *left = best_splits(g, worth, n, settings.shape)
+            node, kept = np.arange(len(nodes)), np.isfinite(gain)
+            low = h.cumsum(axis=2)[node, j, split][kept]
+            growing.split(nodes, gain, features[node, j], split, left)
+            sums.append((growing.sums[0], np.stack([low, sums[-1][1][nodes[kept]] - low], axis=1).ravel()))
             nodes = growing.open_nodes()
-            if not len(nodes):
-                growing.split(nodes, np.zeros(0), np.zeros(0, int), np.zeros(0, int), [np.zeros(0)] * 3)
-                break
-            if growing.depth:
-                found = _level(packed, settings, pending, number, growing, columns, nodes)
-            gain, j, split, *left = best_splits(*found, settings.shape)
-            growing.split(nodes, gain, columns[j], split, left)
+        growing.split(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, int), np.zeros(0, int), [np.zeros(0)] * 3)
         tree = growing.tree()
+        if not settings.second_order:  # splits weigh rows, leaves hessians
+            top, bottom = (np.concatenate(x) for x in zip(*sums))
+            tree.value = np.divide(top, bottom, out=np.zeros_like(top), where=(bottom > 1e-12) & (tree.feature < 0))
         tree.value = tree.value * settings.step
         trees.append(tree)
         pending.append(tree)

@@ -18,7 +18,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.ml.boosting import TREES, BoostedModel, _rows_of, edges_of, pack_rows, packed_tree, unpacked_tree
-from barloom.ml.growth import BINS, Growing, Shape, Tree, best_splits, drawn_features, grow, histograms, node_features, times_drawn
+from barloom.ml.growth import BINS, Growing, Shape, Tree, best_splits, class_sums, drawn_features, grow, histograms, node_features, times_drawn
 from barloom.ml.scoring import dealt
 
 #: Rows of a node that one task grows.
@@ -82,8 +82,7 @@ class _Top:
 
     def split(self, up: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> None:
         """Ends a level with the counts of rows, ``up`` and all, of its nodes."""
-        g = weights[1] * up
-        h = g + weights[0] * (n - up)
+        g, h, n = class_sums(up, n, weights)
         if self.growing is None:
             self.growing = Growing(self.shape, g[0, 0].sum(), h[0, 0].sum(), n[0, 0].sum())
             if not len(self.growing.open_nodes()):
@@ -140,6 +139,12 @@ def _count(packed: DataFrame, tops: dict[int, _Top], seed: int, share: float) ->
     return out
 
 
+def _grow_below(bins: np.ndarray, n: np.ndarray, y: np.ndarray, shape: Shape, seed: int, number: int, node: int, depth: int, weights: tuple[float, float]) -> Tree:
+    """What stands at a node of tree ``number`` and below it, from the rows that reach it."""
+    below = Shape(shape.max_depth - depth, shape.min_rows, per_node=shape.per_node)
+    return grow(bins, n * y, None, n, below, np.random.default_rng([seed, number, 1 + node]), weights=weights)
+
+
 def _grow_rest(packed: DataFrame, tops: dict[int, _Top], seed: int, share: float, shape: Shape, weights: tuple[float, float], width: int) -> DataFrame:
     """``tree, node`` and what grows below that node, for the nodes that tasks grow."""
     asked = {}
@@ -172,10 +177,7 @@ def _grow_rest(packed: DataFrame, tops: dict[int, _Top], seed: int, share: float
         rows = rows.sort_by("first")  # whatever order the parts came in
         k, node, depth = (rows[c][0].as_py() for c in ("tree", "node", "depth"))
         n, y, bins = (np.frombuffer(b"".join(rows[c].to_pylist()), dtype=np.uint8) for c in ("n", "y", "bins"))
-        below = Shape(shape.max_depth - depth, shape.min_rows, per_node=shape.per_node)
-        n = n.astype(float)
-        weight = np.where(y > 0, weights[1], weights[0])
-        tree = grow(bins.reshape(len(n), width), n * weight * y, n * weight, n, below, np.random.default_rng([seed, k, 1 + node]))
+        tree = _grow_below(bins.reshape(len(n), width), n.astype(float), y, shape, seed, k, node, depth, weights)
         _, *parts = packed_tree(k, tree, KINDS)
         made = [pa.array([k], pa.int32()), pa.array([node], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)]
         return pa.table(made, names=["tree", "node", "feature", "split", "child", "value", "gain"])
@@ -198,6 +200,44 @@ def _whole(top: Tree, below: dict[int, Tree]) -> Tree:
     return Tree(*(x.astype(k) for x, k in zip(joined, KINDS)))
 
 
+def grown_trees(packed: DataFrame, n_rows: int, first: int, last: int, shape: Shape, seed: int, share: float, weights: tuple[float, float], width: int) -> list[Tree]:
+    """Trees ``first`` to ``last`` of a forest over packed rows, of one batch."""
+    tops = {k: _Top(seed, k, shape, width) for k in range(first, last)}
+    if n_rows * share <= NODE_ROWS:
+        for top in tops.values():
+            top.rest.append((0, 0))
+    else:
+        while going := {k: t for k, t in tops.items() if len(t.nodes)}:
+            for k, sums in _count(packed, going, seed, share).items():
+                tops[k].split(*sums, weights)
+    below = {k: {} for k in tops}
+    for r in _grow_rest(packed, tops, seed, share, shape, weights, width).collect():
+        below[r["tree"]][r["node"]] = unpacked_tree(tuple(r)[1:], KINDS)
+    return [_whole(top.ended(), dict(sorted(below[k].items()))) for k, top in tops.items()]
+
+
+def block_tree(key: np.ndarray, y: np.ndarray, bins: np.ndarray, number: int, shape: Shape, seed: int, share: float, weights: tuple[float, float]) -> Tree:
+    """Tree ``number`` of a forest over rows at hand, the same one as ``grown_trees`` makes of them; it depends on no other tree."""
+    n = times_drawn(key, seed, number, share).astype(float)
+    top = _Top(seed, number, shape, bins.shape[1])
+    if len(key) * share <= NODE_ROWS:
+        top.rest.append((0, 0))
+    else:
+        drawn = n > 0
+        n, y, bins = n[drawn], y[drawn], bins[drawn]
+        while len(top.nodes):
+            node = top.place()[top.tree().route(bins)]
+            inside = node >= 0
+            up, every = histograms(bins[inside], node[inside], len(top.nodes), top.features, [n[inside] * y[inside], n[inside]])
+            top.split(up, every, weights)
+    tree, below = top.ended(), {}
+    at = tree.route(bins)
+    for node, depth in sorted(top.rest):
+        own = at == node
+        below[node] = _grow_below(bins[own], n[own], y[own], shape, seed, number, node, depth, weights)
+    return _whole(tree, below)
+
+
 def fit_forest(rows: DataFrame, columns, estimator: RandomForestClassifier, n_rows: int, label: str = "target") -> ForestModel:
     """The forest that ``estimator`` describes, with balanced class weights if it has a weight column."""
     shape = Shape(estimator.getMaxDepth(), estimator.getMinInstancesPerNode(), per_node=drawn_features(_strategy(estimator), len(columns)))
@@ -210,18 +250,7 @@ def fit_forest(rows: DataFrame, columns, estimator: RandomForestClassifier, n_ro
     made: list[Tree] = []
     step = max(1, BATCH_ROWS // n)
     for first in range(0, trees, step):
-        tops = {k: _Top(seed, k, shape, len(columns)) for k in range(first, min(first + step, trees))}
-        if n * share <= NODE_ROWS:
-            for top in tops.values():
-                top.rest.append((0, 0))
-        else:
-            while going := {k: t for k, t in tops.items() if len(t.nodes)}:
-                for k, sums in _count(packed, going, seed, share).items():
-                    tops[k].split(*sums, weights)
-        below = {k: {} for k in tops}
-        for r in _grow_rest(packed, tops, seed, share, shape, weights, len(columns)).collect():
-            below[r["tree"]][r["node"]] = unpacked_tree(tuple(r)[1:], KINDS)
-        made += [_whole(top.ended(), dict(sorted(below[k].items()))) for k, top in tops.items()]
+        made += grown_trees(packed, n, first, min(first + step, trees), shape, seed, share, weights, len(columns))
     return ForestModel(columns, edges, made)
 
 

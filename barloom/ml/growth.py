@@ -143,12 +143,27 @@ def node_features(shape: Shape, columns: np.ndarray, nodes: int, rng: np.random.
     return np.broadcast_to(columns, (nodes, len(columns)))
 
 
-def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, shape: Shape, rng: np.random.Generator, columns: np.ndarray | None = None) -> Tree:
-    """One tree over rows of which ``n`` are in it (0 leaves a row out). Deeper shapes begin with the same levels."""
+def class_sums(up: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """``g``, ``h`` and count of numbers of rows, those of class 1 and all, with the weights of both classes."""
+    g = weights[1] * up
+    return g, g + weights[0] * (n - up), n
+
+
+def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray | None, n: np.ndarray, shape: Shape, rng: np.random.Generator, columns: np.ndarray | None = None, weights: tuple[float, float] | None = None) -> Tree:
+    """One tree over rows of which ``n`` are in it (0 leaves a row out). Deeper shapes begin with the same levels.
+
+    With ``weights`` of the classes ``g`` is the part of ``n`` in class 1 and ``h`` is not used. Whole numbers are summed then, so
+    the tree does not depend on the order of the rows.
+    """
     columns = np.arange(bins.shape[1]) if columns is None else columns
+    counted = [g, h, n] if weights is None else [g, n]
+
+    def sums(parts: list) -> list:
+        return parts if weights is None else class_sums(*parts, weights)
+
     rows = np.flatnonzero(n > 0)
     at = np.zeros(len(rows), dtype=np.int64)
-    growing = Growing(shape, g[rows].sum(), h[rows].sum(), n[rows].sum())
+    growing = Growing(shape, *sums([x[rows].sum() for x in counted]))
     while True:
         nodes = growing.open_nodes()
         place = np.full(len(growing.sums[0]), -1)
@@ -159,7 +174,7 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, shape: S
             growing.split(nodes, np.zeros(0), np.zeros(0, int), np.zeros(0, int), [np.zeros(0)] * 3)
             return growing.tree()
         features = node_features(shape, columns, len(nodes), rng)
-        found = best_splits(*histograms(bins[rows], k, len(nodes), features, [g[rows], h[rows], n[rows]]), shape)
+        found = best_splits(*sums(histograms(bins[rows], k, len(nodes), features, [x[rows] for x in counted])), shape)
         gain, j, split = found[:3]
         feature = features[np.arange(len(nodes)), j]
         order = growing.split(nodes, gain, feature, split, list(found[3:]))

@@ -40,6 +40,19 @@ def test_nodes_split_by_aggregates_and_by_tasks_make_the_trees_of_one_block(rows
             assert np.allclose(tree.value[tree.route(bins)], want.value[want.route(bins)], atol=1e-6)
 
 
+@pytest.mark.parametrize("node_rows", [150, 10_000])
+def test_trees_of_a_block_are_those_of_distributed_rows(rows, monkeypatch, node_rows):
+    monkeypatch.setattr(forest, "NODE_ROWS", node_rows)
+    packed = pack_rows(rows, COLUMNS, edges_of(rows, COLUMNS))
+    key, y, _, bins = _rows_of(packed.toArrow().combine_chunks().to_batches()[0])
+    order = np.random.default_rng(0).permutation(len(key))
+    how = Shape(9, 2, per_node=2), 3, 0.8, (0.7, 1.9)
+    for k, tree in enumerate(forest.grown_trees(packed, 2_000, 0, 4, *how, len(COLUMNS))):
+        alone = forest.block_tree(key[order], y[order], bins[order], k, *how)
+        assert all(np.array_equal(getattr(alone, name), getattr(tree, name)) for name in ("feature", "split", "child", "value", "gain"))
+        assert len(tree.feature) > 50
+
+
 def test_rows_of_a_tree_are_drawn_with_replacement():
     n = times_drawn(np.arange(200_000), 7, 0, 1.0)
     assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02

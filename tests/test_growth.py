@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from barloom.ml import tuning
+from barloom.ml import forest, tuning
 from barloom.ml.boosting import BoostedModel, SecondOrder
 from barloom.ml.growth import Boosting, Shape, best_splits, bin_edges, boost, drawn_features, forest_tree, grow, to_bins
 from barloom.ml.many import score_many, train_many
@@ -191,6 +191,22 @@ def test_search_on_a_sample(bars, columns):
     assert 40 < row["n_rows"] < 200 < train.count()
 
 
+@pytest.mark.parametrize("name,space", [
+    ("random_forest", {"numTrees": [3, 5], "maxDepth": [2, 6], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"], "subsamplingRate": [0.8]}),
+    ("xgboost", {"maxIter": [2, 4], "maxDepth": [3], "subsamplingRate": [0.9], "featureSubsetStrategy": ["0.8"], "minInstancesPerNode": [1]}),
+    ("gradient_boosting", {"maxIter": [2, 4], "maxDepth": [3], "stepSize": [0.2], "subsamplingRate": [0.9], "minInstancesPerNode": [2], "featureSubsetStrategy": ["sqrt"]}),
+])
+def test_search_judges_every_row_of_a_table_of_any_size_alike(bars, columns, monkeypatch, name, space):
+    """Where trees grow depends on the number of rows, what the trials are worth does not."""
+    train = training_table(bars, columns).filter("not is_test")
+    ask = lambda: sorted(tuple(r) for r in search(train, name, 9, 3, columns=columns, space=space).select("trial", "accuracy", "best", "n_rows").collect())
+    block = ask()
+    monkeypatch.setattr(tuning, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(forest, "BATCH_ROWS", 600)
+    assert {r[3] for r in block} == {train.count()} and len(block) >= 2
+    assert ask() == block
+
+
 def test_tuned_boosting_is_second_order(bars, columns):
     train = training_table(bars, columns).filter("not is_test")
     model, trials = tune_classifier(train, "xgboost", 2, 2, columns=columns, space={"maxIter": [2, 3], "maxDepth": [2]})
