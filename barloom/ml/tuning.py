@@ -6,7 +6,7 @@ a shallower one, and boosting passes through fewer rounds on its way to more. Ev
 Up to ``BLOCK_ROWS`` rows, growth runs in tasks of a hundred trees, or of one fold of boosting, over a block of all rows; trees
 live as long as their task, and only the summed votes for the held-out rows leave it. Over larger tables trees are grown
 node by node, or level by level, over distributed rows (``ml.forest``, ``ml.boosting``): the same trees, as rows are drawn by a hash
-of their keys. The trials of a growth are written when it ends.
+of their keys and bins are exact; in boosting rounding may turn ties between splits. The trials of a growth are written when it ends.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.indicators import FEATURE_COLS
 from barloom.ml import forest
-from barloom.ml.boosting import SecondOrder, _boost_together, _rows_of, edges_of, pack_rows
+from barloom.ml.boosting import SecondOrder, _boost_together, _rows_of, exact_edges, pack_rows
 from barloom.ml.growth import Boosting, Shape, Tree, boost, drawn_features
 from barloom.ml.scoring import dealt
 from barloom.ml.training import RANDOM_STATE, fit_classifier, model_type_name
@@ -278,20 +278,6 @@ def search_rows(train: DataFrame, folds: int, columns, by, max_rows: int | None
     return rows.filter(F.pmod(F.xxhash64(*by, "date"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def _edges(rows: DataFrame, columns, place: str) -> np.ndarray:
-    """Bin edges of a search, those that an earlier run has written if there are any."""
-    spark = rows.sparkSession
-    try:
-        found = spark.read.schema("edges array<double>").parquet(place).first()
-    except AnalysisException:
-        found = None
-    if found is None:
-        edges = edges_of(rows, columns)
-        spark.createDataFrame([(edges.ravel().tolist(),)], "edges array<double>").coalesce(1).write.mode("overwrite").parquet(place)
-        return edges
-    return np.array(found["edges"]).reshape(len(columns), -1)
-
-
 def _block(packed: DataFrame) -> tuple[np.ndarray, ...]:
     """Keys, labels, bins and folds of all rows of a small table."""
     parts = [_rows_of(b) for b in packed.toArrow().sort_by("key").to_batches() if b.num_rows]
@@ -326,7 +312,7 @@ def search(
     folder = f"{(path or f'{shared_folder(spark)}/barloom-searches/{uuid.uuid4().hex}').rstrip('/')}/search={mark}"
     # Rows are drawn by a hash of what they are the only ones to have; labels travel with the folds.
     coded = rows.withColumns({"_key": F.xxhash64(*by, "date"), "_coded": F.col("target") + 2 * F.col("fold")})
-    packed = pack_rows(dealt(coded, n), columns, _edges(rows, columns, f"{folder}/edges"), "_coded", "_key")
+    packed = pack_rows(dealt(coded, n), columns, exact_edges(rows, columns, n), "_coded", "_key")
     up = packed.agg(F.avg(F.col("y") - 2 * F.floor(F.col("y") / 2))).first()[0]
     weights = (0.5 / max(1 - up, 1e-12), 0.5 / max(up, 1e-12))
     data = packed if n > BLOCK_ROWS else spark.sparkContext.broadcast(_block(packed))
